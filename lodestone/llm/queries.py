@@ -15,18 +15,37 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests_only=True)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import digests, fingerprints
+
+    return digests(fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import pages_through_warc
 
     return pages_through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn_and_predict
 
     return learn_and_predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digests, labelled_samples, scan, train
+
+    docs = table(spark, sf_dir, "documents")
+    return digests(scan(docs, train(labelled_samples(docs))))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,8 +56,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_fingerprints": op2_fingerprints,
     "op3_arc_to_warc": op3_arc_to_warc,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_language_id": op6_language_id,
+    "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
 
