@@ -33,6 +33,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn_and_predict
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
