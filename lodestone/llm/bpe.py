@@ -61,7 +61,7 @@ def mergeable_pairs(ranks: dict[bytes, int]) -> np.ndarray:
 _H = ((40503, 7919), (12289, 52711))
 
 
-def _two_places(pairs: np.ndarray) -> tuple[list[np.ndarray], int]:
+def _two_places(pairs: np.ndarray) -> tuple[list[list], int]:
     """Every pair stands in one of two arrays, each at its hashed place."""
     bits = max(4, int(len(pairs)).bit_length())
     while True:
@@ -82,7 +82,7 @@ def _two_places(pairs: np.ndarray) -> tuple[list[np.ndarray], int]:
         else:
             out = []
             for t in tables:
-                a = np.full(mask + 1, 1 << 61, np.int64)
+                a: list = [None] * (mask + 1)  # null where no pair stands
                 for slot, (x, y, r) in t.items():
                     a[slot] = x << 40 | y << 20 | r
                 out.append(a)
@@ -93,7 +93,7 @@ def _two_places(pairs: np.ndarray) -> tuple[list[np.ndarray], int]:
 def fold_words(word_bytes: Column, ranks: dict[bytes, int]) -> Column:
     """Ids (array<bigint>) of a word given as the array of its byte values; empty for an empty array."""
     tables, mask = _two_places(mergeable_pairs(ranks))
-    lit = lambda a: F.from_json(F.lit(json.dumps([int(x) for x in a], separators=(",", ":"))), "array<bigint>")
+    lit = lambda a: F.from_json(F.lit(json.dumps(a, separators=(",", ":"))), "array<bigint>")
     places, single = [lit(t) for t in tables], lit([ranks[bytes([i])] for i in range(256)])
     big = lambda x: F.lit(x).cast("bigint")
     let = lambda value, f: F.get(F.transform(F.array(value), f), 0)
@@ -323,10 +323,32 @@ def dictionary(texts: DataFrame, ranks: dict[bytes, int], text: str = "text", ma
     counted = word_counts(texts, text).withColumn("g", F.pmod(F.xxhash64("word"), F.lit(groups)))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("r", rank).where(F.col("r") <= max(1, max_dictionary // groups)).select("word")
-    top = materialise(top, "bpe-words").repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism))
+    # written in as many parts as there are cores: the fold's plan then has no exchange, and its long literal is planned once
+    top = materialise(top.repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism)), "bpe-words")
     return top.select("word", fold_words(byte_values(F.col("word")), ranks).cast("array<int>").alias("ids"))
 
 
+def _collected(spark, words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The dictionary, of bounded size, as hashes in ascending order, offsets and ids."""
+    limit = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the rank map is long; plan descriptions are kept by the driver
+    try:
+        known = words.toArrow()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", limit)
+    hashes, lists = [], known.column("ids").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    for _, _, raw, offsets in tk.chunks(known.column("word")):
+        cps, at = tk.code_points(raw, offsets)
+        hashes.append(tk.span_hashes(cps, at[:-1], at[1:]))
+    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    off = np.asarray(lists.offsets, np.int64) if len(hashes) else np.zeros(1, np.int64)
+    val = np.asarray(lists.values, np.int32)
+    distinct, one = np.unique(hashes, return_index=True)
+    val, off = tk.gather(off, val, one)
+    return distinct, off, val
+
+
 _STATE: dict = {}
 
 
@@ -348,26 +370,7 @@ def encode(
         raise ValueError(f"columns {sorted(clash)} would clash")
     ship(spark)
     ranks = load_ranks(vocabulary_path)
-    known = dictionary(docs, ranks, text, max_dictionary).toArrow()
-    word_list = [w.as_py() for w in known.column("word")]
-    id_lists = known.column("ids").combine_chunks()
-    hashes = np.zeros(0, np.uint64)
-    off = np.zeros(1, np.int64)
-    val = np.zeros(0, np.int32)
-    if word_list:
-        cps = [np.frombuffer(w.decode("utf-8").encode("utf-32-le"), np.uint32) for w in word_list]
-        ends = np.cumsum([len(c) for c in cps])
-        hashes = tk.span_hashes(np.concatenate(cps), ends - [len(c) for c in cps], ends)
-        if isinstance(id_lists, pa.ChunkedArray):
-            id_lists = id_lists.combine_chunks()
-        off = np.asarray(id_lists.offsets, np.int64) - id_lists.offsets[0].as_py()
-        val = np.asarray(id_lists.flatten(), np.int32)
-        whole = np.array([ranks.get(w, -1) for w in word_list])
-        for i in np.flatnonzero((whole >= 0) & (np.diff(off) != 1)):  # a word that is a token stands for itself
-            raise AssertionError(f"the fold splits a token: {word_list[i]!r}")
-        _, one = np.unique(hashes, return_index=True)
-        val, off = tk.gather(off, val, one)
-        hashes = hashes[one]
+    hashes, off, val = _collected(spark, dictionary(docs, ranks, text, max_dictionary))
     shared, run_id = spark.sparkContext.broadcast((Vocabulary(ranks), hashes, off, val)), uuid.uuid4().hex
     kept = [docs.schema[c] for c in keep]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])

@@ -91,8 +91,9 @@ def _classes() -> np.ndarray:
     import regex
 
     out = np.zeros(0x110000, np.uint8)
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for k, p in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
+    points = np.arange(0x110000, dtype=np.uint32)
+    everything = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
+    for k, p in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
         hit = "".join(regex.findall(p, everything))
         out[np.frombuffer(hit.encode("utf-32-le"), np.uint32)] = k
     return out
