@@ -1,13 +1,70 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""Documents to packed training sequences: five stages, each by one operator of ``lodestone.llm``.
+
+Every stage takes what its predecessor kept, written as Parquet and read again.
+All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodestone.llm import langid, minhash, packing, secret_scan, suffix
+from lodestone.llm.common import materialise
+
+LEAST_SCORE = 0.5
+
+
+def _recount(docs: DataFrame, order: list[str]) -> DataFrame:
+    out = docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in order else docs
+    return out.select(*order)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a language: null, without letters, or between languages."""
+    model = langid.train(docs)
+    seen = langid.predict(docs, model)
+    return seen.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each near-duplicate class the document of the smallest doc_id."""
+    return minhash.deduplicate(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of repeated passages; documents that have nothing else go."""
+    cut = suffix.remove_repeats(docs, mode="later")
+    return _recount(cut.where(F.col("text").rlike(r"\S")), docs.columns)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark."""
+    ratios = secret_scan.train(secret_scan.labelled_samples(docs))
+    return _recount(secret_scan.redact(secret_scan.scan(docs, ratios)), docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1,024 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("secret_redaction", secret_redaction),
+    ("sequence_packing", sequence_packing),
+]
+
+ORACLE_SQL = None  # BagMinHash candidates, Markov spans and packing are no SQL; tests hold the stages against brute force
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{name}")
     return docs

@@ -45,6 +45,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .token_rollup import corpus_history
+
+    return corpus_history(table(spark, sf_dir, "documents"), scratch(spark, "rollup")).totals()
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digests, labelled_samples, scan, train
 
@@ -52,6 +59,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan(docs, train(labelled_samples(docs))))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,8 +81,12 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_language_id": op6_language_id,
+    "op7_token_rollup": op7_token_rollup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_nearest": op9_nearest,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+from .token_rollup import ORACLE as _ROLLUP  # noqa: E402
+
+ORACLE_SQL: dict[str, str] = {"op7_token_rollup": _ROLLUP}
