@@ -43,7 +43,7 @@ def duration_months(start: Column, end: Column) -> Column:
     """Inclusive months between two points; whole years where a month is unknown, at least one."""
     years = (F.greatest(end["year"] - start["year"], F.lit(1)) * 12).cast("int")
     exact = ((end["year"] - start["year"]) * 12 + end["month"] - start["month"] + 1).cast("int")
-    return F.when((start["month"] == 0) | (end["month"] == 0), years).when(exact > 0, exact)
+    return F.when(start.isNull() | end.isNull(), F.lit(None)).when((start["month"] == 0) | (end["month"] == 0), years).when(exact > 0, exact)
 
 
 def format_months(n: Column, lang: Column) -> Column:

@@ -95,7 +95,7 @@ def tokens(x: Column, pattern: str = r"[a-z0-9+#.]+") -> Column:
 
 def split_city_country(x: Column) -> Column:
     """struct(city, country): one part is a country if it has at most three characters or is upper case."""
-    parts = F.filter(F.transform(F.split(x, r"[,/·|]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, r"[,/·|]"), lambda p: F.trim(p)), lambda p: p != "")
     one = F.get(parts, 0)
     short = (F.length(one) <= 3) | (one == F.upper(one))
     city = F.when(F.size(parts) > 1, one).when(~short, one)

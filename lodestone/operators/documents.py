@@ -75,7 +75,7 @@ def validation_report(email: Column, phone: Column, url: Column, start_year: Col
 
 def join_wrapped(text: Column) -> Column:
     """Lines joined to the one before where that ends open and this begins in lower case, with a digit or a bracket."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda x: x != "")
 
     def step(acc: Column, x: Column) -> Column:
         before = F.element_at(acc, -1)
@@ -89,7 +89,7 @@ def list_items(text: Column) -> Column:
     """Items of a skill or interest list: wrapped lines joined, bullets and labels dropped, split, distinct in order."""
     lines = F.transform(join_wrapped(text), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[•*·–-]\s*", ""), r"^[\p{L} ]{2,25}:\s*", ""))
     items = F.flatten(F.transform(lines, lambda x: F.split(x, r"[,;•]| / ")))
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(items, lambda p: F.trim(p)), lambda x: x != ""))
 
 
 LAYOUT = "doc_id bigint, page int, line_no int, x0 double, y0 double, text string"

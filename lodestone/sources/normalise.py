@@ -175,7 +175,7 @@ SOURCES: dict[str, Source] = {
 
 def _comment(body: Column) -> dict[str, Column]:
     """First line split at bars, dots, dashes or wide gaps: company, title, location."""
-    parts = F.filter(F.transform(F.split(F.split_part(body, F.lit("\n"), F.lit(1)), r"\s*[|·–—]\s*|\s{2,}"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.split_part(body, F.lit("\n"), F.lit(1)), r"\s*[|·–—]\s*|\s{2,}"), lambda p: F.trim(p)), lambda p: p != "")
     return {"source_job_id": _s("id"), "source_url": F.concat(F.lit("https://news.ycombinator.com/item?id="), _s("id")), "company": F.get(parts, 0), "title": F.coalesce(F.get(parts, 1), F.get(parts, 0)), "location": F.get(parts, 2), "description": body, "posted": _c("created_at")}
 
 
@@ -241,7 +241,7 @@ def to_offers(raw: DataFrame, source: str, now: Column) -> DataFrame:
         "posted_at": parse_timestamp(got.get("posted", null), now),
         "priority": F.lit(s.priority),
     }
-    out = raw.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in OFFER.fields])
+    out = raw.select(*[columns[name].cast(kind).alias(name) for name, kind in OFFER.items()])
     return out.where(F.col("source_job_id").isNotNull() & F.col("source_url").isNotNull() & F.col("title").isNotNull())
 
 
