@@ -376,7 +376,7 @@ def encode(
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if not digests_only:
-        schema = schema.add("ids", "array<int>").add("decoded", "binary")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches):
         vocab, h0, o0, v0 = shared.value

@@ -28,8 +28,8 @@ KINDS = ("assign", "access", "hex", "model")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_"  # '=' and '-' count as '_'
 N = len(ALPHABET)
-#: Prior counts: a random string is close to uniform, an identifier's unseen pairs are rare.
-PRIOR_RANDOM, PRIOR_ORDINARY = 5.0, 0.1
+#: Prior counts of a row: uniform for random strings; for identifiers by how usual the next character is, so that unseen characters are rare.
+PRIOR_RANDOM, PRIOR_ORDINARY = 325.0, 6.5
 #: Mean log-likelihood ratio a transition from which a string counts as random.
 THRESHOLD = 0.7
 
@@ -95,17 +95,19 @@ def train(samples: DataFrame, token: str = "token", secret: str = "secret") -> l
         .agg(F.count("*").alias("n"))
         .where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$"))
     )
-    counts = {True: [[PRIOR_RANDOM] * N for _ in range(N)], False: [[PRIOR_ORDINARY] * N for _ in range(N)]}
+    counts = {True: [[0] * N for _ in range(N)], False: [[0] * N for _ in range(N)]}
     seen = False
     for r in pairs.collect():  # 2 x N x N at most
         counts[r["s"]][ALPHABET.index(r["pair"][0])][ALPHABET.index(r["pair"][1])] += r["n"]
         seen = True
     if not seen:
         return [0.0] * (N * N)
+    single = [0.5 + sum(row[b] for row in counts[False]) for b in range(N)]
+    usual = [n / sum(single) for n in single]
     out = []
     for a, b in zip(counts[True], counts[False], strict=True):
-        x, y = sum(a), sum(b)
-        out += [round(math.log(p / x) - math.log(q / y), 5) for p, q in zip(a, b, strict=True)]
+        x, y = sum(a) + PRIOR_RANDOM, sum(b) + PRIOR_ORDINARY
+        out += [round(math.log((p + PRIOR_RANDOM / N) / x) - math.log((q + PRIOR_ORDINARY * u) / y), 5) for p, q, u in zip(a, b, usual, strict=True)]
     return out
 
 
