@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import more as _more  # noqa: F401  (registers its queries)
 from .queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "usage_overview"

@@ -25,7 +25,7 @@ def _fold(fails: int, open_until: float, rows: pd.DataFrame, source: str):
                 open_until = at + OPEN_SECONDS
         phase = "open" if open_until > at else "half_open" if open_until else "closed"
         out.append((source, r.ts, phase, fails, pd.Timestamp(open_until, unit="s") if open_until else pd.NaT))
-    return fails, open_until, pd.DataFrame(out, columns=["source", "ts", "state", "fails", "open_until"])
+    return fails, open_until, pd.DataFrame(out, columns=["source", "ts", "state", "fails", "open_until"]).astype({"ts": "datetime64[us]", "open_until": "datetime64[us]"})
 
 
 def breaker(runs: DataFrame) -> DataFrame:
