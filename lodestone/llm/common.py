@@ -48,14 +48,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors don't matter."""
+def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors don't matter.
+
+    ``parts`` bounds the number of files of a table whose size is known to be small (see ``parts_for``).
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(rows: int, each: int = 200_000) -> int:
+    """Parts for a table of narrow rows: it grows with them, and small tables don't cost hundreds of empty tasks."""
+    return max(6, -(-rows // each))
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -10,12 +10,12 @@ a register with exactly their weighted Jaccard similarity.  Points are made in o
 of time and only up to the time by which all registers are filled.
 
 Texts with the same words collapse first.  Signatures are cut into bands; texts that
-share a band are candidates.  A bucket is not expanded into pairs: its most central
-text is compared with all texts of other components (exactly, by multiset overlap),
-links join components, and only buckets that still hold more than one component go
-on, with twice as many leaders in each turn.  A text leaves a bucket once it has been
-compared with all others there, so every pair that shares a band is either linked,
-directly or through others, or was compared and found below the threshold.
+share a band are candidates.  A bucket is not expanded into pairs: first its most central
+text is compared with the others (exactly, by multiset overlap) and links join components.
+Texts of buckets that still hold several components are then matched by an exact prefix
+filter over their shingles, across components only, and compared.  So every pair that
+shares a band is either linked, directly or through others, or was compared, or cannot
+reach the threshold.
 
 Defined results: texts without words (null, empty, blank) are copies of one another;
 a text of one to four words is one shingle; rows are kept one for one, and class_id is
@@ -28,10 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .common import materialise, ship
+from .common import materialise, parts_for, ship
 from .components import components
 
 WORDS = 5
@@ -143,17 +143,17 @@ def overlap(leader: pa.Array, members: pa.Array, words: int = WORDS) -> np.ndarr
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, group: int = 256) -> DataFrame:
     """The (a, b) whose texts overlap by ``threshold``.  A leader with many members is split into groups."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    sizes = materialise(sizes.withColumn("parts", F.ceil(F.col("n") / group).cast("int")).drop("n"), "leaders")
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / group).cast("int")).drop("n")
     members = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "part", "b", "t")
-    leaders = sizes.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "t")
+    leaders = sizes.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t")), "a").select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lead_part"), F.col("t").alias("lead_text"))
 
     def check(m: pa.Table, lead: pa.Table) -> pa.Table:
         if not m.num_rows or not lead.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        good = overlap(lead.column("t").combine_chunks().slice(0, 1), m.column("t"), WORDS) >= threshold - 1e-12
+        good = overlap(lead.column("lead_text").combine_chunks().slice(0, 1), m.column("t"), WORDS) >= threshold - 1e-12
         return pa.table({"a": m.column("a").filter(pa.array(good)), "b": m.column("b").filter(pa.array(good))})
 
-    return members.groupBy("a", "part").cogroup(leaders.groupBy("a", "part")).applyInArrow(check, "a bigint, b bigint")
+    return members.groupBy("a", "part").cogroup(leaders.groupBy("lead", "lead_part")).applyInArrow(check, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -172,38 +172,21 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     texts = texts.join(wanted, "doc_id").select("node", "text")
     texts = materialise(_of_node(texts), "texts")
 
-    labels = None
-    open_ = buckets.withColumn("comp", F.col("node"))
-    leaders = 1
-    done = None
-    while True:
-        spread = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-        live = materialise(open_.join(spread, "key"), "open")
-        if not live.limit(1).count():
-            break
-        best = _leaders(live, leaders)
-        pairs = (
-            live.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            .join(best.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), "key")
-            .where((F.col("ca") != F.col("cb")))
-            .select("a", "b")
-            .distinct()
-        )
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = verified(pairs, texts, threshold)
-        if labels is not None:  # between components, those of earlier turns
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        labels = materialise(components(materialise(links, "links")), "labels")
-        rest = live.join(best.select("key", "node"), ["key", "node"], "left_anti").drop("comp")
-        open_ = rest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "centre", "comp")
-        leaders *= 2
-    if labels is None:
-        out = rows.select("doc_id", "node", F.col("node").alias("comp"))
-    else:
-        out = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    n = buckets.count()
+    parts = parts_for(n)
+    # first the most central text of each bucket against the others
+    best = buckets.groupBy("key").agg(F.max(F.struct("centre", F.negative("node").alias("o"), "node")).alias("t")).select("key", F.col("t.node").alias("a"))
+    pairs = materialise(buckets.join(best, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "pairs", parts)
+    labels = components(verified(pairs, texts, threshold), size=n)
+    # then the texts of buckets that still hold several components
+    open_ = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    spread = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    live = materialise(open_.join(spread, "key", "left_semi").select("node", "comp").distinct(), "open", parts)
+    if live.limit(1).count():
+        rest = materialise(prefix_pairs(texts, live, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs", parts)
+        star = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        labels = components(verified(rest, texts, threshold).unionByName(star), size=n)
+    out = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = out.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return out.join(ids, "comp").select("doc_id", "node", "class_id", "class_size")
 
@@ -224,15 +207,44 @@ def _of_node(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, text string")
 
 
-def _leaders(live: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most central texts of each bucket, by aggregation: one by ``max_by``, more within salted parts first."""
-    if n == 1:
-        top = live.groupBy("key").agg(F.max(F.struct("centre", F.negative("node").alias("o"), "node", "comp")).alias("t"))
-        return top.select("key", "t.node", "t.comp")
-    salted = live.withColumn("p", F.pmod(F.xxhash64("node"), F.lit(64)))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("centre"), "node"))
-    part = salted.withColumn("r", rank("key", "p")).where(F.col("r") <= n).drop("r")
-    return part.withColumn("r", rank("key")).where(F.col("r") <= n).select("key", "node", "comp")
+def prefix_pairs(texts: DataFrame, live: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair (a < b) of ``live`` (node, comp) texts of different components that may overlap by ``threshold``: an exact prefix filter.
+
+    The k-th copy of a shingle in a text is a token of its own, so bags are sets.  Two sets of n and m tokens can
+    only overlap enough if their n - ceil(threshold * n) + 1 rarest tokens meet.  Tokens met once match nothing:
+    they use up the prefix and bound the overlap.  Texts of a token's largest component are only met by others.
+    """
+    ship(texts.sparkSession)
+
+    def split(batches):
+        for batch in batches:
+            for a, b, raw, offsets in tk.chunks(batch.column(1)):
+                h, at = tk.shingles(raw, offsets, WORDS)
+                size = np.diff(at)
+                doc = np.repeat(np.arange(b - a), size)
+                order = np.lexsort((h, doc))
+                hs, ds = h[order], doc[order]
+                new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1]))) if len(hs) else np.zeros(0, bool)
+                first = np.maximum.accumulate(np.where(new, np.arange(len(hs)), 0))
+                with np.errstate(over="ignore"):
+                    token = tk.mix(hs + (np.arange(len(hs)) - first).astype(U64) * U64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0).slice(a, b - a))[ds]), pa.array(size[ds].astype(np.int32)), pa.array(token.view(np.int64))], ["node", "n", "token"])
+
+    tokens = materialise(texts.join(live, "node", "left_semi").select("node", "text").mapInArrow(split, "node bigint, n int, token bigint"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    met = tokens.join(often, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("met"))  # a text's own tokens
+    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("met"))
+    # tokens from the i-th on; if a pair's first common token is its i-th, no more can be common
+    prefix = met.where(size > 0).select("node", "n", F.size("met").alias("c"), F.posexplode(F.transform(F.slice("met", F.lit(1), size.cast("int")), lambda x: x["token"])).alias("i", "token"))
+    prefix = materialise(prefix.join(live, "node"), "prefix")
+    count = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = count.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("t"), F.count("*").alias("comps")).where(F.col("comps") > 1).select("token", F.col("t.comp").alias("main"))
+    some = prefix.join(main, "token")
+    x = some.where(F.col("comp") != F.col("main")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), (F.col("c") - F.col("i")).alias("xc"), F.col("comp").alias("xcomp"))
+    y = some.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), (F.col("c") - F.col("i")).alias("yc"), F.col("comp").alias("ycomp"))
+    most = F.least("xc", "yc")
+    fine = (F.col("xcomp") != F.col("ycomp")) & (most >= (F.col("xn") + F.col("yn") - most) * threshold - 1e-9)
+    return x.join(y, "token").where(fine).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
