@@ -248,7 +248,7 @@ def prefix_pairs(texts: DataFrame, live: DataFrame, threshold: float = THRESHOLD
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one of the smallest doc_id.  Rows without a doc_id stay."""
+    """The rows of ``docs`` that stay: of each class the one of the smallest doc_id.  Rows without a doc_id stay, and so do all rows of a doc_id that stays (repeated rows are one document)."""
     found = classes(docs, text, doc_id, threshold)
     keep = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("node").alias("n")).select(F.col("doc_id").alias("__keep"))
     out = docs.join(keep, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi")
