@@ -15,9 +15,9 @@ their blocks' bytes: blocks of equal grams meet in one part, a suffix array orde
 the windows of the part, and previous smaller positions in that order give each
 window's longest previous factor, capped at ``length``: it has an earlier copy if
 its previous smaller position shares ``length`` bytes with it, and a later one if
-it is such a position for another.  A gram with very many different blocks is
-dealt over several parts; the windows these leave open are settled by hashes, for
-those blocks only whose open core occurs in another part.
+it is such a position for another.  The blocks of a gram that has very many different
+ones never meet: they are cut into pieces, and equal pieces counted, turn by turn
+(see ``_by_halves``).
 
 Mode ``all`` removes every copy, ``later`` keeps the first by (doc_id, place).
 
@@ -41,8 +41,8 @@ from .common import materialise, ship
 LENGTH = 200
 GRAM = 40
 U64 = np.uint64
-#: Different blocks of one gram that meet in one part at most, and blocks of a part on average.
-PART_BLOCKS = 2000
+#: Different blocks of one gram that meet in one part at most (more are settled by halves), and blocks of a part on average.
+PART_BLOCKS = 250
 BLOCKS = 4000
 
 ANCHORS = "h bigint, block bigint, d bigint, t bigint, lo int, hi int, at int"
@@ -145,18 +145,17 @@ def _runs(flag: np.ndarray, owner: np.ndarray):
 
 
 SPANS = "d bigint, t bigint, start int, stop int"
-FOUND = SPANS + ", h bigint, at int, left int, right int"
 
 
 def _settle(length: int, later_only: bool):
-    """applyInArrow on a part's blocks: repeated spans, and for dealt grams (``parts`` > 1) the windows left open."""
-    names = [c.split(" ")[0] for c in FOUND.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    """applyInArrow on a part's blocks: their repeated spans."""
+    names = [c.split(" ")[0] for c in SPANS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([("d", "ascending"), ("t", "ascending"), ("lo", "ascending")])
         data = part.column("bytes").combine_chunks().cast(pa.large_binary())
-        col = {c: np.asarray(part.column(c)) for c in ("h", "d", "t", "lo", "hi", "at", "parts")}
+        col = {c: np.asarray(part.column(c)) for c in ("d", "t", "lo", "hi")}
         if not len(data):
             return pa.table([pa.array([], t) for t in types], names=names)
         off = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, data.offset * 8)
@@ -170,12 +169,7 @@ def _settle(length: int, later_only: bool):
         out = []
         a, b = _runs(hit, owner)
         k = owner[a]
-        zero = np.zeros(len(a), np.int32)
-        out.append((col["d"][k], col["t"][k], col["lo"][k] + within[a], col["lo"][k] + within[b] + length, np.zeros(len(a), np.int64), zero, zero - 1, zero - 1))
-        a, b = _runs(~hit & (col["parts"][owner] > 1), owner)
-        k = owner[a]
-        first = col["lo"][k] + within[a]
-        out.append((col["d"][k], col["t"][k], first, col["lo"][k] + within[b] + length, col["h"][k], col["at"][k], col["at"][k] - first, col["at"][k] - (col["lo"][k] + within[b])))
+        out.append((col["d"][k], col["t"][k], col["lo"][k] + within[a], col["lo"][k] + within[b] + length))
         return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
@@ -200,24 +194,45 @@ def _blocks(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _open_windows(blocks: DataFrame, open_: DataFrame, length: int, later_only: bool) -> DataFrame:
-    """Windows left open by parts of one gram: exact, by hashes of the windows whose open core occurs in several blocks."""
-    levels = open_.select("h", "left", "right").distinct()
-    cores = blocks.join(levels, "h").where((F.col("at") - F.col("right") >= F.col("lo")) & (F.col("at") - F.col("left") <= F.col("hi")))
-    # the core is what all windows of a level have in common
-    cores = cores.withColumn("core", F.xxhash64(F.expr(f"substring(bytes, at - lo - right + 1, {length} - (left - right))")))
-    met = cores.groupBy("h", "left", "right", "core").agg(F.count("*").alias("k")).where(F.col("k") > 1).drop("k")
-    live = cores.join(met, ["h", "left", "right", "core"])
-    own = F.sequence(F.greatest("right", F.col("at") - F.col("hi")), F.least("left", F.col("at") - F.col("lo")))
-    each = live.select("h", "d", "t", "lo", "at", "bytes", F.explode(own).alias("back")).dropDuplicates(["h", "d", "t", "lo", "back"])
-    each = each.withColumn("w", F.xxhash64(F.expr(f"substring(bytes, at - lo - back + 1, {length})"))).drop("bytes")
-    each = materialise(each, "windows")
-    again = each.groupBy("h", "back", "w").agg(F.count("*").alias("k"), F.min(F.struct("d", "t", "lo")).alias("first")).where(F.col("k") > 1)
-    hit = each.join(again, ["h", "back", "w"])
-    if later_only:
-        hit = hit.where(F.struct("d", "t", "lo") != F.col("first"))
-    start = F.col("at") - F.col("back")
-    return hit.select("d", "t", start.alias("start"), (start + length).alias("stop"))
+#: Sizes of the cells of window places that hot grams' blocks are cut into, turn by turn.
+CELLS = (128, 32, 8, 2, 1)
+
+
+def _by_halves(blocks: DataFrame, length: int, later_only: bool) -> DataFrame:
+    """Repeated spans among the blocks of hot grams, exact, without bringing a gram's blocks together.
+
+    A window is named by how far before its gram it begins.  Windows of a block in one cell of such distances are
+    a piece.  Pieces of equal bytes are one kind: a kind met twice is repeated as a whole.  All windows of a cell
+    have a core in common, so a kind whose core no other kind has shares no window.  What remains, one piece for
+    each kind, is cut into smaller cells; in the last turn a piece is a window.  Rows with equal keys are
+    gathered into lists within salted parts before any join, so a join has a row for each list.
+    """
+    key = ["h", "cell", "near", "far", "bytes"]
+    rows = blocks.select("h", "d", "t", "at", "parts", (F.col("at") - F.col("hi")).alias("near"), (F.col("at") - F.col("lo")).alias("far"), "bytes")
+    found = []
+    for turn, size in enumerate(CELLS):
+        cells = F.explode(F.sequence(F.expr(f"int(near div {size})"), F.expr(f"int(far div {size})")))
+        cut = rows.withColumn("cell", cells)
+        cut = cut.withColumn("n2", F.greatest("near", F.col("cell") * size)).withColumn("f2", F.least("far", F.col("cell") * size + (size - 1)))
+        cut = cut.withColumn("bytes", F.expr(f"substring(bytes, far - f2 + 1, f2 - n2 + {length})")).drop("near", "far").withColumnsRenamed({"n2": "near", "f2": "far"})
+        who = F.struct("d", "t", "at")
+        lists = cut.groupBy(*key, "parts", F.pmod(F.xxhash64("d", "t", "at"), F.col("parts")).alias("salt")).agg(F.collect_list(who).alias("who"))
+        lists = materialise(lists, "pieces")
+        kinds = lists.groupBy(*key, "parts").agg(F.sum(F.size("who")).alias("n"), F.min(F.array_min("who")).alias("first"))
+        again = lists.join(kinds.where(F.col("n") > 1).select(*key, "first"), key).select("near", "far", F.explode(F.array_except("who", F.array("first")) if later_only else F.col("who")).alias("w"))
+        start = F.col("w.at") - F.col("far")
+        found.append(again.select("w.d", "w.t", start.cast("int").alias("start"), (F.col("w.at") - F.col("near") + length).cast("int").alias("stop")))
+        if turn == len(CELLS) - 1:
+            break
+        core = F.xxhash64(F.expr(f"substring(bytes, far - cell * {size} + 1, {length - size + 1})"))
+        some = kinds.withColumn("core", core).groupBy("h", "cell", "core", F.pmod(F.xxhash64("bytes"), F.col("parts") * 4).alias("salt")).agg(F.collect_list(F.struct("first", "parts", "near", "far", "bytes")).alias("kinds"))
+        some = materialise(some, "kinds")
+        met = some.groupBy("h", "cell", "core").agg(F.sum(F.size("kinds")).alias("c")).where(F.col("c") > 1).drop("c")
+        rows = some.join(met, ["h", "cell", "core"]).select("h", F.explode("kinds").alias("k")).select("h", "k.first.d", "k.first.t", "k.first.at", "k.parts", "k.near", "k.far", "k.bytes")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "all", text: str = "text", doc_id: str = "doc_id", part_blocks: int = PART_BLOCKS) -> DataFrame:
@@ -243,11 +258,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode
         wanted = mixed.join(kinds, "h").select("h", "block", "n", "first.*", "parts")
         stored = materialise(_blocks(keyed, wanted, length), "block-bytes")
         n = max(1, -(-total["k"] // BLOCKS))
-        where = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("h"), F.lit(n))).otherwise(F.xxhash64("h", F.pmod("block", F.col("parts"))))
-        settled = materialise(stored.withColumn("part", where).groupBy("part").applyInArrow(_settle(length, later), FOUND), "settled")
-        found.append(settled.where(F.col("left") < 0).select("d", "t", "start", "stop"))
+        part = F.pmod(F.xxhash64("h"), F.lit(n))
+        found.append(stored.where(F.col("parts") == 1).withColumn("part", part).groupBy("part").applyInArrow(_settle(length, later), SPANS))
         if total["most"] > part_blocks:
-            found.append(_open_windows(stored.where(F.col("parts") > 1), settled.where(F.col("left") >= 0), length, later))
+            found.append(_by_halves(stored.where(F.col("parts") > 1), length, later))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
