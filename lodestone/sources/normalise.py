@@ -186,9 +186,8 @@ def read_payloads(spark: SparkSession, source: str, path: str, board: str = "")
     ddl = f"array<struct<{_struct(s.schema)}>>"
     if not parts:
         return spark.read.schema(s.schema).json(path, multiLine=True).withColumn("board", F.lit(board))
-    for i, p in enumerate(reversed(parts)):
+    for p in reversed(parts):
         ddl = f"struct<{p}:{ddl}>" if not (p == "items" and "[0]" in s.rows) else f"struct<{p}:array<{ddl}>>"
-        del i
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", ddl).alias("v"))
     return raw.select(F.explode(F.expr(f"v.{s.rows}")).alias("r")).select("r.*").withColumn("board", F.lit(board))
 
