@@ -2,7 +2,7 @@
 
 Two offers can only meet if they share an identifier, a URL, or a company (or, without one, a
 title), so the blocks are the connected components over these keys; the sequential rules run
-inside a block.  Components spread by minimum labels with Spark joins.
+inside a block.  Components spread by minimum labels and pointer jumping until none moves.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..components import components
 from ..functions.text import normalize_url, slug
+from ..storage import materialise, ship
 
 SIMILAR = 0.90
 OUT = "seq bigint, group_seq bigint"
 
 
-def block_labels(offers: DataFrame, rounds: int = 20) -> DataFrame:
+def block_labels(offers: DataFrame) -> DataFrame:
     """(seq, block): the smallest seq connected over identifier, URL or coarse name."""
     company, title = slug(F.col("company")), slug(F.col("title"))
     keys = offers.select(
-        "seq",
+        F.col("seq").cast("bigint"),
         F.explode(
             F.array_compact(
                 F.array(
@@ -32,17 +34,11 @@ def block_labels(offers: DataFrame, rounds: int = 20) -> DataFrame:
                 )
             )
         ).alias("key"),
-    ).persist()
-    labels = offers.select("seq", F.col("seq").alias("block"))
-    for _ in range(rounds):
-        low = keys.join(labels, "seq").groupBy("key").agg(F.min("block").alias("b"))
-        new = keys.join(low, "key").groupBy("seq").agg(F.min("b").alias("b"))
-        step = labels.join(new, "seq", "left").select("seq", F.least("block", F.coalesce("b", "block")).alias("block"), (F.coalesce("b", "block") < F.col("block")).alias("moved")).persist()
-        moved = step.where("moved").limit(1).count()
-        labels = step.select("seq", "block")
-        if not moved:
-            break
-    return labels
+    )
+    keys = materialise(keys, "offer-keys")
+    first = keys.groupBy("key").agg(F.min("seq").alias("b"))  # every offer of a key is joined to the key's first
+    edges = keys.join(first, "key").where("seq != b").select(F.col("seq").alias("a"), "b").distinct()
+    return components(edges, offers.select(F.col("seq").cast("bigint").alias("node"))).select(F.col("node").alias("seq"), F.col("comp").alias("block"))
 
 
 def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
@@ -83,6 +79,7 @@ def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
 
 def resolve(offers: DataFrame) -> DataFrame:
     """(seq, group_seq) for offers with seq, source, source_job_id, source_url, title, company, city, remote_type, job_type, level."""
+    ship(offers.sparkSession)
     null = F.lit(None).cast("string")
     col = lambda c: F.col(c) if c in offers.columns else null
     keyed = offers.select(

@@ -301,8 +301,33 @@ def url_hosts(spark, sf):
 
 
 def _offers_for_resolution(spark, sf):
-    o = R.offers(spark, sf)
-    return o.select(F.col("offer_id").alias("seq"), F.lit("part").alias("source"), F.col("offer_id").cast("string").alias("source_job_id"), F.lit("").alias("source_url"), F.concat_ws(" ", "title", "job_type").alias("title"), F.concat_ws(" ", "company", (F.col("size") % 50).cast("string")).alias("company"), F.lit(None).cast("string").alias("city"), F.lit("job").alias("job_type"), F.lit(None).cast("string").alias("level"))
+    """Up to three postings of an offer, whose links cross companies.
+
+    The board's posting has an id, a city or remote work and its page's URL, if it has one; a mirror
+    has the page's URL with tracking and now and then no city or company; an agency reposts under the
+    board's id, in the name of the next company.
+    """
+    o, p = R.offers(spark, sf), R.read(spark, sf, "pages")
+    o = o.join(p.select(F.col("page_id").alias("offer_id"), "url"), "offer_id", "left")
+    i, size = F.col("offer_id"), F.col("size")
+    when = lambda c, x: F.when(c, x).otherwise(F.lit(None).cast("string"))
+    company = lambda k: F.concat_ws(" ", "company", F.floor((i + k) / 400).cast("string"))
+    url = F.coalesce("url", F.lit(""))
+    tracked = F.when(url != "", F.concat(F.regexp_replace(url, "#.*$", ""), F.when(url.contains("?"), "&").otherwise("?"), F.lit("utm_source=mirror"))).otherwise("")
+    title = F.concat_ws(" ", "title", "job_type")
+    city = when(size % 7 != 0, F.concat(F.lit("City "), (size % 9).cast("string")))
+    level = when(size % 4 == 0, F.when(size % 8 == 0, "junior").otherwise("senior"))
+
+    def posting(k, source, jid, link, name, employer, place, lv):
+        fields = [(i * 3 + k).alias("seq"), F.lit(source).alias("source"), jid.alias("source_job_id"), link.alias("source_url"), name.alias("title"), employer.alias("company"), place.alias("city")]
+        return F.struct(*fields, when(size % 11 == 0, F.lit("remote")).alias("remote_type"), F.when(size % 13 == 0, "internship").otherwise("job").alias("job_type"), lv.alias("level"))
+
+    none = F.lit(None).cast("string")
+    board = posting(0, "board", i.cast("string"), url, title, company(0), city, level)
+    mirror = posting(1, "mirror", F.lit(""), tracked, F.concat(title, F.lit("s")), when(size % 10 != 0, company(0)), when(size % 3 != 0, city), none)
+    agency = posting(2, "board", i.cast("string"), F.lit(""), title, company(400), city, none)
+    rows = o.select(F.explode(F.array_compact(F.array(board, F.when(size % 2 == 0, mirror), F.when(i % 20 == 0, agency)))).alias("x"))
+    return rows.select("x.*")
 
 
 @query()

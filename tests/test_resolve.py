@@ -37,3 +37,30 @@ def test_bridge_and_order(spark):
     for _ in range(2):
         random.shuffle(rows)
         assert {tuple(r) for r in resolve(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()} == want
+
+
+def test_long_chain(spark):
+    """60 offers linked in turn by id, URL and company: all in one block, so every shared id and URL merges."""
+    n = 60
+    rows = [offer(i, jid=f"j{i // 3}" if i % 3 != 2 else "", url=f"https://a.com/{i // 3}" if i % 3 else "", title=f"Title {i * 7919}", company=f"Firm {(i + 1) // 3}", city=f"City {i}") for i in range(n)]
+    got = {r.seq: r.group_seq for r in resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i // 3 * 3 for i in range(n)}
+    from lodestone.operators.resolve import block_labels
+
+    assert block_labels(spark.createDataFrame(rows, SCHEMA)).select("block").distinct().count() == 1
+
+
+def test_registered_offers_link(spark):
+    """The registered offers meet over ids, URLs and companies, and blocks cross companies."""
+    from conftest import SMALL
+    from lodestone.operators.resolve import block_labels
+    from lodestone.plans.queries import _offers_for_resolution
+    from pyspark.sql import functions as F
+
+    o = _offers_for_resolution(spark, SMALL)
+    assert o.select("seq").distinct().count() == o.count()
+    for key in (["source", "source_job_id"], ["company", "city"]):
+        assert o.where(F.col(key[-1]) != "").groupBy(*key).count().where("count > 1").count() > 0
+    assert block_labels(o).join(o, "seq").groupBy("block").agg(F.count_distinct("company").alias("n")).where("n > 1").count() > 0
+    groups = resolve(o).join(o, "seq").groupBy("group_seq").agg(F.count_distinct("source").alias("s"), F.count_distinct("company").alias("c"))
+    assert groups.where("s > 1").count() > 0 and groups.where("c > 1").count() > 0
