@@ -13,12 +13,16 @@ Only the histogram and the plan, both of bounded size, pass through the driver.
 Which sequence a piece goes to is arithmetic on its rank within its length:
 tasks number their own rows, and offsets of tasks are summed by length.
 
+Ids are those of the library on the whole text: added tokens of the vocabulary
+file that stand in a text are matched first and get their id.
+
 Defined results: a null or empty text is its closing id alone; repeated rows are
 packed one by one (rows, not ids, are packed); an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -36,7 +40,7 @@ MAX_COMBINATIONS = 6000
 
 
 class WordTokenizer:
-    """Ids of distinct words by the ``tokenizers`` library; special strings are ordinary text."""
+    """Ids of distinct words by the ``tokenizers`` library; added tokens are whole words by ``split_added`` and get their id."""
 
     def __init__(self, path: str):
         import os
@@ -45,9 +49,46 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        odd = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tokenizer.normalizer is not None)]
+        if odd:
+            raise ValueError(f"added tokens {odd} take in neighbours or are normalised; only plain ones are supported")
+        self.added = {t.content: i for i, t in added.items() if t.content}
+        # the library takes the longest of the tokens that start leftmost
+        self.pattern = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(self.added, key=lambda t: -len(t.encode())))) if self.added else None
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
+    def split_added(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in bytes, of the added tokens in the texts; a match never crosses texts."""
+        none = np.zeros(0, np.int64)
+        if self.pattern is None:
+            return none, none
+        data = raw.tobytes()
+        if self.pattern.search(data) is None:
+            return none, none
+        bounds = offsets.tolist()
+        at = [m.span() for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in self.pattern.finditer(data, a, b)]
+        found = np.array(at, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def spans(self, raw: np.ndarray, offsets: np.ndarray):
+        """``_word_spans`` with each added token as one word; the parts between are pre-tokenised as texts of their own."""
+        first, last = self.split_added(raw, offsets)
+        if not len(first):
+            return _word_spans(raw, offsets)
+        parts = np.unique(np.concatenate((offsets, first, last)))
+        cps, s, e, h, at = _word_spans(raw, parts)
+        # words of an added token are united: the first one ends where the token does
+        a, b = at[np.searchsorted(parts, first)], at[np.searchsorted(parts, last)]
+        keep = np.ones(len(s) + 1, np.int64)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            keep[x + 1 : y] = 0
+        place = np.concatenate(([0], np.cumsum(keep)))[:-1]  # a word's number among those kept
+        e[a] = e[b - 1]
+        kept = keep[:-1].astype(bool)
+        s, e = s[kept], e[kept]
+        return cps, s, e, tk.span_hashes(cps, s, e), place[at[np.searchsorted(parts, offsets)]]
+
     def __call__(self, raw, cps, s, e, which):
         data, off = _bytes_of(raw, cps, s, e, which)
         text = data.tobytes()
@@ -80,7 +121,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: s
             for a, b, raw, offsets in tk.chunks(batch.column(1)):
                 n = b - a
                 if len(raw):
-                    cps, s, e, h, at = _word_spans(raw, offsets)
+                    cps, s, e, h, at = encode.spans(raw, offsets)
                     ids, woff = lists.lists(h, lambda which, r=raw, c=cps, s=s, e=e: encode(r, c, s, e, which))
                     off = woff[at]
                 else:

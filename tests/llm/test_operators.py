@@ -99,6 +99,23 @@ def test_packing(docs, corpus):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """Against an unchanged Tokenizer: literal added tokens get their id, and the parts around them are texts of their own."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    e = "<|endoftext|>"
+    texts = [f"abc {e} def", e, e + e, f"  {e}  ", f"é{e}'s a\n\n{e}", f"<{e}>", "<|endoftext|", "|>", f"a  {e}\n b", "plain", "", None, f"<|endof{e}text|>", f"日本 {e}é", f"don{e}'t x{e}"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice([e, " ", "  ", "a", "b c", "'s", "\n", "é", "<|", "|>", "12"]) for _ in range(30)) for _ in range(60)]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [39305, 220, 50256, 825]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r for r in packing.tokenise(docs, path).collect()}
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        assert list(struct.unpack(f"<{len(ids)}I", got[i].rem_ids)) == ids and got[i].doc_tokens == len(ids)
+
+
 def test_fingerprints(docs, corpus):
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
     order = sorted(corpus, key=lambda r: -r[0])
