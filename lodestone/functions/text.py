@@ -26,8 +26,8 @@ def clean_text(x: Column, limit: int = 512) -> Column:
     return F.nullif(F.substring(t, 1, limit), F.lit(""))
 
 
-def html_to_text(x: Column, limit: int = 8000) -> Column:
-    """Visible text: script-like elements dropped, tags as line breaks, five named entities decoded, blank lines capped at one."""
+def html_to_text(x: Column, limit: int | None = None) -> Column:
+    """Visible text: script-like elements dropped, tags as line breaks, five named entities decoded, blank lines capped at one; all of it without a limit."""
     t = F.regexp_replace(x, r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"<[^>]*>", "\n")
@@ -37,7 +37,7 @@ def html_to_text(x: Column, limit: int = 8000) -> Column:
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = F.regexp_replace(t, r"^\s+|\s+$", "")
-    return F.nullif(F.substring(t, 1, limit), F.lit(""))
+    return F.nullif(t if limit is None else F.substring(t, 1, limit), F.lit(""))
 
 
 def url_host(x: Column) -> Column:

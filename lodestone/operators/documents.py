@@ -77,12 +77,12 @@ def join_wrapped(text: Column) -> Column:
     """Lines joined to the one before where that ends open and this begins in lower case, with a digit or a bracket."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda x: x != "")
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.element_at(acc, -1)
-        goes_on = (F.size(acc) > 0) & ~before.rlike(r"[.!?:;]$") & x.rlike(r"^[\p{Ll}0-9(]")
-        return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", before, x)))).otherwise(F.concat(acc, F.array(x)))
+    def led(x: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)  # a joined line ends as its last part does
+        goes_on = ~before.rlike(r"[.!?:;]$") & x.rlike(r"^[\p{Ll}0-9(]")
+        return F.concat(F.when(i == 0, "").when(goes_on, " ").otherwise("\n"), x)
 
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    return F.filter(F.split(F.array_join(F.transform(lines, led), ""), "\n"), lambda x: x != "")
 
 
 def list_items(text: Column) -> Column:

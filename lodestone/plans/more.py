@@ -140,4 +140,4 @@ def document_sections(spark, sf):
 
 @query()
 def page_lists(spark, sf):
-    return R.read(spark, sf, "pages").select("page_id", F.slice(D.list_items(X.html_to_text(F.col("html"))), 1, 20).alias("items"))
+    return R.read(spark, sf, "pages").select("page_id", D.list_items(X.html_to_text(F.col("html"))).alias("items"))

@@ -16,6 +16,10 @@ from ..functions.dates import parse_timestamp
 from ..schemas import OFFER
 
 
+#: Characters that an offer keeps of its description.
+DESCRIPTION = 8000
+
+
 @dataclass(frozen=True)
 class Source:
     """How one source's rows become offers; ``rows`` is the path of the list in the payload, empty if the payload is the list."""
@@ -72,7 +76,7 @@ SOURCES: dict[str, Source] = {
     "greenhouse": Source(
         "jobs",
         "id bigint, title string, updated_at string, location struct<name:string>, absolute_url string, content string, departments array<struct<name:string>>",
-        lambda: {"source_job_id": F.concat_ws(":", "board", _s("id")), "source_url": _c("absolute_url"), "title": _c("title"), "company": board_company(_c("board")), "location": _c("location.name"), "description": X.html_to_text(_unescape(_c("content"))), "posted": _c("updated_at"), "skills": F.transform("departments", lambda d: d["name"])},
+        lambda: {"source_job_id": F.concat_ws(":", "board", _s("id")), "source_url": _c("absolute_url"), "title": _c("title"), "company": board_company(_c("board")), "location": _c("location.name"), "description": X.html_to_text(_unescape(_c("content")), DESCRIPTION), "posted": _c("updated_at"), "skills": F.transform("departments", lambda d: d["name"])},
         55,
     ),
     "lever": Source(
@@ -91,7 +95,7 @@ SOURCES: dict[str, Source] = {
     "rippling": Source(
         "",
         "id bigint, uuid string, name string, url string, workLocation struct<id:string,label:string>, isRemote boolean, employmentType string, descriptionHtml string, createdAt string",
-        lambda: {"source_job_id": _c("uuid"), "source_url": _c("url"), "title": _c("name"), "company": board_company(_c("board")), "location": F.coalesce("workLocation.label", "workLocation.id"), "description": X.html_to_text(_c("descriptionHtml")), "employment_type": _c("employmentType"), "posted": _c("createdAt"), "remote_type": F.when(_c("isRemote"), "remote")},
+        lambda: {"source_job_id": _c("uuid"), "source_url": _c("url"), "title": _c("name"), "company": board_company(_c("board")), "location": F.coalesce("workLocation.label", "workLocation.id"), "description": X.html_to_text(_c("descriptionHtml"), DESCRIPTION), "employment_type": _c("employmentType"), "posted": _c("createdAt"), "remote_type": F.when(_c("isRemote"), "remote")},
         55,
     ),
     "smartrecruiters": Source(
@@ -129,38 +133,38 @@ SOURCES: dict[str, Source] = {
     "arbeitnow": Source(
         "data",
         "slug string, company_name string, title string, description string, remote boolean, url string, tags array<string>, job_types array<string>, location string, created_at bigint",
-        lambda: {"source_job_id": _c("slug"), "source_url": _c("url"), "title": _c("title"), "company": _c("company_name"), "location": _c("location"), "description": X.html_to_text(_c("description")), "skills": F.slice("tags", 1, 20), "employment_type": F.get("job_types", 0), "posted": _s("created_at"), "remote_type": F.when(_c("remote"), "remote")},
+        lambda: {"source_job_id": _c("slug"), "source_url": _c("url"), "title": _c("title"), "company": _c("company_name"), "location": _c("location"), "description": X.html_to_text(_c("description"), DESCRIPTION), "skills": F.slice("tags", 1, 20), "employment_type": F.get("job_types", 0), "posted": _s("created_at"), "remote_type": F.when(_c("remote"), "remote")},
         40,
     ),
     "remotive": Source(
         "jobs",
         "id bigint, url string, title string, company_name string, category string, tags array<string>, job_type string, publication_date string, candidate_required_location string, salary string, description string",
-        lambda: {"source_job_id": _s("id"), "source_url": _c("url"), "title": _c("title"), "company": _c("company_name"), "location": _c("candidate_required_location"), "description": X.html_to_text(_c("description")), "skills": F.slice("tags", 1, 20), "employment_type": _c("job_type"), "posted": _c("publication_date"), "remote_type": F.lit("remote")} | _salary(_c("salary")) | {"salary_period": F.when(X.parse_salary(_c("salary"))["low"] > 1000, "year")},
+        lambda: {"source_job_id": _s("id"), "source_url": _c("url"), "title": _c("title"), "company": _c("company_name"), "location": _c("candidate_required_location"), "description": X.html_to_text(_c("description"), DESCRIPTION), "skills": F.slice("tags", 1, 20), "employment_type": _c("job_type"), "posted": _c("publication_date"), "remote_type": F.lit("remote")} | _salary(_c("salary")) | {"salary_period": F.when(X.parse_salary(_c("salary"))["low"] > 1000, "year")},
         40,
     ),
     "jobicy": Source(
         "jobs",
         "id bigint, url string, jobTitle string, companyName string, jobIndustry array<string>, jobType array<string>, jobGeo string, jobLevel string, jobExcerpt string, jobDescription string, pubDate string, annualSalaryMin string, annualSalaryMax string, salaryCurrency string",
-        lambda: {"source_job_id": _s("id"), "source_url": _c("url"), "title": _c("jobTitle"), "company": _c("companyName"), "location": _c("jobGeo"), "description": X.html_to_text(F.coalesce("jobDescription", "jobExcerpt")), "employment_type": F.get("jobType", 0), "posted": _c("pubDate"), "experience_text": _c("jobLevel"), "salary_min": _positive(_c("annualSalaryMin")), "salary_max": _positive(_c("annualSalaryMax")), "salary_currency": F.nullif(_c("salaryCurrency"), F.lit("")), "remote_type": F.lit("remote")},
+        lambda: {"source_job_id": _s("id"), "source_url": _c("url"), "title": _c("jobTitle"), "company": _c("companyName"), "location": _c("jobGeo"), "description": X.html_to_text(F.coalesce("jobDescription", "jobExcerpt"), DESCRIPTION), "employment_type": F.get("jobType", 0), "posted": _c("pubDate"), "experience_text": _c("jobLevel"), "salary_min": _positive(_c("annualSalaryMin")), "salary_max": _positive(_c("annualSalaryMax")), "salary_currency": F.nullif(_c("salaryCurrency"), F.lit("")), "remote_type": F.lit("remote")},
         35,
     ),
     "weworkremotely": Source(
         "",
         "title string, link string, guid string, description string, pubDate string, region string, category string",
-        lambda: {"source_job_id": F.element_at(F.filter(F.split(X.normalize_url(_c("link")), "[/?]"), lambda p: p != ""), -1), "source_url": _c("link"), "title": F.trim(F.coalesce(F.nullif(F.regexp_extract("title", r"^[^:]+:\s*(.+)$", 1), F.lit("")), _c("title"))), "company": F.nullif(F.trim(F.regexp_extract("title", r"^([^:]+):\s*.+$", 1)), F.lit("")), "location": _c("region"), "description": X.html_to_text(_unescape(_c("description"))), "posted": _c("pubDate"), "remote_type": F.lit("remote")},
+        lambda: {"source_job_id": F.element_at(F.filter(F.split(X.normalize_url(_c("link")), "[/?]"), lambda p: p != ""), -1), "source_url": _c("link"), "title": F.trim(F.coalesce(F.nullif(F.regexp_extract("title", r"^[^:]+:\s*(.+)$", 1), F.lit("")), _c("title"))), "company": F.nullif(F.trim(F.regexp_extract("title", r"^([^:]+):\s*.+$", 1)), F.lit("")), "location": _c("region"), "description": X.html_to_text(_unescape(_c("description")), DESCRIPTION), "posted": _c("pubDate"), "remote_type": F.lit("remote")},
         35,
     ),
     "remoteok": Source(
         "",
         "legal string, id string, url string, position string, company string, tags array<string>, location string, salary_min double, salary_max double, date string, description string",
-        lambda: {"source_job_id": _c("id"), "source_url": _c("url"), "title": _c("position"), "company": _c("company"), "location": _c("location"), "description": X.html_to_text(_c("description")), "skills": F.slice("tags", 1, 20), "posted": _c("date"), "salary_min": _positive(_c("salary_min")), "salary_max": _positive(_c("salary_max")), "salary_currency": F.when(_positive(_c("salary_min")).isNotNull(), "USD"), "salary_period": F.when(_positive(_c("salary_min")).isNotNull(), "year"), "remote_type": F.lit("remote")},
+        lambda: {"source_job_id": _c("id"), "source_url": _c("url"), "title": _c("position"), "company": _c("company"), "location": _c("location"), "description": X.html_to_text(_c("description"), DESCRIPTION), "skills": F.slice("tags", 1, 20), "posted": _c("date"), "salary_min": _positive(_c("salary_min")), "salary_max": _positive(_c("salary_max")), "salary_currency": F.when(_positive(_c("salary_min")).isNotNull(), "USD"), "salary_period": F.when(_positive(_c("salary_min")).isNotNull(), "year"), "remote_type": F.lit("remote")},
         30,
         lambda: _c("legal").isNull(),
     ),
     "himalayas": Source(
         "jobs",
         "guid string, title string, companyName string, applicationLink string, description string, locationRestrictions array<string>, categories array<string>, seniority array<string>, employmentType string, pubDate string",
-        lambda: {"source_job_id": _c("guid"), "source_url": _c("applicationLink"), "title": _c("title"), "company": _c("companyName"), "location": F.array_join("locationRestrictions", ", "), "description": X.html_to_text(_c("description")), "skills": F.slice("categories", 1, 20), "employment_type": _c("employmentType"), "experience_text": F.get("seniority", 0), "posted": _c("pubDate"), "remote_type": F.lit("remote")},
+        lambda: {"source_job_id": _c("guid"), "source_url": _c("applicationLink"), "title": _c("title"), "company": _c("companyName"), "location": F.array_join("locationRestrictions", ", "), "description": X.html_to_text(_c("description"), DESCRIPTION), "skills": F.slice("categories", 1, 20), "employment_type": _c("employmentType"), "experience_text": F.get("seniority", 0), "posted": _c("pubDate"), "remote_type": F.lit("remote")},
         30,
     ),
     "hackernews": Source(

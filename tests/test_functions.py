@@ -129,3 +129,28 @@ def test_reading_order(spark):
     words = [(1, 1, "Left", 10.0, 10.0, 40.0, 20.0), (1, 1, "Right", 400.0, 10.5, 440.0, 20.0), (1, 1, "below", 10.0, 30.0, 40.0, 40.0), (1, 1, "too", 400.0, 30.0, 420.0, 40.0)]
     df = spark.createDataFrame([(*w, 600.0, 800.0) for w in words], "doc_id long, page int, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
     assert [r.text for r in O.reading_order(df).orderBy("line_no").collect()] == ["Left", "below", "Right", "too"]
+
+
+def test_whole_pages(spark):
+    """Long pages and long lists come back whole; only offers' descriptions are cut."""
+    page = "<ul>" + "".join(f"<li>Item number {i}</li>" for i in range(1500)) + "</ul>"
+    items = [f"Item number {i}" for i in range(1500)]
+    assert one(spark, page, X.html_to_text).split() == " ".join(items).split()
+    assert len(one(spark, page, lambda x: X.html_to_text(x, 8000))) == 8000
+    assert one(spark, page, lambda x: O.list_items(X.html_to_text(x))) == items
+
+
+def test_registered_pages_are_whole(spark, tmp_path):
+    from lodestone.plans.registry import QUERIES
+
+    page = "".join(f"<li>Item number {i}</li>" for i in range(1500))
+    spark.createDataFrame([(1, page), (2, None), (3, "<p></p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r["items"] for r in QUERIES["page_lists"](spark, str(tmp_path)).collect()}
+    assert got == {1: [f"Item number {i}" for i in range(1500)], 2: None, 3: None}
+    assert {r.page_id: len(r.text or "") > 8000 for r in QUERIES["html_to_text"](spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_join_wrapped(spark):
+    text = "One\ntwo\n(three)\nFour.\nfive\n\n  6 \nSeven:\neight"
+    assert one(spark, text, O.join_wrapped) == ["One two (three)", "Four.", "five 6", "Seven:", "eight"]
+    assert one(spark, "", O.join_wrapped) == [] and one(spark, None, O.join_wrapped) is None
