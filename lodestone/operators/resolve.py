@@ -2,7 +2,7 @@
 
 Two offers can only meet if they share an identifier, a URL, or a company (or, without one, a
 title), so the blocks are the connected components over these keys; the sequential rules run
-inside a block.  Components spread by minimum labels and pointer jumping until none moves.
+inside a block, on its distinct records (see ``distinct_records``).  Components spread by minimum labels and pointer jumping until none moves.
 """
 
 from __future__ import annotations
@@ -20,25 +20,68 @@ SIMILAR = 0.90
 OUT = "seq bigint, group_seq bigint"
 
 
-def block_labels(offers: DataFrame) -> DataFrame:
-    """(seq, block): the smallest seq connected over identifier, URL or coarse name."""
-    company, title = slug(F.col("company")), slug(F.col("title"))
-    keys = offers.select(
+RECORD = ["id_key", "url_key", "company_slug", "title_slug", "city_key", "job_type", "level"]
+
+
+def _keyed(offers: DataFrame) -> DataFrame:
+    """seq and ``RECORD``, all that the rules read; what is missing is empty, not null."""
+    null = F.lit(None).cast("string")
+    col = lambda c: F.col(c) if c in offers.columns else null
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return offers.select(
         F.col("seq").cast("bigint"),
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("source_job_id") != "", F.concat(F.lit("id:"), F.lower("source"), F.lit(":"), F.lower("source_job_id"))),
-                    F.when(F.col("source_url") != "", F.concat(F.lit("url:"), normalize_url(F.col("source_url")))),
-                    F.when(company != "", F.concat(F.lit("c:"), company)).otherwise(F.concat(F.lit("t:"), title)),
-                )
-            )
-        ).alias("key"),
+        text(F.when(F.col("source_job_id") != "", F.concat(F.lit("id:"), F.lower("source"), F.lit(":"), F.lower("source_job_id")))).alias("id_key"),
+        text(F.when(F.col("source_url") != "", F.concat(F.lit("url:"), normalize_url(F.col("source_url"))))).alias("url_key"),
+        slug(F.col("company")).alias("company_slug"),
+        slug(F.col("title")).alias("title_slug"),
+        F.when(col("remote_type") == "remote", "@remote").otherwise(slug(col("city"))).alias("city_key"),
+        F.coalesce(col("job_type"), F.lit("job")).alias("job_type"),
+        text(col("level")).alias("level"),
     )
-    keys = materialise(keys, "offer-keys")
+
+
+def distinct_records(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that the rules must see, and (seq, rep) of all rows: rep is the first row that the rules treat alike.
+
+    Two steps, neither of which changes a group.  A row equal to an earlier one in all that the rules read joins
+    that one's group and changes nothing there: a group never loses a key, and one that was incompatible stays so.
+    An identifier or URL of one record only can't meet another, so it is left out, which makes more records equal.
+    """
+    rows = materialise(keyed.groupBy(*RECORD).agg(F.min("seq").alias("rep")), "offer-records")
+    reps, n = keyed.join(rows, RECORD).select("seq", "rep"), rows.count()
+    while True:
+        shared = rows.select(F.explode(F.array("id_key", "url_key")).alias("key")).where("key != ''").groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+        cut = rows
+        for c in ("id_key", "url_key"):
+            cut = cut.join(shared.select(F.col("key").alias(c), F.lit(True).alias("met")), c, "left").withColumn(c, F.when(F.col("met"), F.col(c)).otherwise("")).drop("met")
+        cut = materialise(cut, "offer-records")
+        fewer = materialise(cut.groupBy(*RECORD).agg(F.min("rep").alias("rep")), "offer-records")
+        first = cut.join(fewer.withColumnRenamed("rep", "to"), RECORD).select("rep", "to")
+        reps = materialise(reps.join(first, "rep").select("seq", F.col("to").alias("rep")), "offer-reps")
+        rows, before, n = fewer, n, fewer.count()
+        if n == before:
+            return rows.withColumnRenamed("rep", "seq"), reps
+
+
+def _blocks(records: DataFrame) -> DataFrame:
+    coarse = F.when(F.col("company_slug") != "", F.concat(F.lit("c:"), "company_slug")).otherwise(F.concat(F.lit("t:"), "title_slug"))
+    keys = materialise(records.select("seq", F.explode(F.array("id_key", "url_key", coarse)).alias("key")).where("key != ''"), "offer-keys")
     first = keys.groupBy("key").agg(F.min("seq").alias("b"))  # every offer of a key is joined to the key's first
     edges = keys.join(first, "key").where("seq != b").select(F.col("seq").alias("a"), "b").distinct()
-    return components(edges, offers.select(F.col("seq").cast("bigint").alias("node"))).select(F.col("node").alias("seq"), F.col("comp").alias("block"))
+    return components(edges, records.select(F.col("seq").alias("node"))).select(F.col("node").alias("seq"), F.col("comp").alias("block"))
+
+
+def block_labels(offers: DataFrame) -> DataFrame:
+    """(seq, block): the smallest seq connected over identifier, URL or coarse name."""
+    return _blocks(_keyed(offers))
+
+
+def _similar(a: str, b: str) -> bool:
+    """The ratio of difflib, after its upper bounds."""
+    if 2 * min(len(a), len(b)) < SIMILAR * (len(a) + len(b)):
+        return False
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= SIMILAR and m.ratio() >= SIMILAR
 
 
 def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
@@ -60,7 +103,7 @@ def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
         if hit is None:
             hit = next((g for g in named.get((r.company_slug, r.title_slug, r.city_key), []) if compatible(groups[g], r)), None)
         if hit is None and r.company_slug:
-            hit = next((g for g in placed.get((r.company_slug, r.city_key), []) if compatible(groups[g], r) and difflib.SequenceMatcher(None, groups[g]["title_slug"], r.title_slug).ratio() >= SIMILAR), None)
+            hit = next((g for g in placed.get((r.company_slug, r.city_key), []) if compatible(groups[g], r) and _similar(groups[g]["title_slug"], r.title_slug)), None)
         if hit is None:
             groups.append({"seq": r.seq, "job_type": r.job_type, "level": r.level, "company_slug": r.company_slug, "title_slug": r.title_slug, "city_key": r.city_key})
             hit = len(groups) - 1
@@ -80,20 +123,9 @@ def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
 def resolve(offers: DataFrame) -> DataFrame:
     """(seq, group_seq) for offers with seq, source, source_job_id, source_url, title, company, city, remote_type, job_type, level."""
     ship(offers.sparkSession)
-    null = F.lit(None).cast("string")
-    col = lambda c: F.col(c) if c in offers.columns else null
-    keyed = offers.select(
-        F.col("seq").cast("bigint"),
-        F.when(F.col("source_job_id") != "", F.concat(F.lit("id:"), F.lower("source"), F.lit(":"), F.lower("source_job_id"))).alias("id_key"),
-        F.when(F.col("source_url") != "", F.concat(F.lit("url:"), normalize_url(F.col("source_url")))).alias("url_key"),
-        slug(F.col("company")).alias("company_slug"),
-        slug(F.col("title")).alias("title_slug"),
-        F.when(col("remote_type") == "remote", "@remote").otherwise(slug(col("city"))).alias("city_key"),
-        F.coalesce(col("job_type"), F.lit("job")).alias("job_type"),
-        F.coalesce(col("level"), F.lit("")).alias("level"),
-    )
-    blocks = block_labels(offers)
-    return keyed.join(blocks, "seq").groupBy("block").applyInPandas(lambda pdf: pd.DataFrame(_rules(pdf), columns=["seq", "group_seq"]), OUT)
+    records, reps = distinct_records(_keyed(offers))
+    grouped = records.join(_blocks(records), "seq").groupBy("block").applyInPandas(lambda pdf: pd.DataFrame(_rules(pdf), columns=["seq", "group_seq"]), OUT)
+    return reps.join(grouped.withColumnRenamed("seq", "rep"), "rep").select("seq", "group_seq")
 
 
 def merge_groups(offers: DataFrame, groups: DataFrame, priority: str = "priority") -> DataFrame:

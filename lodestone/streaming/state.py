@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 BREAKER_OUT = "source string, ts timestamp, state string, fails int, open_until timestamp"
@@ -42,8 +42,19 @@ def breaker(runs: DataFrame) -> DataFrame:
 
 
 def breaker_batch(runs: DataFrame) -> DataFrame:
-    """The same fold over a table."""
-    return runs.groupBy("source").applyInPandas(lambda pdf: _fold(0, 0.0, pdf, pdf["source"].iloc[0])[2], BREAKER_OUT)
+    """The same fold over a table, by window functions, so that a source of any size is sorted and spilled by Spark.
+
+    A success begins an island and failures are counted inside it; the third and each later one opens the breaker
+    for ten minutes from then.  At equal times successes come first.
+    """
+    fine = F.coalesce(F.col("state").isin("success", "empty"), F.lit(False))
+    order = [F.col("ts"), F.desc("fine")]
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = runs.select("source", F.col("ts").cast("timestamp").alias("ts"), fine.alias("fine"))
+    rows = rows.withColumn("island", F.count_if("fine").over(so_far("source")))
+    rows = rows.withColumn("fails", F.count_if(~F.col("fine")).over(so_far("source", "island")).cast("int"))
+    opened = F.col("fails") >= FAILS
+    return rows.select("source", "ts", F.when(opened, "open").otherwise("closed").alias("state"), "fails", F.when(opened, F.col("ts") + F.expr(f"INTERVAL {OPEN_SECONDS} SECONDS")).alias("open_until"))
 
 
 SEEN_OUT = "user_id bigint, seen_at timestamp"

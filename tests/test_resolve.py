@@ -64,3 +64,27 @@ def test_registered_offers_link(spark):
     assert block_labels(o).join(o, "seq").groupBy("block").agg(F.count_distinct("company").alias("n")).where("n > 1").count() > 0
     groups = resolve(o).join(o, "seq").groupBy("group_seq").agg(F.count_distinct("source").alias("s"), F.count_distinct("company").alias("c"))
     assert groups.where("s > 1").count() > 0 and groups.where("c > 1").count() > 0
+
+
+def test_distinct_records_change_no_group(spark):
+    """Random offers with repeats, blanks and shared keys: as the rules over all rows in one frame."""
+    from lodestone.operators import resolve as E
+
+    rng = random.Random(11)
+    pick = rng.choice
+    rows = [
+        offer(i, pick("ab"), pick(["", "", f"{pick(range(25))}", f"u{i}"]), pick(["", "", f"https://a.com/{pick(range(25))}", f"https://b.com/{i}"]), pick(["Data Scientist", "Data Scientists", "Data Engineer", "Cook"]), pick(["", "Globex", "Acme", "Initech"]), pick([None, "Paris", "Lyon"]), pick([None, None, "remote"]), pick(["job", "job", "internship"]), pick([None, "junior", "senior"]))
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = set(E._rules(E._keyed(df).toPandas()))
+    assert {tuple(r) for r in resolve(df).collect()} == want and len({g for _, g in want}) < 300
+
+
+def test_hot_company_is_few_records(spark):
+    """3,000 postings of a company under ids of their own are as many records as differ in title and place."""
+    from lodestone.operators import resolve as E
+
+    rows = [offer(i, jid=f"j{i}", url=f"https://a.com/{i}", title=f"Title {'xyz'[i % 3] * 9}", city=f"City {i % 4}") for i in range(3000)]
+    records, reps = E.distinct_records(E._keyed(spark.createDataFrame(rows, SCHEMA)))
+    assert records.count() == 12 and reps.count() == 3000

@@ -32,3 +32,21 @@ def test_last_seen_and_windows(spark, tmp_path):
     assert sorted(r.seen_at for r in drain(spark, S.throttled_last_seen(stream), "seen").collect()) == [at(0), at(12), at(30)]
     assert drain(spark, S.rolling_activity(stream, "1 hour", "1 hour", "0 seconds"), "rolling", "update").collect()[0].n == 6
     assert drain(spark, S.once(stream), "once").count() == 6
+
+
+def test_breaker_batch_by_windows(spark):
+    """Row by row as the fold, ties apart, and no Python group holds a whole source."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = [(rng.choice("aaab"), at(i), rng.choice(["failed", "failed", "failed", "success", "empty", None])) for i in range(300)]
+    rng.shuffle(rows)
+    out = S.breaker_batch(spark.createDataFrame(rows, "source string, ts timestamp, state string"))
+    want = set()
+    for k in "ab":
+        pdf = pd.DataFrame([r for r in rows if r[0] == k], columns=["source", "ts", "state"])
+        want |= {(k, r.ts, r.state, r.fails, None if pd.isna(r.open_until) else r.open_until) for r in S._fold(0, 0.0, pdf, k)[2].itertuples()}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "InPandas" not in out._jdf.queryExecution().toString()
