@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import materialise, parts_for
+from .storage import materialise, parts_for, scope
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, size: int | None = None) -> DataFrame:
@@ -20,11 +20,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, size: int | Non
     e = materialise(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(both.alias("x")).select("x.a", "x.b"), "edges", parts)
     labels = materialise(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels", parts)
     while True:
-        offered = e.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("c")), "a").groupBy("b").agg(F.min("c").alias("c"))
-        lower = labels.join(offered.select(F.col("b").alias("node"), "c"), "node").select("node", "comp", F.least("comp", "c").alias("low"))
-        lower = materialise(lower, "labels", parts)
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lowest"))
-        new = materialise(lower.join(jump, "low").select("node", F.least("low", "lowest").alias("comp"), (F.col("comp") != F.least("low", "lowest")).alias("moved")), "labels", parts)
+        with scope(e.sparkSession) as paths:  # of a turn only its labels are read again
+            offered = e.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("c")), "a").groupBy("b").agg(F.min("c").alias("c"))
+            lower = labels.join(offered.select(F.col("b").alias("node"), "c"), "node").select("node", "comp", F.least("comp", "c").alias("low"))
+            lower = materialise(lower, "labels", parts)
+            jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lowest"))
+            new = materialise(lower.join(jump, "low").select("node", F.least("low", "lowest").alias("comp"), (F.col("comp") != F.least("low", "lowest")).alias("moved")), "labels", parts)
+            paths.pop()
         moved = new.where("moved").limit(1).count()
         labels = new.select("node", "comp")
         if not moved:

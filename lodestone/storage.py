@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(spark.sparkContext, "_lodestone_dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-lodestone-")
         spark.sparkContext._lodestone_dir = folder
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,9 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_OPEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables written inside are removed at the end, but for the paths that the block takes out of the list it is given.
+
+    For steps that end in a written table: nothing reads the step's own tables after that.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.pop()
+        drop_paths(spark, *paths)
 
 
 def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
