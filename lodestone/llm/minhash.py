@@ -13,13 +13,16 @@ Texts with the same words collapse first.  Signatures are cut into bands; texts
 share a band are candidates.  A bucket is not expanded into pairs: first its most central
 text is compared with the others (exactly, by multiset overlap) and links join components.
 Texts of buckets that still hold several components are then matched by an exact prefix
-filter over their shingles, across components only, and compared.  So every pair that
+filter over their shingles, across components only, and compared: of the texts that share a
+rare shingle first one for each component, so that most components join before the rest
+meets.  So every pair that
 shares a band is either linked, directly or through others, or was compared, or cannot
 reach the threshold.
 
 Defined results: texts without words (null, empty, blank) are copies of one another;
-a text of one to four words is one shingle; rows are kept one for one, and class_id is
-the smallest doc_id of the class (null if all its numbers are).
+a text of one to four words is one shingle; rows are kept one for one, those without a
+doc_id too, and class_id is the smallest doc_id of the class (null if all its numbers are).
+Columns other than text and doc_id play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 5, 25
 M = ROWS * BANDS
 U64 = np.uint64
+_NO_ID = -(1 << 63)
 
 
 def bags(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS):
@@ -101,13 +105,19 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, x (hash of the text) and the lower-cased text of every row."""
+    body = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("x"), body.alias("text"))
+
+
 def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, node (of the words in order), bands; one row per input row."""
+    """doc_id, x, node (of the words in order), bands; one row per input row."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for a, b, raw, offsets in tk.chunks(batch.column(1)):
+            for a, b, raw, offsets in tk.chunks(batch.column(2)):
                 n = b - a
                 s, e, at = tk.words(raw, offsets)
                 w = memoryview(tk.span_hashes(raw, s, e).tobytes()) if len(s) else memoryview(b"")
@@ -115,9 +125,9 @@ def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 keys = band_keys(signatures(*bags(raw, offsets), n)) if n else np.zeros((0, BANDS), np.int64)
                 wordless = np.diff(at) == 0
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(wordless, 0, BANDS)))).astype(np.int32)), pa.array(keys[~wordless].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(node, pa.int64()), bands], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(node, pa.int64()), bands], ["doc_id", "x", "node", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))).mapInArrow(run, "doc_id bigint, node bigint, bands array<bigint>")
+    return _keyed(docs, text, doc_id).mapInArrow(run, "doc_id bigint, x bigint, node bigint, bands array<bigint>")
 
 
 def overlap(leader: pa.Array, members: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -143,7 +153,7 @@ def overlap(leader: pa.Array, members: pa.Array, words: int = WORDS) -> np.ndarr
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, group: int = 256) -> DataFrame:
     """The (a, b) whose texts overlap by ``threshold``.  A leader with many members is split into groups."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / group).cast("int")).drop("n")
+    sizes = materialise(sizes.withColumn("parts", F.ceil(F.col("n") / group).cast("int")).drop("n"), "leaders", 6)
     members = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "part", "b", "t")
     leaders = sizes.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t")), "a").select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lead_part"), F.col("t").alias("lead_text"))
 
@@ -156,63 +166,72 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, g
     return members.groupBy("a", "part").cogroup(leaders.groupBy("lead", "lead_part")).applyInArrow(check, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node and class_id of every row."""
-    spark = docs.sparkSession
+def _labelled(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
+    """doc_id, x, node and comp (of the class) of every row.  What is joined to is written first, so that adaptive execution can split hot keys."""
     rows = materialise(signed(docs, text, doc_id), "signed")
-    kinds = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    kinds = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "x")).alias("row"), F.first("bands").alias("bands"))
     postings = kinds.select("node", F.explode("bands").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     buckets = materialise(postings.join(shared, "key"), "buckets")
     # the most central text of a bucket is the one whose buckets are largest in sum
     centre = buckets.groupBy("node").agg(F.sum("size").alias("centre"))
     buckets = materialise(buckets.drop("size").join(centre, "node"), "buckets")
-    wanted = centre.select("node").join(kinds.select("node", "doc_id"), "node")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
-    texts = texts.join(wanted, "doc_id").select("node", "text")
-    texts = materialise(_of_node(texts), "texts")
+    wanted = centre.select("node").join(kinds.select("node", "row.d", "row.x"), "node")
+    texts = materialise(_of_rows(docs, text, doc_id, wanted), "texts")
 
     n = buckets.count()
     parts = parts_for(n)
     # first the most central text of each bucket against the others
-    best = buckets.groupBy("key").agg(F.max(F.struct("centre", F.negative("node").alias("o"), "node")).alias("t")).select("key", F.col("t.node").alias("a"))
+    best = materialise(buckets.groupBy("key").agg(F.max(F.struct("centre", F.negative("node").alias("o"), "node")).alias("t")).select("key", F.col("t.node").alias("a")), "centres")
     pairs = materialise(buckets.join(best, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "pairs", parts)
     labels = components(verified(pairs, texts, threshold), size=n)
     # then the texts of buckets that still hold several components
     open_ = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    spread = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    spread = materialise(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key"), "spread", parts)
     live = materialise(open_.join(spread, "key", "left_semi").select("node", "comp").distinct(), "open", parts)
     if live.limit(1).count():
-        rest = materialise(prefix_pairs(texts, live, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs", parts)
-        star = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        labels = components(verified(rest, texts, threshold).unionByName(star), size=n)
-    out = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = out.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+        prefix = prefixes(texts, live.select("node"), threshold)
+        for first_only in (True, False):
+            rest = materialise(prefix_pairs(prefix, live, threshold, first_only).join(pairs, ["a", "b"], "left_anti"), "pairs", parts)
+            if not rest.limit(1).count():
+                continue
+            star = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            labels = components(verified(rest, texts, threshold).unionByName(star), size=n)
+            pairs = pairs.unionByName(rest)
+            live = materialise(live.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "open", parts)
+    return rows.select("doc_id", "x", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, node, class_id and class_size of every row."""
+    out = materialise(_labelled(docs, text, doc_id, threshold), "labelled")
+    ids = materialise(out.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return out.join(ids, "comp").select("doc_id", "node", "class_id", "class_size")
 
 
-def _of_node(texts: DataFrame) -> DataFrame:
-    """One text for each node: a doc_id may stand for several texts, so the node is computed again."""
-    ship(texts.sparkSession)
+def _of_rows(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
+    """node and text of the rows ``wanted`` (node, d, x).  Repeated rows are sent once a task, so that many of them are no hot key."""
+    ship(docs.sparkSession)
 
-    def run(batches):
+    def once(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for a, b, raw, offsets in tk.chunks(batch.column(1)):
-                s, e, at = tk.words(raw, offsets)
-                w = memoryview(tk.span_hashes(raw, s, e).tobytes()) if len(s) else memoryview(b"")
-                node = np.array([int.from_bytes(hashlib.blake2b(w[8 * x : 8 * y], digest_size=8).digest(), "little", signed=True) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
-                keep = pa.array(node == np.asarray(batch.column(0).slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a).filter(keep) for c in batch.columns], ["node", "text"])
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
 
-    return texts.mapInArrow(run, "node bigint, text string")
+    rows = _keyed(docs, text, doc_id).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "x", "text").mapInArrow(once, "d bigint, x bigint, text string")
+    return rows.join(wanted, ["d", "x"]).dropDuplicates(["d", "x", "node"]).select("node", "text")
 
 
-def prefix_pairs(texts: DataFrame, live: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair (a < b) of ``live`` (node, comp) texts of different components that may overlap by ``threshold``: an exact prefix filter.
+def prefixes(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, n, c, i, token): the rarest tokens of each text, of which two texts that may overlap by ``threshold`` share one.
 
     The k-th copy of a shingle in a text is a token of its own, so bags are sets.  Two sets of n and m tokens can
     only overlap enough if their n - ceil(threshold * n) + 1 rarest tokens meet.  Tokens met once match nothing:
-    they use up the prefix and bound the overlap.  Texts of a token's largest component are only met by others.
+    they use up the prefix and bound the overlap (c tokens are met again, this is the i-th of them).
     """
     ship(texts.sparkSession)
 
@@ -230,26 +249,44 @@ def prefix_pairs(texts: DataFrame, live: DataFrame, threshold: float = THRESHOLD
                     token = tk.mix(hs + (np.arange(len(hs)) - first).astype(U64) * U64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0).slice(a, b - a))[ds]), pa.array(size[ds].astype(np.int32)), pa.array(token.view(np.int64))], ["node", "n", "token"])
 
-    tokens = materialise(texts.join(live, "node", "left_semi").select("node", "text").mapInArrow(split, "node bigint, n int, token bigint"), "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    tokens = materialise(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(split, "node bigint, n int, token bigint"), "tokens")
+    often = materialise(tokens.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > 1), "often")
     met = tokens.join(often, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("met"))  # a text's own tokens
     size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("met"))
-    # tokens from the i-th on; if a pair's first common token is its i-th, no more can be common
-    prefix = met.where(size > 0).select("node", "n", F.size("met").alias("c"), F.posexplode(F.transform(F.slice("met", F.lit(1), size.cast("int")), lambda x: x["token"])).alias("i", "token"))
-    prefix = materialise(prefix.join(live, "node"), "prefix")
-    count = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = count.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("t"), F.count("*").alias("comps")).where(F.col("comps") > 1).select("token", F.col("t.comp").alias("main"))
-    some = prefix.join(main, "token")
-    x = some.where(F.col("comp") != F.col("main")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), (F.col("c") - F.col("i")).alias("xc"), F.col("comp").alias("xcomp"))
-    y = some.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), (F.col("c") - F.col("i")).alias("yc"), F.col("comp").alias("ycomp"))
-    most = F.least("xc", "yc")
+    kept = met.where(size > 0).select("node", "n", F.size("met").alias("c"), F.posexplode(F.transform(F.slice("met", F.lit(1), size.cast("int")), lambda x: x["token"])).alias("i", "token"))
+    return materialise(kept, "prefix")
+
+
+def prefix_pairs(prefix: DataFrame, live: DataFrame, threshold: float = THRESHOLD, first_only: bool = False) -> DataFrame:
+    """Pairs (a < b) of ``live`` (node, comp) texts of different components that share a token of ``prefix`` and may overlap by ``threshold``.
+
+    Texts of a token's largest component are only met by others; with ``first_only``, one text of it meets one of each other component.
+    """
+    rows = prefix.join(live, "node").select("token", "node", "n", (F.col("c") - F.col("i")).alias("c"), "comp")
+    count = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct("node", "n", "c")).alias("one"))
+    main = count.groupBy("token").agg(F.max(F.struct("k", "comp", "one")).alias("t"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    main = materialise(main.select("token", F.col("t.comp").alias("main"), F.col("t.one").alias("one")), "main")
+    if first_only:
+        x = count.select("token", "comp", "one.*").join(main.select("token", "main", F.col("one.node").alias("y"), F.col("one.n").alias("yn"), F.col("one.c").alias("yc")), "token")
+        x = x.where(F.col("comp") != F.col("main")).withColumnsRenamed({"node": "x", "n": "xn", "c": "xc", "comp": "xcomp", "main": "ycomp"})
+    else:
+        some = materialise(rows.join(main.select("token", "main"), "token"), "some")
+        x = some.where(F.col("comp") != F.col("main")).select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("comp").alias("xcomp"))
+        y = some.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("comp").alias("ycomp"))
+        x = x.join(y, "token")
+    most = F.least("xc", "yc")  # if a pair's first common token is its i-th, no more can be common
     fine = (F.col("xcomp") != F.col("ycomp")) & (most >= (F.col("xn") + F.col("yn") - most) * threshold - 1e-9)
-    return x.join(y, "token").where(fine).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return x.where(fine).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one of the smallest doc_id.  Rows without a doc_id stay, and so do all rows of a doc_id that stays (repeated rows are one document)."""
-    found = classes(docs, text, doc_id, threshold)
-    keep = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("node").alias("n")).select(F.col("doc_id").alias("__keep"))
-    out = docs.join(keep, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi")
-    return out.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The rows of ``docs`` that stay: of each class the one of the smallest doc_id.
+
+    A class without any doc_id keeps one text.  Rows that repeat the one that stays stay too (repeated rows are one document).
+    """
+    found = _labelled(docs, text, doc_id, threshold)
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "x")).alias("row"))
+    keep = materialise(best.select(F.col("row.d").alias("d"), F.col("row.x").alias("x")).distinct(), "stay")
+    body = F.lower(F.coalesce(docs[text].cast("string"), F.lit("")))
+    same = (F.coalesce(docs[doc_id].cast("long"), F.lit(_NO_ID)) == keep["d"]) & (F.xxhash64(body) == keep["x"])
+    return docs.join(keep, same, "left_semi")

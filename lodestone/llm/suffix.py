@@ -7,17 +7,16 @@ No suffix array could hold the corpus, so equal strings are first brought
 together.  Every window of ``length`` bytes selects the ``gram``-byte string of
 smallest hash in it (leftmost of ties); equal windows select the same one at the
 same place.  The windows that one selected place stands for are consecutive, and
-one hash of the bytes they span, its block, tells whether all of them are
-repeated.  What is shuffled is a row per selected place, about one in 80 bytes.
-Places whose gram occurs once are dropped; places whose block occurs again are
-settled.  The rest, places near the ends of repeated passages, are settled on
-their blocks' bytes: blocks of equal grams meet in one part, a suffix array orders
-the windows of the part, and previous smaller positions in that order give each
-window's longest previous factor, capped at ``length``: it has an earlier copy if
-its previous smaller position shares ``length`` bytes with it, and a later one if
-it is such a position for another.  The blocks of a gram that has very many different
-ones never meet: they are cut into pieces, and equal pieces counted, turn by turn
-(see ``_by_halves``).
+the bytes they span are its block.  What is shuffled is a row per selected place,
+about one in 80 bytes; places whose gram occurs once are dropped.  Equal blocks
+collapse into one that knows how often it occurs: all its copies but the first are
+repeated as a whole.  The distinct blocks of a gram meet in one part.  There a
+suffix array with its LCP values is built, previous and next smaller positions in
+suffix order give each window's longest previous factor and the place of that
+earlier match, and a factor of ``length`` or more means repeated bytes.  If a gram
+has very many distinct blocks (it lies near the end of a passage that many
+documents share), they are first cut into pieces that only meet where they have a
+core in common, turn by turn, until few enough meet (see ``_refined``).
 
 Mode ``all`` removes every copy, ``later`` keeps the first by (doc_id, place).
 
@@ -41,7 +40,7 @@ from .common import materialise, ship
 LENGTH = 200
 GRAM = 40
 U64 = np.uint64
-#: Different blocks of one gram that meet in one part at most (more are settled by halves), and blocks of a part on average.
+#: Different blocks that meet at most before they are cut into pieces, and blocks of a part on average.
 PART_BLOCKS = 250
 BLOCKS = 4000
 
@@ -63,8 +62,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     n = len(raw)
     if n < length:
         return (np.zeros(0, np.int64),) * 6
-    i = np.arange(n - gram + 1)
-    g = tk.span_hashes(raw, i, i + gram)
+    windows = tk.Windows(raw)
+    g = windows.every(gram)
+    i = np.arange(len(g))
     packed = (g & U64(0xFFFFFFFF00000000)) | i.astype(U64)
     low = sliding_min(packed, length - gram + 1)  # for every window start
     place = (low & U64(0xFFFFFFFF)).astype(np.int64)
@@ -79,7 +79,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     lo, hi = valid[first], valid[np.append(first[1:], len(valid)) - 1]
     at, d = p[first], d[first]
     with np.errstate(over="ignore"):
-        block = tk.mix(tk.span_hashes(raw, lo, hi + length) ^ ((at - lo).astype(U64) * U64(0x9E3779B97F4A7C15)))
+        block = tk.mix(windows.spans(lo, hi + length, length) ^ ((at - lo).astype(U64) * U64(0x9E3779B97F4A7C15)))
     base = offsets[d]
     return d, g[at].view(np.int64), block.view(np.int64), lo - base, hi - base, at - base
 
@@ -107,32 +107,95 @@ def _places(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 # --- suffix order of a part ------------------------------------------------------
 
 
-def prefix_ranks(s: np.ndarray, length: int) -> np.ndarray:
-    """For every position with ``length`` bytes after it: the rank of these bytes (equal ranks, equal bytes), by prefix doubling."""
-    rank, have = s.astype(np.int64), 1
-    while have < length:
-        step = min(have, length - have)
-        top = int(rank.max()) + 1
-        pair = rank[: len(rank) - step] * top + rank[step:]
-        _, rank = np.unique(pair, return_inverse=True)
-        have += step
-    return rank
+class SuffixOrder:
+    """Suffixes of a byte string ordered by their first ``depth`` bytes, by prefix doubling.
 
+    ``levels`` holds, for growing sizes, the rank of the string of that size from every place;
+    the end of the text is smaller than any byte.
+    """
+
+    def __init__(self, s: np.ndarray, depth: int):
+        n, size = len(s), min(7, depth)
+        self.s = np.concatenate((s.astype(np.int64) + 1, np.zeros(size, np.int64)))
+        key = np.zeros(n, np.int64)
+        for k in range(size):  # 257 symbols, so seven fit into a number
+            key = key * 257 + self.s[k : n + k]
+        _, rank = np.unique(key, return_inverse=True)
+        self.levels = [(size, rank)]
+        while size < depth and n and int(rank.max()) + 1 < n:
+            step = min(size, depth - size)
+            after = np.zeros(n, np.int64)
+            after[: max(0, n - step)] = rank[step:] + 1
+            _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
+            size += step
+            self.levels.append((size, rank))
+        self.rank = rank
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes ``i`` and ``j``, to the depth of the order."""
+        n, out = len(self.s) - min(7, self.levels[0][0]), np.zeros(len(i), np.int64)
+        for size, rank in reversed(self.levels):
+            inside = np.maximum(i, j) + out < n
+            same = inside.copy()
+            same[inside] = rank[(i + out)[inside]] == rank[(j + out)[inside]]
+            out += same * size
+        for _ in range(self.levels[0][0] - 1):
+            inside = np.maximum(i, j) + out < n
+            same = inside.copy()
+            same[inside] = self.s[(i + out)[inside]] == self.s[(j + out)[inside]]
+            out += same
+        return np.minimum(out, np.where(i == j, 0, n - np.maximum(i, j)))
+
+
+def previous_smaller(values: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Index of the nearest earlier entry of the same run with a smaller value, or -1.
+
+    Everything between an entry and its candidate is larger than the entry, so a candidate that is
+    larger too can be replaced by its own candidate, for all entries at a time.
+    """
+    near = np.arange(len(values)) - 1
+    near[np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))[: len(values)]] = -1
+    todo = np.flatnonzero(near >= 0)
+    todo = todo[values[near[todo]] > values[todo]]
+    while len(todo):
+        near[todo] = near[near[todo]]
+        todo = todo[near[todo] >= 0]
+        todo = todo[values[near[todo]] > values[todo]]
+    return near
 
-def factors(s: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows that begin at ``starts`` (in order of priority): has an earlier copy, has any copy.
 
-    Windows in suffix order (to the depth of ``length``, then by position) have their previous smaller
-    position of equal factor just before them, and their next one after them if there is any.
+def longest_previous(s: np.ndarray, starts: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors of the suffixes ``starts`` (ascending): length and the start of the earlier match.
+
+    Lengths go to ``depth``; where no earlier start shares ``least`` bytes, both are 0 and -1.
     """
-    rank = prefix_ranks(s, length)[starts]
-    order = np.argsort(rank, kind="stable")
-    r = rank[order]
-    same_as_previous = np.concatenate(([False], r[1:] == r[:-1])) if len(r) else np.zeros(0, bool)
-    later, any_copy = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    later[order] = same_as_previous
-    any_copy[order] = same_as_previous | np.append(same_as_previous[1:], False)[: len(r)]
-    return later, any_copy
+    factor, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    if not len(starts):
+        return factor, source
+    order = SuffixOrder(s, depth)
+    array = starts[np.argsort(order.rank[starts], kind="stable")]  # the suffix array of the starts
+    lcp = order.common(array[:-1], array[1:])
+    run = np.concatenate(([0], np.cumsum(lcp < least)))  # no match of ``least`` bytes goes beyond a run
+    before = previous_smaller(array, run)
+    after = len(array) - 1 - previous_smaller(array[::-1], run[::-1])[::-1]
+    after[after == len(array)] = -1
+    where = np.searchsorted(starts, array)
+    for near in (before, after):
+        k = np.flatnonzero(near >= 0)
+        length = order.common(array[k], array[near[k]])
+        k, length = k[length > factor[where[k]]], length[length > factor[where[k]]]
+        factor[where[k]], source[where[k]] = length, array[near[k]]
+    return factor, source
+
+
+def repeated_windows(s: np.ndarray, starts: np.ndarray, length: int, depth: int, later_only: bool) -> np.ndarray:
+    """Which windows of ``length`` bytes have an earlier copy or, unless ``later_only``, are the earlier copy of one."""
+    factor, source = longest_previous(s, starts, depth, length)
+    hit = factor >= length
+    if not later_only:
+        hit = hit.copy()
+        hit[np.searchsorted(starts, source[factor >= length])] = True  # the first copy is the only one before the second
+    return hit
 
 
 def _runs(flag: np.ndarray, owner: np.ndarray):
@@ -148,7 +211,7 @@ SPANS = "d bigint, t bigint, start int, stop int"
 
 
 def _settle(length: int, later_only: bool):
-    """applyInArrow on a part's blocks: their repeated spans."""
+    """applyInArrow on a part's blocks (d, t, lo, hi, bytes): their repeated spans.  Earlier is by (d, t, lo)."""
     names = [c.split(" ")[0] for c in SPANS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -164,8 +227,7 @@ def _settle(length: int, later_only: bool):
         count = col["hi"] - col["lo"] + 1
         owner = np.repeat(np.arange(len(count)), count)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        later, any_copy = factors(s, off[owner] + within, length)
-        hit = later if later_only else any_copy
+        hit = repeated_windows(s, off[owner] + within, length, length + int(count.max()) - 1, later_only)
         out = []
         a, b = _runs(hit, owner)
         k = owner[a]
@@ -194,23 +256,24 @@ def _blocks(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-#: Sizes of the cells of window places that hot grams' blocks are cut into, turn by turn.
-CELLS = (128, 32, 8, 2, 1)
+#: Sizes of the cells of window places that blocks are cut into, turn by turn.
+CELLS = (128, 32, 8, 1)
 
 
-def _by_halves(blocks: DataFrame, length: int, later_only: bool) -> DataFrame:
-    """Repeated spans among the blocks of hot grams, exact, without bringing a gram's blocks together.
+def _refined(blocks: DataFrame, length: int, later_only: bool, part_blocks: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Blocks of grams that have more than ``part_blocks`` different ones: spans found by collapsing, and groups that may meet.
 
     A window is named by how far before its gram it begins.  Windows of a block in one cell of such distances are
-    a piece.  Pieces of equal bytes are one kind: a kind met twice is repeated as a whole.  All windows of a cell
-    have a core in common, so a kind whose core no other kind has shares no window.  What remains, one piece for
-    each kind, is cut into smaller cells; in the last turn a piece is a window.  Rows with equal keys are
-    gathered into lists within salted parts before any join, so a join has a row for each list.
+    a piece.  Pieces of equal bytes collapse, as blocks do: all but the first are repeated as a whole.  All windows
+    of a cell have a core in common, so pieces only need to meet where their cores are equal; groups of equal cores
+    that are small enough are returned, others are cut into smaller cells.  In cells of one window the core is the
+    window, so that nothing is left.  Rows with equal keys are gathered into lists within salted parts before any
+    join, so a join has a row for each list.
     """
     key = ["h", "cell", "near", "far", "bytes"]
     rows = blocks.select("h", "d", "t", "at", "parts", (F.col("at") - F.col("hi")).alias("near"), (F.col("at") - F.col("lo")).alias("far"), "bytes")
-    found = []
-    for turn, size in enumerate(CELLS):
+    found, groups = [], []
+    for size in CELLS:
         cells = F.explode(F.sequence(F.expr(f"int(near div {size})"), F.expr(f"int(far div {size})")))
         cut = rows.withColumn("cell", cells)
         cut = cut.withColumn("n2", F.greatest("near", F.col("cell") * size)).withColumn("f2", F.least("far", F.col("cell") * size + (size - 1)))
@@ -218,21 +281,22 @@ def _by_halves(blocks: DataFrame, length: int, later_only: bool) -> DataFrame:
         who = F.struct("d", "t", "at")
         lists = cut.groupBy(*key, "parts", F.pmod(F.xxhash64("d", "t", "at"), F.col("parts")).alias("salt")).agg(F.collect_list(who).alias("who"))
         lists = materialise(lists, "pieces")
-        kinds = lists.groupBy(*key, "parts").agg(F.sum(F.size("who")).alias("n"), F.min(F.array_min("who")).alias("first"))
+        kinds = materialise(lists.groupBy(*key, "parts").agg(F.sum(F.size("who")).alias("n"), F.min(F.array_min("who")).alias("first")), "kinds")
         again = lists.join(kinds.where(F.col("n") > 1).select(*key, "first"), key).select("near", "far", F.explode(F.array_except("who", F.array("first")) if later_only else F.col("who")).alias("w"))
         start = F.col("w.at") - F.col("far")
         found.append(again.select("w.d", "w.t", start.cast("int").alias("start"), (F.col("w.at") - F.col("near") + length).cast("int").alias("stop")))
-        if turn == len(CELLS) - 1:
-            break
         core = F.xxhash64(F.expr(f"substring(bytes, far - cell * {size} + 1, {length - size + 1})"))
         some = kinds.withColumn("core", core).groupBy("h", "cell", "core", F.pmod(F.xxhash64("bytes"), F.col("parts") * 4).alias("salt")).agg(F.collect_list(F.struct("first", "parts", "near", "far", "bytes")).alias("kinds"))
-        some = materialise(some, "kinds")
-        met = some.groupBy("h", "cell", "core").agg(F.sum(F.size("kinds")).alias("c")).where(F.col("c") > 1).drop("c")
-        rows = some.join(met, ["h", "cell", "core"]).select("h", F.explode("kinds").alias("k")).select("h", "k.first.d", "k.first.t", "k.first.at", "k.parts", "k.near", "k.far", "k.bytes")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        some = materialise(some, "met")
+        met = materialise(some.groupBy("h", "cell", "core").agg(F.sum(F.size("kinds")).alias("c")).where(F.col("c") > 1), "cores")
+        one = some.join(met, ["h", "cell", "core"]).select("h", F.xxhash64("h", "cell", "core").alias("g"), "c", F.explode("kinds").alias("k"))
+        one = one.select("h", "g", "c", "k.first.d", "k.first.t", "k.first.at", "k.parts", "k.near", "k.far", "k.bytes")
+        few = F.col("c") <= part_blocks
+        groups.append(one.where(few).select("g", "d", "t", (F.col("at") - F.col("far")).cast("int").alias("lo"), (F.col("at") - F.col("near")).cast("int").alias("hi"), "bytes"))
+        if not met.where(~few).limit(1).count():
+            break
+        rows = one.where(~few).select("h", "d", "t", "at", "parts", "near", "far", "bytes")
+    return found, groups
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "all", text: str = "text", doc_id: str = "doc_id", part_blocks: int = PART_BLOCKS) -> DataFrame:
@@ -241,27 +305,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode
         raise ValueError(mode)
     later = mode == "later"
     keyed = _keyed(docs, text, doc_id)
+    # what is joined to is written first, so that adaptive execution can split the hot keys of the other side
     places = materialise(_places(keyed, length, gram), "places")
-    common = places.groupBy("h").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("pure")).where(F.col("n") > 1).drop("n")
+    common = materialise(places.groupBy("h").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("pure")).where(F.col("n") > 1).drop("n"), "common")
     rows = materialise(places.join(common, "h"), "repeated")
     blocks = materialise(rows.groupBy("h", "block").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo", "hi", "at")).alias("first"), F.first("pure").alias("pure")), "blocks")
-    whole = rows.join(blocks.where(F.col("n") > 1).select("h", "block", "first"), ["h", "block"])
+    twice = materialise(blocks.where(F.col("n") > 1).select("h", "block", "first"), "twice")
+    whole = rows.join(twice, ["h", "block"])
     if later:
         whole = whole.where(F.struct("d", "t", "lo") != F.struct("first.d", "first.t", "first.lo"))
     found = [whole.select("d", "t", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))]
 
     mixed = blocks.where(~F.col("pure"))
-    kinds = mixed.groupBy("h").agg(F.count("*").alias("k"))
+    kinds = materialise(mixed.groupBy("h").agg(F.count("*").alias("k")), "kinds")
     total = kinds.agg(F.sum("k").alias("k"), F.max("k").alias("most")).first()
     if total["k"]:
-        kinds = kinds.withColumn("parts", F.ceil(F.col("k") / part_blocks).cast("int")).drop("k")
-        wanted = mixed.join(kinds, "h").select("h", "block", "n", "first.*", "parts")
+        wanted = mixed.join(kinds.select("h", F.ceil(F.col("k") / part_blocks).cast("int").alias("parts")), "h").select("h", "block", "n", "first.*", "parts")
         stored = materialise(_blocks(keyed, wanted, length), "block-bytes")
-        n = max(1, -(-total["k"] // BLOCKS))
-        part = F.pmod(F.xxhash64("h"), F.lit(n))
-        found.append(stored.where(F.col("parts") == 1).withColumn("part", part).groupBy("part").applyInArrow(_settle(length, later), SPANS))
+        groups = [stored.where(F.col("parts") == 1).select(F.col("h").alias("g"), "d", "t", "lo", "hi", "bytes")]
         if total["most"] > part_blocks:
-            found.append(_by_halves(stored.where(F.col("parts") > 1), length, later))
+            more, refined = _refined(stored.where(F.col("parts") > 1), length, later, part_blocks)
+            found += more
+            groups += refined
+        n = max(1, -(-total["k"] // BLOCKS))
+        for part in groups:
+            found.append(part.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(n))).groupBy("part").applyInArrow(_settle(length, later), SPANS))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -16,10 +16,6 @@ import pyarrow.compute as pc
 
 CHUNK = 2_000_000
 U64 = np.uint64
-_B = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
-_BINV = pow(_B, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit (xor-shift and multiply, 64 bits)."""
     h = h ^ (h >> U64(30))
@@ -29,27 +25,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.empty(size, U64)
-        out[0] = 1
-        n = 1
-        while n < size:  # doubling
-            step = U64(pow(base, n, 1 << 64))
-            m = min(n, size - n)
-            out[n : n + m] = out[:m] * step
-            n += m
-    return out
-
-
-def powers(size: int, inverse: bool = False) -> np.ndarray:
-    p = 1 << 21
-    while p <= size:
-        p *= 2
-    return _powers(_BINV if inverse else _B, p)[:size]
-
-
 def chunks(texts: pa.Array, limit: int = CHUNK):
     """(first, last, bytes, offsets) for runs of documents; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -142,17 +117,83 @@ def pretokens(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _stir(h: np.ndarray) -> np.ndarray:
+    """A lighter mixer, in place."""
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(29)
+    return h
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of ``values`` (code points or bytes), equal where the spans are."""
+    """64-bit hashes of disjoint spans of ``values`` (code points or bytes), in order; equal where the spans are.
+
+    Every value is mixed with its place in its span before it is added up, so that no regular
+    pair of texts cancels out, as it can in a polynomial modulo 2**64.
+    """
+    n = len(values)
     with np.errstate(over="ignore"):
-        v = (values.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93)
-        v ^= v >> U64(32)
-        v *= powers(len(values))
-        p = np.empty(len(values) + 1, U64)
-        p[0] = 0
+        first = np.zeros(n, np.int64)
+        real = starts < n
+        first[starts[real]] = starts[real]
+        np.maximum.accumulate(first, out=first)
+        v = (np.arange(n) - first).astype(U64)
+        v *= U64(0x9E3779B97F4A7C15)
+        v += (values.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F)
+        _stir(v)
+        p = np.zeros(n + 1, U64)
         np.cumsum(v, out=p[1:])
-        h = (p[ends] - p[starts]) * powers(len(values) + 1, True)[starts]
-        return mix(h ^ ((ends - starts).astype(U64) << U64(48)))
+        return mix((p[ends] - p[starts]) ^ ((ends - starts).astype(U64) << U64(48)))
+
+
+class Windows:
+    """Hashes of overlapping spans of bytes: those of 8, 16, 32, ... bytes from every place, each mixed from two of half the size."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        self.levels: dict[int, np.ndarray] = {}
+
+    def level(self, size: int) -> np.ndarray:
+        if size not in self.levels:
+            with np.errstate(over="ignore"):
+                if size == 8:
+                    h = np.ndarray((len(self.raw) - 7,), "<u8", np.ascontiguousarray(self.raw), strides=(1,)).astype(U64)
+                else:
+                    half = self.level(size // 2)
+                    h = half[: len(half) - size // 2] * U64(0x9E3779B97F4A7C15)
+                    h += half[size // 2 :]
+                self.levels[size] = _stir(h)
+        return self.levels[size]
+
+    @staticmethod
+    def _base(least: int) -> int:
+        size = 8
+        while size * 2 <= least:
+            size *= 2
+        return size
+
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of the ``width`` bytes (8 at least) from every place."""
+        size = self._base(width)
+        h = self.level(size)
+        if size == width:
+            return mix(h)
+        with np.errstate(over="ignore"):
+            return mix(h[: len(self.raw) - width + 1] * U64(0xA0761D6478BD642F) + h[width - size :])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+        """Hashes of spans of ``least`` bytes (8 at least) or more, which may overlap."""
+        if not len(starts):
+            return np.zeros(0, U64)
+        size = self._base(least)
+        h = self.level(size)
+        with np.errstate(over="ignore"):
+            out = mix((ends - starts).astype(U64))
+            for k in range(-(-int((ends - starts).max()) // size)):
+                use = np.flatnonzero(starts + k * size < ends)
+                at = np.minimum(starts[use] + k * size, ends[use] - size)
+                out[use] = mix(out[use] * U64(0xA0761D6478BD642F) + h[at])
+        return out
 
 
 class HashIndex:
