@@ -12,8 +12,8 @@ rule, many words at a time.  Texts are never shuffled, and no result depends on
 which words the dictionary holds.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; rows
-are kept one for one, repeated rows included; other columns are carried through
-(``encode`` fails early if they clash with its own names).
+are kept one for one, repeated rows included; other columns are carried through if
+named in ``keep``, but for those that have the name of an output, which takes their place.
 """
 
 from __future__ import annotations
@@ -316,16 +316,25 @@ def word_counts(texts: DataFrame, text: str = "text", max_bytes: int = MAX_WORD_
 
 
 def dictionary(texts: DataFrame, ranks: dict[bytes, int], text: str = "text", max_dictionary: int = MAX_DICTIONARY) -> DataFrame:
-    """(word binary, ids array<int>): the most frequent words, folded in Spark."""
-    from pyspark.sql import Window
-
-    groups = 64
-    counted = word_counts(texts, text).withColumn("g", F.pmod(F.xxhash64("word"), F.lit(groups)))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "word"))
-    top = counted.withColumn("r", rank).where(F.col("r") <= max(1, max_dictionary // groups)).select("word")
+    """(word binary, ids array<int>): the most frequent words, at most ``max_dictionary``, folded in Spark; a word that is a token is that token."""
+    # counts are cut off by classes of a sixteenth of a power of two: a small histogram instead of an order over all words
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    counted = materialise(word_counts(texts, text).withColumn("grade", grade), "word-counts")
+    room, whole, part, share = max_dictionary, None, None, 0.0
+    for r in sorted(counted.groupBy("grade").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["grade"]):
+        if r["k"] > room:
+            part, share = r["grade"], max(0.0, room / r["k"] - 0.01)
+            break
+        room, whole = room - r["k"], r["grade"]
+    often = F.lit(False) if whole is None else F.col("grade") >= whole
+    some = F.lit(False) if part is None else (F.col("grade") == part) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    top = counted.where(often | some).select("word")
     # written in as many parts as there are cores: the fold's plan then has no exchange, and its long literal is planned once
     top = materialise(top.repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism)), "bpe-words")
-    return top.select("word", fold_words(byte_values(F.col("word")), ranks).cast("array<int>").alias("ids"))
+    tokens = pa.table({"word": pa.array(list(ranks), pa.binary()), "id": pa.array(list(ranks.values()), pa.int32())})
+    known = F.broadcast(texts.sparkSession.createDataFrame(tokens))  # the vocabulary: of fixed size
+    fold = fold_words(byte_values(F.col("word")), ranks).cast("array<int>")
+    return top.join(known, "word", "left").select("word", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fold).alias("ids"))
 
 
 def _collected(spark, words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -366,8 +375,7 @@ def encode(
     """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and, unless ``digests_only``, ids array<int> and decoded binary."""
     spark = docs.sparkSession
     own = {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}
-    if clash := own & set(keep):
-        raise ValueError(f"columns {sorted(clash)} would clash")
+    keep = tuple(c for c in keep if c not in own)
     ship(spark)
     ranks = load_ranks(vocabulary_path)
     hashes, off, val = _collected(spark, dictionary(docs, ranks, text, max_dictionary))

@@ -7,7 +7,8 @@ sketch.  Sketches of parts merge into the sketch of their union, and estimate
 resemblance, containment and the number of distinct shingles.
 
 Defined results: null text counts as empty; two empty sketches have likeness 1,
-an empty and another 0.
+an empty and another 0; rows are kept one for one, those of one doc_id in the order of
+their texts and those without one last; columns not named play no part.
 """
 
 from __future__ import annotations
@@ -85,12 +86,12 @@ def as_text(a: Column) -> Column:
 def with_next(docs: DataFrame, columns: dict[str, str], doc_id: str = "doc_id", parts: int | None = None) -> DataFrame:
     """Each row with columns of the next one by descending ``doc_id`` (after the last: the first).
 
-    Rows are dealt into ranges of ``doc_id`` whose number is fixed; the first row of a range is
+    Rows are dealt into ranges of ``doc_id`` whose number grows with them (at most 8,192); the first row of a range is
     also sent to the range above, so that one exchange of the rows is enough.  Rows of one doc_id
     are ordered by the first of ``columns``; null numbers come last.
     """
     spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or min(8192, max(4, docs.count() // 2500))
     wanted = [i / parts for i in range(1, parts)]
     ids = docs.select(F.col(doc_id).cast("long").alias("d"))
     cuts = sorted(set(ids.agg(F.percentile_approx("d", wanted, 10_000).alias("c")).first()["c"] or []))

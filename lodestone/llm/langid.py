@@ -9,7 +9,8 @@ in batches: each n-gram fetches its row of the matrix, rows are summed by
 document.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
-so is every text if no row was labelled.  Rows are kept one for one.
+so is every text if no row was labelled.  Rows are kept one for one; ties go to the
+language that sorts first.  Columns with the name of an output are replaced by it.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import ship
+from .common import fresh, ship
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 UNDETERMINED = "und"
 SMOOTHING = 0.5
-#: Languages that a model holds at most (the matrix has a row for each).
-MAX_LANGUAGES = 512
+#: Numbers of the matrix at most: beyond 512 languages the buckets are halved until they fit, and no language is left out.
+MATRIX = 512 << 16
 #: n-grams that count as independent evidence in a score; longer texts are not more certain than that.
 EVIDENCE = 60.0
 
@@ -70,6 +71,10 @@ def _ngrams(cps: np.ndarray, at: np.ndarray, buckets: int):
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (languages x buckets, float32) from all rows with text and language."""
     ship(docs.sparkSession)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(letters_only(F.col(text)).alias("t"), F.col(lang).cast("string").alias("l"))
+    n_langs = rows.select("l").distinct().count()
+    while n_langs * buckets > MATRIX and buckets > 256:
+        buckets //= 2
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -89,12 +94,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
             met = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(met)), pa.array(met.astype(np.int32)), pa.array(n[met])], ["lang", "bucket", "n"])
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(letters_only(F.col(text)).alias("t"), F.col(lang).cast("string").alias("l"))
     counts = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # languages x buckets numbers at most
     names = sorted(set(got.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES}")
     matrix = np.full((len(names), buckets), SMOOTHING)
     if names:
         row = np.searchsorted(names, got.column("lang").to_pylist())
@@ -102,16 +104,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     return names, np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``keep`` columns (all, by default) with lang_pred and score (0 to 1: the posterior, with bounded evidence)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns (all, by default) with ``names``: language and score (0 to 1: the posterior, with bounded evidence)."""
     spark = docs.sparkSession
     ship(spark)
-    keep = tuple(docs.columns if keep is None else keep)
-    if clash := {"lang_pred", "score"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} would clash")
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in names)
+    outputs = names
     names, matrix = model
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(matrix.T))  # a row for each bucket
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(outputs[0], T.StringType()), T.StructField(outputs[1], T.DoubleType())])
     buckets = matrix.shape[1]
 
     def run(batches):
@@ -136,7 +137,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 pred = [names[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, n) for c in cols[:-1]), pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))], schema.fieldNames())
 
-    return docs.select(*keep, letters_only(F.coalesce(F.col(text), F.lit(""))).alias("__letters")).mapInArrow(run, schema)
+    return docs.select(*keep, letters_only(F.coalesce(F.col(text), F.lit(""))).alias(fresh(docs, "__letters"))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,4 +148,4 @@ def held_out(doc_id: Column) -> Column:
 def learn_and_predict(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Trained on the rows that are not held out, applied to all."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, keep=(*keep, "held_out"))
+    return predict(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, keep=(*(c for c in keep if c != "held_out"), "held_out"))

@@ -5,8 +5,8 @@ first; what remains of a document is 0 to window-1 ids long, so that a corpus of
 any size is described by a histogram of window-1 lengths.  Shallow combinations
 (one, two or three lengths that fill the window) are enumerated, their repeat
 counts are solved against the histogram by non-negative least squares on the
-driver, rounded down and made feasible.  What the rounded plan leaves is packed
-greedily: the pieces left follow one another and are cut at window borders; the
+driver, rounded and made feasible, twice: what the first plan leaves is solved for
+again.  What both leave is packed greedily: the pieces left follow one another and are cut at window borders; the
 last partial window is cut into powers of two, which need no padding.
 
 Only the histogram and the plan, both of bounded size, pass through the driver.
@@ -36,7 +36,6 @@ from .bpe import _bytes_of, _state, _word_spans
 from .common import materialise, ship
 
 WINDOW = 1024
-MAX_COMBINATIONS = 6000
 
 
 class WordTokenizer:
@@ -164,8 +163,11 @@ def tokenise(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: s
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, TOKENISED)
 
 
-def combinations(histogram: np.ndarray, window: int = WINDOW, most: int = MAX_COMBINATIONS) -> np.ndarray:
-    """Rows of up to three lengths (0: none) that fill the window, of lengths that occur; powers of two also stand alone."""
+def combinations(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """All rows of up to three lengths (0: none) that fill the window, of lengths that occur; powers of two also stand alone.
+
+    Their number depends on the window only: at most 87,381 + 512 + 10 for 1,024.
+    """
     have = histogram > 0
     have[0] = False
     out = [(x, 0, 0) for x in (1 << k for k in range(window.bit_length() - 1)) if x < window and have[x]]
@@ -175,23 +177,25 @@ def combinations(histogram: np.ndarray, window: int = WINDOW, most: int = MAX_CO
         if have[a]:
             b = np.arange(a, (window - a) // 2 + 1)
             b = b[have[b] & have[window - a - b]]
-            triples += [(a, int(x), window - a - int(x)) for x in b]
-    step = max(1, -(-len(triples) // max(1, most - len(out))))
-    return np.array(out + triples[::step], np.int64).reshape(-1, 3)
+            triples.append(np.stack((np.full(len(b), a), b, window - a - b), 1))
+    return np.concatenate((np.array(out, np.int64).reshape(-1, 3), *triples))
 
 
-def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Repeat counts: non-negative least squares by accelerated projected gradients, on index lists instead of a matrix."""
     h = histogram.astype(float)
+    h[0] = 0
     if not len(combos) or h.sum() == 0:
         return np.zeros(len(combos))
-    use = combos > 0
+    columns = [np.ascontiguousarray(c) for c in combos.T]
 
     def forward(x):
-        return np.bincount(combos[use], weights=np.broadcast_to(x[:, None], combos.shape)[use], minlength=len(h))
+        out = sum(np.bincount(c, weights=x, minlength=len(h)) for c in columns)
+        out[0] = 0  # no length
+        return out
 
     def back(r):
-        return np.where(use, r[combos], 0.0).sum(1)
+        return sum(r[c] for c in columns)  # r[0] is 0
 
     v = np.ones(len(combos))
     for _ in range(30):  # the largest eigenvalue, for the step
@@ -199,12 +203,10 @@ def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.nd
         norm = np.linalg.norm(v)
         v /= norm
     step = 0.95 / norm
-    target = h.copy()
-    target[0] = 0
     x = y = np.zeros(len(combos))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * back(forward(y) - target))
+        new = np.maximum(0, y - step * back(forward(y) - h))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         x, y, t = new, new + (t - 1) / t2 * (new - x), t2
     return x
@@ -212,24 +214,27 @@ def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.nd
 
 def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[dict], np.ndarray, int]:
     """Allotments of each length's ranks to sequences, the counts left for the greedy part, and sequences used."""
-    combos = combinations(histogram, window)
-    x = solve(combos, histogram)
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     taken = np.zeros(window, np.int64)
     rows, sequences = [], 0
-    for k in np.argsort(-x, kind="stable"):
-        lengths, times = np.unique(combos[k][combos[k] > 0], return_counts=True)
-        repeat = int(min(np.floor(x[k] + 0.5), *(left[v] // m for v, m in zip(lengths, times, strict=True))))
-        if repeat <= 0:
-            continue
-        offset = 0
-        for v, m in zip(lengths.tolist(), times.tolist(), strict=True):
-            rows.append({"rem": v, "first": int(taken[v]), "count": repeat * m, "times": m, "sequence": sequences, "at": offset})
-            taken[v] += repeat * m
-            left[v] -= repeat * m
-            offset += v * m
-        sequences += repeat
+    for _ in range(2):
+        combos = combinations(left, window)
+        x = solve(combos, left)
+        # what rounding takes from a combination its neighbours get, so that sums over neighbours are kept
+        whole = np.diff(np.floor(np.concatenate(([0.0], np.cumsum(x))) + 0.5)).astype(np.int64)
+        for combo, repeat in zip(combos[whole > 0].tolist(), whole[whole > 0].tolist(), strict=True):
+            times = {v: combo.count(v) for v in combo if v}
+            repeat = min(repeat, *(int(left[v]) // m for v, m in times.items()))
+            if repeat <= 0:
+                continue
+            offset = 0
+            for v, m in times.items():
+                rows.append({"rem": v, "first": int(taken[v]), "count": repeat * m, "times": m, "sequence": sequences, "at": offset})
+                taken[v] += repeat * m
+                left[v] -= repeat * m
+                offset += v * m
+            sequences += repeat
     return rows, left, sequences
 
 
@@ -283,7 +288,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str =
     )
     ranked = slim.where(F.col("rem") > 0).join(offsets, ["pid", "rem"]).withColumn("g", F.col("rem_base") + F.col("rem_rank")).withColumn("start", F.col("n_full") * F.lit(window))
 
-    # the plan: a few thousand rows at most, whatever the corpus
+    # the plan: a row for each length, a slot for each combination that is used, whatever the corpus
     per = {}
     for r in allotted:
         per.setdefault(r["rem"], []).append((r["first"], r["count"], r["times"], n_full + r["sequence"], r["at"]))

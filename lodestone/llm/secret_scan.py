@@ -7,10 +7,16 @@ samples over 65 character classes.  Counts are at most 2 x 65 x 65 numbers, so
 they may pass through the driver and become a literal matrix.
 
 Positions come from splitting the text at the matches: a match starts after the
-pieces and matches before it.  They are code points, ends exclusive.
+pieces and matches before it.  They are code points, ends exclusive.  Running
+lengths are added up in chunks, so that a text with very many matches costs little
+more than one with few.
+
+A span of the model may overlap base spans, but one that lies within a base span is
+left out.
 
 Defined results: a null or empty text has no spans; a model without samples adds
-none (every ratio is 0); rows and other columns are kept.
+none (every ratio is 0); rows and other columns are kept, also those named like an
+output: the spans' columns then get underscores behind their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run that fails the length fails from its first AKIA on, so the length can stand in the pattern
@@ -34,24 +42,36 @@ PRIOR_RANDOM, PRIOR_ORDINARY = 325.0, 6.5
 THRESHOLD = 0.7
 
 _SPAN = "struct<start: int, kind: int, end: int, found: string>"
+_CHUNK = 64
+
+
+def _let(value: Column, f) -> Column:
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _totals(sizes: Column) -> Column:
+    """Running totals of an array of ints: what stands before each entry.  Arrays grow by one entry a step within chunks only."""
+    empty = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    chunk = lambda c: F.aggregate(c, empty(), step)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _CHUNK).cast("int")), lambda i: chunk(F.slice(sizes, i * _CHUNK + 1, _CHUNK)))
+    whole = _let(chunks, lambda cs: F.zip_with(cs, F.aggregate(F.transform(cs, lambda c: c["at"]), empty(), step, lambda acc: acc["out"]), lambda c, base: F.transform(c["out"], lambda x: x + base)))
+    return F.when(F.size(sizes) > 0, F.flatten(whole)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(text: Column, pattern: str, kind: int, values: Column | None = None, least: int = 0) -> Column:
     """Spans of the matches, in order; those whose value is shorter than ``least`` are dropped after matching."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    value = F.transform(found, lambda m: F.length(m)) if values is None else F.transform(values, lambda v: F.length(v))
-    rows = F.arrays_zip(pieces.alias("gap"), found.alias("m"), value.alias("size"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["m"])
-        one = F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"), x["m"].alias("found"))
-        out = F.when(x["size"] >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), out.alias("out")))
+    def of(rows: Column) -> Column:
+        # rows: gap before a match, match, length of its value; the last row has only a gap
+        ends = _totals(F.transform(rows, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+        spans = F.zip_with(rows, ends, lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (at + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["m"].alias("found"), x["size"].alias("size")))
+        kept = F.filter(spans, lambda s: s["found"].isNotNull() & (s["size"] >= least))
+        return F.transform(kept, lambda s: F.struct(s["start"], s["kind"], s["end"], s["found"]))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    value = lambda m: F.transform(m if values is None else values, lambda v: F.length(v))
+    return _let(found, lambda m: _let(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), m.alias("m"), value(m).alias("size")), of)).cast(f"array<{_SPAN}>")
 
 
 def _none() -> Column:
@@ -126,20 +146,18 @@ def token_score(token: Column, ratios: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with base and spans: arrays of (start, kind, end, found), kinds numbered as in ``KINDS``."""
-    if clash := {"base", "spans"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} would clash")
+    """``docs`` with two columns behind its own, base and spans: arrays of (start, kind, end, found), kinds numbered as in ``KINDS``."""
+    base, spans, added = fresh(docs, "base"), fresh(docs, "spans"), fresh(docs, "__added")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("base", base_spans(t))
+    out = docs.withColumn(base, base_spans(t))
     if ratios is None:
-        return out.withColumn("spans", F.col("base"))
+        return out.withColumn(spans, F.col(base))
     tokens = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
-    random = F.array_distinct(F.filter(F.array_distinct(tokens), lambda x: token_score(x, ratios) > threshold))
-    out = out.withColumn("__random", random)
-    free = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter(_spans(t, TOKEN, 3), lambda s: F.array_contains(F.col("__random"), s["found"]) & free(s))
-    out = out.withColumn("__added", F.when(F.size("__random") > 0, added).otherwise(_none()))
-    return out.withColumn("spans", F.array_sort(F.concat("base", "__added"))).drop("__random", "__added")
+    is_random = lambda x: token_score(x, ratios) > threshold
+    within = lambda s: F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    found = F.filter(_spans(t, TOKEN, 3), lambda s: is_random(s["found"]) & ~within(s))
+    out = out.withColumn(added, F.when(F.exists(tokens, is_random), found).otherwise(_none()))
+    return out.withColumn(spans, F.array_sort(F.concat(base, added))).drop(added)
 
 
 def listed(spans: Column) -> Column:
@@ -149,13 +167,16 @@ def listed(spans: Column) -> Column:
 
 
 def digests(scanned: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return scanned.select(*keep, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    """``keep`` columns, but for those named like an output, with counts, base_sha256 and listed spans of what ``scan`` returned."""
+    base, spans = (F.col(c) for c in scanned.columns[-2:])
+    n = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    out = {"n_assign": n(0), "n_access": n(1), "n_hex": n(2), "base_sha256": F.sha2(listed(base), 256), "spans": listed(spans)}
+    return scanned.select(*(c for c in keep if c not in out), *(v.alias(k) for k, v in out.items()))
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``text`` with every span replaced by ``mark`` (overlapping ones by one mark); base and spans go."""
-    t = F.col(text)
+    """What ``scan`` returned with every span of ``text`` replaced by ``mark`` (overlapping ones by one mark), without the spans' columns."""
+    t, (base, spans) = F.col(text), scanned.columns[-2:]
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -166,4 +187,4 @@ def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Da
     def end(acc: Column) -> Column:
         return F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), "")
 
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, F.aggregate("spans", start, step, end)).otherwise(t)).drop("base", "spans")
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(t)).drop(base, spans)

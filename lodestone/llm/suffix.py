@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import materialise, ship
+from .common import fresh, materialise, ship
 
 LENGTH = 200
 GRAM = 40
@@ -348,9 +348,11 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, text: str, doc_id: str, spans: DataFrame) -> DataFrame:
+    """``docs`` with its text's spans as the last column."""
+    d, t, found = fresh(docs, "__d"), fresh(docs, "__t"), fresh(docs, "__spans")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("__t", F.xxhash64(body))
-    return keyed.join(spans.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans")), ["__d", "__t"], "left").drop("__d", "__t")
+    keyed = docs.withColumns({d: F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), t: F.xxhash64(body)})
+    return keyed.join(spans.select(F.col("d").alias(d), F.col("t").alias(t), F.col("spans").alias(found)), [d, t], "left").drop(d, t)
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -373,7 +375,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", d
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], schema.fieldNames())
 
-    return rows.select(doc_id, F.col(text).cast("string"), "__spans").mapInArrow(run, schema)
+    return rows.select(doc_id, F.col(text).cast("string"), rows.columns[-1]).mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "later", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -401,4 +403,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "later", t
             cols = [pa.array(kept, pa.string()) if c == text else batch.column(i) for i, c in enumerate(order)]
             yield pa.RecordBatch.from_arrays(cols, order)
 
-    return rows.select(*order, F.col(text).cast("string").alias("__body"), "__spans").mapInArrow(run, schema)
+    return rows.select(*order, F.col(text).cast("string").alias(fresh(rows, "__body")), rows.columns[-1]).mapInArrow(run, schema)

@@ -7,11 +7,14 @@ before the shuffle, so that a hot source is no hot task) and written to its own
 folder, named by its batch number; the writer's ``_SUCCESS`` file commits it.
 Committing a batch again does nothing, and a batch that died half-way is
 overwritten, so deliveries may be repeated.  Totals are the sum of the committed
-folders; ``compact`` folds them into one.
+folders; ``compact`` folds them into one.  A snapshot's list of the batches it stands
+for is written before the snapshot itself, and counts from the moment the snapshot is
+committed: readers and crashes in between see either the batches or the snapshot.
 
 Defined results: null text has no tokens; null source, language or version are
 groups of their own; a group without documents and tokens is left out; an empty
-batch commits.
+batch commits.  In ``corpus_history`` rows without a doc_id count as documents of their
+own, and so do rows that repeat one whole; columns not named play no part.
 """
 
 from __future__ import annotations
@@ -71,7 +74,10 @@ class TokenRollup:
         if not fs.exists(root):
             return []
         names = sorted(s.getPath().getName() for s in fs.listStatus(root))
-        return [f"{self.path}/{n}" for n in names if n.startswith("batch=") and self._exists(f"{self.path}/{n}/_SUCCESS") and not self._exists(f"{self.path}/{n}/_FOLDED")]
+        done = [n for n in names if n.startswith("batch=") and self._exists(f"{self.path}/{n}/_SUCCESS")]
+        lists = [f"{self.path}/folds={n.removeprefix('batch=')}" for n in done if n.startswith("batch=snapshot-")]
+        folded = {r["value"] for r in self.spark.read.text(lists).collect()} if lists else set()  # names of batches
+        return [f"{self.path}/{n}" for n in done if n not in folded]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch once; false if it had been committed before."""
@@ -83,7 +89,9 @@ class TokenRollup:
         return True
 
     def totals(self) -> DataFrame:
-        folders = self.committed()
+        return self._summed(self.committed())
+
+    def _summed(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], DELTA)
         rows = self.spark.read.schema(DELTA).parquet(*folders)
@@ -93,10 +101,11 @@ class TokenRollup:
     def compact(self, name: str) -> None:
         """Fold the committed batches into one; their numbers stay taken."""
         folders = self.committed()
-        if len(folders) > 1 and self.commit(f"snapshot-{name}", self.totals()):
-            for f in folders:
-                fs, p = self._fs(f"{f}/_FOLDED")
-                fs.create(p).close()
+        if len(folders) < 2 or self._exists(f"{self.path}/batch=snapshot-{name}/_SUCCESS"):
+            return
+        names = [(f.rpartition("/")[2],) for f in folders]
+        self.spark.createDataFrame(names, "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/folds=snapshot-{name}")
+        self.commit(f"snapshot-{name}", self._summed(folders))
 
 
 def corpus_history(docs: DataFrame, path: str) -> TokenRollup:
@@ -112,7 +121,7 @@ def corpus_history(docs: DataFrame, path: str) -> TokenRollup:
     body = F.col("text").cast("string")
     counted = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(body, F.lit("")), 256).alias("digest"), token_count(body, old).alias("n_old"), token_count(body, new).alias("n_new"))
     counted = materialise(counted, "counted")
-    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    firsts = materialise(counted.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")  # written, so that adaptive execution can split a hot digest
     marked = counted.join(firsts, "digest").withColumn("copy", F.col("doc_id") != F.col("first"))
     rollup = TokenRollup(spark, path)
     rollup.commit("0001", inserts(counted, old, F.col("n_old")))
@@ -130,7 +139,7 @@ WITH counted AS (
          length(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\n\\r]')) AS n_new
   FROM documents
 ), kept AS (
-  SELECT * FROM (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first FROM counted) WHERE doc_id = first
+  SELECT * FROM (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first FROM counted) WHERE doc_id = first OR doc_id IS NULL
 )
 SELECT source, lang, CASE WHEN n_old > 1000 THEN 'pieces-2' ELSE 'words-1' END AS version,
        count(*) AS documents, CAST(sum(CASE WHEN n_old > 1000 THEN n_new ELSE n_old END) AS BIGINT) AS tokens

@@ -6,30 +6,39 @@ is its header line and as many bytes as that line declares.  The converter
 synthesises what WARC asks for besides: record identifiers (from target, date
 and payload), W3C timestamps, record types and SHA-1 digests in base32.
 
-Archives are rows (name, content) of bounded size, so that Spark deals them out;
-WARC files are written by Spark's text sink (a record is a value, its last line
-feed the separator) and read back through ``binaryFile``.  Only page numbers and
-digests are shuffled to find equal payloads, then each record once.
+Archives are rows (name, content) of bounded size, so that Spark deals them out.
+They are parsed once, into a table in the shared folder.  WARC files are closed
+beyond ``WARC_BYTES``; each record is a gzip member, and each file one row of
+Spark's text sink, which writes a file a row.  They are read back through
+``binaryFile``.  Only page numbers and digests are shuffled to find equal payloads,
+then each record once.
+
+Header lines are read from both ends: the length is their last field, and where a
+target or a content type holds spaces the date (of 14 digits, as a rule) behind an
+address tells the fields apart.  A line without a date and a readable length is no
+header: it and what follows it up to the next header line are one record with empty
+fields, marked ``unspecified``.
 
 Defined results: a null payload is empty; a null url becomes ``urn:page:<id>``;
 a row with a null page_id is always a response; rows of one page_id with equal
 payloads are all responses if that page_id is the smallest; an empty table gives
 no archives and no rows; a record whose declared length exceeds its file is kept
-and marked ``WARC-Truncated``.
+and marked ``length``; both marks become ``WARC-Truncated``.  Columns other than the
+three named play no part.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch, ship
+from .common import materialise, scratch, ship
 
 #: Fixed values of the ARC format: the field names of its two versions.
 ARC_FIELDS = {
@@ -37,8 +46,9 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 ARC_BYTES = 2 << 20  # an archive is closed beyond this
+WARC_BYTES = 16 << 20  # and a WARC file
 NO_DATE = "19700101000000"
-RECORDS = "uri string, ip string, date string, content_type string, page_id bigint, http binary, payload binary, payload_digest string, truncated boolean"
+RECORDS = "uri string, ip string, date string, content_type string, page_id bigint, http binary, payload binary, payload_digest string, truncated string"
 
 
 def digest32(payload: bytes) -> str:
@@ -69,34 +79,61 @@ def arc_record(uri: str, date: str, content_type: str, block: bytes, version: in
     return " ".join(fields[f] for f in ARC_FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
+_DATE = re.compile(r"\d{8}|\d{10}|\d{12}|\d{14}|\d{17}")
+_ADDRESS = re.compile(r"\d{1,3}(\.\d{1,3}){3}|[0-9a-fA-F:.]*:[0-9a-fA-F:.]*|-")
+
+
+def arc_header(line: str, names: list[str]) -> dict[str, str] | None:
+    """Fields of a header line, or null if it is none: its last field is the length, a date stands behind an address."""
+    values = line.split(" ")
+    extra = len(values) - len(names)
+    at = names.index("Archive-date")
+    if extra < 0 or not values[-1].isdigit():
+        return None
+    after = len(names) - at - 1  # fields behind the date
+    dated = [i for i in range(at, len(values) - after) if _DATE.fullmatch(values[i])]
+    behind = [i for i in dated if _ADDRESS.fullmatch(values[i - 1])] or ([at] if extra == 0 and values[at].isdigit() else dated)
+    if not behind:
+        return None
+    i = behind[0]
+    tail = len(values) - (after - 1)  # where the content type ends
+    values = [" ".join(values[: i - at + 1]), *values[i - at + 1 : i + 1], " ".join(values[i + 1 : tail]), *values[tail:]]
+    return dict(zip(names, values, strict=True))
+
+
 def parse_arc(content: bytes):
-    """(fields, block, truncated) of every record after the version block; field names come from that block."""
+    """(fields, block, mark) of every record after the version block; field names come from that block, the mark is null, ``length`` or ``unspecified``."""
     pos, names = 0, None
+
+    def line_at(p: int):
+        end = content.find(b"\n", p)
+        end = len(content) if end < 0 else end
+        return end, content[p:end].decode("utf-8", "replace").rstrip("\r")
+
     while pos < len(content):
         if content[pos : pos + 1] in (b"\n", b"\r"):
             pos += 1
             continue
-        end = content.find(b"\n", pos)
-        if end < 0:
-            return
-        values = content[pos:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if names is None:
-            names = ARC_FIELDS[2 if len(values) >= 10 else 1]
-        if len(values) < len(names):
-            pos = end + 1
+        end, line = line_at(pos)
+        fields = arc_header(line, names or ARC_FIELDS[2 if line.count(" ") >= 9 else 1])
+        if fields is None:
+            begin = pos
+            while pos < len(content):  # on to the next header line
+                end, line = line_at(pos)
+                if pos > begin and ":" in line and arc_header(line, names or ARC_FIELDS[1]):
+                    break
+                pos = end + 1
+            yield dict.fromkeys(names or ARC_FIELDS[1], ""), content[begin:pos], "unspecified"
             continue
-        if len(values) > len(names):  # a content type or url with spaces
-            values = [" ".join(values[: len(values) - len(names) + 1]), *values[len(values) - len(names) + 1 :]]
-        fields = dict(zip(names, values, strict=True))
-        length = int(fields["Archive-length"]) if fields["Archive-length"].isdigit() else 0
+        length = int(fields["Archive-length"])
         block = content[end + 1 : end + 1 + length]
         pos = end + 1 + length
         if fields["URL"].startswith("filedesc://"):
             lines = block.decode("utf-8", "replace").split("\n")
-            if len(lines) > 1 and lines[1].split():
+            if len(lines) > 1 and {"Archive-date", "Content-type", "Archive-length"} <= set(lines[1].split()):
                 names = lines[1].split()
             continue
-        yield fields, block, len(block) < length
+        yield fields, block, "length" if len(block) < length else None
 
 
 def pages_to_arc(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", version: int | None = None) -> DataFrame:
@@ -146,11 +183,11 @@ def header_value(http: bytes, name: bytes) -> str | None:
     return m[1].decode("utf-8", "replace").strip() if m else None
 
 
-def arc_records(arcs: DataFrame, with_blocks: bool = True) -> DataFrame:
-    """Parsed records of archives (``content`` binary): ``RECORDS``; ``with_blocks`` false leaves http and payload null."""
+def arc_records(arcs: DataFrame) -> DataFrame:
+    """Parsed records of archives (``content`` binary): ``RECORDS``."""
     ship(arcs.sparkSession)
     names = [c.split(" ")[0] for c in RECORDS.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.bool_()]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -159,7 +196,7 @@ def arc_records(arcs: DataFrame, with_blocks: bool = True) -> DataFrame:
                 for f, block, cut in parse_arc(content.as_py() or b""):
                     http, payload = split_http(block)
                     number = header_value(http, b"X-Page-Id")
-                    rows.append((f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], int(number) if number else None, http if with_blocks else None, payload if with_blocks else None, digest32(payload), cut))
+                    rows.append((f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], int(number) if number and re.fullmatch(r"-?\d{1,18}", number) else None, http, payload, digest32(payload), cut))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -173,6 +210,7 @@ def repeated(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, payload_digest, refers_to) of every record that revisits one of a smaller page_id."""
     seen = records.where(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes)).groupBy("page_id", "payload_digest").agg(F.first("size").alias("size"))
     first = seen.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    first = materialise(first, "responses")
     return seen.join(first, "payload_digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "payload_digest", "refers_to")
 
 
@@ -181,54 +219,86 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(records: DataFrame, revisits: DataFrame, path: str) -> None:
-    """WARC files (gzip) of ``RECORDS``; those in ``revisits`` keep their HTTP headers and refer to the response."""
+def gzip_member(data: bytes) -> bytes:
+    return (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(data) + z.flush()
+
+
+def write_warc(records: DataFrame, revisits: DataFrame, path: str, close_at: int = WARC_BYTES) -> None:
+    """WARC files (a gzip member a record) of ``RECORDS``; those in ``revisits`` keep their HTTP headers and refer to the response."""
     ship(records.sparkSession)
     joined = records.join(revisits, ["page_id", "payload_digest"], "left").select("uri", "ip", "date", "content_type", "page_id", "http", "payload", "payload_digest", "truncated", "refers_to")
 
     def run(batches):
-        begun = False
+        held, size = [], 0
+
+        def closed():
+            # a member ends in its length, the last byte of which is 0 below 16 MB; that byte is written by the sink
+            data = b"".join(held)
+            data = data if data[-1] == 0 else data + gzip_member(b"")
+            return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], ["value"])
+
         for batch in batches:
-            out = []
-            if not begun:
-                begun = True
-                out.append(warc_record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>"), ("WARC-Date", w3c_date(NO_DATE)), ("Content-Type", "application/warc-fields")], b"software: lodestone\r\nformat: WARC File Format 1.1\r\n"))
             for uri, ip, date, kind, page, http, payload, digest, cut, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not held:
+                    held.append(gzip_member(warc_record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>"), ("WARC-Date", w3c_date(NO_DATE)), ("Content-Type", "application/warc-fields")], b"software: lodestone\r\nformat: WARC File Format 1.1\r\n")))
                 when = w3c_date(date)
-                headers = [("WARC-Record-ID", record_id(uri, when, digest, page)), ("WARC-Date", when), ("WARC-Target-URI", uri), ("WARC-IP-Address", ip), ("WARC-Payload-Digest", f"sha1:{digest}")]
+                headers = [("WARC-Record-ID", record_id(uri, when, digest, page)), ("WARC-Date", when), ("WARC-Target-URI", uri or "urn:unknown"), ("WARC-IP-Address", ip or "0.0.0.0"), ("WARC-Payload-Digest", f"sha1:{digest}")]
                 if page is not None:
                     headers.append(("X-Page-Id", str(page)))
                 if cut:
-                    headers.append(("WARC-Truncated", "length"))
+                    headers.append(("WARC-Truncated", cut))
                 if http:
                     headers.append(("Content-Type", "application/http; msgtype=response"))
                 else:
-                    headers.append(("Content-Type", kind))
+                    headers.append(("Content-Type", kind or "application/octet-stream"))
                 if first is not None:
                     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(first))]
-                    out.append(warc_record("revisit", [*headers, ("X-Payload-Length", str(len(payload)))], http))
+                    record = warc_record("revisit", [*headers, ("X-Payload-Length", str(len(payload)))], http)
                 else:
-                    out.append(warc_record("response" if http else "resource", [*headers, ("WARC-Block-Digest", f"sha1:{digest32(http + payload)}")], http + payload))
-            yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in out], pa.binary())], ["value"])  # the sink writes the last line feed
-
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").text(path)
+                    record = warc_record("response" if http else "resource", [*headers, ("WARC-Block-Digest", f"sha1:{digest32(http + payload)}")], http + payload)
+                held.append(gzip_member(record))
+                size += len(held[-1])
+                if size >= close_at:
+                    yield closed()
+                    held, size = [], 0
+        if held:
+            yield closed()
+
+    files = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(content: bytes):
+    """The gzip members of a file, one at a time; a file that is not compressed is one."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, pos = memoryview(content), 0
+    while content[pos : pos + 2] == b"\x1f\x8b":
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and pos < len(view):
+            part = view[pos : pos + 16384]
+            out.append(z.decompress(part))
+            pos += len(part)
+        pos -= len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse_warc(content: bytes):
-    """(headers, block) of every record of one file; gzip members are opened."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    pos = 0
-    while (pos := data.find(b"WARC/", pos)) >= 0:
-        end = data.find(b"\r\n\r\n", pos)
-        if end < 0:
-            return
-        headers = {}
-        for line in data[pos:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            headers[k.strip().lower()] = v.strip()
-        n = int(headers.get("content-length", "0"))
-        yield headers, data[end + 4 : end + 4 + n]
-        pos = end + 4 + n
+    """(headers, block) of every record of one file."""
+    for data in members(content):
+        pos = 0
+        while (pos := data.find(b"WARC/", pos)) >= 0:
+            end = data.find(b"\r\n\r\n", pos)
+            if end < 0:
+                break
+            headers = {}
+            for line in data[pos:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                k, _, v = line.partition(":")
+                headers[k.strip().lower()] = v.strip()
+            n = int(headers.get("content-length", "0"))
+            yield headers, data[end + 4 : end + 4 + n]
+            pos = end + 4 + n
 
 
 READ = "record_id string, record_type string, uri string, date string, page_id bigint, payload_bytes bigint, payload_digest string, digest_ok boolean, refers_to bigint, payload binary"
@@ -264,8 +334,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 def convert(arcs: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Archives to WARC files in ``path``; of equal payloads of ``least_bytes`` or more all but one become revisits."""
-    slim = arc_records(arcs).select("page_id", "payload_digest", F.length("payload").alias("size"))
-    write_warc(arc_records(arcs), repeated(slim, least_bytes), path)
+    records = materialise(arc_records(arcs), "arc-records")
+    slim = records.select("page_id", "payload_digest", F.length("payload").alias("size"))
+    write_warc(records, materialise(repeated(slim, least_bytes), "revisits"), path)
 
 
 def pages_through_warc(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -1,35 +1,89 @@
-"""Empty tables, nulls in any column, repeated rows and columns that clash with the operators' own names."""
+"""Empty tables, nulls in any column, very long texts, repeated rows and columns that clash with the operators' own names."""
+
+import hashlib
+import struct
 
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+import corpus_pipeline  # noqa: E402
 from lodestone.llm import bpe, common, fingerprint, langid, minhash, packing, secret_scan, suffix, token_rollup  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, d string, comp string"
-HELLO = (1, "hello there you all good", "en", "s", 0, "x", "y", "z")
-CASES = {
-    "empty": [],
-    "one": [(5, "the only text", "en", "s", 1, "a", "b", "c")],
-    "nulls": [(None,) * 8, (None, "a b c d e f", "en", None, None, "x", "y", "z"), (1, None, "en", "s", 0, "x", "y", "z"), HELLO, HELLO, (2, *HELLO[1:])],
-}
+NAMES = "score lang_pred base spans ids n_tokens decoded held_out node d t x comp class_id token __d __t __spans __body __added __letters __keep kind".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES)
+MORE = tuple(f"own {n}" for n in NAMES)
+HELLO = (1, "hello there you all good", "en", "s", 24, *MORE)
+NULLS = [(None,) * len(HELLO), (None, "a b c d e f", "en", None, None, *MORE), (1, None, "en", "s", 0, *MORE), HELLO, HELLO, (2, *HELLO[1:])]
+TIKTOKEN, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+def texts(rows):
+    return [r[1] or "" for r in rows]
+
+
+def encoder():
+    tiktoken = pytest.importorskip("tiktoken")
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(TIKTOKEN), special_tokens={})
+
+
+def ids_sha(t):
+    ids = encoder().encode_ordinary(t)
+    return hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+
+
+def key(rows):
+    return sorted(rows, key=repr)
+
+
+#: For each operator, what it returns of the rows with nulls.
 OPERATORS = {
-    "bpe": (lambda d: bpe.encode(d, public_tokenizers.path("byte_bpe_50k.tiktoken")), 6),
-    "fingerprint": (lambda d: fingerprint.digests(fingerprint.fingerprints(d)), 6),
-    "classes": (minhash.classes, 6),
-    "deduplicate": (minhash.deduplicate, 5),
-    "language": (langid.learn_and_predict, 6),
-    "secrets": (lambda d: secret_scan.digests(secret_scan.scan(d, secret_scan.train(secret_scan.labelled_samples(d)))), 6),
-    "removal": (suffix.removal_digests, 6),
-    "remove": (suffix.remove_repeats, 6),
-    "rollup": (lambda d: token_rollup.corpus_history(d, common.scratch(d.sparkSession, "rollup")).totals(), 3),
-    "packing": (lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "doc_tokens", "sequence_id"), None),
+    "bpe": (lambda d: bpe.encode(d, TIKTOKEN, keep=("doc_id", "ids", "comp")).select("doc_id", "comp", "ids_sha256"), lambda rows: [(r[0], r[5 + NAMES.index("comp")], ids_sha(r[1] or "")) for r in rows]),
+    "fingerprint": (lambda d: fingerprint.fingerprints(d).select("doc_id", "n_chars"), lambda rows: [(r[0], len(r[1] or "")) for r in rows]),
+    "classes": (lambda d: minhash.classes(d).select("doc_id", "class_id", "class_size"), lambda rows: [(None, 1, 2), (None, None, 1), (1, 1, 2), (1, 1, 3), (1, 1, 3), (2, 1, 3)]),
+    "deduplicate": (minhash.deduplicate, lambda rows: rows[1:5]),
+    "language": (lambda d: langid.learn_and_predict(d, keep=("doc_id", "score", "comp")).select("doc_id", "comp", "lang_pred"), lambda rows: [(r[0], r[5 + NAMES.index("comp")], "en" if r[1] else "und") for r in rows]),
+    "secrets": (lambda d: secret_scan.digests(secret_scan.scan(d, secret_scan.train(secret_scan.labelled_samples(d))), ("doc_id", "spans", "comp")).select("doc_id", "comp", "spans"), lambda rows: [(r[0], r[5 + NAMES.index("comp")], "") for r in rows]),
+    "redact": (lambda d: secret_scan.redact(secret_scan.scan(d, secret_scan.train(secret_scan.labelled_samples(d)))), lambda rows: rows),
+    "removal": (lambda d: suffix.removal_digests(d).select("doc_id", "n_bytes", "n_removed", "kept_sha256"), lambda rows: [(r[0], len(r[1] or ""), 0, hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows]),
+    "remove": (suffix.remove_repeats, lambda rows: rows),
+    "rollup": (lambda d: token_rollup.corpus_history(d, common.scratch(d.sparkSession, "rollup")).totals(), lambda rows: [(None, None, "words-1", 1, 0), (None, "en", "words-1", 1, 6), ("s", "en", "words-1", 3, 10)]),
+    "packing": (lambda d: packing.pack(d, JSON).groupBy("doc_id").agg({"length": "sum"}), lambda rows: [(None, 1 + 7), (1, 1 + 6 + 6), (2, 6)]),
 }
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_edges(spark, name):
-    f, n = OPERATORS[name]
-    got = {k: f(spark.createDataFrame(v, SCHEMA)).count() for k, v in CASES.items()}
-    assert got["empty"] == 0 and got["one"] == 1
-    assert got["nulls"] == n if n is not None else got["nulls"] >= 6
+    f, want = OPERATORS[name]
+    assert f(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert f(spark.createDataFrame([(5, "the only text", *HELLO[2:])], SCHEMA)).count() == 1
+    assert key(map(tuple, f(spark.createDataFrame(NULLS, SCHEMA)).collect())) == key(want(NULLS))
+
+
+def test_very_long_texts(spark):
+    """Megabytes of one word, of no white space, of very many secrets: whole results."""
+    line = "password=0123456789abcdef0123 and more of it\n"
+    long = ["word " * 300_000, "x" * 1_000_000, line * 20_000]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(long)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in secret_scan.digests(secret_scan.scan(docs, [0.0] * secret_scan.N**2)).collect()}
+    assert (got[2].n_assign, got[2].n_hex) == (20_000, 20_000)
+    assert got[2].spans.startswith("assign:0:29,hex:9:29,assign:45:74,") and got[2].spans.endswith(f"hex:{45 * 19_999 + 9}:{45 * 19_999 + 29}")
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == {0: 0, 1: 1, 2: 2}
+    assert {r.doc_id: (r.n_chars, len(r.sketch)) for r in fingerprint.fingerprints(docs).collect()} == {0: (1_500_000, 1), 1: (1_000_000, 1), 2: (900_000, 5)}
+    assert {r.doc_id: r.lang_pred for r in langid.learn_and_predict(docs).collect()} == {0: "en", 1: "en", 2: "en"}
+    assert {r.doc_id: r.n_removed for r in suffix.removal_digests(docs).collect()} == {0: 1_500_000, 1: 1_000_000, 2: 900_000}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.encode(docs.where("doc_id <> 1"), TIKTOKEN, digests_only=True).collect()} == {i: ids_sha(long[i]) for i in (0, 2)}
+
+
+@pytest.mark.parametrize("rows", [[], NULLS, [(i, "this is a text of some words, number " + " ".join(str(i * k) for k in range(20)), *HELLO[2:]) for i in range(6)]], ids=["empty", "nulls", "texts"])
+def test_pipeline_edges(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialise(stage(spark, docs, ""), f"edge-{name}")
+        if name != "sequence_packing":
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert tuple(r)[5:] == MORE
+        docs = out
+    ids = sorted({r.doc_id for r in docs.collect() if r.doc_id is not None})
+    assert ids == ([] if not rows else [1] if rows is NULLS else list(range(6)))

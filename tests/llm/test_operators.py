@@ -57,8 +57,36 @@ def test_bpe(docs, corpus):
         g = got[r[0]]
         assert (g.ids, g.n_tokens, bytes(g.decoded)) == (ids, len(ids), body(r).encode())
         assert g.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
-    with pytest.raises(ValueError):
-        bpe.encode(docs.withColumn("ids", F.lit(1)), path, keep=("ids",))
+
+
+def test_bpe_words_that_a_polynomial_would_confuse(spark):
+    """A regular word of two letters and its complement: equal in every polynomial modulo 2**64."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    words = ["".join("ab"[b ^ flip] for b in bits[:n]) for n in (1024, 2048) for flip in (0, 1)]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in bpe.encode(df, path).collect()}
+    assert got == {i: (enc.encode_ordinary(w), w) for i, w in enumerate(words)}
+    t = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in packing.tokenise(df, public_tokenizers.path("byte_bpe_50k.json"), window=4096).collect():
+        ids = [*t.encode(words[r.doc_id], add_special_tokens=False).ids, 0]
+        assert list(struct.unpack(f"<{len(ids)}I", r.rem_ids)) == ids
+    assert len({r.node for r in minhash.classes(df).collect()}) == len(words)
+
+
+def test_bpe_dictionary_does_not_matter(docs, corpus):
+    """Words in and out of the dictionary, and whole tokens that no merge reaches."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    want = {r.doc_id: r.ids for r in bpe.encode(docs, path).collect()}
+    for most in (1, 20):
+        assert {r.doc_id: r.ids for r in bpe.encode(docs, path, max_dictionary=most).collect()} == want
+    ranks = {bytes([i]): i for i in range(256)} | {b" the and": 300}
+    spark = docs.sparkSession
+    many = spark.createDataFrame([("the andx",)] * 4, "text string").selectExpr("explode(array(text, ' x the')) AS text").coalesce(1)
+    got = {bytes(r.word): r.ids for r in bpe.dictionary(many, ranks | {b" the": 301}).collect()}
+    assert got[b" the"] == [301] and got[b" andx"] == list(b" andx")
 
 
 def test_bpe_fold_in_spark(spark):
@@ -78,7 +106,6 @@ def test_packing(docs, corpus):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {r[0]: [*t.encode(body(r), add_special_tokens=False).ids, 0] for r in corpus}
     rows = packing.pack(docs, path, window=64).collect()
     seq, covered = collections.defaultdict(list), collections.defaultdict(list)
@@ -150,10 +177,50 @@ def test_warc(spark):
         blob = warc.arc_version_block("n.arc", v) + warc.arc_record("http://a b", "20200102030405", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi", v, "n.arc", 0) + warc.arc_record("dns:a", "2020", "text/dns", b"1.2.3.4", v, "n.arc", 9)
         parsed = list(warc.parse_arc(blob))
         assert [(f["URL"], b) for f, b, _ in parsed] == [("http://a%20b", b"HTTP/1.0 200 OK\r\n\r\nhi"), ("dns:a", b"1.2.3.4")]
+    one, two = b"http://a/ 1.2.3.4 20200102030405 text/html; charset=utf-8 2\nhi\n", b"http://a b 1.2.3.4 20200102030405 text/html 9\nshort"
+    broken = b"http://b/ 1.2.3.4 20200102030405 text/html x\nno header here at all 5\n"
+    parsed = list(warc.parse_arc(warc.arc_version_block("n.arc", 1) + one + broken + two))
+    assert [(f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], b, mark) for f, b, mark in parsed] == [
+        ("http://a/", "1.2.3.4", "20200102030405", "text/html; charset=utf-8", b"hi", None),
+        ("", "", "", "", broken, "unspecified"),
+        ("http://a b", "1.2.3.4", "20200102030405", "text/html", b"short", "length"),
+    ]
     assert warc.w3c_date("20200102030405") == "2020-01-02T03:04:05Z"
     assert warc.digest32(b"a") == base64.b32encode(hashlib.sha1(b"a").digest()).decode()
 
 
+def test_warc_files(spark, tmp_path):
+    """Files are closed beyond a size, hold a gzip member a record, and any gzip reader opens them; bad header lines pass through."""
+    import glob
+    import gzip
+
+    arc = warc.arc_version_block("n.arc", 2) + b"".join(warc.arc_record(f"http://a/{i}", "20200102030405", "text/html", f"HTTP/1.0 200 OK\r\nX-Page-Id: {i}\r\n\r\n".encode() + random.Random(i).randbytes(3000), 2, "n.arc", 0) for i in range(20)) + b"lost line\n"
+    arcs = spark.createDataFrame([("n.arc", bytearray(arc))], "name string, content binary")
+    records = common.materialise(warc.arc_records(arcs), "records")
+    warc.write_warc(records, warc.repeated(records.selectExpr("page_id", "payload_digest", "length(payload) AS size")), f"file://{tmp_path}/w", close_at=10_000)
+    files = glob.glob(f"{tmp_path}/w/part-*")
+    assert len(files) >= 5
+    kept = [r for f in files for r in warc.parse_warc(open(f, "rb").read())]
+    assert len(kept) == 21 + len(files) and sum(h["warc-type"] == "warcinfo" for h, _ in kept) == len(files)
+    assert [list(warc.parse_warc(gzip.open(f).read())) for f in files] == [list(warc.parse_warc(open(f, "rb").read())) for f in files]
+    back = {r.page_id: r for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    assert set(back) == {None, *range(20)} and all(r.digest_ok for r in back.values()) and bytes(back[None].payload) == b"lost line\n"
+
+
+def test_warc_on_the_small_table(spark):
+    """The registered query against a plain version."""
+    from lodestone.llm.queries import QUERIES
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    first, want = {}, {}
+    for i, h in pages:
+        d = base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+        first[d] = min(first.get(d, i), i)
+        want[i] = [len((h or "").encode()), d]
+    want = {i: (n, d, "response" if first[d] == i else "revisit", None if first[d] == i else first[d]) for i, (n, d) in want.items()}
+    assert {r.page_id: tuple(r)[1:] for r in QUERIES["op3_arc_to_warc"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def weighted(a, b):
     f = lambda t: (lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter())(t.lower().split())
     a, b = f(a), f(b)
@@ -195,13 +262,39 @@ def test_near_family_without_a_centre(spark):
     assert [got[i] for i in range(12)] == [0] * 12 and all(got[i] == i for i in range(12, 17))
 
 
+def test_near_duplicates_without_numbers(spark):
+    """Rows without a doc_id are compared like others."""
+    rng = random.Random(9)
+    base = prose(rng, 100)
+    rows = [(None, base), (None, base + " one"), (7, base + " two"), (None, prose(rng, 100)), (8, prose(rng, 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.class_id, r.class_size) for r in minhash.classes(df).collect()], key=repr)
+    assert got == sorted([(None, 7, 3), (None, 7, 3), (7, 7, 3), (None, None, 1), (8, 8, 1)], key=repr)
+    assert {r.text for r in minhash.deduplicate(df).collect()} == {base + " two", rows[3][1], rows[4][1]}
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        n = int(rng.integers(1, 70))
+        s = rng.integers(0, int(rng.integers(1, 4)), n).astype(np.uint8)
+        factor, source = suffix.longest_previous(s, np.arange(n), n)
+        for i in range(n):
+            same = [next((k for k in range(n - i) if s[i + k] != s[j + k]), n - i) for j in range(i)]
+            assert factor[i] == max(same, default=0)
+            assert (source[i] == -1) if factor[i] == 0 else same[source[i]] == factor[i]
+        for least in (2, 5):
+            some, _ = suffix.longest_previous(s, np.arange(n), n, least)
+            assert some.tolist() == np.where(factor >= least, factor, 0).tolist()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (None, 5), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in cc.components(edges, spark.createDataFrame([(500,), (3,)], "node long")).collect()}
     assert got == {500: 500, 3: 0}
 
 
-@pytest.mark.parametrize("part_blocks", [2000, 2])
+@pytest.mark.parametrize("part_blocks", [2000, 2, 1])
 @pytest.mark.parametrize("mode", ["all", "later"])
 def test_repeats(docs, corpus, mode, part_blocks):
     n = 60
@@ -259,6 +352,15 @@ def test_rollup(spark, tmp_path):
     r.commit("3", token_rollup.revisions(df.where("source IS NULL"), "words-1", n, "pieces-2", token_rollup.token_count(F.col("text"), "pieces-2")))
     want = {("a", "en", "words-1", 1, 2), (None, "fr", "pieces-2", 1, 3)}
     assert {tuple(x) for x in r.totals().collect()} == want
+    batches = r.committed()
+    spark.createDataFrame([(b.rpartition("/")[2],) for b in batches], "value string").coalesce(1).write.text(f"{r.path}/folds=snapshot-s")  # a crash before the snapshot is there
+    assert r.committed() == batches and {tuple(x) for x in r.totals().collect()} == want
+    (tmp_path / "r" / "batch=9").mkdir()
+    r.totals().write.mode("overwrite").parquet(f"file://{tmp_path}/r/batch=9")
+    (tmp_path / "r" / "batch=9" / "_SUCCESS").unlink()  # a batch that died half-way
+    assert {tuple(x) for x in r.totals().collect()} == want
+    r.compact("s")
+    assert len(r.committed()) == 1
     r.compact("s")
     assert {tuple(x) for x in r.totals().collect()} == want and not r.commit("2", df.limit(0).selectExpr("source", "lang", "'v' version", "1L documents", "1L tokens"))
 
@@ -287,31 +389,138 @@ def test_secret_model(spark):
     assert secret_scan.train(spark.createDataFrame([], "token string, secret boolean")) == [0.0] * secret_scan.N**2
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(400, 16))
-    x[20:60] = x[0]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
-    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (None, rows[0][1]), (904, [None] * 16)]
+def test_secrets_by_plain_patterns(spark):
+    """Base spans of a table against the patterns in Python."""
+    import re
+
+    from lodestone.llm.queries import QUERIES
+
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    kinds = [("assign", assign, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
+    want = {}
+    for i, t in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        found = sorted((m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, fine) in enumerate(kinds) for m in p.finditer(t or "") if fine(m))
+        want[i] = (*(sum(k == j for _, j, _ in found) for k in range(3)), hashlib.sha256(",".join(x for _, _, x in found).encode()).hexdigest())
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op8_secret_scan"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and any(v[0] for v in want.values()) and any(v[2] for v in want.values())
+
+
+def test_secret_spans_on_planted_tokens(spark):
+    """Precision and recall of the model's own spans: random strings that no pattern knows, among long ordinary identifiers."""
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratios = secret_scan.train(secret_scan.labelled_samples(docs))
+    name = lambda: "_".join(rng.choice(["user", "session", "request", "handler", "index", "table", "column", "value", "config", "parser"]) for _ in range(rng.randint(4, 6)))
+    key = lambda: "".join(rng.choice(secret_scan.ALPHABET) for _ in range(rng.randint(24, 44)))
+    rows = [(i, f"see {key() if i % 2 else name()} here") for i in range(400)]
+    got = {r.doc_id: "model" in r.spans for r in secret_scan.digests(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios)).collect()}
+    hits = sum(got[i] for i in range(1, 400, 2))
+    false = sum(got[i] for i in range(0, 400, 2))
+    assert hits >= 0.95 * 200 and false <= 0.02 * 200
+    mixed = "Zk9Qx_0123456789abcdef_Tq7Lm2Vx9RbWKp"
+    r = secret_scan.digests(secret_scan.scan(spark.createDataFrame([(1, f"a {mixed} b")], "doc_id long, text string"), ratios)).first()
+    assert r.spans == f"model:2:{2 + len(mixed)},hex:8:24" and r.n_hex == 1
+
+
+def test_language_by_plain_counts(spark):
+    """Predictions of the small table against counts in plain Python with the same hashed n-grams; accuracy on held-out rows."""
+    import math
+    import re
+
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    mask = (1 << 64) - 1
+
+    def grams(t):
+        c = [ord(x) for x in regex.sub(r"[^\p{L}]+", " ", f" {t.lower()} ")]
+        for n in langid.ORDERS:
+            for i in range(len(c) - n + 1):
+                h = 0
+                for x in c[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + x + 1) & mask
+                yield (((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask) >> 48
+
+    counts = collections.defaultdict(collections.Counter)
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for i, t, lang in rows:
+        if t is not None and lang is not None and not out(i):
+            counts[lang].update(grams(t))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS for x in langs}
+    got = {r.doc_id: r for r in langid.learn_and_predict(docs).collect()}
+    for i, t, _ in rows:
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert got[i].lang_pred == "und"
+            continue
+        g = collections.Counter(grams(t))
+        score = [sum(n * math.log((counts[x][b] + langid.SMOOTHING) / total[x]) for b, n in g.items()) for x in langs]
+        best = sorted(score)
+        assert got[i].lang_pred == langs[score.index(best[-1])] or best[-1] - best[-2] < 1e-2
+    known = [(got[i].lang_pred, lang) for i, t, lang in rows if out(i) and lang is not None and t]
+    assert sum(a == b for a, b in known) >= 0.9 * len(known)
+
+
+def test_many_languages(spark):
+    """Beyond the matrix' bound buckets are halved; no language is left out."""
+    rng = random.Random(4)
+    names = [f"l{i}" for i in range(600)]
+    df = spark.createDataFrame([(i, "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(20)), x) for i, x in enumerate(names)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model[0]) == 600 and model[1].size <= langid.MATRIX
+    assert sum(r.lang_pred == r.lang for r in langid.predict(df, model).collect()) >= 590
+
+
+def recall(spark, x, rows, step, k=5):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.where(f"vec_id % {step} = 0"), k=k).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     v = x.astype(np.float32).astype(float)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    hit = 0
-    for q in range(0, 400, 20):
+    hit, n = 0, len(range(0, len(x), step))
+    for q in range(0, len(x), step):
         s = unit @ unit[q]
         s[q] = -9
-        order = np.lexsort((np.arange(400), -np.round(s, 12)))[:5]
+        order = np.lexsort((np.arange(len(x)), -np.round(s, 12)))[:k]
         hit += len({i for i, _ in got[q]} & set(order.tolist()))
-    assert hit >= 0.9 * 100 and len(got) == 20
+        for i, score in got[q]:
+            assert abs(score - s[i]) < 1e-12
+    assert len(got) == n
+    return got, hit / n / k
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x[20:60] = x[0]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (None, rows[0][1]), (904, [None] * 16)]
+    got, found = recall(spark, x, rows, 20)
+    assert found >= 0.9
     assert [i for i, _ in got[0]] == [20, 21, 22, 23, 24]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     few = df.where("vec_id < 3")
     assert ann.nearest(few, few).groupBy("query_id").count().where("count = 2").count() == 3
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_recall_on_the_embeddings_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert [i for i, _ in rows] == list(range(len(rows)))
+    _, found = recall(spark, np.array([v for _, v in rows]), rows, 50)
+    assert found >= 0.95
+
+
+@pytest.mark.parametrize("dim", [40, 200])
+def test_recall_of_noise(spark, dim):
+    """Isotropic noise, where neighbours are hardly nearer than others and the radius prunes."""
+    x = np.random.default_rng(5).normal(size=(3000, dim)).astype(np.float32)
+    _, found = recall(spark, x, [(i, [float(v) for v in r]) for i, r in enumerate(x)], 60)
+    assert found >= 0.9
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(0)
     code = rng.integers(0, 256, (500, 4), dtype=np.uint8)
