@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 U64 = np.uint64
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit (xor-shift and multiply, 64 bits)."""
