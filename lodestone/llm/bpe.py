@@ -271,6 +271,7 @@ def _counter(most: int, max_bytes: int):
     """mapInArrow: distinct words of each task with their counts; flushed when ``most`` words are held."""
 
     def run(batches):
+        tk.begin()
         index, counts, pieces = tk.HashIndex(), np.zeros(0, np.int64), []
 
         def flush():
@@ -358,17 +359,6 @@ def _collected(spark, words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
     return distinct, off, val
 
 
-_STATE: dict = {}
-
-
-def _state(key, build):
-    """Kept between tasks of a worker; one entry."""
-    if _STATE.get("key") != key:
-        _STATE.clear()
-        _STATE.update(key=key, value=build())
-    return _STATE["value"]
-
-
 def encode(
     docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_dictionary: int = MAX_DICTIONARY, digests_only: bool = False
 ) -> DataFrame:
@@ -388,7 +378,7 @@ def encode(
 
     def run(batches):
         vocab, h0, o0, v0 = shared.value
-        lists = _state(("bpe", run_id), lambda: tk.WordLists(h0, o0, v0))
+        lists = tk.state(("bpe", run_id), lambda: tk.WordLists(h0, o0, v0))
         for batch in batches:
             for a, b, raw, offsets in tk.chunks(batch.column(len(keep))):
                 if len(raw):

@@ -77,6 +77,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
         buckets //= 2
 
     def count(batches):
+        tk.begin()
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
@@ -116,6 +117,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     buckets = matrix.shape[1]
 
     def run(batches):
+        tk.begin()
         logp = shared.value
         for batch in batches:
             cols = batch.columns

@@ -116,6 +116,7 @@ def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        tk.begin()
         for batch in batches:
             for a, b, raw, offsets in tk.chunks(batch.column(2)):
                 n = b - a

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .bpe import _bytes_of, _state, _word_spans
+from .bpe import _bytes_of, _word_spans
 from .common import materialise, ship
 
 WINDOW = 1024
@@ -114,7 +114,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: s
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        encode, lists = _state(("pack", tokenizer_path), lambda: (WordTokenizer(tokenizer_path), tk.WordLists()))
+        encode, lists = tk.state(("pack", tokenizer_path), lambda: (WordTokenizer(tokenizer_path), tk.WordLists()))
         row, full, ranks = 0, 0, np.zeros(window, np.int64)
         for batch in batches:
             for a, b, raw, offsets in tk.chunks(batch.column(1)):

@@ -94,6 +94,7 @@ def _places(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     names = [c.split(" ")[0] for c in ANCHORS.split(", ")]
 
     def run(batches):
+        tk.begin()
         for batch in batches:
             d_all, t_all = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for a, b, raw, offsets in tk.chunks(batch.column(2)):
@@ -246,6 +247,7 @@ def _blocks(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def run(batches):
+        tk.begin()
         for batch in batches:
             rows = []
             for d, t, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
@@ -385,6 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "later", t
     schema = T.StructType([T.StructField(text, T.StringType()) if c == text else docs.schema[c] for c in order])
 
     def run(batches):
+        tk.begin()
         for batch in batches:
             kept = []
             for raw, spans in zip(batch.column(len(order)), batch.column(len(order) + 1).to_pylist(), strict=True):

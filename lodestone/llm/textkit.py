@@ -8,7 +8,9 @@ word or per shingle.  Batches are cut at document borders into chunks of about
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,25 @@ import pyarrow.compute as pc
 
 CHUNK = 1_000_000
 U64 = np.uint64
+_STATE: dict = {}
+
+
+def state(key, build):
+    """Kept between tasks of a worker; one entry."""
+    if _STATE.get("key") != key:
+        begin()
+        _STATE.update(key=key, value=build())
+    return _STATE["value"]
+
+
+def begin() -> None:
+    """For tasks without a state: drop what another operator's tasks left in this worker, and give freed memory back."""
+    _STATE.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit (xor-shift and multiply, 64 bits)."""
     h = h ^ (h >> U64(30))
