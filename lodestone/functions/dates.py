@@ -5,28 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Accepted formats, day before month where both could hold.
-FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss z", "MMM d, yyyy", "d MMMM yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd"]
-#: Seconds of the units of relative dates, in English and French; a month is 30 days.
-UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000, "heure": 3600, "jour": 86400, "semaine": 604800, "mois": 2592000, "an": 31536000}
-MONTHS = ["jan", "f[eé]b|f[eé]v", "mar", "apr|avr", "ma[yi]", "jun|juin", "jul|juil", "aug|ao[uû]", "sep", "oct", "nov", "d[eé]c"]
+FORMATS = [
+    "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy",
+    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z",
+]
+#: Seconds of the units of relative dates, in English and French; a month is 30 days, a year 365.
+UNITS = {
+    "second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000,
+    "seconde": 1, "heure": 3600, "jour": 86400, "semaine": 604800, "mois": 2592000, "an": 31536000, "année": 31536000,
+}
+#: Beginnings of the names of months, in English and French.
+MONTHS = ["jan", "feb|f[eé]v", "mar", "apr|avr", "may|mai", "jun|juin", "jul|juil", "aug|ao[uû]t", "sep", "oct", "nov", "dec|déc"]
+
+
+def relative_time(x: Column, now: Column) -> Column:
+    """"5 days ago", "il y a 3 semaines", "hier", "just now"; null if nothing says when."""
+    low = F.lower(x)
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    p = rf"(?U)\b(\d+)\+?\s*({units})s?\b"
+    table = F.create_map(*[F.lit(v) for kv in UNITS.items() for v in kv])
+    back = F.regexp_extract(low, p, 1).try_cast("bigint") * F.try_element_at(table, F.regexp_extract(low, p, 2))
+    ago = lambda seconds: F.timestamp_seconds(F.unix_timestamp(now) - seconds)
+    return F.when(low.rlike("just now|moments ago|à l'instant|today|aujourd|hui"), now).when(low.rlike("yesterday|hier"), ago(F.lit(86400))).when(back.isNotNull(), ago(back))
 
 
 def parse_timestamp(x: Column, now: Column) -> Column:
-    """UTC time of a posting date: epoch seconds or milliseconds, twelve formats, or relative text; null out of 2000 .. now + 400 days."""
+    """UTC time: epoch seconds or milliseconds, one of the formats, or relative text; null out of 2000 .. now + 400 days."""
     t = F.trim(x)
     digits = F.when(t.rlike(r"^\d{9,14}$"), t.try_cast("double"))
     epoch = F.timestamp_seconds(F.when(digits > 1e11, digits / 1000).otherwise(digits))
     named = F.regexp_replace(t, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
-    formats = [F.try_to_timestamp(named, F.lit(f)) for f in FORMATS]
-    low = F.lower(t)
-    p = r"(\d+)\+?\s*(second|minute|hour|day|week|month|year|heure|jour|semaine|mois|an)s?\b"
-    table = F.create_map(*[F.lit(v) for kv in UNITS.items() for v in kv])
-    ago = F.regexp_extract(low, p, 1).try_cast("bigint") * F.element_at(table, F.regexp_extract(low, p, 2))
-    relative = F.when(low.rlike(r"^(now|today|just now|aujourd'hui)"), now).when(low.rlike("^(yesterday|hier)"), F.timestamp_seconds(F.unix_timestamp(now) - 86400)).when(low.rlike(r"(ago|il y a|posted|\+)") & ago.isNotNull(), F.timestamp_seconds(F.unix_timestamp(now) - ago))
-    got = F.coalesce(epoch, *formats, relative)
+    got = F.coalesce(epoch, *[F.try_to_timestamp(named, F.lit(f)) for f in FORMATS], relative_time(t, now))
     return F.when((got >= F.lit("2000-01-01").cast("timestamp")) & (F.unix_timestamp(got) <= F.unix_timestamp(now) + 400 * 86400), got)
 
 
+def posted_date(x: Column, now: Column) -> Column:
+    """``parse_timestamp`` of a posting: null if more than two days ahead."""
+    at = parse_timestamp(x, now)
+    return F.when(F.unix_timestamp(at) <= F.unix_timestamp(now) + 2 * 86400, at)
+
+
 def parse_point(x: Column) -> Column:
     """struct(year, month) of a partial date; month 0 is unknown; null if there is none."""
     low = F.lower(F.coalesce(x, F.lit("")))

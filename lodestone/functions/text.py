@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Query parameters that only track.
-TRACKING = ["fbclid", "gclid", "gh_src", "mc_cid", "mc_eid", "ref", "source", "src", "trk"]
-#: Hints of a work mode and of an internship, in French, English and German.
-INTERNSHIP = r"(intern|internship|stage|stagiaire|alternance|praktikum|werkstudent)"
-REMOTE = r"(remote|télétravail|teletravail|home ?office|work from home)"
-HYBRID = r"(hybrid|hybride)"
-ONSITE = r"(on-?site|sur site|présentiel|in office)"
+#: Query parameters that only track; so does every name that begins with utm_.
+TRACKING = [
+    "src", "source", "ref", "refid", "refsrc", "refsource", "referrer", "origin", "from", "channel", "medium", "trk", "trackingid", "tracking_id",
+    "gh_src", "lever-source", "lever_source", "lever-origin", "lever_origin", "lever-source[]", "recommendedflavor", "savedsearchid", "position", "pagenum", "distance", "ebp", "rid",
+    "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "igshid", "yclid", "twclid", "dclid", "zanpid", "_ga", "_gl", "_hsenc", "_hsmi", "mkt_tok",
+]
+#: Whole words that hint at an internship or a work mode, in English, French and German.
+INTERNSHIP = r"(?iU)\b(intern|internship|stage|stagiaire|apprenti|apprentice|working student|werkstudent|praktikum|trainee)\b"
+REMOTE = r"(?iU)\b(remote|t[ée]l[ée]travail|work from home|wfh|anywhere)\b"
+HYBRID = r"(?iU)\b(hybrid|hybride|partially remote|remote-friendly)\b"
+ONSITE = r"(?iU)\b(on[- ]?site|sur site|in[- ]office|présentiel|presentiel)\b"
 #: Levels in the order in which they are looked for.
-LEVELS = [("student", r"(student|étudiant|intern)"), ("junior", r"(junior|entry.level|débutant)"), ("mid", r"(mid.level|confirmé|intermediate)"), ("senior", r"(senior|expérimenté)"), ("lead", r"(lead|principal|staff|head of)")]
+LEVELS = [
+    ("student", r"(?iU)\b(intern|student|stagiaire|étudiant|etudiant)\b"),
+    ("junior", r"(?iU)\b(entry[- ]level|graduate|débutant|junior)\b"),
+    ("mid", r"(?iU)\b(mid[- ]level|confirmé|confirme|intermediate)\b"),
+    ("senior", r"(?iU)\b(senior|sr\.?)\b"),
+    ("lead", r"(?iU)\b(lead|principal|staff|head of|director)\b"),
+]
 
 
 def slug(x: Column) -> Column:
@@ -44,15 +54,23 @@ def url_host(x: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(x, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def _encoded(x: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(x: Column) -> Column:
-    """Scheme and host lower-cased, fragment, tracking and blank parameters dropped, the rest sorted, no trailing slash."""
-    bare = F.regexp_replace(x, "#.*$", "")
+    """Scheme and host lower-cased, fragment, tracking and blank parameters dropped, the rest decoded, sorted and encoded anew, no trailing slash."""
+    bare = F.regexp_replace(F.trim(x), "#.*$", "")
     head = F.lower(F.regexp_extract(bare, r"^([^:/?]+://[^/?]*)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^:/?]+://[^/?]*([^?]*)", 1), "/+$", "")
     path = F.when(path == "", "/").otherwise(path)
-    params = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
-    keep = F.filter(params, lambda p: ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING) & ~F.lower(p).startswith("utm_") & (F.regexp_extract(p, "=(.+)$", 1) != ""))
-    query = F.array_join(F.array_sort(keep), "&")
+    params = F.transform(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: F.struct(_decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), _decoded(F.regexp_extract(p, "=(.+)$", 1)).alias("v")))
+    keep = F.filter(params, lambda p: ~F.lower(p["k"]).isin(TRACKING) & ~F.lower(p["k"]).startswith("utm_") & (p["v"] != ""))
+    query = F.array_join(F.transform(F.array_sort(keep), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
@@ -73,18 +91,17 @@ def host_matches(x: Column, domain: str) -> Column:
 
 
 def guess_job_type(x: Column) -> Column:
-    return F.when(F.lower(x).rlike(INTERNSHIP), "internship").otherwise("job")
+    return F.when(x.rlike(INTERNSHIP), "internship").otherwise("job")
 
 
 def guess_remote_type(x: Column) -> Column:
-    low = F.lower(x)
-    return F.when(low.rlike(HYBRID), "hybrid").when(low.rlike(REMOTE), "remote").when(low.rlike(ONSITE), "onsite")
+    return F.when(x.rlike(HYBRID), "hybrid").when(x.rlike(REMOTE), "remote").when(x.rlike(ONSITE), "onsite")
 
 
 def guess_level(x: Column) -> Column:
-    low, out = F.lower(x), F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
     for name, pattern in reversed(LEVELS):
-        out = F.when(low.rlike(pattern), name).otherwise(out)
+        out = F.when(x.rlike(pattern), name).otherwise(out)
     return out
 
 
@@ -141,17 +158,6 @@ def phones(x: Column) -> Column:
     return F.filter(F.transform(found, lambda p: F.regexp_replace(p, "[^0-9]", "")), lambda d: F.length(d).between(7, 15))
 
 
-#: Words that mark a language.
-MARKERS = {"en": ["the", "and", "of", "to", "in", "with", "for"], "fr": ["le", "la", "les", "de", "des", "et", "dans", "pour"]}
-
-
-def detect_language(x: Column) -> Column:
-    """French or English by marker words; a tie is English."""
-    low = F.lower(F.coalesce(x, F.lit("")))
-    count = lambda ws: F.size(F.filter(F.split(low, "[^a-z]+"), lambda w: w.isin(ws)))
-    return F.when(count(MARKERS["fr"]) > count(MARKERS["en"]), "fr").otherwise("en")
-
-
 def ordered_distinct_insensitive(xs: Column) -> Column:
     """First spelling of each entry, in order, ignoring case."""
     return F.aggregate(xs, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))

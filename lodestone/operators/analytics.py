@@ -145,3 +145,31 @@ def context_summary(apps: DataFrame) -> DataFrame:
     per = apps.groupBy("user_id", "status").agg(F.count("*").alias("n"), F.max(F.struct("created_at", "id")).alias("last"))
     hist = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(x["status"], F.lit("="), x["n"].cast("string"))), ", ")
     return per.groupBy("user_id").agg(F.sum("n").alias("total"), hist.alias("by_status"), F.max("last").alias("l")).select("user_id", "total", "by_status", F.col("l.id").alias("latest_id"))
+
+
+def request_summary(requests: DataFrame) -> DataFrame:
+    """Requests (id, total, calls: an array of structs ms, hit, fallback, ok, tin): time in calls and around them, and counts over the calls."""
+    calls = F.coalesce("calls", F.array().cast(requests.schema["calls"].dataType))
+    count = lambda f: F.size(F.filter(calls, f)).cast("long")
+    spent = F.aggregate(calls, F.lit(0.0), lambda acc, c: acc + c["ms"].cast("double"))
+    return requests.select(
+        "id",
+        F.round("total", 1).alias("total_ms"),
+        F.round(spent, 1).alias("llm_ms"),
+        F.round(F.greatest(F.lit(0.0), F.col("total") - spent), 1).alias("local_ms"),
+        count(lambda c: ~c["hit"]).alias("n"),
+        count(lambda c: c["hit"]).alias("cache_hits"),
+        count(lambda c: c["fallback"]).alias("fallbacks"),
+        count(lambda c: ~c["ok"]).alias("errors"),
+        F.aggregate(calls, F.lit(0).cast("long"), lambda acc, c: acc + F.coalesce(c["tin"].cast("long"), F.lit(0))).alias("prompt_tokens"),
+    )
+
+
+def call_types(calls: DataFrame) -> DataFrame:
+    """Calls (request_type, ms, tin, fallback, hit, failed, model) by type: percentiles, means, rates and the models' counts as text."""
+    q = nearest_rank(calls, "request_type", "ms", [50, 95]).groupBy("request_type").agg(F.max(F.when(F.col("p") == 50, F.col("v"))).alias("p50_ms"), F.max(F.when(F.col("p") == 95, F.col("v"))).alias("p95_ms"))
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 3)
+    per = calls.groupBy("request_type").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 1).alias("avg_ms"), F.round(F.avg("tin"), 0).alias("avg_in_tokens"), share("fallback").alias("fallback_rate"), share("hit").alias("cache_hit_rate"), share("failed").alias("error_rate"))
+    models = calls.groupBy("request_type", "model").agg(F.count("*").alias("k")).groupBy("request_type").agg(F.sort_array(F.collect_list(F.struct("model", "k"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat(x["model"], F.lit("="), x["k"].cast("string"))), ",")
+    return per.join(q, "request_type").join(models.select("request_type", text.alias("models")), "request_type")

@@ -22,12 +22,16 @@ def user_blob(messages: DataFrame) -> DataFrame:
 
 
 def salary_slot(blob: Column) -> Column:
-    """struct(low, high, currency): "60k" or "60 000 €"; an upper hint near it and no lower one makes it the upper bound."""
-    k = F.regexp_extract(blob, r"\b(\d{2,3})\s?k\b", 1).try_cast("int") * 1000
-    plain = F.regexp_replace(F.regexp_extract(blob, r"\b(\d{1,3}(?:[ .,]\d{3})+)\s?(?:€|eur|\$|usd|£|gbp)", 1), "[ .,]", "").try_cast("int")
+    """struct(low, high, currency): "60k" or "60 000 €" of 1,000 to 1,000,000; an upper hint within 25 characters and no lower one make it the upper bound."""
+    short, long = r"\b(\d{2,3})\s?k\b", r"\b(\d{1,3}(?:[ .,]\d{3})+)\s?(?:€|eur|\$|usd|£|gbp)"
+    k = F.regexp_extract(blob, short, 1).try_cast("int") * 1000
+    plain = F.regexp_replace(F.regexp_extract(blob, long, 1), "[ .,]", "").try_cast("int")
     amount = F.coalesce(k, plain)
     amount = F.when(amount.between(1000, 1_000_000), amount)
-    upper = blob.rlike(r"(max|up to|at most|jusqu|no more than)") & ~blob.rlike(r"(at least|minimum|min\b|au moins|from)")
+    found = F.when(k.isNotNull(), F.regexp_extract(blob, short, 0)).otherwise(F.regexp_extract(blob, long, 0))
+    at = F.call_function("instr", blob, found)
+    near = F.substring(blob, F.greatest(at - 25, F.lit(1)), F.length(found) + F.least(at - 1, F.lit(25)) + 25)
+    upper = near.rlike(r"(max|up to|at most|jusqu|no more than)") & ~near.rlike(r"(at least|minimum|min\b|au moins|from)")
     currency = F.when(blob.rlike("€|eur"), "EUR").when(blob.rlike(r"\$|usd"), "USD").when(blob.rlike("£|gbp"), "GBP")
     return F.when(amount.isNotNull(), F.struct(F.when(~upper, amount).alias("low"), F.when(upper, amount).alias("high"), currency.alias("currency")))
 

@@ -148,3 +148,23 @@ def keyword_coverage(text: Column, keywords: Column) -> Column:
 def health_note(open_until: Column, best: Column, empty_streak: Column, now: Column, proven: int = 5, streak: int = 6) -> Column:
     """Why a source needs a look: its breaker is open, or it delivered before and has been empty since."""
     return F.when(open_until > now, "breaker open").when((best >= proven) & (empty_streak >= streak), "empty since a good run")
+
+
+#: Weights of the fields of a contact section.
+CONTACT_WEIGHTS = {"name": 30, "email": 30, "phone": 15, "linkedin": 10, "github": 10, "portfolio": 5}
+
+
+def contact_confidence(found: dict[str, Column], errors: Column, warnings: Column) -> Column:
+    """Weights of the fields that are there, less 15 an error and 5 a warning, in 0 to 100."""
+    total = sum((F.when(found[k], w).otherwise(0) for k, w in CONTACT_WEIGHTS.items() if k in found), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), total - errors * 15 - warnings * 5))
+
+
+def low_layout(score: Column, cap: int = 55) -> Column:
+    """A score where the layout was not understood."""
+    return F.least(score, F.lit(cap))
+
+
+def revalidated(probe: Column, active: Column, recomputed: Column) -> tuple[Column, Column]:
+    """Activity and freshness after a probe: gone, alive, or unknown (which only recomputes)."""
+    return F.when(probe == "gone", F.lit(False)).when(probe == "alive", F.lit(True)).otherwise(active), F.when(probe == "gone", "expired").when(probe == "alive", "fresh").otherwise(recomputed)

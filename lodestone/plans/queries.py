@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from .. import roles as R
+from ..functions import language as L
 from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import conversation as C
@@ -364,21 +365,20 @@ def html_to_text(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(intern|internship|stage|stagiaire|alternance|praktikum|werkstudent)') THEN 'internship' ELSE 'job' END AS job_type, length(trim(regexp_replace(text, '[ \t ]+', ' ', 'g'))) AS n_clean FROM documents"""
+    r"""WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), ' ') || ' ' AS w, text FROM documents)
+    SELECT doc_id, CASE WHEN len(list_filter(['intern', 'internship', 'stage', 'stagiaire', 'apprenti', 'apprentice', 'working student', 'werkstudent', 'praktikum', 'trainee'], lambda h: contains(w, ' ' || h || ' '))) > 0 THEN 'internship' ELSE 'job' END AS job_type, length(trim(regexp_replace(text, '[ \t ]+', ' ', 'g'))) AS n_clean FROM t"""
 )
 def text_hints(spark, sf):
     t = F.col("text")
     return R.read(spark, sf, "documents").select("doc_id", X.guess_job_type(t).alias("job_type"), F.length(F.trim(F.regexp_replace(t, "[ \\t\u00a0]+", " "))).cast("long").alias("n_clean"))
 
 
-_LISTS = {k: ", ".join(f"'{w}'" for w in v) for k, v in X.MARKERS.items()}
+_TIMES = lambda words: " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words)
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents) SELECT doc_id, lang, CASE WHEN len(list_filter(w, lambda x: x IN ({_LISTS['fr']}))) > len(list_filter(w, lambda x: x IN ({_LISTS['en']}))) THEN 'fr' ELSE 'en' END AS detected FROM t"""
-)
+@query(f"""WITH d AS (SELECT doc_id, lang, ' ' || strip_accents(lower(coalesce(text, ''))) || ' ' AS t FROM documents) SELECT doc_id, lang, CASE WHEN {_TIMES(L.DOCUMENT['fr'])} > {_TIMES(L.DOCUMENT['en'])} THEN 'fr' ELSE 'en' END AS detected FROM d""")
 def lang_detect(spark, sf):
-    return R.read(spark, sf, "documents").select("doc_id", "lang", X.detect_language(F.col("text")).alias("detected"))
+    return R.read(spark, sf, "documents").select("doc_id", "lang", L.detect_document(F.col("text")).alias("detected"))
 
 
 @query(

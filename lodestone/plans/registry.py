@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import more as _more  # noqa: F401  (registers its queries)
+from . import labelled as _labelled  # noqa: F401  (registers its queries)
+from . import more as _more  # noqa: F401
+from . import search as _search  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "usage_overview"

@@ -7,7 +7,7 @@ from lodestone.operators.resolve import resolve
 SCHEMA = "seq long, source string, source_job_id string, source_url string, title string, company string, city string, remote_type string, job_type string, level string"
 
 
-def offer(seq, source="a", jid="", url="", title="Data Scientist", company="Globex", city="Paris", remote=None, kind="job", level=None):
+def offer(seq, source="a", jid="", url="", title="Harbour Pilot", company="Kestrel Works", city="Porto", remote=None, kind="job", level=None):
     return (seq, source, jid, url, title, company, city, remote, kind, level)
 
 
@@ -15,8 +15,8 @@ CASES = [
     ("same source and id", [offer(1, jid="x", title="A"), offer(2, jid="x", title="B", company="C")], 1),
     ("trailing slash", [offer(1, url="https://a.com/x/", title="A"), offer(2, source="b", url="https://a.com/x", title="B")], 1),
     ("same name and place", [offer(1), offer(2, source="b")], 1),
-    ("other title", [offer(1), offer(2, source="b", title="Data Engineer")], 2),
-    ("other city", [offer(1), offer(2, source="b", city="Lyon")], 2),
+    ("other title", [offer(1), offer(2, source="b", title="Harbour Master")], 2),
+    ("other city", [offer(1), offer(2, source="b", city="Braga")], 2),
     ("both remote", [offer(1, city=None, remote="remote"), offer(2, source="b", city=None, remote="remote")], 1),
     ("tracking only", [offer(1, url="https://a.com/x?utm_source=q", title="A"), offer(2, url="https://a.com/x", title="B")], 1),
     ("functional parameter", [offer(1, url="https://a.com/x?id=1", title="Abc"), offer(2, url="https://a.com/x?id=2", title="Xyz")], 2),
@@ -73,7 +73,7 @@ def test_distinct_records_change_no_group(spark):
     rng = random.Random(11)
     pick = rng.choice
     rows = [
-        offer(i, pick("ab"), pick(["", "", f"{pick(range(25))}", f"u{i}"]), pick(["", "", f"https://a.com/{pick(range(25))}", f"https://b.com/{i}"]), pick(["Data Scientist", "Data Scientists", "Data Engineer", "Cook"]), pick(["", "Globex", "Acme", "Initech"]), pick([None, "Paris", "Lyon"]), pick([None, None, "remote"]), pick(["job", "job", "internship"]), pick([None, "junior", "senior"]))
+        offer(i, pick("ab"), pick(["", "", f"{pick(range(25))}", f"u{i}"]), pick(["", "", f"https://a.com/{pick(range(25))}", f"https://b.com/{i}"]), pick(["Harbour Pilot", "Harbour Pilots", "Harbour Master", "Cook"]), pick(["", "Kestrel Works", "Acme", "Initech"]), pick([None, "Porto", "Braga"]), pick([None, None, "remote"]), pick(["job", "job", "internship"]), pick([None, "junior", "senior"]))
         for i in range(600)
     ]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
