@@ -63,7 +63,7 @@ def _encoded(x: Column) -> Column:
 
 
 def normalize_url(x: Column) -> Column:
-    """Scheme and host lower-cased, fragment, tracking and blank parameters dropped, the rest decoded, sorted and encoded anew, no trailing slash."""
+    """Scheme and host lower-cased, fragment, tracking and blank parameters dropped, the rest decoded, sorted and encoded anew, no trailing slash; empty stays empty."""
     bare = F.regexp_replace(F.trim(x), "#.*$", "")
     head = F.lower(F.regexp_extract(bare, r"^([^:/?]+://[^/?]*)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^:/?]+://[^/?]*([^?]*)", 1), "/+$", "")
@@ -71,7 +71,7 @@ def normalize_url(x: Column) -> Column:
     params = F.transform(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: F.struct(_decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), _decoded(F.regexp_extract(p, "=(.+)$", 1)).alias("v")))
     keep = F.filter(params, lambda p: ~F.lower(p["k"]).isin(TRACKING) & ~F.lower(p["k"]).startswith("utm_") & (p["v"] != ""))
     query = F.array_join(F.transform(F.array_sort(keep), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    return F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.when(bare == "", "").otherwise(F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
 def usable_url(x: Column) -> Column:
