@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def latest_per(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -106,6 +106,52 @@ def upsert(base: DataFrame, new: DataFrame, key: str, longest: list[str], fill:
     return j.select(*cols, state.alias("merge_state"))
 
 
+#: Columns of an offer that a fetched row overwrites, also with null; the rest is only filled.
+OVERWRITTEN = ["source_url", "title", "company", "company_url", "location", "city", "country"]
+
+
+def upsert_offers(base: DataFrame, new: DataFrame, now: Column, expiry_days: int = 30, skills_cap: int = 25) -> DataFrame:
+    """``base`` with the fetched offers ``new`` (and seq) in it, and a state: kept, updated or inserted.
+
+    A fetched row belongs to the row with its content hash, else to the one with its (source, source_job_id).  Keys of a row
+    stay; the longer description wins (ties take the new one), skills are united, metadata is merged with the new values on
+    top, and an offer without an expiry gets one ``expiry_days`` after its posting, or after ``now``.  Of several fetched rows for one
+    row the last by seq counts; base has each (source, source_job_id) once.
+    """
+    key = ["source", "source_job_id"]
+    rest = [c for c in new.columns if c != "seq"]
+    by_hash = base.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(F.struct(*key)).alias("__h"))
+    by_key = base.select(*key, F.struct(*key).alias("__p")).dropDuplicates(key)
+    target = F.coalesce("__h", "__p", F.struct(*key))
+    found = new.join(by_hash, "content_hash", "left").join(by_key, key, "left").withColumn("__t", target)
+    last = found.groupBy("__t").agg(F.max_by(F.struct(*rest), "seq").alias("n"))
+    j = base.withColumn("__t", F.struct(*key)).alias("b").join(last.alias("l"), F.col("b.__t") == F.col("l.__t"), "full_outer")
+    fetched, there = F.col("n").isNotNull(), F.col("b.__t").isNotNull()
+
+    def merged(c: str) -> Column:
+        x = F.col(f"b.{c}")
+        if c not in rest:
+            return x
+        y = F.col(f"n.{c}")
+        if c in [*key, "content_hash"]:
+            return F.when(there, x).otherwise(y)
+        if c in OVERWRITTEN:
+            return F.when(fetched, y).otherwise(x)
+        if c == "description":
+            return F.when((F.length(y) > 0) & (F.length(y) >= F.coalesce(F.length(x), F.lit(0))), y).otherwise(x)
+        if c == "skills":
+            none = F.array().cast("array<string>")
+            return F.when(fetched, F.slice(F.array_distinct(F.concat(F.coalesce(x, none), F.coalesce(y, none))), 1, skills_cap)).otherwise(x)
+        if c == "metadata":
+            return F.when(x.isNull() | y.isNull(), F.coalesce(x, y)).otherwise(F.map_concat(F.map_filter(x, lambda k, _: ~F.array_contains(F.map_keys(y), k)), y))
+        if c == "expires_at":
+            return F.when(fetched, F.coalesce(y, F.date_add(F.coalesce("n.posted_at", now), expiry_days).cast(dict(base.dtypes)[c]))).otherwise(x)
+        return F.coalesce(y, x)
+
+    state = F.when(~fetched, "kept").when(there, "updated").otherwise("inserted")
+    return j.select(*[merged(c).alias(c) for c in base.columns], state.alias("state"))
+
+
 def overlay(base: DataFrame, enabled: DataFrame, disabled: DataFrame) -> DataFrame:
     """Tokens of base or enabled, ignoring case, first spelling wins, without the disabled ones."""
     both = base.select("token", F.lit(0).alias("o")).unionByName(enabled.select("token", F.lit(1).alias("o")))
