@@ -53,9 +53,9 @@ def distinct_records(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared = rows.select(F.explode(F.array("id_key", "url_key")).alias("key")).where("key != ''").groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
         cut = rows
         for c in ("id_key", "url_key"):
-            spread = F.when(F.col(c) == "", F.col("rep")).otherwise(F.lit(-1))  # rows without the key match nothing and go anywhere
-            met = shared.select(F.col("key").alias(c), F.lit(-1).cast("bigint").alias("spread"), F.lit(True).alias("met"))
-            cut = cut.withColumn("spread", spread).join(met, [c, "spread"], "left").withColumn(c, F.when(F.col("met"), F.col(c)).otherwise("")).drop("met", "spread")
+            here = F.when(F.col(c) == "", F.concat(F.lit(":"), F.col("rep").cast("string"))).otherwise(F.col(c))  # rows without the key match nothing and go anywhere
+            met = shared.select(F.col("key").alias("here"), F.lit(True).alias("met"))
+            cut = cut.withColumn("here", here).join(met, "here", "left").withColumn(c, F.when(F.col("met"), F.col(c)).otherwise("")).drop("met", "here")
         cut = materialise(cut, "offer-records")
         fewer = materialise(cut.groupBy(*RECORD).agg(F.min("rep").alias("rep")), "offer-records")
         first = cut.join(fewer.withColumnRenamed("rep", "to"), RECORD).select("rep", "to")
