@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import labelled as _labelled  # noqa: F401  (registers its queries)
 from . import layouts as _layouts  # noqa: F401
 from . import more as _more  # noqa: F401
+from . import people as _people  # noqa: F401
 from . import profiles as _profiles  # noqa: F401
 from . import search as _search  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES

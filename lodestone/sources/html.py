@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import ship
+
 _SCRIPT = re.compile(r"""<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>""", re.I | re.S)
 _BRACE = re.compile(r"[{}]")
 #: Elements without an end tag.
@@ -59,6 +61,8 @@ def typed_nodes(pages: DataFrame, html: str = "html", kind: str = "JobPosting")
     Null and empty pages have none; a column named ``node`` is replaced.
     """
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("string")
     def find(pages: pd.Series) -> pd.Series:
         found = [first_node(p, kind) for p in pages]
@@ -114,6 +118,7 @@ def cards(pages: DataFrame, card: str, fields: dict[str, tuple[str, str | None]]
     ``card`` and the parts of ``fields`` are "tag.class" (either may be missing); a field is an attribute of
     the first such part, or its text with white space collapsed; null if the part is missing or empty.  Cards don't nest.
     """
+    ship(pages.sparkSession)
     kind = "array<struct<place:int," + ",".join(f"{n}:string" for n in fields) + ">>"
 
     @F.pandas_udf(kind)
