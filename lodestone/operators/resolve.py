@@ -3,6 +3,10 @@
 Two offers can only meet if they share an identifier, a URL, or a company (or, without one, a
 title), so the blocks are the connected components over these keys; the sequential rules run
 inside a block, on its distinct records (see ``distinct_records``).  Components spread by minimum labels and pointer jumping until none moves.
+
+A group stands for its merged record: the row of the highest priority so far (the first of equals) gives title,
+type, company, place and level, and what it lacks comes from the others.  Keys of both the row and the merged
+record point to the group that got them last.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..components import components
 from ..functions.text import normalize_url, slug
@@ -20,11 +24,19 @@ SIMILAR = 0.90
 OUT = "seq bigint, group_seq bigint"
 
 
-RECORD = ["id_key", "url_key", "company_slug", "title_slug", "city_key", "job_type", "level"]
+RECORD = ["id_key", "url_key", "company_slug", "title_slug", "city", "country", "location", "remote_type", "job_type", "level", "priority"]
+#: What a merged record takes from another row where it has nothing.
+FILLED = ["company_slug", "city", "country", "location", "remote_type", "level"]
+
+
+def _name(x):
+    """A slug; a text without letters or digits is a dash, which isn't nothing but names nothing."""
+    s = slug(x)
+    return F.when(F.coalesce(x, F.lit("")) == "", "").when(s == "", "-").otherwise(s)
 
 
 def _keyed(offers: DataFrame) -> DataFrame:
-    """seq and ``RECORD``, all that the rules read; what is missing is empty, not null."""
+    """seq and ``RECORD``, all that the rules read; what is missing is empty, not null (priority: 0)."""
     null = F.lit(None).cast("string")
     col = lambda c: F.col(c) if c in offers.columns else null
     text = lambda c: F.coalesce(c, F.lit(""))
@@ -32,20 +44,24 @@ def _keyed(offers: DataFrame) -> DataFrame:
         F.col("seq").cast("bigint"),
         text(F.when(F.col("source_job_id") != "", F.concat(F.lit("id:"), F.lower("source"), F.lit(":"), F.lower("source_job_id")))).alias("id_key"),
         text(F.when(F.col("source_url") != "", F.concat(F.lit("url:"), normalize_url(F.col("source_url"))))).alias("url_key"),
-        slug(F.col("company")).alias("company_slug"),
+        _name(F.col("company")).alias("company_slug"),
         slug(F.col("title")).alias("title_slug"),
-        F.when(col("remote_type") == "remote", "@remote").otherwise(slug(col("city"))).alias("city_key"),
+        *[_name(col(c)).alias(c) for c in ("city", "country", "location")],
+        text(col("remote_type")).alias("remote_type"),
         F.coalesce(col("job_type"), F.lit("job")).alias("job_type"),
         text(col("level")).alias("level"),
+        F.coalesce(col("priority").cast("int"), F.lit(0)).alias("priority"),
     )
 
 
 def distinct_records(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records that the rules must see, and (seq, rep) of all rows: rep is the first row that the rules treat alike.
 
-    Two steps, neither of which changes a group.  A row equal to an earlier one in all that the rules read joins
-    that one's group and changes nothing there: a group never loses a key, and one that was incompatible stays so.
-    An identifier or URL of one record only can't meet another, so it is left out, which makes more records equal.
+    A row equal to an earlier one in all that the rules read is the same record: it joins that one's group.  An
+    identifier or URL of one record only can't meet another, so it is left out, which makes more records equal.
+    Where groups are joined by names only this changes no group: one that was incompatible with a record stays so.
+    Where shared identifiers or URLs join rows of different types, levels or groups, a repeated row alone could
+    still point keys back to its group; here it does not.
     """
     rows = materialise(keyed.groupBy(*RECORD).agg(F.min("seq").alias("rep")), "offer-records")
     reps, n = keyed.join(rows, RECORD).select("seq", "rep"), rows.count()
@@ -66,7 +82,7 @@ def distinct_records(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _blocks(records: DataFrame) -> DataFrame:
-    coarse = F.when(F.col("company_slug") != "", F.concat(F.lit("c:"), "company_slug")).otherwise(F.concat(F.lit("t:"), "title_slug"))
+    coarse = F.when(~F.col("company_slug").isin("", "-"), F.concat(F.lit("c:"), "company_slug")).otherwise(F.concat(F.lit("t:"), "title_slug"))
     keys = materialise(records.select("seq", F.explode(F.array("id_key", "url_key", coarse)).alias("key")).where("key != ''"), "offer-keys")
     first = keys.groupBy("key").agg(F.min("seq").alias("b"))  # every offer of a key is joined to the key's first
     edges = keys.join(first, "key").where("seq != b").select(F.col("seq").alias("a"), "b").distinct()
@@ -86,55 +102,95 @@ def _similar(a: str, b: str) -> bool:
     return m.quick_ratio() >= SIMILAR and m.ratio() >= SIMILAR
 
 
+def _city(r: dict) -> str:
+    return "@remote" if r["remote_type"] == "remote" else (r["city"] or r["country"] or r["location"]).strip("-")
+
+
+def _compatible(a: dict, b: dict) -> bool:
+    if {a["job_type"], b["job_type"]} == {"job", "internship"}:
+        return False
+    return not (a["level"] and b["level"] and a["level"] != b["level"])
+
+
+def _absorb(lead: dict, other: dict) -> dict:
+    """The merged record: the one of higher priority leads, the other fills what it lacks."""
+    if other["priority"] > lead["priority"]:
+        lead, other = other, lead
+    return lead | {f: lead[f] or other[f] for f in FILLED}
+
+
 def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
     """Greedy grouping in arrival order: strong keys first, then equal name and place, then similar titles."""
     groups: list[dict] = []
+    first: list[int] = []
     strong: dict[str, int] = {}
-    named: dict[tuple, list[int]] = {}
-    placed: dict[tuple, list[int]] = {}
+    named: dict[tuple, dict[int, None]] = {}
+    placed: dict[tuple, dict[int, None]] = {}
     out = []
-
-    def compatible(g: dict, r) -> bool:
-        if g["job_type"] != r.job_type:
-            return False
-        return not (g["level"] and r.level and g["level"] != r.level)
-
-    for r in pdf.sort_values("seq").itertuples():
-        keys = [k for k in (r.id_key, r.url_key) if k]
-        hit = next((strong[k] for k in keys if k in strong), None)
+    for r in pdf.sort_values("seq").to_dict("records"):
+        company, title = r["company_slug"].strip("-"), r["title_slug"]
+        hit = next((strong[k] for k in (r["id_key"], r["url_key"]) if k in strong), None)
         if hit is None:
-            hit = next((g for g in named.get((r.company_slug, r.title_slug, r.city_key), []) if compatible(groups[g], r)), None)
-        if hit is None and r.company_slug:
-            hit = next((g for g in placed.get((r.company_slug, r.city_key), []) if compatible(groups[g], r) and _similar(groups[g]["title_slug"], r.title_slug)), None)
+            hit = next((g for g in named.get((company, title, _city(r)), ()) if _compatible(groups[g], r)), None)
+        if hit is None and company:
+            hit = next((g for g in placed.get((company, _city(r)), ()) if _compatible(groups[g], r) and _similar(groups[g]["title_slug"], title)), None)
         if hit is None:
-            groups.append({"seq": r.seq, "job_type": r.job_type, "level": r.level, "company_slug": r.company_slug, "title_slug": r.title_slug, "city_key": r.city_key})
-            hit = len(groups) - 1
-        g = groups[hit]
-        for f in ("level", "company_slug", "city_key"):  # a merged record fills what it lacks
-            g[f] = g[f] or getattr(r, f)
-        for k in keys:
-            strong.setdefault(k, hit)
-        for c, t, p in ((r.company_slug, r.title_slug, r.city_key), (g["company_slug"], g["title_slug"], g["city_key"])):
-            for index, key in ((named, (c, t, p)), (placed, (c, p))):
-                if hit not in index.setdefault(key, []):
-                    index[key].append(hit)
-        out.append((r.seq, g["seq"]))
+            hit = len(groups)
+            groups.append(r)
+            first.append(r["seq"])
+        else:
+            groups[hit] = _absorb(groups[hit], r)
+        for x in (r, groups[hit]):
+            name = x["company_slug"].strip("-")
+            for k in (x["id_key"], x["url_key"]):
+                if k:
+                    strong[k] = hit
+            named.setdefault((name, x["title_slug"], _city(x)), {})[hit] = None
+            if name:
+                placed.setdefault((name, _city(x)), {})[hit] = None
+        out.append((r["seq"], first[hit]))
     return out
 
 
 def resolve(offers: DataFrame) -> DataFrame:
-    """(seq, group_seq) for offers with seq, source, source_job_id, source_url, title, company, city, remote_type, job_type, level."""
+    """(seq, group_seq) for offers with seq, source, source_job_id, source_url, title, company and, if there, city, country, location, remote_type, job_type, level, priority."""
     ship(offers.sparkSession)
     records, reps = distinct_records(_keyed(offers))
     grouped = records.join(_blocks(records), "seq").groupBy("block").applyInPandas(lambda pdf: pd.DataFrame(_rules(pdf), columns=["seq", "group_seq"]), OUT)
     return reps.join(grouped.withColumnRenamed("seq", "rep"), "rep").select("seq", "group_seq")
 
 
-def merge_groups(offers: DataFrame, groups: DataFrame, priority: str = "priority") -> DataFrame:
-    """One record per group: the row of highest priority (ties: first) leads, gaps are filled, skills and URLs united, dates widened."""
-    j = offers.join(groups, "seq")
-    lead = F.struct(F.col(priority).alias("p"), F.negative("seq").alias("s"))
-    first = lambda c: F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", lead)).alias(c)
-    return j.groupBy("group_seq").agg(
-        first("title"), first("company"), first("source_url"), F.sort_array(F.collect_set("source")).alias("merged_sources"), F.max_by("description", F.struct(F.length("description"), F.negative("seq"))).alias("description"), F.min("posted_at").alias("posted_at"), F.count("*").alias("n")
-    )
+#: What the leading row of a group takes from the others where it has nothing.
+MERGED = ["company", "company_url", "location", "city", "country", "salary_min", "salary_max", "salary_currency", "salary_period", "experience_level", "remote_type", "employment_type", "internship_duration_months", "internship_start_date"]
+
+
+def merge_groups(offers: DataFrame, groups: DataFrame, skills_cap: int = 25) -> DataFrame:
+    """One record per group of (seq, group_seq), merged as if its rows came one by one in order of seq.
+
+    The row of highest priority (ties: the first) leads; rows that led before come next, the latest first, then the
+    others.  Each of ``MERGED`` that ``offers`` has is the first that isn't null or empty in that order, the description
+    the first of the longest, ``skills`` the first ``skills_cap`` different ones; other URLs and sources are united, the
+    earliest posting and the latest expiry stay.  Only aggregates: no group is collected.  Rows without a group go.
+    """
+    j = offers.join(groups, "seq").withColumn("priority", F.coalesce("priority", F.lit(0)))
+    starts = j.groupBy("group_seq", "priority").agg(F.min("seq").alias("seq"))  # a row per priority, of which there are few
+    before = F.max("priority").over(Window.partitionBy("group_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    leads = starts.withColumn("__b", before).where("__b IS NULL OR priority > __b").select("seq", F.negative("priority").alias("__l"))
+    order = F.struct(F.col("__l").isNull().alias("later"), F.coalesce("__l", F.lit(0)).alias("lead"), F.col("seq").alias("seq"))
+    j = j.join(leads, "seq", "left").withColumn("__o", order).withColumn("__u", F.coalesce(normalize_url(F.col("source_url")), F.lit("")))
+    given = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    fields = [F.min_by(F.when(given(c), F.col(c)), F.when(given(c), F.col("__o"))).alias(c) for c in MERGED if c in offers.columns]
+    lead = lambda c, name: F.min_by(F.col(c), F.col("__o")).alias(name)
+    longest = F.when(given("description"), F.struct((-F.length("description")).alias("n"), F.col("__o").alias("o")))
+    dates = [f(c).alias(c) for f, c in ((F.min, "posted_at"), (F.max, "expires_at")) if c in offers.columns]
+    out = j.groupBy("group_seq").agg(
+        lead("seq", "lead_seq"), lead("source", "source"), lead("source_url", "source_url"), lead("title", "title"), lead("__u", "__u"), *fields, F.min_by("description", longest).alias("description"), *dates,
+        F.collect_set("__u").alias("__us"), F.sort_array(F.collect_set("source")).alias("merged_sources"), F.count("*").alias("n"),
+    )
+    out = out.withColumn("also_seen_on", F.array_sort(F.array_except("__us", F.array("__u", F.lit(""))))).drop("__us", "__u")
+    if "skills" not in offers.columns:
+        return out
+    each = j.select("group_seq", "__o", F.posexplode("skills").alias("__p", "skill")).where("skill IS NOT NULL").groupBy("group_seq", "skill").agg(F.min(F.struct("__o", "__p")).alias("o"))
+    kept = each.withColumn("k", F.row_number().over(Window.partitionBy("group_seq").orderBy("o"))).where(F.col("k") <= skills_cap)
+    lists = kept.groupBy("group_seq").agg(F.array_sort(F.collect_list(F.struct("k", "skill"))).alias("s")).select("group_seq", F.transform("s", lambda x: x["skill"]).alias("skills"))
+    return out.join(lists, "group_seq", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))

@@ -321,7 +321,7 @@ def _offers_for_resolution(spark, sf):
 
     def posting(k, source, jid, link, name, employer, place, lv):
         fields = [(i * 3 + k).alias("seq"), F.lit(source).alias("source"), jid.alias("source_job_id"), link.alias("source_url"), name.alias("title"), employer.alias("company"), place.alias("city")]
-        return F.struct(*fields, when(size % 11 == 0, F.lit("remote")).alias("remote_type"), F.when(size % 13 == 0, "internship").otherwise("job").alias("job_type"), lv.alias("level"))
+        return F.struct(*fields, when(size % 11 == 0, F.lit("remote")).alias("remote_type"), F.when(size % 13 == 0, "internship").otherwise("job").alias("job_type"), lv.alias("level"), F.lit({"board": 55, "mirror": 90}[source]).alias("priority"))
 
     none = F.lit(None).cast("string")
     board = posting(0, "board", i.cast("string"), url, title, company(0), city, level)
@@ -336,6 +336,35 @@ def entity_resolution(spark, sf):
     return E.resolve(_offers_for_resolution(spark, sf))
 
 
+@query(
+    """WITH r AS (SELECT p_partkey AS seq, p_partkey - p_partkey % 6 AS g, p_size % 4 AS priority, 'feed' || p_size % 3 AS source, 'https://a.org/' || p_size % 7 AS url, p_name AS title, CASE WHEN p_size % 3 > 0 THEN p_brand END AS company, CASE WHEN p_size % 2 > 0 THEN p_type ELSE '' END AS city,
+    CASE WHEN p_size % 5 > 1 THEN p_retailprice END AS salary, CASE WHEN p_size % 6 > 0 THEN repeat('d', p_size % 6) || p_partkey % 2 END AS description, [p_brand, 's' || p_size % 9, p_type, p_brand] AS skills, CASE WHEN p_size % 8 > 0 THEN DATE '2024-01-01' + p_size END AS posted FROM part),
+    l AS (SELECT *, coalesce(priority > max(priority) OVER (PARTITION BY g ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS led FROM r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY led DESC, CASE WHEN led THEN -priority ELSE 0 END, seq) AS k FROM l),
+    e AS (SELECT g, k, unnest(skills) AS skill, generate_subscripts(skills, 1) AS i FROM o), s AS (SELECT g, list(skill ORDER BY m)[1:4] AS skills FROM (SELECT g, skill, min(k * 10 + i) AS m FROM e GROUP BY 1, 2) GROUP BY 1)
+    SELECT o.g AS group_seq, min(seq) FILTER (WHERE k = 1) AS lead_seq, min(title) FILTER (WHERE k = 1) AS title, arg_min(company, k) FILTER (WHERE company <> '') AS company, arg_min(city, k) FILTER (WHERE city <> '') AS city, arg_min(salary, k) FILTER (WHERE salary IS NOT NULL) AS salary_min,
+    arg_min(description, k - 10000 * length(description)) FILTER (WHERE description IS NOT NULL) AS description, min(posted) AS posted_at, list_sort(list_distinct(list(source))) AS merged_sources, list_sort(list_filter(list_distinct(list(url)), lambda u: u <> min(url) FILTER (WHERE k = 1))) AS also_seen_on, any_value(s.skills) AS skills, count(*) AS n
+    FROM o JOIN s ON s.g = o.g GROUP BY 1"""
+)
+def merged_records(spark, sf):
+    """Offers in groups of up to six, each merged into one record."""
+    o, s, i = R.offers(spark, sf), F.col("size"), F.col("offer_id")
+    text = lambda c, x: F.when(c, x)
+    rows = o.select(
+        i.alias("seq"), (s % 4).alias("priority"), F.concat(F.lit("feed"), (s % 3).cast("string")).alias("source"), F.concat(F.lit("https://a.org/"), (s % 7).cast("string"), F.lit("?utm_source=x")).alias("source_url"), "title", text(s % 3 > 0, F.col("company")).alias("company"),
+        text(s % 2 > 0, F.col("job_type")).otherwise("").alias("city"), text(s % 5 > 1, F.col("salary")).alias("salary_min"), text(s % 6 > 0, F.concat(F.expr("repeat('d', size % 6)"), (i % 2).cast("string"))).alias("description"),
+        F.array("company", F.concat(F.lit("s"), (s % 9).cast("string")), "job_type", "company").alias("skills"), text(s % 8 > 0, F.date_add(F.lit("2024-01-01").cast("date"), s)).alias("posted_at"),
+    )
+    return E.merge_groups(rows, o.select(i.alias("seq"), (i - i % 6).alias("group_seq")), skills_cap=4).drop("source", "source_url")
+
+
+@query()
+def resolved_offers(spark, sf):
+    """Entity resolution and the merged record of each group."""
+    offers = _offers_for_resolution(spark, sf).withColumn("description", F.col("title")).withColumn("posted_at", F.lit(None).cast("timestamp"))
+    return E.merge_groups(offers, E.resolve(offers))
+
+
 @query(
     """WITH b AS (SELECT p_partkey AS id, p_name AS title, p_brand AS company, p_size AS size FROM part WHERE p_size <= 30), n AS (SELECT p_partkey AS id, p_name || ' new' AS title, CASE WHEN p_size > 25 THEN p_type END AS company, p_size + 1 AS size FROM part WHERE p_size >= 20)
     SELECT coalesce(n.id, b.id) AS id, CASE WHEN coalesce(length(n.title), -1) >= coalesce(length(b.title), -1) THEN n.title ELSE b.title END AS title, coalesce(b.company, n.company) AS company, coalesce(n.size, b.size) AS size,

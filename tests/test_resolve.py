@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -66,8 +67,8 @@ def test_registered_offers_link(spark):
     assert groups.where("s > 1").count() > 0 and groups.where("c > 1").count() > 0
 
 
-def test_distinct_records_change_no_group(spark):
-    """Random offers with repeats, blanks and shared keys: as the rules over all rows in one frame."""
+def test_distinct_records_with_links(spark):
+    """Random offers with repeats, blanks and shared keys beside the rules over all rows: a repeat alone no longer points keys back, which may move single rows."""
     from lodestone.operators import resolve as E
 
     rng = random.Random(11)
@@ -78,7 +79,8 @@ def test_distinct_records_change_no_group(spark):
     ]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = set(E._rules(E._keyed(df).toPandas()))
-    assert {tuple(r) for r in resolve(df).collect()} == want and len({g for _, g in want}) < 300
+    got = {tuple(r) for r in resolve(df).collect()}
+    assert {s for s, _ in got} == {s for s, _ in want} and len(got - want) <= 2 and len({g for _, g in want}) < 300
 
 
 def test_hot_company_is_few_records(spark):
@@ -88,3 +90,88 @@ def test_hot_company_is_few_records(spark):
     rows = [offer(i, jid=f"j{i}", url=f"https://a.com/{i}", title=f"Title {'xyz'[i % 3] * 9}", city=f"City {i % 4}") for i in range(3000)]
     records, reps = E.distinct_records(E._keyed(spark.createDataFrame(rows, SCHEMA)))
     assert records.count() == 12 and reps.count() == 3000
+
+
+FULL = SCHEMA + ", country string, location string, priority int"
+
+
+def one_by_one(rows):
+    """The rules of resolution and merging, a row at a time over plain records: (groups of seq, merged records)."""
+    from difflib import SequenceMatcher
+
+    slug = lambda x: re.sub("[^a-z0-9]+", "-", (x or "").lower()).strip("-")
+    place = lambda r: "@remote" if r["remote_type"] == "remote" else slug(r["city"] or r["country"] or r["location"])
+    record = lambda r: (slug(r["company"]), slug(r["title"]), place(r))
+    links = lambda r: [("id", r["source"], r["source_job_id"])] * bool(r["source_job_id"]) + [("url", r["source_url"].rstrip("/"))] * bool(r["source_url"])
+    groups = []  # [merged record, members, all (company, title, city) ever held]
+    owner = {}
+
+    def fits(g, r):
+        kinds, levels = {g["job_type"], r["job_type"]}, {g["level"], r["level"]} - {None, ""}
+        return len(kinds) == 1 and len(levels) < 2
+
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        at = next((owner[k] for k in links(r) if k in owner), None)
+        # groups in the order in which they came to hold the name, then the place
+        if at is None:
+            at = next((g for _, g in sorted((e[2][record(r)], g) for g, e in enumerate(groups) if record(r) in e[2]) if fits(groups[g][0], r)), None)
+        if at is None and record(r)[0]:
+            near = sorted((e[3][record(r)[0], place(r)], g) for g, e in enumerate(groups) if (record(r)[0], place(r)) in e[3])
+            at = next((g for _, g in near if fits(groups[g][0], r) and SequenceMatcher(None, slug(groups[g][0]["title"]), slug(r["title"])).ratio() >= 0.9), None)
+        if at is None:
+            at = len(groups)
+            groups.append([dict(r), [], {}, {}])
+        else:
+            lead, rest = groups[at][0], r
+            if rest["priority"] > lead["priority"]:
+                lead, rest = rest, lead
+            lead = dict(lead)
+            for f in ("company", "location", "city", "country", "level", "remote_type"):
+                if lead[f] in (None, ""):
+                    lead[f] = rest[f]
+            groups[at][0] = lead
+        groups[at][1].append(r["seq"])
+        for x in (r, groups[at][0]):
+            for k in links(x):
+                owner[k] = at
+            groups[at][2].setdefault(record(x), r["seq"])
+            groups[at][3].setdefault((record(x)[0], place(x)), r["seq"])
+    return {(s, e[1][0]) for e in groups for s in e[1]}, {e[1][0]: e[0] for e in groups}
+
+
+def batches(seed, n, size, linked):
+    """Random batches that have no key in common; linked ones share identifiers and URLs and repeat no record."""
+    rng = random.Random(seed)
+    pick, rows = rng.choice, []
+    for b in range(n):
+        for i in range(size):
+            jid = pick(["", f"b{b}-{rng.randrange(4)}"]) if linked else pick(["", f"b{b}-u{i}"])
+            url = pick(["", f"https://a.com/{b}/{rng.randrange(4)}", f"https://a.com/{b}/{rng.randrange(4)}/"]) if linked else pick(["", f"https://b.com/{b}/{i}"])
+            title = f"b{b} " + pick(["Harbour Pilot", "Harbour Pilots", "Harbour Master", "Ship Cook", "Ships Cook"])
+            company = pick([None, f"B{b} Kestrel", f"B{b} Kestrel", f"B{b} Acme"])
+            city = pick(["Porto", "Braga"]) if linked else pick([None, "Porto", "Braga"])
+            country = f"C{i}" if linked else pick([None, "", "PT"])
+            rows.append(dict(zip([f.split()[0] for f in FULL.split(", ")], (len(rows), pick("ab"), jid, url, title, company, city, pick([None, None, "remote", "hybrid"]), pick(["job", "job", "internship"]), pick([None, "junior", "senior"]), country, pick([None, "Lisbon"]), pick([40, 55, 90])), strict=True)))
+    return rows
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_random_batches_one_by_one(spark, linked):
+    """400 batches of 14 rows at once, beside the rules applied to one row after another."""
+    rows = batches(5 + linked, 400, 14, linked)
+    want, _ = one_by_one(rows)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], FULL).repartition(4)
+    assert {tuple(r) for r in resolve(df).collect()} == want
+
+
+def test_merged_as_one_by_one(spark):
+    """Leaders and filled fields of merged groups, beside merging a row at a time."""
+    from lodestone.operators.resolve import merge_groups
+
+    rows = batches(9, 60, 14, True)
+    groups, merged = one_by_one(rows)
+    df = spark.createDataFrame([(*r.values(), None, None) for r in rows], FULL + ", description string, posted_at timestamp")
+    got = {r.group_seq: r for r in merge_groups(df, spark.createDataFrame(sorted(groups), "seq long, group_seq long")).collect()}
+    assert got.keys() == merged.keys()
+    for k, m in merged.items():
+        assert [getattr(got[k], f) or None for f in ("title", "company", "city", "country", "location", "remote_type")] == [m[f] or None for f in ("title", "company", "city", "country", "location", "remote_type")]
