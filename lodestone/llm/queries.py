@@ -74,6 +74,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened_rows
+
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fingerprints": op2_fingerprints,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_nearest": op9_nearest,
     "op10_packing": op10_packing,
+    "op13_whitening": op13_whitening,
 }
 
 from .token_rollup import ORACLE as _ROLLUP  # noqa: E402
