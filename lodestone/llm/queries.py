@@ -74,6 +74,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import digests, planted
+
+    return digests(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitened_rows
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_nearest": op9_nearest,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_whitening": op13_whitening,
 }
 
