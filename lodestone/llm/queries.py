@@ -80,6 +80,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect, digests
+
+    return digests(detect(table(spark, sf_dir, "documents"), keep=("doc_id",)))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitened_rows
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_personal_data": op12_personal_data,
     "op13_whitening": op13_whitening,
 }
 
