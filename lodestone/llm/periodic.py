@@ -152,8 +152,11 @@ def stretches(w: np.ndarray, octave: int, at: np.ndarray, period: np.ndarray) ->
     return out
 
 
-def with_tiles(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with columns behind its own: row (a number), n_words, plain_sha256 (of all words) and tiles; written, so that numbers stay."""
+def with_tiles(docs: DataFrame, text: str = "text", thin: bool = False) -> DataFrame:
+    """``docs`` with columns behind its own: row (a number), n_words, plain_sha256 (of all words) and tiles; written, so that numbers stay.
+
+    ``thin`` leaves out the texts that have no tile: nothing is to be done for them any more.
+    """
     spark = docs.sparkSession
     ship(spark)
     names = [fresh(docs, c) for c in ("row", "n_words", "plain_sha256", "tiles")]
@@ -162,6 +165,8 @@ def with_tiles(docs: DataFrame, text: str = "text") -> DataFrame:
     added = T.StructType.fromDDL("n bigint, sha string, tiles array<struct<octave: int, first: bigint, at: array<bigint>, period: array<bigint>, words: binary>>")
     schema = T.StructType([*staged.schema.fields[:-1], *(T.StructField(name, f.dataType) for name, f in zip(names[1:], added.fields, strict=True))])
 
+    at_text = docs.columns.index(text)
+
     def run(batches):
         tk.begin()
         for batch in batches:
@@ -171,7 +176,10 @@ def with_tiles(docs: DataFrame, text: str = "text") -> DataFrame:
                 found = tiles(ids, at)
                 digests = plain_digests(raw, offsets)
                 rows = pa.array([found.get(i, []) for i in range(b - a)], pa.list_(_TILE))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in cols[:-1]), pa.array(np.diff(at)), pa.array(digests, pa.string()), rows], fields)
+                own = [c.slice(a, b - a) for c in cols[:-1]]
+                if thin:
+                    own[at_text] = pa.array([cols[at_text][a + i].as_py() if i in found else None for i in range(b - a)], cols[at_text].type)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at)), pa.array(digests, pa.string()), rows], fields)
 
     return materialise(staged.mapInArrow(run, schema), "tiles")
 
@@ -232,48 +240,38 @@ def kept_words(n: int, runs: list[dict]) -> np.ndarray:
 def collapse(docs: DataFrame, text: str = "text", texts: bool = True) -> DataFrame:
     """``docs`` with n_words, runs and collapsed_sha256 behind its own columns, and ``text`` replaced by the words that stay, joined by one space.
 
-    ``texts=False`` returns no texts: then only the texts that have a candidate are written besides digests.
+    ``texts=False`` returns no texts: then only those that have a tile are written, and no other is shuffled in either case.
     """
-    own = list(docs.columns)
-    body = fresh(docs, "__text")
-    carried = docs if texts else docs.drop(text)
-    staged = with_tiles(docs.withColumn(body, F.col(text)) if texts else docs.withColumnRenamed(text, body), body)
-    row, n_words, sha, tile = staged.columns[-4:]
     outputs = ("n_words", "runs", "collapsed_sha256")
-    keep = [c for c in carried.columns if c not in outputs and (texts or c != text)]
-    found = runs_of(staged).withColumnsRenamed({"row": "__row", "runs": "__runs"})
-    joined = staged.join(found, staged[row] == found["__row"], "left")
-    # only texts with runs are read again for their words
-    wanted = F.when(F.col("__runs").isNotNull() if not texts else F.lit(True), F.col(body))
-    ready = joined.select(*keep, F.col(n_words).alias("n_words"), F.coalesce("__runs", F.array().cast(RUNS)).alias("runs"), F.col(sha).alias("collapsed_sha256"), wanted.alias(body))
-    schema = ready.drop(body).schema
-    at_text = keep.index(text) if texts else -1
+    staged = with_tiles(docs.select(*(c for c in docs.columns if c not in outputs)), text, not texts)
+    keep, (row, n_words, sha, tile) = staged.columns[:-4], staged.columns[-4:]
+    key, listed = fresh(staged, "__row"), fresh(staged, "__runs")
+    found = runs_of(staged).withColumnsRenamed({"row": key, "runs": listed})
+    tiled = F.size(tile) > 0
+    joined = staged.where(tiled).join(found, F.col(row) == F.col(key), "left").unionByName(staged.where(~tiled), allowMissingColumns=True)
+    ready = joined.select(*keep, F.col(n_words).alias("n_words"), F.coalesce(listed, F.array().cast(RUNS)).alias("runs"), F.col(sha).alias("collapsed_sha256"))
+    schema, at_text = ready.schema, keep.index(text)
 
     def run(batches):
         tk.begin()
         for batch in batches:
             cols = list(batch.columns)
-            digests = cols[-2].to_pylist()
-            bodies = cols[at_text].to_pylist() if texts else None
-            has = np.flatnonzero(np.asarray(pa.compute.list_value_length(cols[-3])) > 0)
-            some = range(batch.num_rows) if texts else has.tolist()
-            lists = {int(i): cols[-3][int(i)].as_py() for i in has}
-            for i in some:
-                t = cols[-1][i].as_py()
-                if t is None:
+            sha256, bodies = cols[-1].to_pylist(), cols[at_text].to_pylist()
+            has = np.asarray(pa.compute.list_value_length(cols[-2])) > 0
+            for i in range(len(bodies)) if texts else np.flatnonzero(has).tolist():
+                if bodies[i] is None:
                     continue
-                w = _split(t.encode())
-                if i in lists:
-                    w = [w[j] for j in np.flatnonzero(kept_words(len(w), lists[i]))]
-                    digests[i] = hashlib.sha256(b" ".join(w)).hexdigest()
-                if texts:
-                    bodies[i] = b" ".join(w).decode()
-            if texts:
-                cols[at_text] = pa.array(bodies, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols[:-2], pa.array(digests, pa.string())], schema.fieldNames())
+                w = _split(bodies[i].encode())
+                if has[i]:
+                    w = [w[j] for j in np.flatnonzero(kept_words(len(w), cols[-2][int(i)].as_py()))]
+                    sha256[i] = hashlib.sha256(b" ".join(w)).hexdigest()
+                bodies[i] = b" ".join(w).decode() if texts else None
+            cols[at_text] = pa.array(bodies, cols[at_text].type)
+            cols[-1] = pa.array(sha256, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
     out = ready.mapInArrow(run, schema)
-    return out.select(*(c for c in own if c in keep), *outputs)
+    return out if texts else out.drop(text)
 
 
 def digests(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
