@@ -1,8 +1,16 @@
-"""Entity resolution of offers: exact, order-dependent merging inside connected blocks.
+"""Entity resolution of offers: exact, order-dependent merging inside sparse connected blocks.
 
-Two offers can only meet if they share an identifier, a URL, or a company (or, without one, a
-title), so the blocks are the connected components over these keys; the sequential rules run
-inside a block, on its distinct records (see ``distinct_records``).  Components spread by minimum labels and pointer jumping until none moves.
+Two offers can only meet if they share an identifier or a URL, or if they have one company and place and
+titles of a ratio of ``SIMILAR`` or more (equal titles, without a company).  Blocks are the components over these
+links, so a company with very many different postings is as many blocks.  Titles that are that alike differ by at most
+a tenth of their joint length in insertions and deletions; such pairs are found by equi-joins over the rarest
+q-grams of either (a prefix filter), within a company and place, never by all pairs.  A component that shared
+identifiers or URLs hold together may stand for any company, place and title in it at once, as its merged record can take each from
+another row; it is given all these combinations, until no component gains one.
+
+The sequential rules run inside a block, streamed in order of seq, and hold a block's groups only.
+"Repeats" (rows that the rules treat alike) count once where a block has no shared identifier or URL: there they
+always join the first one's group.  In other blocks every row is seen.
 
 A group stands for its merged record: the row of the highest priority so far (the first of equals) gives title,
 type, company, place and level, and what it lacks comes from the others.  Keys of both the row and the merged
@@ -13,16 +21,16 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..components import components
 from ..functions.text import normalize_url, slug
-from ..storage import materialise, ship
+from ..storage import materialise, parts_for, ship
 
 SIMILAR = 0.90
-OUT = "seq bigint, group_seq bigint"
-
+#: Combinations of company, place and title of one linked component; a larger one is linked to all rows of its companies instead.
+COMBINATIONS = 4096
 
 RECORD = ["id_key", "url_key", "company_slug", "title_slug", "city", "country", "location", "remote_type", "job_type", "level", "priority"]
 #: What a merged record takes from another row where it has nothing.
@@ -54,44 +62,105 @@ def _keyed(offers: DataFrame) -> DataFrame:
     )
 
 
-def distinct_records(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records that the rules must see, and (seq, rep) of all rows: rep is the first row that the rules treat alike.
+def _named(x: str) -> Column:
+    return F.regexp_replace(x, "^-$", "")
 
-    A row equal to an earlier one in all that the rules read is the same record: it joins that one's group.  An
-    identifier or URL of one record only can't meet another, so it is left out, which makes more records equal.
-    Where groups are joined by names only this changes no group: one that was incompatible with a record stays so.
-    Where shared identifiers or URLs join rows of different types, levels or groups, a repeated row alone could
-    still point keys back to its group; here it does not.
-    """
-    rows = materialise(keyed.groupBy(*RECORD).agg(F.min("seq").alias("rep")), "offer-records")
-    reps, n = keyed.join(rows, RECORD).select("seq", "rep"), rows.count()
-    while True:
-        shared = rows.select(F.explode(F.array("id_key", "url_key")).alias("key")).where("key != ''").groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-        cut = rows
-        for c in ("id_key", "url_key"):
-            here = F.when(F.col(c) == "", F.concat(F.lit(":"), F.col("rep").cast("string"))).otherwise(F.col(c))  # rows without the key match nothing and go anywhere
-            met = shared.select(F.col("key").alias("here"), F.lit(True).alias("met"))
-            cut = cut.withColumn("here", here).join(met, "here", "left").withColumn(c, F.when(F.col("met"), F.col(c)).otherwise("")).drop("met", "here")
-        cut = materialise(cut, "offer-records")
-        fewer = materialise(cut.groupBy(*RECORD).agg(F.min("rep").alias("rep")), "offer-records")
-        first = cut.join(fewer.withColumnRenamed("rep", "to"), RECORD).select("rep", "to")
-        reps = materialise(reps.join(first, "rep").select("seq", F.col("to").alias("rep")), "offer-reps")
-        rows, before, n = fewer, n, fewer.count()
-        if n == before:
-            return rows.withColumnRenamed("rep", "seq"), reps
-
-
-def _blocks(records: DataFrame) -> DataFrame:
-    coarse = F.when(~F.col("company_slug").isin("", "-"), F.concat(F.lit("c:"), "company_slug")).otherwise(F.concat(F.lit("t:"), "title_slug"))
-    keys = materialise(records.select("seq", F.explode(F.array("id_key", "url_key", coarse)).alias("key")).where("key != ''"), "offer-keys")
-    first = keys.groupBy("key").agg(F.min("seq").alias("b"))  # every offer of a key is joined to the key's first
-    edges = keys.join(first, "key").where("seq != b").select(F.col("seq").alias("a"), "b").distinct()
-    return components(edges, records.select(F.col("seq").alias("node"))).select(F.col("node").alias("seq"), F.col("comp").alias("block"))
+
+def _place() -> Column:
+    first = F.coalesce(F.nullif("city", F.lit("")), F.nullif("country", F.lit("")), F.col("location"))
+    return F.when(F.col("remote_type") == "remote", "@remote").otherwise(F.regexp_replace(first, "^-$", ""))
+
+
+def _shared_keys(keyed: DataFrame) -> DataFrame:
+    """(seq, first) of every row with an identifier or URL that another row has: the first row of each such key."""
+    keys = keyed.select("seq", F.explode(F.array("id_key", "url_key")).alias("key")).where("key != ''")
+    first = keys.groupBy("key").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    return keys.join(first, "key").select("seq", "first").distinct()
+
+
+def _coarse_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of rows (seq, company, title) that name one company or, without one, one title."""
+    coarse = F.when(F.col("company") != "", F.concat(F.lit("c:"), "company")).otherwise(F.concat(F.lit("t:"), "title"))
+    first = rows.groupBy(coarse.alias("key")).agg(F.min("seq").alias("b"))
+    return rows.select(F.col("seq").alias("a"), coarse.alias("key")).join(first, "key").where("a != b").select("a", "b")
 
 
 def block_labels(offers: DataFrame) -> DataFrame:
-    """(seq, block): the smallest seq connected over identifier, URL or coarse name."""
-    return _blocks(_keyed(offers))
+    """(seq, block): the smallest seq connected over identifier, URL or coarse name (coarser than what ``resolve`` needs)."""
+    keyed = _keyed(offers)
+    named = keyed.select("seq", _named("company_slug").alias("company"), F.col("title_slug").alias("title"))
+    edges = _shared_keys(keyed).select(F.col("seq").alias("a"), F.col("first").alias("b")).unionByName(_coarse_edges(named)).distinct()
+    return components(edges, keyed.select(F.col("seq").alias("node"))).select(F.col("node").alias("seq"), F.col("comp").alias("block"))
+
+
+def title_tokens(titles: DataFrame) -> DataFrame:
+    """(title, token) for the distinct ``titles``: of the q-grams of each (the k-th of its kind apart), those that a similar title must share one of.
+
+    An insertion or deletion breaks q grams at most, and similar titles of n characters differ by 2n/11 deletions (or less,
+    with insertions), so but for 2qn/11 all grams of a title are in a similar one: the rarest 2qn/11 + 1 of each have one
+    in common.  Trigrams serve titles from seven characters on, bigrams those up to seven; under five only equal titles are similar.
+    """
+    n = F.length("title")
+
+    def grams(q: int, when: Column) -> DataFrame:
+        at = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(F.col("title"), i, F.lit(q)))
+        return titles.where(when).select("title", F.lit(q).alias("q"), F.explode(at).alias("gram"))
+
+    each = grams(3, n >= 7).unionByName(grams(2, n.between(4, 7))).groupBy("title", "q", "gram").agg(F.count("*").alias("k"))
+    often = each.groupBy("gram").agg(F.count("*").alias("often"))  # 37 cubed rows and 37 squared at most: slugs have 37 characters
+    ranked = each.join(F.broadcast(often), "gram").groupBy("title", "q").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "k"))).alias("g"))
+    repeated = F.flatten(F.transform("g", lambda g: F.transform(F.sequence(F.lit(1), g["k"].cast("int")), lambda i: F.concat(g["gram"], F.lit("#"), i.cast("string")))))
+    return ranked.select("title", F.explode(F.slice(repeated, F.lit(1), F.floor(2 * F.col("q") * n / 11).cast("int") + 1)).alias("token"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, tokens: DataFrame, once: bool = False) -> DataFrame:
+    """(a, b) of the nodes of two tables (company, place, title, node) with one company and place whose titles may have the wanted ratio; ``once``: both are one table."""
+    other = right.join(tokens, "title").select("company", "place", "token", F.col("title").alias("t"), F.col("node").alias("b"))
+    a, b = F.length("title"), F.length("t")
+    near = left.join(tokens, "title").join(other, ["company", "place", "token"]).where((F.col("title") < F.col("t")) if once else (F.col("title") != F.col("t")))
+    return near.where((F.col("node") != F.col("b")) & (10 * F.abs(a - b) <= a + b)).where(10 * F.levenshtein("title", "t") <= a + b).select(F.col("node").alias("a"), "b").distinct()
+
+
+NAME = ["company", "place", "title"]
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """Of rows (seq, node, company, place, title, places): distinct (node, company, place, title, wide), all combinations where a node's rows differ; a wide row stands for too many."""
+    plain = rows.groupBy("node", *NAME).agg(F.first("places").alias("places"))
+    sets = plain.groupBy("node").agg(F.collect_set("company").alias("cs"), F.array_distinct(F.flatten(F.collect_set(F.array_append("places", F.col("place"))))).alias("ps"), F.collect_set("title").alias("ts"), F.min(F.struct("company", "place")).alias("n"), F.max(F.struct("company", "place")).alias("m")).where("n != m")
+    few = F.size("cs").cast("long") * F.size("ps") * F.size("ts") <= COMBINATIONS
+    grown = sets.where(few).select("node", F.explode("cs").alias("company"), "ps", "ts").select("node", "company", F.explode("ps").alias("place"), "ts").select("node", "company", "place", F.explode("ts").alias("title"))
+    wide = sets.where(~few).select("node", *(F.lit("").alias(c) for c in NAME))
+    return plain.drop("places").unionByName(grown).distinct().withColumn("wide", F.lit(False)).unionByName(wide.withColumn("wide", F.lit(True)))
+
+
+def _blocks(keyed: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """(seq, block) over shared identifiers and URLs and over similar names; see the module."""
+    parts = parts_for(size)
+    places = F.array_except(F.transform(F.array("city", "country", "location"), lambda p: F.regexp_replace(p, "^-$", "")), F.array(F.lit("")))
+    fields = keyed.select("seq", _named("company_slug").alias("company"), _place().alias("place"), F.col("title_slug").alias("title"), places.alias("places"))
+    tokens = materialise(title_tokens(fields.select("title").distinct()), "offer-tokens", parts)
+    linked = components(links.select(F.col("seq").alias("a"), F.col("first").alias("b")), size=size)
+    rows = fields.join(linked.withColumnRenamed("node", "seq"), "seq", "left").select("*", F.coalesce("comp", "seq").alias("node")).drop("comp")
+    rows, known = materialise(rows, "offer-blocks", parts), None
+    while True:
+        entries = materialise(_entries(rows), "offer-entries", parts)
+        plain, fresh = entries.where("NOT wide"), entries
+        if known is not None:  # what the last turn has joined is known under its new node
+            fresh = materialise(entries.join(known, ["node", *NAME, "wide"], "left_anti"), "offer-entries", parts)
+            if fresh.isEmpty():
+                return rows.select("seq", F.col("node").alias("block"))
+        named = plain.groupBy(*NAME).agg(F.min("node").alias("node"))
+        new = named if known is None else fresh.where("NOT wide").select(*NAME, "node")
+        edges = new.select(*NAME, F.col("node").alias("a")).join(named.withColumnRenamed("node", "b"), NAME).select("a", "b") if known is not None else plain.join(named.withColumnRenamed("node", "b"), NAME).select(F.col("node").alias("a"), "b")
+        edges = edges.where("a != b").unionByName(similar_pairs(new.where("company != ''"), named, tokens, known is None))
+        if not fresh.where("wide").isEmpty():
+            far = rows.join(fresh.where("wide").select("node"), "node").select("company", "title").distinct()
+            met = rows.join(far, ["company", "title"], "left_semi").unionByName(rows.where("company != ''").join(far.select("company").distinct(), "company", "left_semi"))
+            edges = edges.unionByName(_coarse_edges(met.select(F.col("node").alias("seq"), "company", "title").distinct()))
+        comp = components(edges.distinct(), size=size)
+        moved = lambda t: t.join(comp, "node", "left").select(*(c for c in t.columns if c != "node"), F.coalesce("comp", "node").alias("node"))
+        rows, known = materialise(moved(rows), "offer-blocks", parts), moved(entries)
 
 
 def _similar(a: str, b: str) -> bool:
@@ -119,45 +188,82 @@ def _absorb(lead: dict, other: dict) -> dict:
     return lead | {f: lead[f] or other[f] for f in FILLED}
 
 
-def _rules(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-    """Greedy grouping in arrival order: strong keys first, then equal name and place, then similar titles."""
-    groups: list[dict] = []
-    first: list[int] = []
-    strong: dict[str, int] = {}
-    named: dict[tuple, dict[int, None]] = {}
-    placed: dict[tuple, dict[int, None]] = {}
-    out = []
-    for r in pdf.sort_values("seq").to_dict("records"):
+class _Block:
+    """Greedy grouping of one block in arrival order: strong keys first, then equal name and place, then similar titles."""
+
+    def __init__(self):
+        self.groups: list[dict] = []
+        self.first: list[int] = []
+        self.strong: dict[str, int] = {}
+        self.named: dict[tuple, dict[int, None]] = {}
+        self.placed: dict[tuple, dict[int, None]] = {}
+
+    def add(self, r: dict) -> int:
+        """The first seq of the group that the row joins."""
+        groups = self.groups
         company, title = r["company_slug"].strip("-"), r["title_slug"]
-        hit = next((strong[k] for k in (r["id_key"], r["url_key"]) if k in strong), None)
+        hit = next((self.strong[k] for k in (r["id_key"], r["url_key"]) if k in self.strong), None)
         if hit is None:
-            hit = next((g for g in named.get((company, title, _city(r)), ()) if _compatible(groups[g], r)), None)
+            hit = next((g for g in self.named.get((company, title, _city(r)), ()) if _compatible(groups[g], r)), None)
         if hit is None and company:
-            hit = next((g for g in placed.get((company, _city(r)), ()) if _compatible(groups[g], r) and _similar(groups[g]["title_slug"], title)), None)
+            hit = next((g for g in self.placed.get((company, _city(r)), ()) if _compatible(groups[g], r) and _similar(groups[g]["title_slug"], title)), None)
         if hit is None:
             hit = len(groups)
             groups.append(r)
-            first.append(r["seq"])
+            self.first.append(r["seq"])
         else:
             groups[hit] = _absorb(groups[hit], r)
         for x in (r, groups[hit]):
             name = x["company_slug"].strip("-")
             for k in (x["id_key"], x["url_key"]):
                 if k:
-                    strong[k] = hit
-            named.setdefault((name, x["title_slug"], _city(x)), {})[hit] = None
+                    self.strong[k] = hit
+            self.named.setdefault((name, x["title_slug"], _city(x)), {})[hit] = None
             if name:
-                placed.setdefault((name, _city(x)), {})[hit] = None
-        out.append((r["seq"], first[hit]))
-    return out
+                self.placed.setdefault((name, _city(x)), {})[hit] = None
+        return self.first[hit]
+
+
+def _rules(rows: list[dict]) -> list[tuple[int, int]]:
+    """(seq, group_seq) of rows taken as one block."""
+    block = _Block()
+    return [(r["seq"], block.add(r)) for r in sorted(rows, key=lambda r: r["seq"])]
+
+
+def _grouped(batches):
+    """Rows that come by block, then seq."""
+    at, block = None, _Block()
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["block"] != at:
+                at, block = r["block"], _Block()
+            out.append(block.add(r))
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array(out, pa.int64())], ["rep", "group_seq"])
+
+
+def blocked_records(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that the rules must see (block, seq and ``RECORD``), and (seq, rep) of all rows: rep is the record that stands for the row."""
+    keyed = materialise(_keyed(offers), "offer-rows")
+    size = keyed.count()
+    links = materialise(_shared_keys(keyed), "offer-links", parts_for(size))
+    blocks = _blocks(keyed, links, size)
+    bound = links.select("seq").distinct().join(blocks, "seq").select("block").distinct().withColumn("linked", F.lit(True))
+    rows = keyed.join(blocks, "seq").join(bound, "block", "left")
+    alone = F.when(F.col("linked"), F.col("seq")).otherwise(-1).alias("own")  # a row of a linked block is a record of its own
+    key = lambda c: F.when(F.col("linked"), F.col(c)).otherwise("").alias(c)  # noqa: E731  elsewhere no other row has them
+    rows = materialise(rows.select("seq", "block", alone, key("id_key"), key("url_key"), *RECORD[2:]), "offer-records")
+    same = ["block", "own", *RECORD]
+    records = rows.groupBy(*same).agg(F.min("seq").alias("rep"))
+    return records.withColumnRenamed("rep", "seq").drop("own"), rows.join(records, same).select("seq", "rep")
 
 
 def resolve(offers: DataFrame) -> DataFrame:
     """(seq, group_seq) for offers with seq, source, source_job_id, source_url, title, company and, if there, city, country, location, remote_type, job_type, level, priority."""
     ship(offers.sparkSession)
-    records, reps = distinct_records(_keyed(offers))
-    grouped = records.join(_blocks(records), "seq").groupBy("block").applyInPandas(lambda pdf: pd.DataFrame(_rules(pdf), columns=["seq", "group_seq"]), OUT)
-    return reps.join(grouped.withColumnRenamed("seq", "rep"), "rep").select("seq", "group_seq")
+    records, reps = blocked_records(offers)
+    grouped = records.repartition("block").sortWithinPartitions("block", "seq").mapInArrow(_grouped, "rep bigint, group_seq bigint")
+    return reps.join(grouped, "rep").select("seq", "group_seq")
 
 
 #: What the leading row of a group takes from the others where it has nothing.

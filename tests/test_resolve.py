@@ -68,7 +68,7 @@ def test_registered_offers_link(spark):
 
 
 def test_distinct_records_with_links(spark):
-    """Random offers with repeats, blanks and shared keys beside the rules over all rows: a repeat alone no longer points keys back, which may move single rows."""
+    """Random offers with repeats, blanks and shared keys beside the rules over all rows."""
     from lodestone.operators import resolve as E
 
     rng = random.Random(11)
@@ -78,9 +78,9 @@ def test_distinct_records_with_links(spark):
         for i in range(600)
     ]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    want = set(E._rules(E._keyed(df).toPandas()))
+    want = set(E._rules([r.asDict() for r in E._keyed(df).collect()]))
     got = {tuple(r) for r in resolve(df).collect()}
-    assert {s for s, _ in got} == {s for s, _ in want} and len(got - want) <= 2 and len({g for _, g in want}) < 300
+    assert got == want and len({g for _, g in want}) < 300
 
 
 def test_hot_company_is_few_records(spark):
@@ -88,7 +88,7 @@ def test_hot_company_is_few_records(spark):
     from lodestone.operators import resolve as E
 
     rows = [offer(i, jid=f"j{i}", url=f"https://a.com/{i}", title=f"Title {'xyz'[i % 3] * 9}", city=f"City {i % 4}") for i in range(3000)]
-    records, reps = E.distinct_records(E._keyed(spark.createDataFrame(rows, SCHEMA)))
+    records, reps = E.blocked_records(spark.createDataFrame(rows, SCHEMA))
     assert records.count() == 12 and reps.count() == 3000
 
 
@@ -159,7 +159,7 @@ def batches(seed, n, size, linked):
 def test_random_batches_one_by_one(spark, linked):
     """400 batches of 14 rows at once, beside the rules applied to one row after another."""
     rows = batches(5 + linked, 400, 14, linked)
-    want, _ = one_by_one(rows)
+    want = set().union(*(one_by_one(rows[i : i + 14])[0] for i in range(0, len(rows), 14)))  # batches have no key in common
     df = spark.createDataFrame([tuple(r.values()) for r in rows], FULL).repartition(4)
     assert {tuple(r) for r in resolve(df).collect()} == want
 
