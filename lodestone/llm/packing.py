@@ -26,7 +26,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -314,11 +313,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str =
     rest = placed.where(F.col("g") >= F.col("planned")).select("pid", "row", "doc_id", "start", "rem", "doc_tokens", run_at.alias("p")).join(rows.select("pid", "row", "rem_ids"), ["pid", "row"]).drop("pid", "row")
     names = [c.split(" ")[0] for c in PIECES.split(", ")]
 
-    def cut(frames):
+    def cut(batches):
         tail = int(edge[0])
-        for frame in frames:
+        for batch in batches:  # of Arrow, where a null doesn't turn the other numbers into floats
             out = []
-            for d, start, rem, tokens, p, ids in zip(*(frame[c].tolist() for c in ("doc_id", "start", "rem", "doc_tokens", "p", "rem_ids")), strict=True):
+            for d, start, rem, tokens, p, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "rem", "doc_tokens", "p", "rem_ids")), strict=True):
                 a = p
                 while a < p + rem:
                     if a < tail:
@@ -330,9 +329,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text: str =
                     b = min(end, p + rem)
                     out.append((d, start + a - p, b - a, zlib.crc32(ids[4 * (a - p) : 4 * (b - p)]), tokens, greedy_first + k, a - first))
                     a = b
-            yield pd.DataFrame(out, columns=names).astype({c: "Int64" if c == "doc_id" else "int64" for c in names})
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
 
-    return whole.unionByName(fitted).unionByName(rest.mapInPandas(cut, PIECES))
+    return whole.unionByName(fitted).unionByName(rest.mapInArrow(cut, PIECES))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

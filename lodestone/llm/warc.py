@@ -103,7 +103,7 @@ def arc_header(line: str, names: list[str]) -> dict[str, str] | None:
 
 def parse_arc(content: bytes):
     """(fields, block, mark) of every record after the version block; field names come from that block, the mark is null, ``length`` or ``unspecified``."""
-    pos, names = 0, None
+    pos, names, first = 0, None, True
 
     def line_at(p: int):
         end = content.find(b"\n", p)
@@ -128,7 +128,8 @@ def parse_arc(content: bytes):
         length = int(fields["Archive-length"])
         block = content[end + 1 : end + 1 + length]
         pos = end + 1 + length
-        if fields["URL"].startswith("filedesc://"):
+        opening, first = first, False
+        if opening and fields["URL"].startswith("filedesc://"):  # later ones are pages
             lines = block.decode("utf-8", "replace").split("\n")
             if len(lines) > 1 and {"Archive-date", "Content-type", "Archive-length"} <= set(lines[1].split()):
                 names = lines[1].split()
@@ -183,6 +184,12 @@ def header_value(http: bytes, name: bytes) -> str | None:
     return m[1].decode("utf-8", "replace").strip() if m else None
 
 
+def _long(number: str | None) -> int | None:
+    """A page's number, if it is one and fits into 64 bits."""
+    n = int(number) if number and re.fullmatch(r"-?\d{1,19}", number) else None
+    return n if n is not None and -(2**63) <= n < 2**63 else None
+
+
 def arc_records(arcs: DataFrame) -> DataFrame:
     """Parsed records of archives (``content`` binary): ``RECORDS``."""
     ship(arcs.sparkSession)
@@ -196,7 +203,7 @@ def arc_records(arcs: DataFrame) -> DataFrame:
                 for f, block, cut in parse_arc(content.as_py() or b""):
                     http, payload = split_http(block)
                     number = header_value(http, b"X-Page-Id")
-                    rows.append((f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], int(number) if number and re.fullmatch(r"-?\d{1,18}", number) else None, http, payload, digest32(payload), cut))
+                    rows.append((f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], _long(number), http, payload, digest32(payload), cut))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 

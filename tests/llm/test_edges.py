@@ -87,3 +87,70 @@ def test_pipeline_edges(spark, rows):
         docs = out
     ids = sorted({r.doc_id for r in docs.collect() if r.doc_id is not None})
     assert ids == ([] if not rows else [1] if rows is NULLS else list(range(6)))
+
+
+def test_packing_large_ids_beside_nulls(spark):
+    """Document keys of 64 bits stay what they are when a null lies in the same batch."""
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {k} " * (k + 1)) for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack(docs, JSON).collect()} == set(ids)
+
+
+def test_warc_pages_that_look_like_version_blocks(spark):
+    """A page under filedesc:// is a page, page numbers have up to 19 digits, and of equal payloads one is the response."""
+    from lodestone.llm import warc
+
+    rows = [(1, "filedesc://x", "p"), (2**62 + 5, "http://a/", "q" * 300_000), (2**63 - 1, "http://b/", "q" * 300_000), (-(2**63), "filedesc://y", None)]
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.pages_through_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {1: ("response", None, 1), 2**62 + 5: ("response", None, 300_000), 2**63 - 1: ("revisit", 2**62 + 5, 300_000), -(2**63): ("response", None, 0)}
+
+
+VECTORS = "vec_id long, embedding array<float>, x string, m string, w string"
+
+
+def test_whitening_edges(spark):
+    """Nulls, not-a-numbers, other lengths, repeated rows, dimensions without variance, and vectors that don't vary at all."""
+    import numpy as np
+    from lodestone.llm import whitening
+
+    rng = np.random.default_rng(3)
+    good = [rng.normal(size=5).astype(np.float32).tolist() for _ in range(40)]
+    for v in good:
+        v[4] = 0.25
+    rows = [(i, v, "a", "b", "c") for i, v in enumerate(good)] + [(7, good[0], "", "", ""), (7, good[0], "", "", ""), (None, good[1], None, None, None), *[(100 + i, good[2], "h", "h", "h") for i in range(60)]]
+    bad = [(1, None, "", "", ""), (2, [], "", "", ""), (3, [1.0, None, 1.0, 1.0, 1.0], "", "", ""), (4, [float("nan")] * 5, "", "", ""), (5, [float("inf")] * 5, "", "", ""), (6, [1.0] * 3, "", "", ""), (8, [3e38] * 5, "", "", "")]
+    df = spark.createDataFrame(rows + bad, VECTORS)
+    for weights in ("one", "counts"):
+        got = whitening.whitened_rows(df, keep=("vec_id", "x", "m"), weights=weights).collect()
+        assert len(got) == 5 * len(rows)
+        xs = np.array([[int(np.floor(64 * np.float64(np.float32(c)))) + 1_000_000 for c in r[1]] for r in rows])
+        uniq, m = np.unique(xs, axis=0, return_counts=True)
+        w = m if weights == "counts" else np.ones(len(uniq), int)
+        n, sums = int(w.sum()), (uniq * w[:, None]).sum(0)
+        a = uniq - sums / n
+        e, u = np.linalg.eigh((a * w[:, None]).T @ a / n)
+        e, u = e[::-1], u[:, ::-1]
+        by = {}
+        for r in got:
+            by.setdefault((r.vec_id, r.x), {}).setdefault(r.component, set()).add((r.whitened, r.deviation, r.n))
+        for (i, v, x, *_), row in zip(rows, xs, strict=True):
+            want = (row - sums / n) @ u[:, :4] / np.sqrt(e[:4])
+            for k in range(4):
+                assert any(abs(abs(g) - abs(want[k])) < 1e-9 and d == sum((n * int(p) - int(s)) ** 2 for p, s in zip(row, sums, strict=True)) and c == n for g, d, c in by[i, x][k + 1])
+            assert {g for g, _, _ in by[i, x][5]} == {None}
+        assert got[0].identity_error < 1e-9 and all(abs(r.explained - e[r.component - 1] / e.sum()) < 1e-9 for r in got)
+    same = whitening.whitened_rows(spark.createDataFrame([(1, [1.0, 2.0], "", "", "")] * 3, VECTORS)).collect()
+    assert [(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in same] == [(1, 0, None, None, None)] * 6
+    assert whitening.whitened_rows(spark.createDataFrame(bad[:5], VECTORS)).collect() == [] and whitening.whitened_rows(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def test_whitening_beyond_longs(spark):
+    """Entries so large that n * x leaves 64 bits: sums stay exact, and a deviation that doesn't fit is null."""
+    from lodestone.llm import whitening
+
+    rows = [(i, [float(2**49 + 2**40 * i), float(i)]) for i in range(3)]
+    got = {r.vec_id: (r.n, r.deviation) for r in whitening.whitened_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    xs = [[64 * (2**49 + 2**40 * i) + 1_000_000, 64 * i + 1_000_000] for i in range(3)]
+    for i, x in enumerate(xs):
+        d = sum((3 * a - sum(y[k] for y in xs)) ** 2 for k, a in enumerate(x))
+        assert got[i] == (3, d if d < 2**63 else None)
