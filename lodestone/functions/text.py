@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import ipaddress
+import json
+
 from pyspark.sql import Column, functions as F
 
 #: Query parameters that only track; so does every name that begins with utm_.
@@ -36,13 +40,44 @@ def clean_text(x: Column, limit: int = 512) -> Column:
     return F.nullif(F.substring(t, 1, limit), F.lit(""))
 
 
+def _entities() -> str:
+    """Named character references that end in a semicolon, as the HTML standard lists them, and the numbers 128 to 159, which it reads as Windows-1252."""
+    named = {k: html.entities.html5[f"{k};"] for k in ("amp", "lt", "gt", "quot", "nbsp", "apos")}  # first, as they are most frequent
+    named |= {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    for n in range(128, 160):
+        named[f"#{n}"] = bytes([n]).decode("cp1252", "replace")
+    return json.dumps(named)
+
+
+def unescape_html(x: Column) -> Column:
+    """Character references decoded once: named and numeric ones (decimal or hexadecimal) that end in a semicolon; unknown names stay, numbers that are no character become U+FFFD."""
+    pattern = "&(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+    names = F.from_json(F.lit(_entities()), "map<string,string>")
+    let = lambda v, f: F.get(F.transform(F.array(v), f), 0)
+    bad = F.lit("\ufffd")
+
+    def number(ref: Column) -> Column:
+        n = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8)).cast("long")
+        char = lambda v: F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32")
+        return let(n, lambda v: F.when((v == 0) | (v > 0x10FFFF) | v.between(0xD800, 0xDFFF), bad).when(v.between(128, 159), F.try_element_at(names, F.concat(F.lit("#"), v.cast("string")))).otherwise(char(v)))
+
+    def one(ref: Column) -> Column:
+        return F.when(ref.startswith("#"), number(ref)).otherwise(F.coalesce(F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
+
+    def whole(t: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), one)
+        joined = F.array_join(F.transform(F.arrays_zip(F.split(t, pattern, -1).alias("gap"), refs.alias("ref")), lambda z: F.concat(z["gap"], F.coalesce(z["ref"], F.lit("")))), "")
+        return F.when(t.contains("&"), joined).otherwise(t)
+
+    return let(x, whole)
+
+
 def html_to_text(x: Column, limit: int | None = None) -> Column:
-    """Visible text: script-like elements dropped, tags as line breaks, five named entities decoded, blank lines capped at one; all of it without a limit."""
+    """Visible text: script-like elements dropped, tags as line breaks, character references decoded, blank lines capped at one; all of it without a limit."""
     t = F.regexp_replace(x, r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"<[^>]*>", "\n")
-    for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(c))
+    t = unescape_html(t)
     t = F.regexp_replace(t, "[ \\t\u00a0]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
@@ -74,14 +109,49 @@ def normalize_url(x: Column) -> Column:
     return F.when(bare == "", "").otherwise(F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
+#: Networks that are private, reserved or for one use only, and parts of them that are not.
+CLOSED_IPV4 = "0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3".split()
+OPEN_IPV4 = "192.0.0.9/32 192.0.0.10/32".split()
+CLOSED_IPV6 = "2001::/23 2001:db8::/32 2002::/16".split()
+OPEN_IPV6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
+INTERNAL_HOSTS = ["localhost", "localhost.localdomain", "ip6-localhost", "metadata"]
+
+
+def _within(number: Column, networks: list[str], bits: int) -> Column:
+    """An address as a hexadecimal number of fixed width lies in one of the networks."""
+    out = F.lit(False)
+    for n in map(ipaddress.ip_network, networks):
+        low, high = (f"{int(a):0{bits // 4}x}" for a in (n.network_address, n.broadcast_address))
+        out = out | number.between(low, high)
+    return out
+
+
+def _ipv6(literal: Column) -> Column:
+    """The 32 hexadecimal digits of an address, null if it is none."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    head, tail = groups(F.split_part(literal, F.lit("::"), F.lit(1))), groups(F.split_part(literal, F.lit("::"), F.lit(2)))
+    gap = literal.contains("::")
+    missing = F.lit(8) - F.size(head) - F.size(tail)
+    valid = literal.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & F.when(gap, missing >= 1).otherwise(missing == 0)
+    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
+    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def usable_url(x: Column) -> Column:
-    """http(s), at most 2,048 characters, no control characters, credentials, local or private hosts."""
-    host = url_host(x)
-    octet = lambda i: F.split_part(host, F.lit("."), F.lit(i)).try_cast("int")
-    ip = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    private = ip & (octet(1).isin(0, 10, 127) | (octet(1) >= 224) | ((octet(1) == 192) & (octet(2) == 168)) | ((octet(1) == 172) & octet(2).between(16, 31)) | ((octet(1) == 169) & (octet(2) == 254)) | ((octet(1) == 100) & octet(2).between(64, 127)))
-    fine = x.rlike(r"^(?i:https?)://") & (F.length(x) <= 2048) & ~x.rlike(r"[\x00-\x20\x7f]") & ~x.rlike(r"^[^/]*//[^/?#]*@") & (host != "") & (host != "localhost") & ~host.endswith(".localhost") & ~host.startswith("[") & ~host.contains("metadata.")
-    return F.coalesce(fine & ~F.coalesce(private, F.lit(False)), F.lit(False))
+    """http(s), at most 2,048 characters, no control characters or credentials, and a host that is not internal: names, and public addresses of either kind."""
+    rest = F.regexp_extract(x, r"^(?i:https?)://([^/?#]*)", 1)
+    user, server = F.regexp_extract(rest, r"^(?s)(.*)@", 1), F.lower(F.regexp_replace(rest, r"^(?s).*@", ""))
+    literal = F.regexp_extract(server, r"^\[([^\]]*)\](?::[0-9]*)?$", 1)
+    host = F.rtrim(F.split_part(server, F.lit(":"), F.lit(1)), F.lit("."))
+    name = ~host.rlike(r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$") | F.exists(F.split(host, "[.]"), lambda p: p.try_cast("int") > 255)
+    four = F.array_join(F.transform(F.split(host, "[.]"), lambda p: F.lpad(F.hex(p.try_cast("long")), 2, "0")), "")
+    four = F.lower(four)
+    public = name | ~_within(four, CLOSED_IPV4, 32) | _within(four, OPEN_IPV4, 32)
+    six = _ipv6(literal)
+    fine6 = F.coalesce(six.between("2" + "0" * 31, "3" + "f" * 31) & (~_within(six, CLOSED_IPV6, 128) | _within(six, OPEN_IPV6, 128)), F.lit(False))
+    fine4 = (host != "") & ~host.contains("[") & ~host.isin(INTERNAL_HOSTS) & public
+    plain = x.rlike(r"^(?i:https?)://") & (F.length(x) <= 2048) & ~x.rlike(r"[\x00-\x1f\x7f]") & user.isin("", ":")
+    return F.coalesce(plain & F.when(server.startswith("["), fine6).otherwise(fine4), F.lit(False))
 
 
 def host_matches(x: Column, domain: str) -> Column:
@@ -120,14 +190,19 @@ def split_city_country(x: Column) -> Column:
     return F.when(F.size(parts) > 0, F.struct(city.alias("city"), country.alias("country")))
 
 
+#: A number of two digits or more, its thousands grouped by a space, comma or point or not, in a range or alone, with its currency before it.
+_AMOUNT = r"([0-9]{2,3}(?:[ ,.][0-9]{3})+|[0-9]{2,7})(\s*[kK])?"
+SALARY = rf"(?U)([$€£]|USD|EUR|GBP|CAD)?\s*{_AMOUNT}(?:\s*(?:[-–—]|to)\s*[$€£]?\s*{_AMOUNT})?"
+
+
 def parse_salary(x: Column) -> Column:
-    """struct(low, high, currency) of the first number or range; k is thousand, spaces and commas between digits go."""
-    t = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"(?<=\d)[ ,\u00a0](?=\d{3})", "")
-    p = r"(\d+(?:\.\d+)?)\s*(k?)\s*(?:[-–—]|to|à)?\s*(?:[$€£]?\s*(\d+(?:\.\d+)?)\s*(k?))?"
-    num = lambda i: F.nullif(F.regexp_extract(t, p, i), F.lit("")).try_cast("double") * F.when(F.regexp_extract(t, p, i + 1) == "k", 1000.0).otherwise(1.0)
-    currency = F.when(t.rlike("€|eur"), "EUR").when(t.rlike("£|gbp"), "GBP").when(t.rlike(r"\$|usd"), "USD")
-    low = num(1)
-    return F.when(low.isNotNull(), F.struct(low.alias("low"), F.coalesce(num(3), low).alias("high"), currency.alias("currency")))
+    """struct(low, high, currency) of the first amount or range; k is thousand, separators go, a single amount has no upper bound; null without an amount."""
+    part = lambda i: F.nullif(F.regexp_extract(x, SALARY, i), F.lit(""))
+    value = lambda i: F.regexp_replace(part(i), "[ ,.]", "").cast("double") * F.when(part(i + 1).isNotNull(), 1000.0).otherwise(1.0)
+    sign = part(1)
+    named = F.when(sign == "$", "USD").when(sign == "€", "EUR").when(sign == "£", "GBP").otherwise(sign)
+    currency = F.coalesce(named, F.when(x.rlike("(?i)€|eur"), "EUR").when(x.rlike(r"(?i)\$|usd"), "USD"))
+    return F.when(part(2).isNotNull(), F.struct(value(2).alias("low"), value(4).alias("high"), currency.alias("currency")))
 
 
 def safe_label(x: Column) -> Column:

@@ -126,7 +126,11 @@ def confidence(spark, sf):
     return o.select("offer_id", S.skills_confidence(n).alias("confidence"), S.section_confidence((s % 3) / F.lit(2.0), (s % 2).cast("double"), s % 5, s % 7).alias("section"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS source, ts, event_type <> 'error' AS fine FROM events), g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY source ORDER BY ts, fine DESC)) > 1260000000, false) AS gone FROM r),
+    i AS (SELECT *, count(*) FILTER (WHERE fine OR gone) OVER (PARTITION BY source ORDER BY ts, fine DESC ROWS UNBOUNDED PRECEDING) AS island FROM g), f AS (SELECT *, CAST(count(*) FILTER (WHERE NOT fine) OVER (PARTITION BY source, island ORDER BY ts, fine DESC ROWS UNBOUNDED PRECEDING) AS INTEGER) AS fails FROM i)
+    SELECT source, ts, CASE WHEN fails >= 3 THEN 'open' WHEN fails > 0 THEN 'half_open' ELSE 'closed' END AS state, fails, CASE WHEN fails >= 3 THEN ts + INTERVAL 600 SECOND END AS open_until FROM f"""
+)
 def breaker_fold(spark, sf):
     e = R.usage_events(spark, sf)
     runs = e.select(F.col("user_id").cast("string").alias("source"), F.col("created_at").cast("timestamp").alias("ts"), F.when(F.col("kind") == "error", "failed").otherwise("success").alias("state"))

@@ -388,7 +388,11 @@ def slug_tokens(spark, sf):
     return R.offers(spark, sf).select("offer_id", X.slug(F.col("title")).alias("slug"), F.array_sort(X.tokens(F.col("title"))).alias("tokens"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|noscript|template|svg)\b.*?</(script|style|noscript|template|svg)\s*>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<[^>]*>', chr(10), 'g') AS t FROM pages),
+    u AS (SELECT page_id, replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS t FROM t)
+    SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\x{00a0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS text FROM u"""
+)
 def html_to_text(spark, sf):
     return R.read(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 

