@@ -173,3 +173,13 @@ def call_types(calls: DataFrame) -> DataFrame:
     models = calls.groupBy("request_type", "model").agg(F.count("*").alias("k")).groupBy("request_type").agg(F.sort_array(F.collect_list(F.struct("model", "k"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: F.concat(x["model"], F.lit("="), x["k"].cast("string"))), ",")
     return per.join(q, "request_type").join(models.select("request_type", text.alias("models")), "request_type")
+
+
+def last_values(value: str, keys: list[str], order: list[str], n: int = 30):
+    """The values of the last ``n`` rows of a key up to each row, nulls among them left out: a frame of ``n`` rows, whatever the key's size."""
+    return F.collect_list(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, Window.currentRow))
+
+
+def ranked_value(values, percent: float):
+    """The element at index rint(percent/100 * (n-1)) (half to even) of a list's sorted values; null for an empty list."""
+    return F.get(F.array_sort(values), F.rint(F.lit(percent / 100) * (F.size(values) - 1)).cast("int"))

@@ -34,3 +34,108 @@ def paged_boards(spark, sf):
     paged.land(i.select("source", "position", F.to_json(F.struct(ident.alias("id"), F.col("p_name").alias("title"))).alias("item"), total.cast("long").alias("total")), folder, 20)
     got = paged.read_pages(spark, folder, 20, limit=150, most=15)
     return got.select("source", "page", F.get_json_object("item", "$.id").alias("id"), F.get_json_object("item", "$.title").alias("title"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id, min(ts) AS seen_at FROM events WHERE user_id IS NOT NULL GROUP BY 1 UNION ALL SELECT c.user_id, min(e.ts) FROM c JOIN events e ON e.user_id = c.user_id AND e.ts >= c.seen_at + INTERVAL 10 MINUTE GROUP BY c.user_id, c.seen_at)
+    SELECT user_id, seen_at FROM c"""
+)
+def throttled_seen(spark, sf):
+    from ..operators.anchors import throttled_last_seen
+
+    return throttled_last_seen(R.read(spark, sf, "events").select("user_id", "ts"))
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT event_id, event_type, value FROM events WHERE value IS NOT NULL), c AS (SELECT event_type, min(value) AS anchor, 0 AS row_no FROM v GROUP BY 1 UNION ALL SELECT c.event_type, min(v.value), c.row_no + 1 FROM c JOIN v ON v.event_type = c.event_type AND v.value > c.anchor + 3 GROUP BY c.event_type, c.anchor, c.row_no)
+    SELECT v.event_id, v.event_type, max(c.row_no) AS row_no FROM v JOIN c ON c.event_type = v.event_type AND c.anchor <= v.value GROUP BY 1, 2"""
+)
+def rows_by_tolerance(spark, sf):
+    """Values within 3 of the first value of their row."""
+    from ..operators.anchors import anchor_rows
+
+    e = R.read(spark, sf, "events").where("value IS NOT NULL").select("event_id", "event_type", "value")
+    return anchor_rows(e, ["event_type"], "value", 3.0).select("event_id", "event_type", "row_no")
+
+
+@query(
+    """WITH c AS (SELECT event_id, '{"kind":' || '"' || event_type || '","props":' || replace(props, ': ', ':') || ',"user":' || user_id || ',"way":["a","\\u00e9"]}' AS t FROM events) SELECT event_id, sha256(t) AS digest FROM c"""
+)
+def canonical_digests(spark, sf):
+    """Events written with their keys in two orders, spaces and letters beyond ASCII: the digest is that of the sorted, compact, escaped text."""
+    from ..functions.canonical import digest
+
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    one = F.concat(F.lit('{"user": '), user, F.lit(', "way": ["a", "é"], "props": '), "props", F.lit(', "kind": "'), kind, F.lit('"}'))
+    two = F.concat(F.lit('{ "props":'), "props", F.lit(',"kind":"'), kind, F.lit('","way":["a","\\u00e9"] , "user":'), user, F.lit("}"))
+    return R.read(spark, sf, "events").select("event_id", digest(F.when(F.col("event_id") % 2 == 0, one).otherwise(two)).alias("digest"))
+
+
+@query(
+    """WITH d AS (SELECT event_id, sha256('{"kind":"' || event_type || '","props":' || replace(props, ': ', ':') || ',"user":' || user_id % 50 || '}') AS h FROM events), f AS (SELECT h, min(event_id) AS earlier, count(*) AS n FROM d GROUP BY 1)
+    SELECT d.event_id, f.earlier FROM d JOIN f USING (h) WHERE d.event_id > f.earlier"""
+)
+def canonical_join(spark, sf):
+    """Events that say the same as an earlier one, whatever the order of their keys."""
+    from ..functions.canonical import digest
+
+    user = (F.col("user_id") % 50).cast("string")
+    one = F.concat(F.lit('{"user": '), user, F.lit(', "props": '), "props", F.lit(', "kind": "'), "event_type", F.lit('"}'))
+    two = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","user":'), user, F.lit(',"props":'), "props", F.lit("}"))
+    d = R.read(spark, sf, "events").select("event_id", digest(F.when(F.col("event_id") % 2 == 0, one).otherwise(two)).alias("h"))
+    first = d.groupBy("h").agg(F.min("event_id").alias("earlier"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return d.join(first, "h").where("event_id > earlier").select("event_id", "earlier")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2 WHEN conv_id % 4 > 0 THEN (conv_id - conv_id % 4) * 1000 END AS parent, conv_id, turn, text FROM conversations),
+    s AS (SELECT id FROM n WHERE turn = 0 AND conv_id % 4 = 0 AND role_ok ORDER BY day DESC, id LIMIT 1), b AS (SELECT id, 0 AS depth FROM s UNION ALL SELECT n.id, b.depth + 1 FROM b JOIN n ON n.parent = b.id) SELECT b.id, b.depth, length(n.text) AS n_chars FROM b JOIN n ON n.id = b.id""".replace(
+        "conv_id, turn, text FROM conversations)", "conv_id, turn, text, length(text) > 20 AS role_ok, DATE '2024-01-01' + CAST(conv_id * 37 % 300 AS INTEGER) AS day FROM conversations)"
+    )
+)
+def comment_tree(spark, sf):
+    """The newest story (every fourth conversation opens one, the three after it answer it) and all turns below it: a turn answers that of half its number."""
+    from ..operators.trees import descend, newest
+
+    c, t = F.col("conv_id"), F.col("turn")
+    parent = F.when(t > 0, c * 1000 + F.floor((t - 1) / 2)).when(c % 4 > 0, (c - c % 4) * 1000)
+    n = R.messages(spark, sf).select((c * 1000 + t).alias("id"), parent.cast("long").alias("parent"), "conv_id", "turn", F.length("text").alias("n_chars"), F.expr("date_add(DATE'2024-01-01', CAST(conv_id * 37 % 300 AS INT))").alias("day"))
+    story = newest(n, (t == 0) & (c % 4 == 0) & (F.col("n_chars") > 20), "day")
+    return descend(n, story).select("id", "depth").join(n.select("id", F.col("n_chars").cast("long").alias("n_chars")), "id")
+
+
+@query(
+    """WITH r AS (SELECT event_type AS source, event_id, list(CAST(trunc(value) AS BIGINT)) FILTER (WHERE value IS NOT NULL) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 29 PRECEDING) AS last FROM events)
+    SELECT event_id, source, CAST(trunc(list_sum(last) / len(last)) AS BIGINT) AS avg_30, list_sort(last)[1 + CAST(round_even(0.95 * (len(last) - 1), 0) AS INTEGER)] AS p95_30, coalesce(len(last), 0) AS n_30 FROM r"""
+)
+def recent_rates(spark, sf):
+    """Average (truncated) and nearest-rank p95 of the last 30 runs of a source, at every run; null where none has a duration."""
+    from ..operators.analytics import last_values, ranked_value
+
+    e = R.read(spark, sf, "events").select("event_id", F.col("event_type").alias("source"), "ts", F.col("value").cast("long").alias("ms"))
+    e = e.withColumn("last", last_values("ms", ["source"], ["ts", "event_id"], 30))
+    mean = F.aggregate("last", F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(F.size("last"), F.lit(0))
+    return e.select("event_id", "source", mean.cast("long").alias("avg_30"), ranked_value(F.col("last"), 95).alias("p95_30"), F.size("last").cast("long").alias("n_30"))
+
+
+@query(
+    """SELECT 'job-' || p_partkey AS source_job_id, p_brand AS company, p_name || CASE WHEN p_size % 3 = 0 THEN ' & co' ELSE '' END AS title, CASE WHEN p_size % 2 = 0 THEN 'about' || chr(10) || p_type ELSE 'long ' || p_type END AS body, TIMESTAMP '2024-01-01 10:00:00' + INTERVAL 1 DAY * (p_partkey % 28) AS posted_at FROM part WHERE p_partkey // 25 % 11 <> 3"""
+)
+def rss_offers(spark, sf):
+    """Feeds of 25 items with name spaces, CDATA and references, written out of parts; of every eleven one is not well-formed."""
+    from ..sources.normalise import read_rss, to_offers
+
+    p = R.read(spark, sf, "part")
+    i, size = F.col("p_partkey"), F.col("p_size")
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name.split(' ')[0]}>"))
+    title = tag("title", "p_brand", F.lit(": "), "p_name", F.when(size % 3 == 0, " &amp; co").otherwise(""))
+    body = F.when(size % 2 == 0, tag("description", F.lit("<![CDATA[about &lt;b&gt;"), "p_type", F.lit("]]>"))).otherwise(tag("media:content", F.lit("long "), "p_type"))
+    date = tag("pubDate", F.date_format(F.expr("TIMESTAMP'2024-01-01 10:00:00' + make_interval(0, 0, 0, CAST(p_partkey % 28 AS INT))"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    item = F.concat(F.lit("<item><media:title>no</media:title>"), title, tag("link", F.lit("https://feeds.example.com/jobs/job-"), i.cast("string")), tag('guid isPermaLink="false"', i.cast("string")), body, date, F.lit("</item>"))
+    folder, head = scratch(spark, "feeds"), '<?xml version="1.0"?><rss xmlns:media="http://search.yahoo.com/mrss/" version="2.0"><channel><title>t</title>'
+    feeds = p.select(F.floor(i / 25).alias("feed"), item.alias("item")).groupBy("feed").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    ended = F.when(F.col("feed") % 11 == 3, "<item><title>x</titel></item></channel>").otherwise("</channel></rss>")
+    feeds.select("feed", F.concat(F.lit(head), "items", ended).alias("value")).repartition("feed").write.partitionBy("feed").text(f"{folder}/items")
+    raw = read_rss(spark, f"{folder}/items/*/*")
+    offers = to_offers(raw, "weworkremotely", F.lit("2024-03-01").cast("timestamp"))
+    return offers.select("source_job_id", "company", "title", F.col("description").alias("body"), "posted_at")

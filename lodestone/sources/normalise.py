@@ -255,13 +255,21 @@ def within_source(offers: DataFrame, seq: str = "seq") -> DataFrame:
     return keyed.groupBy("source", "__k").agg(F.min(F.struct(seq, *rest)).alias("t")).select("source", "t.*").select(*offers.columns)
 
 
+RSS_ITEM = "title: string, link: string, guid: string, description: string, content: string, pubDate: string, region: string, category: string"
+
+
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS 2.0 feeds as rows of text fields; a malformed feed has none."""
-    fields = ["title", "link", "guid", "description", "pubDate", "region", "category"]
-    raw = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"(?s)<rss.*</rss>"))
-    item = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("i"))
-    value = lambda f: F.nullif(_unescape(F.regexp_replace(F.regexp_extract("i", rf"(?s)<{f}[^>]*>(.*?)</{f}>", 1), r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")), F.lit(""))
-    return item.select(*[value(f).alias(f) for f in fields])
+    """Items of RSS 2.0 feeds, a file each, as rows of text fields, by Spark's XML parser.
+
+    Name spaces are stripped, and of repeated elements (title and media:title) the last counts; a description that is missing
+    comes from the content.  CDATA and references are text.  A feed that is not well-formed has no items.
+    """
+    feed = F.from_xml("value", f"channel struct<item: array<struct<{RSS_ITEM}>>>", {"ignoreNamespace": "true"})
+    raw = spark.read.text(path, wholetext=True).select(feed.alias("v"))
+    item = raw.select(F.explode("v.channel.item").alias("i"))
+    text = lambda c: F.nullif(F.trim(F.col("i")[c]), F.lit(""))
+    rest = ("title", "link", "guid", "pubDate", "region", "category")
+    return item.select(*[text(c).alias(c) for c in rest], F.coalesce(text("description"), text("content")).alias("description"))
 
 
 def json_ld(pages: DataFrame, html: str = "html", kind: str = "JobPosting") -> DataFrame:
