@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import by_source as _by_source  # noqa: F401  (registers its queries)
 from . import feeds as _feeds  # noqa: F401
 from . import labelled as _labelled  # noqa: F401  (registers its queries)
 from . import layouts as _layouts  # noqa: F401

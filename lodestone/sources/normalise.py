@@ -68,6 +68,12 @@ def _card() -> dict[str, Column]:
     return {"source_job_id": _s("id"), "source_url": _c("url"), "title": _c("title"), "company": _c("company"), "location": _c("location"), "description": _c("description"), "posted": _s("posted")}
 
 
+def url_id(url: Column) -> Column:
+    """The last part of a URL's path."""
+    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
+    return F.element_at(F.split(path, "/"), -1)
+
+
 _CARD = "id string, url string, title string, company string, location string, description string, posted string"
 
 SOURCES: dict[str, Source] = {
@@ -122,7 +128,12 @@ SOURCES: dict[str, Source] = {
         lambda: {"source_job_id": _c("jobId"), "source_url": F.regexp_replace("applyUrl", "/apply/?$", ""), "title": _c("title"), "company": board_company(F.split_part(_c("board"), F.lit("."), F.lit(2))), "location": _c("cityStateCountry"), "description": _c("description"), "employment_type": _c("type"), "posted": _c("postedDate"), "skills": F.slice(F.array_compact(F.concat(F.array("category"), F.coalesce("ml_skills", F.array().cast("array<string>")))), 1, 8)},
         50,
     ),
-    "career_pages": Source("", _CARD, lambda: _card() | {"source_job_id": F.coalesce(_s("id"), F.element_at(F.filter(F.split("url", "[/?#]"), lambda p: p != ""), -1))}, 50),
+    "career_pages": Source(
+        "",
+        _CARD + ", employment string, low double, high double, currency string",
+        lambda: _card() | {"source_job_id": F.concat(X.url_host(_c("board")), F.lit(":"), F.coalesce(_s("id"), url_id(_c("url")))), "company": F.coalesce(F.nullif(_c("company"), F.lit("")), F.initcap(F.split_part(X.url_host(_c("board")), F.lit("."), F.lit(1)))), "employment_type": _c("employment"), "salary_min": _positive(_c("low")), "salary_max": _positive(_c("high")), "salary_currency": _c("currency")},
+        50,
+    ),
     "talentbrew": Source("", _CARD, _card, 45, lambda: X.url_host(_c("url")) == F.lower("board")),
     "adzuna": Source(
         "results",
@@ -248,6 +259,40 @@ def to_offers(raw: DataFrame, source: str, now: Column) -> DataFrame:
     return out.where(F.col("source_job_id").isNotNull() & F.col("source_url").isNotNull() & F.col("title").isNotNull())
 
 
+def posting_rows(nodes: DataFrame, node: str = "node", page: str = "url") -> DataFrame:
+    """Raw rows (``board``: the page's URL) of JSON-LD postings, as ``html.typed_nodes`` finds them; of several places the first counts."""
+    at = lambda path: F.get_json_object(node, f"$.{path}")
+    place = lambda part: F.coalesce(at(f"jobLocation[0].address.{part}"), at(f"jobLocation.address.{part}"))
+    ident = F.when(at("identifier").startswith("{"), at("identifier.value")).otherwise(at("identifier"))
+    return nodes.select(
+        F.nullif(ident, F.lit("")).alias("id"), F.coalesce(at("url"), at("sameAs"), F.col(page)).alias("url"), F.coalesce(F.nullif(at("title"), F.lit("")), at("name")).alias("title"), at("hiringOrganization.name").alias("company"),
+        _joined(*(F.coalesce(place(p), F.lit("")) for p in ("addressLocality", "addressRegion", "addressCountry"))).alias("location"), X.html_to_text(at("description"), DESCRIPTION).alias("description"), at("datePosted").alias("posted"),
+        F.coalesce(at("employmentType[0]"), at("employmentType")).alias("employment"), at("baseSalary.value.minValue").try_cast("double").alias("low"), at("baseSalary.value.maxValue").try_cast("double").alias("high"), at("baseSalary.currency").alias("currency"), F.col(page).alias("board"),
+    )
+
+
+def merged_cards(cards: DataFrame, details: DataFrame) -> DataFrame:
+    """Card rows and detail rows of one source by id: a full outer join where the card's value wins and fills what it lacks from the detail.
+
+    Both have ``_CARD``'s columns; the first row of an id (in order of ``place``, if there) counts, rows without an id go.
+    """
+    names = [c.split(" ")[0] for c in _CARD.split(", ")]
+
+    def once(rows: DataFrame, name: str) -> DataFrame:
+        order = F.col("place") if "place" in rows.columns else F.lit(0)
+        return rows.where("id IS NOT NULL AND id <> ''").groupBy("id").agg(F.min(F.struct(order.alias("o"), *names[1:])).alias(name))
+
+    both = once(cards, "c").join(once(details, "d"), "id", "full")
+    return both.select("id", *(F.coalesce(F.nullif(F.col(f"c.{n}"), F.lit("")), F.col(f"d.{n}")).alias(n) for n in names[1:]))
+
+
+def best_by_uuid(rows: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row of each uuid (else id): the first, or if that has no description the first one that has."""
+    key = F.coalesce(F.nullif("uuid", F.lit("")), F.col("id").cast("string"))
+    described = F.coalesce(F.nullif("descriptionHtml", F.lit("")).isNotNull(), F.lit(False))
+    return rows.where(key.isNotNull()).groupBy(key.alias("__k")).agg(F.min(F.struct((~described).alias("bare"), F.col(seq).alias("first"), F.struct(*rows.columns).alias("r"))).alias("m")).select("m.r.*").drop("__k")
+
+
 def within_source(offers: DataFrame, seq: str = "seq") -> DataFrame:
     """The first row of each (source, identifier), ignoring case."""
     keyed = offers.withColumn("__k", F.lower("source_job_id"))
