@@ -11,6 +11,7 @@ from . import people as _people  # noqa: F401
 from . import profiles as _profiles  # noqa: F401
 from . import search as _search  # noqa: F401
 from . import tables as _tables  # noqa: F401
+from . import wishes as _wishes  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "usage_overview"
