@@ -34,6 +34,11 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def contains_query(x: Column, query: str) -> Column:
+    """``x`` holds the trimmed query, ignoring case; its % and _ are wildcards, and a blank query is in every text."""
+    return x.ilike(f"%{query.strip()}%")
+
+
 def clean_text(x: Column, limit: int = 512) -> Column:
     """Runs of spaces, tabs and no-break spaces as one space, trimmed, cut; null if nothing is left."""
     t = F.trim(F.regexp_replace(x, "[ \\t\u00a0]+", " "))

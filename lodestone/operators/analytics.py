@@ -21,6 +21,14 @@ def active_users(events: DataFrame, users: DataFrame, now: dt.datetime, windows:
     return counted.withColumn("total_users", F.lit(users.count()).cast("long"))
 
 
+def active_users_or_last_seen(events: DataFrame, users: DataFrame, now: dt.datetime, windows: dict[str, int] = WINDOWS) -> DataFrame:
+    """``active_users`` with its ``activity_source``: without any event, users count by their ``last_active_at``; users who are not ``is_active`` only count as users."""
+    empty = events.isEmpty()
+    seen = users.select("user_id", F.col("last_active_at").alias("created_at")).where("created_at IS NOT NULL") if empty else events
+    enabled = users.where("is_active").count()
+    return active_users(seen, users, now, windows).withColumns({"active_users": F.lit(enabled).cast("long"), "activity_source": F.lit("last_active_at" if empty else "events")})
+
+
 def signups(events: DataFrame, now: dt.datetime, kind: str = "signup", windows: dict[str, int] = WINDOWS) -> DataFrame:
     return events.where(F.col("kind") == kind).agg(*[F.count_if(F.col("created_at") >= cutoff(now, d)).alias(f"new_{w}") for w, d in windows.items()])
 
@@ -93,23 +101,38 @@ def top_terms(rows: DataFrame, text: str, order: str, recent: int = 500, k: int
     return counted.orderBy(F.desc("n"), F.desc("first.o"), F.desc("first.i"), "term").limit(k).select("term", "n")
 
 
-def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int], buckets: int = 1024) -> DataFrame:
+def _range_of(v, cuts, n: int):
+    """How many of ``n`` (a power of two, less one) sorted cuts are at most ``v``: a binary search."""
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+
+    def step(at, width: int):
+        if not width:
+            return at
+        return let(at + F.when(F.get(cuts, at + width - 1) <= v, width).otherwise(0), lambda x: step(x, width // 2))
+
+    return step(F.lit(0), (n + 1) // 2)
+
+
+def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int], ranges: int = 256) -> DataFrame:
     """Element at index rint(p/100 * (n-1)) (half to even) of each group's sorted values, null values left out.
 
-    A group is never sorted in one place: values are counted in ranges of the group, the range that
-    holds the wanted index is found on those counts, and only its rows are numbered.
+    A group is never sorted in one place: values are counted in ranges of the group between approximate quantiles, so that
+    each has about as many rows whatever the values' spread; the range that holds the wanted index is found on those counts, and
+    only its rows are numbered, unless they all are one value.
     """
     rows = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    ends = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    width = (F.col("hi") - F.col("lo")) / buckets
-    placed = rows.join(ends, "k").withColumn("b", F.when(width <= 0, F.lit(0)).otherwise(F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / width))).cast("int"))
-    sizes = placed.groupBy("k", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    share = [i / ranges for i in range(1, ranges)]
+    ends = rows.groupBy("k").agg(F.percentile_approx("v", share, 20 * ranges).alias("cuts"), F.count("*").alias("n"))
+    placed = rows.join(ends, "k").withColumn("b", _range_of(F.col("v"), F.col("cuts"), ranges - 1))
+    sizes = placed.groupBy("k", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     below = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("c").over(below), F.lit(0)))
     wanted = sizes.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).withColumn("i", F.rint(F.col("p") / 100 * (F.col("n") - 1)).cast("long"))
-    wanted = wanted.where((F.col("i") >= F.col("before")) & (F.col("i") < F.col("before") + F.col("c"))).select("k", "b", "p", (F.col("i") - F.col("before") + 1).alias("r"))
-    inside = placed.join(wanted.select("k", "b").distinct(), ["k", "b"]).withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("v")))
-    return inside.join(wanted, ["k", "b", "r"]).select(F.col("k").alias(key), "p", "v")
+    wanted = wanted.where((F.col("i") >= F.col("before")) & (F.col("i") < F.col("before") + F.col("c"))).select("k", "b", "p", "lo", "hi", (F.col("i") - F.col("before") + 1).alias("r"))
+    mixed = wanted.where("lo < hi")
+    inside = placed.select("k", "v", "b").join(mixed.select("k", "b").distinct(), ["k", "b"]).withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("v")))
+    found = inside.join(mixed.select("k", "b", "p", "r"), ["k", "b", "r"]).select("k", "p", "v")
+    return found.unionByName(wanted.where("NOT lo < hi").select("k", "p", F.col("lo").alias("v"))).select(F.col("k").alias(key), "p", "v")
 
 
 def latency_rollup(events: DataFrame, key: str = "kind", value: str = "duration_ms") -> DataFrame:

@@ -5,26 +5,31 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Section headers in French and English, in the order in which they are tried.
+#: Section headers in English and French without accents, in the order in which they are tried.
 SECTIONS = {
-    "summary": r"(summary|profile|profil|about me|à propos)",
-    "experience": r"(experience|expérience|work history|emploi|parcours professionnel)s?( professionnelles?)?",
-    "education": r"(education|formation|études|diplômes)s?",
-    "skills": r"(skills|compétences|technologies)( techniques)?",
-    "projects": r"(projects|projets)",
-    "languages": r"(languages|langues)",
-    "certifications": r"(certifications?|certificats?)",
-    "interests": r"(interests|hobbies|centres d'intérêt|loisirs)",
+    "summary": r"summary|professional\s+summary|profile|professional\s+profile|about\s*(me)?|career\s+summary|objective|career\s+objective|resume\s+summary|profil|profil\s+professionnel|a\s+propos|a\s+propos\s+de\s+moi|objectif|objectif\s+professionnel|objectif\s+de\s+carriere|synthese|resume|presentation|en\s+bref",
+    "education": r"education|academic\s+background|academic\s+history|educational\s+background|qualifications|formation|formations|formation\s+academique|parcours\s+academique|diplomes?|etudes|scolarite|education\s+et\s+formation|cursus|cursus\s+scolaire|parcours\s+scolaire",
+    "experience": r"experience|experiences|work\s+experience|professional\s+experience|employment\s+history|career\s+history|work\s+history|experience\s+professionnelle|experiences\s+professionnelles|parcours\s+professionnel|stages?(\s+et\s+experiences?)?|emplois?|experience\s+de\s+travail|historique\s+professionnel|vie\s+professionnelle",
+    "projects": r"projects?|personal\s+projects?|academic\s+projects?|side\s+projects?|key\s+projects?|selected\s+projects?|projets?|projets?\s+personnels?|projets?\s+academiques?|realisations?",
+    "skills": r"skills?|technical\s+skills?|competenc(e|ies)|core\s+competenc(e|ies)|technologies|tech\s+stack|tools?(\s+(and|&)\s+technologies)?|competences|competences\s+techniques|competences\s+cles|outils",
+    "certifications": r"certifications?|licenses?(\s+(and|&)\s+certifications?)?|certificates?|certifications?\s+professionnelles?|certificats?",
+    "languages": r"languages?|language\s+skills?|langues?|langues?\s+parlees?",
+    "interests": r"interests?|hobbies(\s+(and|&)\s+interests?)?|hobbies?|personal\s+interests?|activities|extracurricular\s+activities|centres?\s+d.?interet(s)?|loisirs?|activites?|activites?\s+extra[\s\-]?professionnelles?|divers",
+    "personal_qualities": r"personal\s+qualities|personal\s+qualities\s+and\s+skills|qualities|soft\s+skills?|strengths?|character\s+traits?|qualites?|qualites?\s+personnelles?|qualites?\s+humaines?|qualites?\s+et\s+competences|savoir[\s\-]?etre|traits?\s+de\s+caractere|atouts?|points?\s+forts?",
+    "contact": r"contact|contact\s+information|contact\s+details|personal\s+information|personal\s+details|coordonnees|informations?\s+personnelles?|informations?\s+de\s+contact",
 }
+#: Accented letters that headers are compared without.
+ACCENTED, PLAIN = "éèêëàâäîïôöùûüçÉÈÊÀÂÎÏÔÙÛÇ", "eeeeaaaiioouuuceeeaaiiouuc"
 
 
 def section_header(line: Column) -> Column:
-    """Name of the section a line opens: at most 45 characters and six words, decorations dropped."""
-    bare = F.trim(F.regexp_replace(F.lower(F.trim(line)), r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    """Name of the section a line opens: at most 45 characters and six words; decoration, case and accents don't count."""
+    raw = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    bare = F.lower(F.regexp_replace(F.translate(raw, ACCENTED, PLAIN), r"(?U)^[#=\-*_•\s]+|[#=\-*_•\s:]+$", ""))
     out = F.lit(None).cast("string")
     for name, p in reversed(SECTIONS.items()):
-        out = F.when(bare.rlike(f"^{p}$"), name).otherwise(out)
-    return F.when((F.length(line) <= 45) & (F.size(F.split(F.trim(line), " +")) <= 6), out)
+        out = F.when(bare.rlike(f"(?iU)^({p})$"), name).otherwise(out)
+    return F.when((F.length(raw) <= 45) & (F.size(F.split(raw, r"(?U)\s+")) <= 6) & (bare != ""), out)
 
 
 def split_sections(lines: DataFrame) -> DataFrame:
@@ -32,7 +37,7 @@ def split_sections(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("header", section_header(F.col("text"))).withColumn("section", F.coalesce(F.last("header", ignorenulls=True).over(w), F.lit("contact")))
     body = rows.where(F.col("header").isNull()).groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("a"))
-    return body.select("doc_id", "section", F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("text"))
+    return body.select("doc_id", "section", F.regexp_replace(F.array_join(F.transform("a", lambda x: x["text"]), "\n"), r"^\n+|\n+$", "").alias("text"))
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,6 +78,105 @@ def validation_report(email: Column, phone: Column, url: Column, start_year: Col
     )
 
 
+# What reads as an address, a URL, a year and a duration, and words of dates without a year
+_ADDRESS, _LINK = r"^[a-zA-Z0-9][a-zA-Z0-9._%+\-]*@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$", r"^(https?://)?([a-zA-Z0-9\-]+\.)+[a-zA-Z]{2,}(/[^\s]*)?$"
+_YEAR, _DURATION = r"\b(19[5-9]\d|20[0-4]\d)\b", r"(?iU)^\s*(?:\d{1,3}\s+(?:mois|months?|semaines?|weeks?|ans?|annees?|années?|years?|jours?|days?)\s*)+$"
+_UNDATED = ["present", "présent", "presente", "current", "now", "ongoing", "actuel", "en cours", "depuis", "since", "maintenant", "aujourd", "à ce jour", "a ce jour", "expected", "prévu", "prevu", "attendu"]
+ISSUE = "array<struct<field: string, message: string, severity: string>>"
+
+
+def _issue(bad: Column, field: Column | str, message: Column | str, severity: str = "warning") -> Column:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.when(bad, F.struct(text(field).alias("field"), text(message).alias("message"), F.lit(severity).alias("severity")))
+
+
+def _issues(*found: Column) -> Column:
+    return F.array_compact(F.array(*found)).cast(ISSUE)
+
+
+def _set(x: Column) -> Column:
+    return F.coalesce(x, F.lit("")) != ""
+
+
+def _undated(x: Column, field: Column) -> Column:
+    """A text of a date without a year, unless it says that it is open."""
+    t = F.trim(F.coalesce(x, F.lit("")))
+    known = F.exists(F.array(*map(F.lit, _UNDATED)), lambda w: F.contains(F.lower(t), w)) | t.rlike(_YEAR)
+    return _issue((t != "") & ~known, field, F.concat(F.lit("Date text has no recognisable year: '"), t, F.lit("'")))
+
+
+def entries_by(entries: Column, *fields: str) -> Column:
+    """Entries without later ones of equal ``fields`` (trimmed, ignoring case); entries whose fields are all blank stay."""
+    key = lambda e: F.transform(F.array(*(e[f] for f in fields)), lambda v: F.lower(F.trim(F.coalesce(v, F.lit("")))))
+    keys = F.transform(entries, key)
+    return F.filter(entries, lambda e, i: (F.array_join(key(e), "") == "") | (F.array_position(keys, key(e)) == i + 1))
+
+
+def single_technologies(values: Column) -> Column:
+    """Technologies one by one, in order, each once: items that hold a comma, slash or semicolon are split."""
+    pieces = F.flatten(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.split(F.coalesce(v, F.lit("")), r"(?U)\s*[,/;]\s*")))
+    return F.array_distinct(F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"^[ .]+|[ .]+$", "")), lambda p: p != ""))
+
+
+def _grouped(values: Column) -> Column:
+    parts = lambda v: F.size(F.filter(F.split(v, r"(?U)\s*[,/;]\s*"), lambda p: F.regexp_replace(p, r"^[ .]+|[ .]+$", "") != ""))
+    return F.coalesce(F.exists(values, lambda v: F.coalesce(parts(v) > 1, F.lit(False))), F.lit(False))
+
+
+def resume_report(contact: Column, experience: Column, education: Column, projects: Column) -> Column:
+    """struct(issues, experience, education, projects): what is odd about an extracted profile, in order, and the numbers of repeated entries that were left out.
+
+    ``contact`` has email, phone, linkedin, github, portfolio, address and name; experience company, position, period and technologies; education institution, degree,
+    field, start_date and end_date; projects title, github, demo and technologies.  Null arrays are empty; blank values are missing ones; entries are numbered after repeats are gone.
+    """
+    c = lambda f: contact[f]
+    digits = F.length(F.regexp_replace(c("phone"), r"\D", ""))
+    quoted = lambda head, x: F.concat(F.lit(head + "'"), x, F.lit("'"))
+    own = _issues(
+        _issue(_set(c("email")) & ~F.trim(c("email")).rlike(_ADDRESS), "email", quoted("Email format looks invalid: ", c("email"))),
+        _issue(_set(c("phone")) & ~digits.between(7, 15), "phone", quoted("Phone number looks implausible: ", c("phone"))),
+        *(_issue(_set(c(f)) & ~F.trim(c(f)).rlike(_LINK), f, quoted(f"{f} URL looks invalid: ", c(f))) for f in ("linkedin", "github", "portfolio")),
+        _issue(_set(c("address")) & (c("address").contains("@") | F.lower(c("address")).contains("http")), "address", quoted("Address looks like it captured contact/URL text: ", c("address"))),
+        _issue(~_set(c("name")), "name", "No name could be extracted.", "error"),
+        _issue(~_set(c("email")), "email", "No email could be extracted.", "error"),
+    )
+
+    def section(name: str, entries: Column, keys: tuple[str, ...], of) -> tuple[Column, Column]:
+        entries = F.coalesce(entries, F.array())
+        kept = entries_by(entries, *keys)
+        gone = F.size(entries) - F.size(kept)
+        label = {"projects": "project"}.get(name, name)
+        message = F.concat(F.lit("Removed "), gone.cast("string"), F.lit(f" duplicate {label} entr"), F.when(gone == 1, "y").otherwise("ies"), F.lit("."))
+        place = lambda i, f: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{f}"))
+        each = F.flatten(F.transform(kept, lambda e, i: _issues(*of(e, lambda f: place(i, f)))))
+        return F.concat(_issues(_issue(gone > 0, name, message, "info")), each), gone
+
+    split = "Grouped technologies were split into individual items."
+    year = lambda x: F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), _YEAR, 1), F.lit("")).cast("int")
+    work, work_gone = section(
+        "experience", experience, ("company", "position"),
+        lambda e, at: (
+            _issue(~_set(e["company"]), at("company"), "Missing company name."), _issue(~_set(e["position"]), at("position"), "Missing position/title."),
+            _issue(~_set(e["period"]), at("period"), "No experience date or duration found in source document."), F.when(_set(e["period"]) & ~e["period"].rlike(_DURATION), _undated(e["period"], at("period"))),
+            _issue(_grouped(e["technologies"]), at("technologies"), split, "info"),
+        ),
+    )
+    studies, studies_gone = section(
+        "education", education, ("institution", "degree", "field"),
+        lambda e, at: (
+            _issue(~_set(e["institution"]), at("institution"), "Missing institution name."), _issue(~_set(e["degree"]), at("degree"), "Missing degree."), _undated(e["start_date"], at("start_date")), _undated(e["end_date"], at("end_date")),
+            _issue(F.coalesce(year(e["end_date"]) < year(e["start_date"]), F.lit(False)), at("end_date"), F.concat(F.lit("End date ("), e["end_date"], F.lit(") is before start date ("), e["start_date"], F.lit(") — likely a mis-attributed date."))),
+        ),
+    )
+    built, built_gone = section(
+        "projects", projects, ("title",),
+        lambda e, at: (
+            _issue(~_set(e["title"]), at("title"), "Missing project title."), *(_issue(_set(e[f]) & ~F.trim(e[f]).rlike(_LINK), at(f), quoted(f"{f} URL looks invalid: ", e[f])) for f in ("github", "demo")), _issue(_grouped(e["technologies"]), at("technologies"), split, "info"),
+        ),
+    )
+    return F.struct(F.concat(own, work, studies, built).alias("issues"), work_gone.alias("experience"), studies_gone.alias("education"), built_gone.alias("projects"))
+
+
 def join_wrapped(text: Column) -> Column:
     """Lines joined to the one before where that ends open and this begins in lower case, with a digit or a bracket."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda x: x != "")

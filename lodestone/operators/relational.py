@@ -157,3 +157,16 @@ def overlay(base: DataFrame, enabled: DataFrame, disabled: DataFrame) -> DataFra
     both = base.select("token", F.lit(0).alias("o")).unionByName(enabled.select("token", F.lit(1).alias("o")))
     kept = both.withColumn("k", F.lower("token")).groupBy("k").agg(F.min(F.struct("o", "token")).alias("t"))
     return kept.join(disabled.select(F.lower("token").alias("k")), "k", "left_anti").select(F.col("t.token").alias("token"))
+
+
+def resolved_tokens(base: DataFrame, added: DataFrame, removed: DataFrame, valid, cap: int = 60) -> DataFrame:
+    """(token, place): tokens of ``base`` (token, seq), then those of ``added``, trimmed, without those of ``removed`` and those for which ``valid`` doesn't hold.
+
+    Of spellings that differ in case the first valid one stays; at most ``cap``.  Blank and null tokens go.
+    """
+    every = base.select("token", F.lit(0).alias("later"), "seq").unionByName(added.select("token", F.lit(1).alias("later"), "seq")).withColumn("token", F.trim("token"))
+    out = removed.select(F.lower(F.trim("token")).alias("k")).where("k <> ''").distinct()
+    fine = every.where((F.col("token") != "") & valid(F.col("token"))).withColumn("k", F.lower("token")).join(out, "k", "left_anti")
+    once = fine.groupBy("k").agg(F.min(F.struct("later", "seq", "token")).alias("t")).select("t.*")
+    place = F.row_number().over(Window.orderBy("later", "seq", "token"))
+    return once.orderBy("later", "seq", "token").limit(cap).withColumn("place", place).select("token", "place")

@@ -81,11 +81,20 @@ def rank_and_cap(spark, sf):
     return C.recommendations(recs, owned)
 
 
-@query("SELECT conv_id, turn, length(coalesce(text, '')) AS n, CASE WHEN regexp_matches(lower(coalesce(text, '')), '(^|[^a-z])(last|dernier|dernière)([^a-z]|$)') THEN true ELSE false END AS names_last FROM conversations WHERE role = 'user'")
+_MEANT = ["", "the second one please", "apply to offer 3", "le dernier", "offre n° 12 or the first", "job #4, not the last", "la première", "Fifth!", "the thirdly", "number 7"]
+_WORD = "regexp_matches(t, '(^|[^a-z]){}([^a-z]|$)')"
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || [{', '.join(f"'{x}'" for x in _MEANT)}][1 + (conv_id + turn) % {len(_MEANT)}]) AS t FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, length(t) AS n, coalesce(TRY_CAST(regexp_extract(t, '(?:offer|offre|job|number|numéro|#) ?(?:n° ?)?([0-9]{{1,2}})', 1) AS INTEGER), CASE WHEN {_WORD.format('(last|dernier|dernière)')} THEN -1 {' '.join(f"WHEN {_WORD.format(w)} THEN {n}" for w, n in C.ORDINALS.items())} END) AS meant FROM m"""
+)
 def message_references(spark, sf):
+    """Which offer a user's message means, by number, ordinal or as the last one; each message has one of ten references behind it."""
     m = R.messages(spark, sf).where("role = 'user'")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return m.select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), low.rlike("(^|[^a-z])(last|dernier|dernière)([^a-z]|$)").alias("names_last"))
+    said = F.get(F.array(*map(F.lit, _MEANT)), ((F.col("conv_id") + F.col("turn")) % len(_MEANT)).cast("int"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said)
+    return m.select("conv_id", "turn", F.length(t).cast("long").alias("n"), C.ordinal_reference(t).alias("meant"))
 
 
 @query(

@@ -518,7 +518,7 @@ def retention(spark, sf):
 
 @query("SELECT c_custkey AS user_id, c_name AS name FROM customer WHERE c_name ILIKE '%' || trim(' 01 ') || '%'")
 def name_search(spark, sf):
-    return R.users(spark, sf).where(F.col("name").ilike("%01%")).select("user_id", "name")
+    return R.users(spark, sf).where(X.contains_query(F.col("name"), " 01 ")).select("user_id", "name")
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines, length(text) AS n FROM documents")

@@ -9,6 +9,7 @@ from . import layouts as _layouts  # noqa: F401
 from . import more as _more  # noqa: F401
 from . import people as _people  # noqa: F401
 from . import profiles as _profiles  # noqa: F401
+from . import resumes as _resumes  # noqa: F401
 from . import search as _search  # noqa: F401
 from . import tables as _tables  # noqa: F401
 from . import wishes as _wishes  # noqa: F401

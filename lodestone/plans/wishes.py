@@ -101,3 +101,56 @@ def fallback_needed(spark, sf):
     sections = F.array_compact(F.array(F.lit("skills"), F.when(header, "education")))
     body = lambda k: F.when(F.col("doc_id") % k == 0, F.array(F.lit("x")))
     return d.select("doc_id", P.whole_document_needed(sections, body(5), body(7)).alias("needed"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 'ats-' || p_size % 6 AS source, p_size AS board, p_size % 3 AS third FROM part), e AS (SELECT DISTINCT source, board, board AS seq, CASE WHEN source = 'ats-1' THEN 'denied 403' WHEN source = 'ats-2' THEN CASE WHEN board % 4 = 0 THEN 'denied 429' ELSE 'timeout ' || board END WHEN board % 4 = 3 THEN 'denied 403' END AS error FROM p),
+    o AS (SELECT p.source, e.seq, p.p_partkey, row_number() OVER (PARTITION BY p.source ORDER BY e.seq, p.p_partkey) AS k FROM p JOIN e USING (source, board) WHERE e.error IS NULL AND p_partkey % 7 <> 0),
+    f AS (SELECT source, least(count(*), 25) AS offers, max(seq) FILTER (WHERE k = 25) AS until, list(p_partkey ORDER BY k) FILTER (WHERE k <= 25) AS kept FROM o GROUP BY 1),
+    s AS (SELECT e.source, count(*) AS boards, count(error) AS failed, count(*) FILTER (WHERE error = 'denied 403') AS denied, max_by(error, seq) FILTER (WHERE error IS NOT NULL) AS last_error FROM e LEFT JOIN f ON f.source = e.source WHERE f.until IS NULL OR e.seq <= f.until GROUP BY 1)
+    SELECT s.source, CASE WHEN failed = boards AND denied = boards THEN 'blocked' WHEN failed = boards THEN 'unavailable' ELSE 'ok' END AS state, boards, failed, coalesce(offers, 0) AS offers, CASE WHEN failed = boards THEN last_error END AS last_error, coalesce(list_sum(kept), 0) AS kept FROM s LEFT JOIN f ON f.source = s.source"""
+)
+def boards_union(spark, sf):
+    """Six sources of boards: all denied, all failing, some failing; 25 offers of a source at most."""
+    from ..operators.boards import board_offers, source_states
+
+    p = R.read(spark, sf, "part").select("p_partkey", F.concat(F.lit("ats-"), (F.col("p_size") % 6).cast("string")).alias("source"), F.col("p_size").alias("board"))
+    b, source = F.col("board"), F.col("source")
+    error = F.when(source == "ats-1", "denied 403").when(source == "ats-2", F.when(b % 4 == 0, "denied 429").otherwise(F.concat(F.lit("timeout "), b.cast("string")))).when(b % 4 == 3, "denied 403")
+    fetches = p.select("source", "board", b.alias("seq"), error.alias("error")).distinct()
+    kept = board_offers(fetches, p.select("source", "board", F.col("p_partkey").alias("place")), F.col("place") % 7 != 0, 25)
+    sums = kept.groupBy("source").agg(F.sum("place").alias("kept"))
+    return source_states(fetches, kept, 25).join(sums, "source", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+
+
+_ACTIONS = ["apply_to_job", "generate_cover_letter", "review_cover_letter", "delete_all_data", "create_cv", "learn_skill", "Rédiger une lettre", "supprimer_le_compte", "improve_cv", ""]
+
+
+@query(
+    f"""WITH r AS (SELECT o_custkey AS user_id, o_orderkey AS rec_seq, lower([{', '.join(f"'{a}'" for a in _ACTIONS)}][1 + o_orderkey % 10]) AS action, CASE WHEN o_orderkey % 4 = 3 THEN 'page' ELSE 'job' END AS target_type, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 3 END AS target_id,
+    CASE WHEN o_totalprice > 250000 THEN 'high' WHEN o_totalprice > 150000 THEN 'medium' ELSE 'low' END AS priority, o_totalprice AS confidence, CASE WHEN o_orderkey % 5 = 0 THEN 'SQL' WHEN o_orderkey % 5 = 1 THEN 'rust' END AS skill, o_orderkey % 6 = 0 AS info FROM orders),
+    a AS (SELECT * FROM r WHERE action NOT IN ('', 'delete_all_data', 'supprimer_le_compte') AND (target_id IS NULL OR user_id % 3 >= target_id) AND NOT coalesce(target_id = 0 AND user_id % 2 = 0 AND action = 'apply_to_job', false) AND NOT coalesce(target_id = 1 AND action IN ('generate_cover_letter', 'rédiger une lettre'), false) AND NOT coalesce(target_id = 2 AND user_id % 4 = 2 AND action = 'create_cv', false)),
+    u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id, action, target_id ORDER BY rec_seq) = 1),
+    d AS (SELECT *, info OR coalesce(skill = 'rust' OR skill = 'SQL' AND user_id % 2 = 1, false) AS asks, CASE WHEN action IN ('generate_cover_letter', 'review_cover_letter', 'rédiger une lettre') THEN 'letter' WHEN action IN ('create_cv', 'improve_cv') THEN 'cv' ELSE CAST(rec_seq AS VARCHAR) END AS kind, CASE priority WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS w FROM u),
+    b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY user_id, target_type, target_id, kind ORDER BY w DESC, asks, confidence DESC, rec_seq) = 1)
+    SELECT user_id, rec_seq, action, target_id, asks, CASE WHEN asks AND NOT info THEN 'Do you actually have experience with ' || skill || '?' END AS question, action = 'apply_to_job' AS confirm, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, asks, confidence DESC, rec_seq) AS place FROM b QUALIFY place <= 3"""
+)
+def shown_recommendations(spark, sf):
+    """Ten kinds of suggestions out of orders: ownership, what is done already, unknown skills, documents that collapse, three of each user."""
+    from ..operators import recommendations as V
+
+    o = R.read(spark, sf, "orders")
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    none = F.lit(None).cast("string")
+    level = F.when(F.col("o_totalprice") > 250000, "high").when(F.col("o_totalprice") > 150000, "medium").otherwise("low")
+    recs = o.select(
+        u.alias("user_id"), k.alias("rec_seq"), F.get(F.array(*map(F.lit, _ACTIONS)), (k % 10).cast("int")).alias("action"), F.when(k % 4 == 3, "page").otherwise("job").alias("target_type"), (k % 3).alias("target_id"), level.alias("priority"), F.col("o_totalprice").alias("confidence"),
+        F.when(k % 5 == 0, "SQL").when(k % 5 == 1, "rust").alias("skill"), none.alias("question"), (k % 6 == 0).alias("requires_information"), F.lit(False).alias("requires_confirmation"), F.lit("x").alias("title"), F.lit("y").alias("message"), F.lit("z").alias("reason"),
+    )
+    users = o.select(u.alias("user_id")).distinct()
+    jobs = users.select("user_id", F.explode(F.array(*(F.lit(x).cast("long") for x in range(3)))).alias("target_id"))
+    mine, t = F.col("user_id"), F.col("target_id")
+    owned = jobs.where(mine % 3 >= t).withColumn("target_type", F.lit("job"))
+    made = jobs.where(t == 1).withColumn("category", F.lit("letter")).unionByName(jobs.where((t == 2) & (mine % 4 == 2)).withColumn("category", F.lit("cv")))
+    fine = V.validated(recs.withColumn("target_id", t.cast("long")), owned, jobs.where((t == 0) & (mine % 2 == 0)), made, users.where(mine % 2 == 0).withColumn("skill", F.lit(" sql")))
+    return V.ranked(fine).select("user_id", "rec_seq", "action", "target_id", F.col("requires_information").alias("asks"), "question", F.col("requires_confirmation").alias("confirm"), "place")
