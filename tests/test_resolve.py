@@ -175,3 +175,32 @@ def test_merged_as_one_by_one(spark):
     assert got.keys() == merged.keys()
     for k, m in merged.items():
         assert [getattr(got[k], f) or None for f in ("title", "company", "city", "country", "location", "remote_type")] == [m[f] or None for f in ("title", "company", "city", "country", "location", "remote_type")]
+
+
+def test_similar_titles_are_all_found(spark):
+    """Every pair of titles with the wanted ratio, of lengths 1 to 40, comes out of the prefix join; pairs of other companies or places don't."""
+    from difflib import SequenceMatcher
+
+    from lodestone.operators.resolve import similar_pairs, title_tokens
+
+    rng = random.Random(12)
+    titles = {""}
+    for _ in range(130):
+        t = [rng.choice("aab-c1") for _ in range(rng.randint(1, 40))]
+        titles.add("".join(t))
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(u) + 1)
+                if rng.random() < 0.5 and u:
+                    u.pop(min(k, len(u) - 1))
+                else:
+                    u.insert(k, rng.choice("aab-c1"))
+            titles.add("".join(u))
+    titles = sorted(titles)
+    rows = [("co", "here", t, i) for i, t in enumerate(titles)] + [("co", "there", t, 10_000 + i) for i, t in enumerate(titles[:50])]
+    entries = spark.createDataFrame(rows, "company string, place string, title string, node long")
+    got = {frozenset(r) for r in similar_pairs(entries, entries, title_tokens(entries.select("title").distinct()), once=True).collect()}
+    want = {frozenset((i, j)) for i, a in enumerate(titles) for j, b in enumerate(titles) if i < j and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.9}
+    assert want <= {p for p in got if max(p) < 10_000} and len(want) > 100
+    assert all((min(p) < 10_000) == (max(p) < 10_000) for p in got)
