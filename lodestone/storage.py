@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of an Arrow batch for Python workers, where the session leaves Spark's default of 64 MB: a worker holds a few batches at a time.
+ARROW_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in the executors' Python workers (once per application)."""
+    """Make the package importable in the executors' Python workers (once per application), and keep their batches small."""
+    batch, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(batch, default) == default:
+        spark.conf.set(batch, f"{ARROW_BYTES}b")
     sc = spark.sparkContext
     if getattr(sc, "_lodestone_shipped", False):
         return
