@@ -95,7 +95,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
             met = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(met)), pa.array(met.astype(np.int32)), pa.array(n[met])], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tk.released(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # languages x buckets numbers at most
     names = sorted(set(got.column("lang").to_pylist()))
     matrix = np.full((len(names), buckets), SMOOTHING)
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 pred = [names[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, n) for c in cols[:-1]), pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))], schema.fieldNames())
 
-    return docs.select(*keep, letters_only(F.coalesce(F.col(text), F.lit(""))).alias(fresh(docs, "__letters"))).mapInArrow(run, schema)
+    return docs.select(*keep, letters_only(F.coalesce(F.col(text), F.lit(""))).alias(fresh(docs, "__letters"))).mapInArrow(tk.released(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -128,7 +128,7 @@ def signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(wordless, 0, BANDS)))).astype(np.int32)), pa.array(keys[~wordless].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(node, pa.int64()), bands], ["doc_id", "x", "node", "bands"])
 
-    return _keyed(docs, text, doc_id).mapInArrow(run, "doc_id bigint, x bigint, node bigint, bands array<bigint>")
+    return _keyed(docs, text, doc_id).mapInArrow(tk.released(run), "doc_id bigint, x bigint, node bigint, bands array<bigint>")
 
 
 def overlap(leader: pa.Array, members: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -223,7 +223,7 @@ def _of_rows(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> Data
                 seen.add(key)
             yield batch.filter(pa.array(new, pa.bool_()))
 
-    rows = _keyed(docs, text, doc_id).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "x", "text").mapInArrow(once, "d bigint, x bigint, text string")
+    rows = _keyed(docs, text, doc_id).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "x", "text").mapInArrow(tk.released(once), "d bigint, x bigint, text string")
     return rows.join(wanted, ["d", "x"]).dropDuplicates(["d", "x", "node"]).select("node", "text")
 
 
@@ -250,7 +250,7 @@ def prefixes(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -
                     token = tk.mix(hs + (np.arange(len(hs)) - first).astype(U64) * U64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0).slice(a, b - a))[ds]), pa.array(size[ds].astype(np.int32)), pa.array(token.view(np.int64))], ["node", "n", "token"])
 
-    tokens = materialise(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(split, "node bigint, n int, token bigint"), "tokens")
+    tokens = materialise(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(tk.released(split), "node bigint, n int, token bigint"), "tokens")
     often = materialise(tokens.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > 1), "often")
     met = tokens.join(often, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("met"))  # a text's own tokens
     size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("met"))

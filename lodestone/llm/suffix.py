@@ -102,7 +102,7 @@ def _places(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, block, d_all[a:b][doc], t_all[a:b][doc], lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32))], names)
 
-    return keyed.mapInArrow(run, ANCHORS)
+    return keyed.mapInArrow(tk.released(run), ANCHORS)
 
 
 # --- suffix order of a part ------------------------------------------------------
@@ -255,7 +255,7 @@ def _blocks(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 rows += [(p["h"], p["block"], d, t, p["lo"], p["hi"], p["at"], p["parts"], p["n"], raw[p["lo"] : p["hi"] + length]) for p in places]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tk.released(run), schema)
 
 
 #: Sizes of the cells of window places that blocks are cut into, turn by turn.
@@ -377,7 +377,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, text: str = "text", d
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], schema.fieldNames())
 
-    return rows.select(doc_id, F.col(text).cast("string"), rows.columns[-1]).mapInArrow(run, schema)
+    return rows.select(doc_id, F.col(text).cast("string"), rows.columns[-1]).mapInArrow(tk.released(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "later", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -406,4 +406,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, mode: str = "later", t
             cols = [pa.array(kept, pa.string()) if c == text else batch.column(i) for i, c in enumerate(order)]
             yield pa.RecordBatch.from_arrays(cols, order)
 
-    return rows.select(*order, F.col(text).cast("string").alias(fresh(rows, "__body")), rows.columns[-1]).mapInArrow(run, schema)
+    return rows.select(*order, F.col(text).cast("string").alias(fresh(rows, "__body")), rows.columns[-1]).mapInArrow(tk.released(run), schema)

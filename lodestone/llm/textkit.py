@@ -32,11 +32,29 @@ def state(key, build):
 def begin() -> None:
     """For tasks without a state: drop what another operator's tasks left in this worker, and give freed memory back."""
     _STATE.clear()
+    _trim()
+
+
+def _trim() -> None:
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def released(run):
+    """``run`` over batches, giving freed memory back as it ends: a worker that waits for its next task holds none of it."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit (xor-shift and multiply, 64 bits)."""
     h = h ^ (h >> U64(30))
