@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+
+from ..storage import ship
 
 
 @dataclass(frozen=True)
@@ -134,20 +137,36 @@ def page_zones(b: np.ndarray, width: float, height: float, r: Rules = RULES) ->
 
 LINES = "doc_id bigint, page int, place int, zone string, text string, confidence double, split_x double"
 _ORDER = {"header": 0, "body": 1, "left": 1, "right": 2}
+_BOX = ["x0", "x1", "y0", "y1"]
+
+
+def _laid_out(batches):
+    """Rows (doc_id, page, page_width, page_height, lines): the zones of each page, and one sort for all lines of a batch."""
+    for batch in batches:
+        lists = batch.column(4)
+        owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
+        line = lists.flatten()
+        boxes = np.stack([np.asarray(line.field(c), dtype=float) for c in _BOX], axis=1).reshape(-1, len(_BOX))
+        ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        sizes = zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        pages = [page_zones(boxes[a:b], width, height) for a, b, width, height in sizes]
+        zone = np.concatenate([z for z, _, _ in pages]) if pages else np.array([], dtype=object)
+        keys = {"owner": owner, "rank": np.array([_ORDER[z] for z in zone], dtype=np.int64), "y": np.round(boxes[:, 2], 1), "x0": boxes[:, 0], "text": line.field("text")}
+        order = np.asarray(pc.sort_indices(pa.table(keys), [(k, "ascending") for k in keys]))
+        of_page = lambda values: pa.array(values, pa.float64()).take(pa.array(owner))
+        out = [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(np.arange(len(owner)) - ends[owner], pa.int32()), pa.array(zone[order], pa.string()), line.field("text").take(pa.array(order))]
+        yield pa.RecordBatch.from_arrays([*out, of_page([c for _, c, _ in pages]), of_page([s for _, _, s in pages])], ["doc_id", "page", "place", "zone", "text", "confidence", "split_x"])
 
 
 def page_layouts(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, page, x0, x1, y0, y1, text, page_width, page_height) in reading order with their zone and the page's confidence.
 
     Header first, then the left and then the right column, each from top to bottom.  Blank lines and lines without a box go;
-    of equal boxes the text decides.  A page is one group, which bounds it.
+    of equal boxes the text decides.  A page is one row of an Arrow batch, which bounds it; many pages share a batch.
     """
-    boxes = ["x0", "x1", "y0", "y1"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        zones, confidence, split = page_zones(pdf[boxes].to_numpy(dtype=float), float(pdf["page_width"].iloc[0]), float(pdf["page_height"].iloc[0]))
-        out = pdf.assign(zone=zones, rank=[_ORDER[z] for z in zones], y=pdf["y0"].round(1)).sort_values(["rank", "y", "x0", "text"], kind="stable")
-        return out.assign(place=np.arange(len(out), dtype=np.int32), confidence=confidence, split_x=split)[["doc_id", "page", "place", "zone", "text", "confidence", "split_x"]]
-
-    fine = lines.where("trim(text) != ''").dropna(subset=[*boxes, "page_width", "page_height"])
-    return fine.select("doc_id", "page", *boxes, "text", "page_width", "page_height").groupBy("doc_id", "page").applyInPandas(one, LINES)
+    ship(lines.sparkSession)
+    fine = lines.where("trim(text) != ''").dropna(subset=[*_BOX, "page_width", "page_height"])
+    line = F.struct(*(F.col(c).cast("double").alias(c) for c in _BOX), F.col("text"))
+    size = lambda c: F.first(F.col(c).cast("double")).alias(c)
+    pages = fine.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page").cast("int").alias("page")).agg(size("page_width"), size("page_height"), F.collect_list(line).alias("lines"))
+    return pages.mapInArrow(_laid_out, LINES)

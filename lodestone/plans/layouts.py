@@ -22,7 +22,7 @@ def _lines(spark, sf):
     box = lambda x0, x1, y: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(y).alias("y0"), F.lit(y + 10.0).alias("y1"))
     kinds = [F.array(*[box(x0, x1, y + i * step) for x0, x1, y, step, n in k for i in range(n)]) for k in _KINDS]
     boxes = F.get(F.array(*kinds), F.pmod("offer_id", F.lit(len(_KINDS))).cast("int"))
-    rows = R.offers(spark, sf).select(F.col("offer_id").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(boxes).alias("i", "b"))
+    rows = R.spread(R.offers(spark, sf).select("offer_id"), "offer_id").select(F.col("offer_id").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(boxes).alias("i", "b"))
     return rows.select("doc_id", "page", "b.*", F.col("i").cast("string").alias("text"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
 
 

@@ -11,6 +11,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task of ``spread``.
+EACH = 50_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all tasks by ``key``: a table of narrow rows is one small file, so that costly expressions over it would run in one task.
+
+    Tasks grow in number with the rows, counted from the files' footers; adaptive execution would join them by their few bytes.
+    """
+    tasks = -(-rows.count() // EACH)
+    return rows.repartition(max(tasks, 2 * rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def usage_events(spark, sf_dir) -> DataFrame:
     """event_id, user_id, kind, created_at, duration_ms, meta."""
     return read(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), F.col("value").alias("duration_ms"), F.col("props").alias("meta"))
