@@ -171,15 +171,20 @@ def context_summary(apps: DataFrame) -> DataFrame:
 
 
 def request_summary(requests: DataFrame) -> DataFrame:
-    """Requests (id, total, calls: an array of structs ms, hit, fallback, ok, tin): time in calls and around them, and counts over the calls."""
+    """Requests (id, total, calls: an array of structs ms, hit, fallback, ok, tin): time in calls and around them, and counts over the calls.
+
+    Times are decimals of six places until they are rounded, half up, so that no binary remainder decides a tie.
+    """
+    exact = lambda x: x.cast("decimal(28,6)")
     calls = F.coalesce("calls", F.array().cast(requests.schema["calls"].dataType))
     count = lambda f: F.size(F.filter(calls, f)).cast("long")
-    spent = F.aggregate(calls, F.lit(0.0), lambda acc, c: acc + c["ms"].cast("double"))
+    spent = F.aggregate(calls, exact(F.lit(0)), lambda acc, c: exact(acc + F.coalesce(exact(c["ms"]), exact(F.lit(0)))))
+    total, one = exact(F.col("total")), lambda x: F.round(x, 1).cast("double")
     return requests.select(
         "id",
-        F.round("total", 1).alias("total_ms"),
-        F.round(spent, 1).alias("llm_ms"),
-        F.round(F.greatest(F.lit(0.0), F.col("total") - spent), 1).alias("local_ms"),
+        one(total).alias("total_ms"),
+        one(spent).alias("llm_ms"),
+        one(F.greatest(exact(F.lit(0)), exact(total - spent))).alias("local_ms"),
         count(lambda c: ~c["hit"]).alias("n"),
         count(lambda c: c["hit"]).alias("cache_hits"),
         count(lambda c: c["fallback"]).alias("fallbacks"),

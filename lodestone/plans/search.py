@@ -96,9 +96,9 @@ def skill_analysis(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey AS id, list({'ms': l_quantity, 'hit': l_linenumber % 3 = 0, 'fallback': l_linenumber % 4 = 0, 'ok': l_returnflag <> 'R', 'tin': l_suppkey}) AS calls, sum(l_quantity) AS llm FROM lineitem GROUP BY 1)
-    SELECT o_orderkey AS id, round(o_totalprice / 1000, 1) AS total_ms, round(coalesce(llm, 0), 1) AS llm_ms, round(greatest(0, o_totalprice / 1000 - coalesce(llm, 0)), 1) AS local_ms, len(list_filter(coalesce(calls, []), lambda x: NOT x.hit)) AS n, len(list_filter(coalesce(calls, []), lambda x: x.hit)) AS cache_hits,
-    len(list_filter(coalesce(calls, []), lambda x: x.fallback)) AS fallbacks, len(list_filter(coalesce(calls, []), lambda x: NOT x.ok)) AS errors, coalesce(list_sum(list_transform(calls, lambda x: x.tin)), 0) AS prompt_tokens FROM orders LEFT JOIN c ON c.id = o_orderkey"""
+    """WITH c AS (SELECT l_orderkey AS id, list({'ms': l_quantity, 'hit': l_linenumber % 3 = 0, 'fallback': l_linenumber % 4 = 0, 'ok': l_returnflag <> 'R', 'tin': l_suppkey}) AS calls, sum(CAST(l_quantity AS DECIMAL(28, 6))) AS llm FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, CAST(o_totalprice / 1000 AS DECIMAL(28, 6)) AS total, calls, CAST(coalesce(llm, 0) AS DECIMAL(28, 6)) AS llm FROM orders LEFT JOIN c ON c.id = o_orderkey)
+    SELECT o_orderkey AS id, CAST(round(total, 1) AS DOUBLE) AS total_ms, CAST(round(llm, 1) AS DOUBLE) AS llm_ms, CAST(round(greatest(0, total - llm), 1) AS DOUBLE) AS local_ms, len(list_filter(coalesce(calls, []), lambda x: NOT x.hit)) AS n, len(list_filter(coalesce(calls, []), lambda x: x.hit)) AS cache_hits,
+    len(list_filter(coalesce(calls, []), lambda x: x.fallback)) AS fallbacks, len(list_filter(coalesce(calls, []), lambda x: NOT x.ok)) AS errors, coalesce(list_sum(list_transform(calls, lambda x: x.tin)), 0) AS prompt_tokens FROM r"""
 )
 def request_summary(spark, sf):
     """Requests with an array of calls each: times and counts over the nested calls."""
