@@ -29,6 +29,11 @@ LEVELS = [
 ]
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once a row however often ``f`` uses it: a plain expression is repeated wherever it is used."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def slug(x: Column) -> Column:
     """Lower case, runs of other than a-z and 0-9 as one dash, no dash at the ends; null as empty."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -58,7 +63,6 @@ def unescape_html(x: Column) -> Column:
     """Character references decoded once: named and numeric ones (decimal or hexadecimal) that end in a semicolon; unknown names stay, numbers that are no character become U+FFFD."""
     pattern = "&(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,7}|[A-Za-z][A-Za-z0-9]*);"
     names = F.from_json(F.lit(_entities()), "map<string,string>")
-    let = lambda v, f: F.get(F.transform(F.array(v), f), 0)
     bad = F.lit("\ufffd")
 
     def number(ref: Column) -> Column:
@@ -145,18 +149,29 @@ def _ipv6(literal: Column) -> Column:
 def usable_url(x: Column) -> Column:
     """http(s), at most 2,048 characters, no control characters or credentials, and a host that is not internal: names, and public addresses of either kind."""
     rest = F.regexp_extract(x, r"^(?i:https?)://([^/?#]*)", 1)
-    user, server = F.regexp_extract(rest, r"^(?s)(.*)@", 1), F.lower(F.regexp_replace(rest, r"^(?s).*@", ""))
-    literal = F.regexp_extract(server, r"^\[([^\]]*)\](?::[0-9]*)?$", 1)
-    host = F.rtrim(F.split_part(server, F.lit(":"), F.lit(1)), F.lit("."))
-    name = ~host.rlike(r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$") | F.exists(F.split(host, "[.]"), lambda p: p.try_cast("int") > 255)
-    four = F.array_join(F.transform(F.split(host, "[.]"), lambda p: F.lpad(F.hex(p.try_cast("long")), 2, "0")), "")
-    four = F.lower(four)
-    public = name | ~_within(four, CLOSED_IPV4, 32) | _within(four, OPEN_IPV4, 32)
-    six = _ipv6(literal)
-    fine6 = F.coalesce(six.between("2" + "0" * 31, "3" + "f" * 31) & (~_within(six, CLOSED_IPV6, 128) | _within(six, OPEN_IPV6, 128)), F.lit(False))
-    fine4 = (host != "") & ~host.contains("[") & ~host.isin(INTERNAL_HOSTS) & public
-    plain = x.rlike(r"^(?i:https?)://") & (F.length(x) <= 2048) & ~x.rlike(r"[\x00-\x1f\x7f]") & user.isin("", ":")
-    return F.coalesce(plain & F.when(server.startswith("["), fine6).otherwise(fine4), F.lit(False))
+    octets = r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$"
+
+    def public4(host: Column) -> Column:
+        parts = F.transform(F.split(host, "[.]"), lambda p: p.try_cast("long"))
+        digits = lambda ps: F.lower(F.array_join(F.transform(ps, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+        address = lambda ps: F.exists(ps, lambda p: p > 255) | let(digits(ps), lambda four: ~_within(four, CLOSED_IPV4, 32) | _within(four, OPEN_IPV4, 32))
+        return F.when(host.rlike(octets), let(parts, address)).otherwise(True)
+
+    def public6(server: Column) -> Column:
+        literal = F.regexp_extract(server, r"^\[([^\]]*)\](?::[0-9]*)?$", 1)
+        fine = lambda six: six.between("2" + "0" * 31, "3" + "f" * 31) & (~_within(six, CLOSED_IPV6, 128) | _within(six, OPEN_IPV6, 128))
+        return F.coalesce(let(let(literal, _ipv6), fine), F.lit(False))
+
+    def of_server(server: Column) -> Column:
+        host = F.rtrim(F.split_part(server, F.lit(":"), F.lit(1)), F.lit("."))
+        fine4 = let(host, lambda h: (h != "") & ~h.contains("[") & ~h.isin(INTERNAL_HOSTS) & public4(h))
+        return F.when(server.startswith("["), public6(server)).otherwise(fine4)
+
+    def of_rest(rest: Column) -> Column:
+        return F.regexp_extract(rest, r"^(?s)(.*)@", 1).isin("", ":") & let(F.lower(F.regexp_replace(rest, r"^(?s).*@", "")), of_server)
+
+    plain = x.rlike(r"^(?i:https?)://") & (F.length(x) <= 2048) & ~x.rlike(r"[\x00-\x1f\x7f]")
+    return F.coalesce(plain & let(rest, of_rest), F.lit(False))
 
 
 def host_matches(x: Column, domain: str) -> Column:
@@ -188,11 +203,15 @@ def tokens(x: Column, pattern: str = r"[a-z0-9+#.]+") -> Column:
 def split_city_country(x: Column) -> Column:
     """struct(city, country): one part is a country if it has at most three characters or is upper case."""
     parts = F.filter(F.transform(F.split(x, r"[,/·|]"), lambda p: F.trim(p)), lambda p: p != "")
-    one = F.get(parts, 0)
-    short = (F.length(one) <= 3) | (one == F.upper(one))
-    city = F.when(F.size(parts) > 1, one).when(~short, one)
-    country = F.when(F.size(parts) > 1, F.element_at(parts, -1)).when(short, one)
-    return F.when(F.size(parts) > 0, F.struct(city.alias("city"), country.alias("country")))
+
+    def named(parts: Column) -> Column:
+        one = F.get(parts, 0)
+        short = (F.length(one) <= 3) | (one == F.upper(one))
+        city = F.when(F.size(parts) > 1, one).when(~short, one)
+        country = F.when(F.size(parts) > 1, F.element_at(parts, -1)).when(short, one)
+        return F.when(F.size(parts) > 0, F.struct(city.alias("city"), country.alias("country")))
+
+    return let(parts, named)
 
 
 #: A number of two digits or more, its thousands grouped by a space, comma or point or not, in a range or alone, with its currency before it.

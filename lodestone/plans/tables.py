@@ -47,7 +47,7 @@ def offer_salaries(spark, sf):
 )
 def address_urls(spark, sf):
     """URLs with addresses made of events: public, private, reserved and for documentation; errors have credentials."""
-    e = R.read(spark, sf, "events")
+    e = R.spread(R.read(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id")
     n = F.pmod(F.col("event_id") * 7919, F.lit(1 << 32))
     part = lambda k: F.floor(n / (1 << k)).cast("long") % 256
     pick = lambda xs, c: F.get(F.array(*map(F.lit, xs)), (c % len(xs)).cast("int"))
