@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 #: Accepted formats, day before month where both could hold.
 FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy",
@@ -31,12 +33,16 @@ def relative_time(x: Column, now: Column) -> Column:
 
 def parse_timestamp(x: Column, now: Column) -> Column:
     """UTC time: epoch seconds or milliseconds, one of the formats, or relative text; null out of 2000 .. now + 400 days."""
-    t = F.trim(x)
-    digits = F.when(t.rlike(r"^\d{9,14}$"), t.try_cast("double"))
-    epoch = F.timestamp_seconds(F.when(digits > 1e11, digits / 1000).otherwise(digits))
-    named = F.regexp_replace(t, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
-    got = F.coalesce(epoch, *[F.try_to_timestamp(named, F.lit(f)) for f in FORMATS], relative_time(t, now))
-    return F.when((got >= F.lit("2000-01-01").cast("timestamp")) & (F.unix_timestamp(got) <= F.unix_timestamp(now) + 400 * 86400), got)
+
+    def parsed(t: Column) -> Column:
+        digits = F.when(t.rlike(r"^\d{9,14}$"), t.try_cast("double"))
+        epoch = F.timestamp_seconds(F.when(digits > 1e11, digits / 1000).otherwise(digits))
+        named = F.regexp_replace(t, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
+        formats = let(named, lambda n: F.coalesce(*[F.try_to_timestamp(n, F.lit(f)) for f in FORMATS]))
+        return F.coalesce(epoch, formats, relative_time(t, now))
+
+    near = lambda got: F.when((got >= F.lit("2000-01-01").cast("timestamp")) & (F.unix_timestamp(got) <= F.unix_timestamp(now) + 400 * 86400), got)
+    return let(let(F.trim(x), parsed), near)
 
 
 def posted_date(x: Column, now: Column) -> Column:
@@ -47,14 +53,19 @@ def posted_date(x: Column, now: Column) -> Column:
 
 def parse_point(x: Column) -> Column:
     """struct(year, month) of a partial date; month 0 is unknown; null if there is none."""
-    low = F.lower(F.coalesce(x, F.lit("")))
-    month = F.lit(0)
-    for i, p in reversed(list(enumerate(MONTHS, 1))):
-        month = F.when(low.rlike(rf"\b({p})"), i).otherwise(month)
-    slashed = F.regexp_extract(low, r"\b(0?[1-9]|1[0-2])\s*/\s*(?:19[5-9]\d|20[0-4]\d)\b", 1)
-    month = F.when(slashed != "", slashed.try_cast("int")).otherwise(month)
-    year = F.nullif(F.regexp_extract(low, r"\b(19[5-9]\d|20[0-4]\d)\b", 1), F.lit("")).cast("int")
-    return F.when(year.isNotNull(), F.struct(year.alias("year"), month.alias("month")))
+
+    def month_of(low: Column) -> Column:
+        month = F.lit(0)
+        for i, p in reversed(list(enumerate(MONTHS, 1))):
+            month = F.when(low.rlike(rf"\b({p})"), i).otherwise(month)
+        slashed = F.regexp_extract(low, r"\b(0?[1-9]|1[0-2])\s*/\s*(?:19[5-9]\d|20[0-4]\d)\b", 1)
+        return let(slashed, lambda s: F.when(s != "", s.try_cast("int")).otherwise(month))
+
+    def point(low: Column) -> Column:
+        year = F.regexp_extract(low, r"\b(19[5-9]\d|20[0-4]\d)\b", 1)
+        return let(year, lambda y: F.when(y != "", F.struct(y.cast("int").alias("year"), month_of(low).alias("month"))))
+
+    return let(F.lower(F.coalesce(x, F.lit(""))), point)
 
 
 def duration_months(start: Column, end: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .dates import duration_months, format_months, parse_point
 from .extract import PRESENT, SINCE
+from .text import let
 
 # Words of work modes, of internships, of levels and of contracts, in the order in which they are looked for
 MODES = [
@@ -135,30 +136,34 @@ def match_reasons(offer: dict[str, Column], context: dict[str, Column]) -> Colum
     listed = lambda d, n: F.coalesce(d.get(n, F.lit(None).cast(_STRINGS)), none)
     meets = lambda text, tokens: F.arrays_overlap(match_tokens(text), tokens)
     some = lambda xs: F.size(xs) > 0
-    blob, title = match_tokens(o("title"), o("description"), F.array_join(listed(offer, "skills"), " ")), match_tokens(o("title"))
     titles = F.filter(F.concat(F.array(c("query")), listed(context, "keywords")), lambda t: t.isNotNull() & (t != ""))
-    fits = F.filter(titles, lambda t: meets(t, title))
-    wanted = F.array_distinct(F.concat(listed(context, "skills"), listed(context, "technologies")))
-    have = F.filter(wanted, lambda s: meets(s, blob))
+    tokens = F.struct(
+        match_tokens(o("title")).alias("title"), match_tokens(o("title"), o("description"), F.array_join(listed(offer, "skills"), " ")).alias("blob"), match_tokens(o("title"), o("description"), o("company")).alias("sector"),
+        F.array_distinct(F.concat(listed(context, "skills"), listed(context, "technologies"))).alias("wanted"),
+    )
+    found = lambda t: F.struct(
+        F.filter(titles, lambda x: meets(x, t["title"])).alias("fits"), F.filter(t["wanted"], lambda x: meets(x, t["blob"])).alias("have"), F.filter(listed(context, "sectors"), lambda x: meets(x, t["sector"])).alias("sectors"), t["wanted"].alias("wanted")
+    )
     mode = F.coalesce((c("remote_type") != "any") & (o("remote_type") == c("remote_type")), F.lit(False))
     near = F.arrays_overlap(match_tokens(c("city"), c("location"), c("country")), match_tokens(o("city"), o("location"), o("country"))) & (F.coalesce(c("city"), c("location"), F.lit("")) != "")
     pay, least = o("salary_min").cast("double"), c("salary_min").cast("double")
     paid = F.coalesce((pay != 0) & (least != 0), F.lit(False))
-    sectors = F.filter(listed(context, "sectors"), lambda s: meets(s, match_tokens(o("title"), o("description"), o("company"))))
     two = lambda x: F.substring(F.lower(x), 1, 2)
-    reasons = F.array_compact(
+    reasons = lambda f: F.array_compact(
         F.array(
-            F.when(some(fits), F.concat(F.lit("title matches “"), F.get(fits, 0), F.lit("”"))),
-            F.when(some(have), F.concat(F.lit("skills present: "), F.array_join(F.slice(have, 1, 6), ", "))),
+            F.when(some(f["fits"]), F.concat(F.lit("title matches “"), F.get(f["fits"], 0), F.lit("”"))),
+            F.when(some(f["have"]), F.concat(F.lit("skills present: "), F.array_join(F.slice(f["have"], 1, 6), ", "))),
             F.when(mode, F.concat(F.lit("work mode: "), c("remote_type"))).when(near, F.lit("location matches")),
             F.when((c("experience_level") != "any") & (o("experience_level") == c("experience_level")), F.concat(F.lit("seniority: "), o("experience_level"))),
             F.when(paid & (pay >= least), F.lit("salary meets the minimum")).when(paid & (pay < least), F.lit("⚠ posted salary below your minimum")),
             F.when((F.coalesce(c("language"), F.lit("")) != "") & (F.coalesce(o("language"), F.lit("")) != "") & (two(c("language")) == two(o("language"))), F.concat(F.lit("language: "), o("language"))),
-            F.when(some(sectors), F.concat(F.lit("sector: "), F.array_join(F.slice(sectors, 1, 3), ", "))),
+            F.when(some(f["sectors"]), F.concat(F.lit("sector: "), F.array_join(F.slice(f["sectors"], 1, 3), ", "))),
         )
     )
     weak = F.array(F.lit("weak match — few of your criteria are present in this posting"))
-    return F.struct(F.when(some(reasons), F.slice(reasons, 1, 8)).otherwise(weak).alias("reasons"), F.slice(F.filter(wanted, lambda s: ~F.array_contains(have, s)), 1, 12).alias("missing_skills"))
+    said = lambda f: let(reasons(f), lambda r: F.when(some(r), F.slice(r, 1, 8)).otherwise(weak))
+    lacking = lambda f: F.slice(F.filter(f["wanted"], lambda s: ~F.array_contains(f["have"], s)), 1, 12)
+    return let(let(tokens, found), lambda f: F.struct(said(f).alias("reasons"), lacking(f).alias("missing_skills")))
 
 
 def whole_document_needed(sections: Column, education: Column, experience: Column) -> Column:
@@ -173,24 +178,30 @@ def experience_period(raw: Column, today: Column, language: Column) -> Column:
     A duration as written, if there is no range of two dates; "since" a date, up to ``today``; a range of dates, open ends being today;
     a lone date of up to three words as written; else null.  Months count inclusively, years without months are whole ones.
     """
-    text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))
-    parts = F.split(text, BETWEEN, 2)
     low = lambda x: F.lower(F.coalesce(x, F.lit("")))
     is_open = lambda x: F.exists(F.array(*map(F.lit, PRESENT)), lambda w: F.contains(low(x), w))
-    start, end = parse_point(F.get(parts, 0)), parse_point(F.get(parts, 1))
     now = F.struct(F.year(today).alias("year"), F.month(today).alias("month"))
-    ranged = F.coalesce((F.size(parts) == 2) & start.isNotNull() & (end.isNotNull() | is_open(F.get(parts, 1))), F.lit(False))
     words = "|".join(sorted(NUMBERS, key=len, reverse=True))
     written = rf"(?iU)\b(\d{{1,3}}|{words})[\s\-]+({UNITS})\b"
-    n, unit = F.lower(F.regexp_extract(text, written, 1)), F.lower(F.regexp_extract(text, written, 2))
-    value = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in NUMBERS.items() for x in kv)), n), n.try_cast("int"))
-    since = F.lower(text).rlike(rf"^({'|'.join(SINCE)}) ")
-    after = parse_point(F.regexp_replace(text, r"^\S+ ", ""))
-    between = lambda a, b: format_months(duration_months(a, b), language)
-    return (
-        F.when(text == "", None)
-        .when((unit != "") & ~ranged, F.concat(value.cast("string"), F.lit(" "), unit))
-        .when(since & ~ranged, F.when(after.isNotNull(), between(after, now)))
-        .when(ranged, between(start, F.when(is_open(F.get(parts, 1)), now).otherwise(end)))
-        .when(parse_point(text).isNotNull() & (F.size(F.split(text, " ")) <= 3), text)
-    )
+    number = lambda n: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in NUMBERS.items() for x in kv)), n), n.try_cast("int"))
+    between = lambda a, b: let(duration_months(a, b), lambda n: format_months(n, language))
+    long_ago = lambda text: let(parse_point(F.regexp_replace(text, r"^\S+ ", "")), lambda after: F.when(after.isNotNull(), between(after, now)))
+
+    def by_rule(text: Column, ends: Column) -> Column:
+        ranged, unit = ends["ranged"], ends["unit"]
+        return (
+            F.when(text == "", None)
+            .when((unit != "") & ~ranged, F.concat(number(ends["n"]).cast("string"), F.lit(" "), unit))
+            .when(F.lower(text).rlike(rf"^({'|'.join(SINCE)}) ") & ~ranged, long_ago(text))
+            .when(ranged, between(ends["start"], F.when(ends["open"], now).otherwise(ends["end"])))
+            .when(parse_point(text).isNotNull() & (F.size(F.split(text, " ")) <= 3), text)
+        )
+
+    def of(text: Column) -> Column:
+        found = lambda i: F.lower(F.regexp_extract(text, written, i))
+        point = lambda p: F.struct((F.size(p) == 2).alias("two"), parse_point(F.get(p, 0)).alias("start"), parse_point(F.get(p, 1)).alias("end"), is_open(F.get(p, 1)).alias("open"), found(1).alias("n"), found(2).alias("unit"))
+        ranged = lambda e: F.coalesce(e["two"] & e["start"].isNotNull() & (e["end"].isNotNull() | e["open"]), F.lit(False))
+        ends = let(let(F.split(text, BETWEEN, 2), point), lambda e: F.struct(ranged(e).alias("ranged"), *(e[c].alias(c) for c in ("start", "end", "open", "n", "unit"))))
+        return let(ends, lambda e: by_rule(text, e))
+
+    return let(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " ")), of)

@@ -49,7 +49,7 @@ def preference_slots(spark, sf):
     SELECT offer_id, CASE WHEN len(reasons) = 0 THEN ['weak match — few of your criteria are present in this posting'] ELSE reasons END AS reasons, list_filter(['hot', 'Large', 'C++', 'blue'], lambda k: NOT list_contains(have, k)) AS missing_skills FROM q"""
 )
 def match_reasons(spark, sf):
-    o, s = R.offers(spark, sf), F.col("size")
+    o, s = R.spread(R.offers(spark, sf), "offer_id"), F.col("size")
     text = lambda *xs: F.array(*map(F.lit, xs))
     offer = {
         "title": F.col("title"), "description": F.col("job_type"), "skills": F.when(s % 6 == 0, text("c++.")), "remote_type": F.when(s % 5 == 0, "remote"), "city": F.when(s % 4 == 1, "Porto"), "company": F.col("company"),
@@ -88,7 +88,7 @@ def experience_periods(spark, sf):
         F.when(k == 0, t(m, "/", y, " – 12/", y + 3)).when(k == 1, t("for ", s + 1, " Months in all")).when(k == 2, t("Stage de trois  mois (", y, ")")).when(k == 3, t(m, "/", y, " - Present"))
         .when(k == 4, t("Since ", m, "/", y)).when(k == 5, t(y, " - ", y + s % 5 + 1)).when(k == 6, t(m, "/", y)).otherwise(t("a while ago, in the summer"))
     )
-    return R.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), P.experience_period(raw, F.lit("2024-06-15").cast("date"), F.lit("en")).alias("period"))
+    return R.spread(R.read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("id"), P.experience_period(raw, F.lit("2024-06-15").cast("date"), F.lit("en")).alias("period"))
 
 
 @query(
