@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 #: Section headers in English and French without accents, in the order in which they are tried.
 SECTIONS = {
     "summary": r"summary|professional\s+summary|profile|professional\s+profile|about\s*(me)?|career\s+summary|objective|career\s+objective|resume\s+summary|profil|profil\s+professionnel|a\s+propos|a\s+propos\s+de\s+moi|objectif|objectif\s+professionnel|objectif\s+de\s+carriere|synthese|resume|presentation|en\s+bref",
@@ -141,19 +143,20 @@ def resume_report(contact: Column, experience: Column, education: Column, projec
         _issue(~_set(c("email")), "email", "No email could be extracted.", "error"),
     )
 
-    def section(name: str, entries: Column, keys: tuple[str, ...], of) -> tuple[Column, Column]:
-        entries = F.coalesce(entries, F.array())
-        kept = entries_by(entries, *keys)
-        gone = F.size(entries) - F.size(kept)
+    def section(name: str, entries: Column, keys: tuple[str, ...], of) -> Column:
+        kept = lambda entries: F.struct(entries_by(entries, *keys).alias("kept"), F.size(entries).alias("all"))
+        return let(let(F.coalesce(entries, F.array()), kept), lambda entries: listed(name, entries["kept"], entries["all"] - F.size(entries["kept"]), of))
+
+    def listed(name: str, kept: Column, gone: Column, of) -> Column:
         label = {"projects": "project"}.get(name, name)
         message = F.concat(F.lit("Removed "), gone.cast("string"), F.lit(f" duplicate {label} entr"), F.when(gone == 1, "y").otherwise("ies"), F.lit("."))
         place = lambda i, f: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{f}"))
         each = F.flatten(F.transform(kept, lambda e, i: _issues(*of(e, lambda f: place(i, f)))))
-        return F.concat(_issues(_issue(gone > 0, name, message, "info")), each), gone
+        return F.struct(F.concat(_issues(_issue(gone > 0, name, message, "info")), each).alias("issues"), gone.alias("gone"))
 
     split = "Grouped technologies were split into individual items."
     year = lambda x: F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), _YEAR, 1), F.lit("")).cast("int")
-    work, work_gone = section(
+    work = section(
         "experience", experience, ("company", "position"),
         lambda e, at: (
             _issue(~_set(e["company"]), at("company"), "Missing company name."), _issue(~_set(e["position"]), at("position"), "Missing position/title."),
@@ -161,32 +164,35 @@ def resume_report(contact: Column, experience: Column, education: Column, projec
             _issue(_grouped(e["technologies"]), at("technologies"), split, "info"),
         ),
     )
-    studies, studies_gone = section(
+    studies = section(
         "education", education, ("institution", "degree", "field"),
         lambda e, at: (
             _issue(~_set(e["institution"]), at("institution"), "Missing institution name."), _issue(~_set(e["degree"]), at("degree"), "Missing degree."), _undated(e["start_date"], at("start_date")), _undated(e["end_date"], at("end_date")),
             _issue(F.coalesce(year(e["end_date"]) < year(e["start_date"]), F.lit(False)), at("end_date"), F.concat(F.lit("End date ("), e["end_date"], F.lit(") is before start date ("), e["start_date"], F.lit(") — likely a mis-attributed date."))),
         ),
     )
-    built, built_gone = section(
+    built = section(
         "projects", projects, ("title",),
         lambda e, at: (
             _issue(~_set(e["title"]), at("title"), "Missing project title."), *(_issue(_set(e[f]) & ~F.trim(e[f]).rlike(_LINK), at(f), quoted(f"{f} URL looks invalid: ", e[f])) for f in ("github", "demo")), _issue(_grouped(e["technologies"]), at("technologies"), split, "info"),
         ),
     )
-    return F.struct(F.concat(own, work, studies, built).alias("issues"), work_gone.alias("experience"), studies_gone.alias("education"), built_gone.alias("projects"))
+    names = {"experience": work, "education": studies, "projects": built}
+    whole = lambda r: F.struct(F.concat(own, *(r[n]["issues"] for n in names)).alias("issues"), *(r[n]["gone"].alias(n) for n in names))
+    return let(F.struct(*(v.alias(n) for n, v in names.items())), whole)
 
 
 def join_wrapped(text: Column) -> Column:
     """Lines joined to the one before where that ends open and this begins in lower case, with a digit or a bracket."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda x: x != "")
 
-    def led(x: Column, i: Column) -> Column:
+    def led(lines: Column, x: Column, i: Column) -> Column:
         before = F.get(lines, i - 1)  # a joined line ends as its last part does
         goes_on = ~before.rlike(r"[.!?:;]$") & x.rlike(r"^[\p{Ll}0-9(]")
         return F.concat(F.when(i == 0, "").when(goes_on, " ").otherwise("\n"), x)
 
-    return F.filter(F.split(F.array_join(F.transform(lines, led), ""), "\n"), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda x: x != "")
+    joined = let(lines, lambda lines: F.array_join(F.transform(lines, lambda x, i: led(lines, x, i)), ""))
+    return F.filter(F.split(joined, "\n"), lambda x: x != "")
 
 
 def list_items(text: Column) -> Column:

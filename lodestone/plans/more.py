@@ -153,4 +153,4 @@ def document_sections(spark, sf):
 
 @query()
 def page_lists(spark, sf):
-    return R.read(spark, sf, "pages").select("page_id", D.list_items(X.html_to_text(F.col("html"))).alias("items"))
+    return R.spread(R.read(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", D.list_items(X.html_to_text(F.col("html"))).alias("items"))

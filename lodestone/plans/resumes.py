@@ -41,7 +41,7 @@ _UNDATED = "CASE WHEN {0} IS NOT NULL AND NOT regexp_matches({0}, '(19[5-9][0-9]
 )
 def resume_reports(spark, sf):
     """Profiles made of parts with every kind of fault, repeated entries among them."""
-    p, s = R.read(spark, sf, "part"), F.col("p_size")
+    p, s = R.spread(R.read(spark, sf, "part"), "p_partkey"), F.col("p_size")
     null = F.lit(None).cast("string")
     st = lambda **f: F.struct(*(v.alias(k) for k, v in f.items()))
     text = F.lit
