@@ -237,7 +237,7 @@ def safe_metadata(spark, sf):
 @query("SELECT page_id, url AS posting_url, 'Role ' || page_id AS title FROM pages WHERE page_id % 4 <> 3")
 def posting_nodes(spark, sf):
     """The first JSON-LD posting of pages that hold it in a graph, in a second object, in a list, or (every fourth) broken."""
-    p, i = R.read(spark, sf, "pages"), F.col("page_id")
+    p, i = R.spread(R.read(spark, sf, "pages"), "page_id"), F.col("page_id")
     node = F.to_json(F.struct(F.array(F.lit("Thing"), F.lit("jobPosting")).alias("@type"), F.concat(F.lit("Role "), i.cast("string")).alias("title"), F.col("url").alias("url")))
     site = F.lit('{"@type": "WebSite", "name": "s"}')
     body = F.when(i % 4 == 0, F.concat(F.lit('{"@graph": [{"@type": "Org"}, {"main": '), node, F.lit("}]}"))).when(i % 4 == 1, F.concat(site, F.lit("\n"), node)).when(i % 4 == 2, F.concat(F.lit("["), site, F.lit(","), node, F.lit("]"))).otherwise(F.concat(F.lit('{"@type": "JobPosting", "title": oops}')))
@@ -251,7 +251,7 @@ def posting_nodes(spark, sf):
 )
 def page_cards(spark, sf):
     """Cards of pages: the number from the urn or else the link, texts with entities and inner tags, missing parts."""
-    o, n = R.offers(spark, sf), F.col("offer_id")
+    o, n = R.spread(R.offers(spark, sf), "offer_id"), F.col("offer_id")
     text = lambda s: F.lit(s)
     first = F.concat(text('<li class="x card"><div data-urn="urn:li:job:'), (n + 100000).cast("string"), text('"></div><h3 class="t">\n '), F.col("title"), text(' <b>&amp;</b> co</h3><img class="c"><h4 class="c">'), F.col("company"), text("</h4></li>"))
     second = F.concat(text('<li class="card"><a class="full" href="/view/role-at-x-'), (n + 100001).cast("string"), text('?ref=1">go</a><h3 class="t">'), F.col("title"), text(" &amp;  co</h3><h4 class='c'> </h4></li>"))
