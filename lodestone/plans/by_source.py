@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import roles as R
 from ..sources import html as H, normalise as N
-from ..storage import scratch
+from ..storage import materialise
 from .queries import query
 
 # Expressions that both engines read
@@ -34,7 +34,7 @@ def _sql(where: str = "", **own: str) -> str:
 
 
 def _parts(spark, sf) -> DataFrame:
-    p = R.read(spark, sf, "part")
+    p = R.spread(R.read(spark, sf, "part"), "p_partkey")
     made = {"t": _TITLE, "l": _PLACE, "d": _TEXT, "day": _DAY, "stamp": _STAMP, "u": _URL, "i": "CAST(p_partkey AS STRING)"}
     return p.select("*", *(F.expr(v).alias(k) for k, v in made.items()))
 
@@ -44,7 +44,7 @@ def _shown(offers: DataFrame) -> DataFrame:
 
 
 def _landed(spark, sf, source: str, item: dict[str, str], board: str = "acme-corp", each: int = 50, tail: str = "") -> DataFrame:
-    """Parts as JSON payloads of the source (``each`` offers a file), read back by its reader."""
+    """Parts as JSON payloads of the source (``each`` offers), landed as rows, since a file each would be as many files to list, and read back by its reader."""
     s = N.SOURCES[source]
     p = _parts(spark, sf)
     one = F.to_json(F.struct(*(F.expr(v).alias(k) for k, v in item.items())))
@@ -54,9 +54,7 @@ def _landed(spark, sf, source: str, item: dict[str, str], board: str = "acme-cor
         name, _, index = step.partition("[")
         opened += f'{{"{name}":' + ("[" if index else "")
         closed = ("]" if index else "") + "}" + closed
-    folder = scratch(spark, source)
-    lists.select("k", F.concat(F.lit(opened), "v", F.lit(closed)).alias("value")).repartition("k").write.partitionBy("k").text(folder)
-    return N.read_payloads(spark, source, f"{folder}/*/*", board)
+    return N.payload_rows(materialise(lists.select(F.concat(F.lit(opened), "v", F.lit(closed)).alias("value")), source), source, board)
 
 
 def _source(name: str, item: dict[str, str], board: str = "acme-corp", where: str = "", tail: str = "", **own: str) -> None:
