@@ -118,20 +118,22 @@ def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int], ran
 
     A group is never sorted in one place: values are counted in ranges of the group between approximate quantiles, so that
     each has about as many rows whatever the values' spread; the range that holds the wanted index is found on those counts, and
-    only its rows are numbered, unless they all are one value.
+    only its rows are numbered, unless they all are one value.  Equal values are one row with their number, so that the work behind
+    the first aggregate grows with the different values.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).groupBy("k", "v").agg(F.count("*").alias("m"))
     share = [i / ranges for i in range(1, ranges)]
-    ends = rows.groupBy("k").agg(F.percentile_approx("v", share, 20 * ranges).alias("cuts"), F.count("*").alias("n"))
+    ends = rows.groupBy("k").agg(F.percentile_approx("v", share, 20 * ranges).alias("cuts"), F.sum("m").alias("n"))
     placed = rows.join(ends, "k").withColumn("b", _range_of(F.col("v"), F.col("cuts"), ranges - 1))
-    sizes = placed.groupBy("k", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sizes = placed.groupBy("k", "b").agg(F.sum("m").alias("c"), F.first("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     below = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("c").over(below), F.lit(0)))
     wanted = sizes.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).withColumn("i", F.rint(F.col("p") / 100 * (F.col("n") - 1)).cast("long"))
     wanted = wanted.where((F.col("i") >= F.col("before")) & (F.col("i") < F.col("before") + F.col("c"))).select("k", "b", "p", "lo", "hi", (F.col("i") - F.col("before") + 1).alias("r"))
     mixed = wanted.where("lo < hi")
-    inside = placed.select("k", "v", "b").join(mixed.select("k", "b").distinct(), ["k", "b"]).withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("v")))
-    found = inside.join(mixed.select("k", "b", "p", "r"), ["k", "b", "r"]).select("k", "p", "v")
+    upto = F.sum("m").over(Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = placed.select("k", "v", "b", "m").join(mixed.select("k", "b").distinct(), ["k", "b"]).withColumn("upto", upto)
+    found = inside.join(mixed.select("k", "b", "p", "r"), ["k", "b"]).where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("m"))).select("k", "p", "v")
     return found.unionByName(wanted.where("NOT lo < hi").select("k", "p", F.col("lo").alias("v"))).select(F.col("k").alias(key), "p", "v")
 
 
