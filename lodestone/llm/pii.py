@@ -13,9 +13,9 @@ card whose digits fail their checksum, a part of an address over 255, digits ins
 that cross a base span are negative.  The rest is what the model is for: it is scored, never learned from.
 
 *Model.*  Samples of equal kind, label, string and features count once, so that copies of a document don't outvote the rest.
-For each kind gradient-boosted trees (logistic loss, second-order leaves, binned features) are fitted on
-``SAMPLE`` samples of a label at most (those of smallest hash, over all documents).  Trees fitted without a quarter of the samples
-score that quarter; those scores become probabilities by Platt's sigmoid, and a kind's threshold is the lowest probability from which on the
+For each kind gradient-boosted trees (logistic loss, second-order leaves, binned features) are fitted on all samples: they stay
+on the executors, equal ones as one row with their number, and a level of a tree is chosen by the sum of their histograms.  Bins are cut at
+the quantiles of all of a kind's samples, whatever their labels.  Trees fitted without a quarter of the samples score that quarter; those scores become probabilities by Platt's sigmoid, and a kind's threshold is the lowest probability from which on the
 lower bound of their precision reaches ``PRECISION``.  A kind with fewer than ``LEAST_SAMPLES`` of either label adds nothing.
 
 Of candidates that pass, a kind's spans are chosen by probability, then length, then place, without overlaps within
@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +58,13 @@ _GROUP = re.compile(r"[0-9]+")
 _SPOKEN = re.compile(r"([A-Za-z0-9._%+-]+)(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|\x20?@\x20?)([A-Za-z0-9-]+(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+)")
 _SIGN = re.compile(r"@|[\[({ ]at[\])} ]")
 CUES = re.compile(r"\b(?:tel|telephone|phone|fax|mobile|cell|call|card|visa|mastercard|credit|pay|mail|email|e-mail|contact|ip|host|addr|address|server|from)\b", re.I)
-#: Sampled rows of a kind and label.
-SAMPLE = 10_000
 PRECISION, LEAST_SAMPLES, FOLDS = 0.9, 30, 4
 ROUNDS, DEPTH, RATE, BINS, LAMBDA = 60, 3, 0.25, 32, 1.0
 AROUND = 24
+#: Gradients are multiples of this, so that their sums are the same in whatever parts and order they are added.
+STEP = 2.0**-20
+#: Cells of a part, and trees after which parts are scored from the start.
+EACH, REBASE = 20_000, 10
 FEATURES = (
     "digits", "groups", "longest group", "shortest group", "first group", "last group", "length", "spaces", "dashes", "dots", "brackets",
     "balanced", "checksum", "parts up to 255", "leading zero", "four groups", "letters", "ats", "last label", "labels", "left class", "right class",
@@ -250,98 +253,327 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH) -> Trees:
-    """Newton boosting of the logistic loss over binned features; classes count alike."""
-    n, d = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(d)]
-    bins = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(d)], 1)  # value > edges[b - 1]
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * n
-    raw, inner = np.zeros(n), (1 << depth) - 1
-    made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+@dataclass
+class Cells:
+    """Samples of a kind by binned features, label and fold, with their number; several models score them at once."""
+
+    bins: np.ndarray  # cells x features
+    y: np.ndarray
+    fold: np.ndarray
+    count: np.ndarray
+    raw: np.ndarray  # cells x models
+
+
+@dataclass
+class Kind:
+    """What is known of a kind's samples: edges of the bins by feature, the number by fold and label, and the fold that each model leaves out (-1: none)."""
+
+    edges: list[np.ndarray]
+    count: np.ndarray  # folds x labels
+    without: list[int]
+
+    def first(self) -> np.ndarray:
+        """Where a feature's bins begin among all bins of a node, and their end."""
+        return np.cumsum([0, *(len(e) + 1 for e in self.edges)])
+
+    def weight(self) -> np.ndarray:
+        """Models x folds x labels: labels count alike in all, and a fold that is left out counts nothing."""
+        out = np.zeros((len(self.without), *self.count.shape))
+        for m, k in enumerate(self.without):
+            used = np.arange(len(self.count)) != k
+            n = self.count[used].sum(0)
+            out[m, used] = 0.5 / np.maximum(1, n) * n.sum()
+        return out
+
+
+Part = dict[int, Cells]  # by kind
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]  # of each model: features and last bins to the left of inner nodes, leaves
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1).astype(np.uint8)  # value > edges[b - 1]
+
+
+def _placed(bins: np.ndarray, feature: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
+    rows, node = np.arange(len(bins)), np.zeros(len(bins), np.int64)
+    for _ in range(depth):
+        node = 2 * node + 1 + (bins[rows, feature[node]] > last[node])
+    return node
+
+
+def _histograms(part: Part, shape: dict[int, tuple[np.ndarray, np.ndarray]], trees: dict[int, Tree], level: int) -> dict[int, np.ndarray]:
+    """By kind, gradients and curvatures (models x 2 x nodes of the level x bins) of a part's samples."""
+    out = {}
+    for kind, c in part.items():
+        first, weight = shape[kind]
+        width, size = 1 << level, first[-1]
+        sums = np.zeros((len(weight), 2, width * size))
+        for m, w in enumerate(weight):
+            node = _placed(c.bins, trees[kind][0][m], trees[kind][1][m], level) - (width - 1)
+            at = (node[:, None] * size + first[:-1] + c.bins).ravel()
+            p, n = 1 / (1 + np.exp(-c.raw[:, m])), c.count * w[c.fold, c.y]
+            for i, v in enumerate((n * (p - c.y), n * p * (1 - p))):
+                sums[m, i] = np.bincount(at, np.repeat(np.round(v / STEP) * STEP, c.bins.shape[1]), width * size)
+        out[kind] = sums.reshape(len(weight), 2, width, size)
+    return out
+
+
+def _split(sums: np.ndarray, first: np.ndarray) -> Tree:
+    """The best split of each model and node of a level (none: all to the left), and the leaves that it makes."""
+    g, h = sums[:, 0], sums[:, 1]
+    total_g, total_h = (v[..., : first[1]].sum(-1) for v in (g, h))
+    best, feature, last = np.full(total_g.shape, 1e-9), np.zeros(total_g.shape, np.int64), np.full(total_g.shape, BINS)
+    left_g, left_h = total_g, total_h
+    for j, (a, b) in enumerate(zip(first, first[1:])):
+        if b - a < 2:
+            continue
+        lg, lh = (v[..., a:b].cumsum(-1)[..., :-1] for v in (g, h))
+        rg, rh = total_g[..., None] - lg, total_h[..., None] - lh
+        gain = lg**2 / (lh + LAMBDA) + rg**2 / (rh + LAMBDA) - (total_g**2 / (total_h + LAMBDA))[..., None]
+        gain[(lh < 1) | (rh < 1)] = 0
+        top = gain.argmax(-1)
+        value, to_g, to_h = (np.take_along_axis(v, top[..., None], -1)[..., 0] for v in (gain, lg, lh))
+        better = value > best
+        best, feature, last = np.where(better, value, best), np.where(better, j, feature), np.where(better, top, last)
+        left_g, left_h = np.where(better, to_g, left_g), np.where(better, to_h, left_h)
+    leaf = -RATE * np.stack([left_g, total_g - left_g], -1) / (np.stack([left_h, total_h - left_h], -1) + LAMBDA)
+    return feature, last, leaf.reshape(len(leaf), -1)
+
+
+def _advanced(part: Part, made: list[dict[int, Tree]], depth: int) -> Part:
+    """The part, scored by further trees."""
+    out = {}
+    for kind, c in part.items():
+        raw = c.raw.copy()
+        for feature, last, leaf in (t[kind] for t in made):
+            for m in range(raw.shape[1]):
+                raw[:, m] += leaf[m][_placed(c.bins, feature[m], last[m], depth) - len(feature[m])]
+        out[kind] = replace(c, raw=raw)
+    return out
+
+
+def _added(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    return {k: a[k] + b[k] if k in a and k in b else a[k] if k in a else b[k] for k in a.keys() | b.keys()}
+
+
+class OnePart:
+    """Samples in one place."""
+
+    def __init__(self, part: Part):
+        self.part = part
+
+    def total(self, f) -> dict[int, np.ndarray]:
+        return f(self.part)
+
+    def advance(self, tree: dict[int, Tree], depth: int) -> None:
+        self.part = _advanced(self.part, [tree], depth)
+
+
+class ManyParts:
+    """Samples that stay on the executors: their sums come to the driver, trees go to them."""
+
+    def __init__(self, parts: RDD):
+        self.base = self.now = parts.persist(StorageLevel.MEMORY_AND_DISK)
+        self.made: list[dict[int, Tree]] = []
+        self.old: list[RDD] = []
+        self.depth = 1 if parts.getNumPartitions() <= 32 else 2
+
+    def total(self, f) -> dict[int, np.ndarray]:
+        out = self.now.map(f).treeReduce(_added, self.depth)
+        while self.old:  # what is read now is kept by itself
+            self.old.pop().unpersist()
+        return out
+
+    def advance(self, tree: dict[int, Tree], depth: int) -> None:
+        self.made.append(tree)
+        if self.now is not self.base:
+            self.old.append(self.now)
+        whole = len(self.made) % REBASE == 0  # so that a lost part is few steps away
+        source, made = (self.base, list(self.made)) if whole else (self.now, [tree])
+        self.now = source.map(lambda part: _advanced(part, made, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        for r in (*self.old, self.now, self.base):
+            r.unpersist()
+
+
+def grow(samples: OnePart | ManyParts, kinds: dict[int, Kind], rounds: int = ROUNDS, depth: int = DEPTH) -> dict[int, list[Trees]]:
+    """Newton boosting of the logistic loss over binned features, of every model of every kind at once; a level of a tree is one sum over all samples."""
+    shape = {k: (v.first(), v.weight()) for k, v in kinds.items()}
+    made: dict[int, list[Tree]] = {k: [] for k in kinds}
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-raw))
-        g, h = weight * (p - y), weight * p * (1 - p)
-        feature, cut, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
+        tree = {k: (np.zeros((len(v.without), (1 << depth) - 1), np.int64), np.full((len(v.without), (1 << depth) - 1), BINS), np.zeros(0)) for k, v in kinds.items()}
         for level in range(depth):
-            first, width = (1 << level) - 1, 1 << level
-            best = np.full(width, 1e-9)
-            total_g, total_h = (np.bincount(node - first, v, width) for v in (g, h))
-            where = np.full(width, -1)
-            for j in range(d):
-                if not len(edges[j]):
-                    continue
-                k = len(edges[j]) + 1
-                at = (node - first) * k + bins[:, j]
-                lg, lh = (np.bincount(at, v, width * k).reshape(width, k).cumsum(1)[:, :-1] for v in (g, h))
-                rg, rh = total_g[:, None] - lg, total_h[:, None] - lh
-                gain = lg**2 / (lh + LAMBDA) + rg**2 / (rh + LAMBDA) - (total_g**2 / (total_h + LAMBDA))[:, None]
-                gain[(lh < 1) | (rh < 1)] = 0
-                top = gain.argmax(1)
-                value = gain[np.arange(width), top]
-                better = value > best
-                best[better], where[better] = value[better], top[better]
-                feature[first : first + width][better] = j
-            for i in np.flatnonzero(where >= 0):
-                cut[first + i] = edges[feature[first + i]][where[i]]
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > cut[node])
-        leaf = -RATE * np.bincount(node - inner, g, inner + 1) / (np.bincount(node - inner, h, inner + 1) + LAMBDA)
-        raw += leaf[node - inner]
-        made.append((feature, cut, leaf))
-    return Trees(*(np.stack(v) for v in zip(*made, strict=True)), 0.0)
+            now = dict(tree)
+            sums = samples.total(lambda part, now=now, level=level: _histograms(part, shape, now, level))
+            for k, s in sums.items():
+                feature, last, leaf = _split(s, shape[k][0])
+                at = slice((1 << level) - 1, (2 << level) - 1)
+                tree[k][0][:, at], tree[k][1][:, at] = feature, last
+                tree[k] = *tree[k][:2], leaf
+        samples.advance(tree, depth)
+        for k, t in tree.items():
+            made[k].append(t)
 
+    def whole(kind: Kind, trees: list[Tree], m: int) -> Trees:
+        feature, last, leaf = (np.stack([t[i][m] for t in trees]) for i in range(3))
+        cut = np.full(feature.shape, np.inf)
+        for i in zip(*np.nonzero(last < BINS)):
+            cut[i] = kind.edges[feature[i]][last[i]]
+        return Trees(feature, cut, leaf, 0.0)
 
-def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the sigmoid that fits held-out labels, by Newton steps with smoothed targets."""
-    n1, n0 = y.sum(), (1 - y).sum()
+    return {k: [whole(v, made[k], m) for m in range(len(v.without))] for k, v in kinds.items()}
+
+
+#: Where bins are cut, as shares of the samples.
+SHARES = np.linspace(0, 1, BINS + 1)[1:-1]
+
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH) -> Trees:
+    """``grow`` for one kind and model of samples in one place."""
+    edges = [np.unique(np.quantile(x[:, j], SHARES)) for j in range(x.shape[1])]
+    y = np.asarray(y, np.int64)
+    cells = Cells(binned(x, edges), y, np.zeros(len(y), np.int64), np.ones(len(y)), np.zeros((len(y), 1)))
+    return grow(OnePart({0: cells}), {0: Kind(edges, np.bincount(y, minlength=2)[None], [-1])}, rounds, depth)[0][0]
+
+
+def _platt_sums(raw: np.ndarray, y: np.ndarray, count: np.ndarray, a: float, b: float, n1: float, n0: float) -> np.ndarray:
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+    p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+    w = np.maximum(p * (1 - p), 1e-9)
+    return np.array([(count * v).sum() for v in ((p - t) * raw, p - t, w * raw * raw, w * raw, w)])
+
+
+def sigmoids(total, size: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
+    """By kind, slope and offset of the sigmoid that fits held-out labels, by Newton steps with smoothed targets; ``size`` has its positive and negative samples, and ``total`` gives ``_platt_sums`` over all samples."""
+    fit, going = {k: (1.0, 0.0) for k in size}, set(size)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([((p - t) * raw).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        hess = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        a, b = max(1e-3, a - step[0]), b - step[1]
-        if np.abs(step).max() < 1e-8:
+        if not going:
             break
-    return float(a), float(b)
+        sums = total({k: (*fit[k], *size[k]) for k in going})
+        for k in sorted(going):
+            (a, b), (ga, gb, haa, hab, hbb) = fit[k], sums[k]
+            step = np.linalg.solve(np.array([[haa + 1e-3, hab], [hab, hbb + 1e-9]]), np.array([ga + 1e-3 * (a - 1), gb]))
+            step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+            fit[k] = max(1e-3, a - float(step[0])), b - float(step[1])
+            if np.abs(step).max() < 1e-8:
+                going.discard(k)
+    return fit
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The lowest probability (0.5 at least) from which on the lower bound of precision (Wilson's, 95 %, one-sided) holds; infinite if none."""
-    order = np.argsort(-p, kind="stable")
-    hit, n = np.cumsum(y[order]), np.arange(1, len(p) + 1)
+def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """``sigmoids`` for one kind of samples in one place."""
+    return sigmoids(lambda fit: {0: _platt_sums(raw, y, np.ones(len(y)), *fit[0])}, {0: (y.sum(), (1 - y).sum())})[0]
+
+
+def _lowest(p: np.ndarray, hit: np.ndarray, n: np.ndarray, precision: float) -> float:
+    """``threshold`` of different probabilities, falling, with hits and samples from the first on."""
     q, z = hit / n, 1.645
     low = (q + z * z / (2 * n) - z * np.sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    last = np.append(p[order][1:] != p[order][:-1], True)  # ties pass together
-    good = np.flatnonzero((low >= precision) & last & (p[order] >= 0.5))
-    return float(p[order][good[-1]]) if len(good) else float("inf")
+    good = np.flatnonzero((low >= precision) & (p >= 0.5))
+    return float(p[good[-1]]) if len(good) else float("inf")
+
+
+def threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION, count: np.ndarray | None = None) -> float:
+    """The lowest probability (0.5 at least) from which on the lower bound of precision (Wilson's, 95 %, one-sided) holds; infinite if none."""
+    each, at = np.unique(-p, return_inverse=True)  # ties pass together
+    n = np.ones(len(p)) if count is None else count
+    return _lowest(-each, np.bincount(at, n * y).cumsum(), np.bincount(at, n).cumsum(), precision)
+
+
+def thresholds(scored: RDD, parts: int, precision: float = PRECISION) -> dict[int, float]:
+    """``threshold`` by kind of ((kind, minus probability), (hits, samples)): sorted over ``parts`` ranges, each with the sums of those before it."""
+    ranked = scored.reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), parts).sortByKey(numPartitions=parts).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def by_kind(rows) -> dict[int, np.ndarray]:
+        out: dict[int, list] = {}
+        for (kind, p), (hit, n) in rows:
+            out.setdefault(kind, []).append((-p, hit, n))
+        return {k: np.array(v, float) for k, v in out.items()}
+
+    sums = dict(ranked.mapPartitionsWithIndex(lambda i, rows: [(i, {k: v[:, 1:].sum(0) for k, v in by_kind(rows).items()})]).collect())
+    before = {i: {k: sum(sums[j][k] for j in sums if j < i and k in sums[j]) for k in s} for i, s in sums.items()}
+
+    def lowest(i, rows):
+        for k, v in by_kind(rows).items():
+            hit, n = (v[:, 1:].cumsum(0) + before[i][k]).T
+            yield k, _lowest(v[:, 0], hit, n, precision)
+
+    out: dict[int, float] = {}
+    for k, v in ranked.mapPartitionsWithIndex(lowest).collect():
+        out[k] = min(v, out.get(k, float("inf")))
+    ranked.unpersist()
+    return out
 
 
 Model = dict[int, tuple[Trees, float, float, float]]
 
 
-def train(proposed: DataFrame, sample: int = SAMPLE) -> Model:
-    """By kind trees, Platt's slope and offset, and threshold; ``proposed`` is what ``propose`` returned, best written and read again."""
+def _cells(rows: DataFrame, kinds: dict[int, Kind]) -> tuple[RDD, int]:
+    """Parts of the samples (kind, label, fold, x) of ``kinds``, equal ones counted, and the number of parts."""
+    edges = {k: v.edges for k, v in kinds.items()}
+    schema = "kind int, label int, fold int, bins binary"
+
+    def run(batches):
+        for batch in batches:
+            kind = np.asarray(batch.column("kind"))
+            x = np.asarray(batch.column("x").flatten(), float).reshape(len(kind), len(FEATURES))
+            bins = np.zeros(x.shape, np.uint8)
+            for k, e in edges.items():
+                bins[kind == k] = binned(x[kind == k], e)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "label", "fold")), pa.array([b.tobytes() for b in bins], pa.binary())], ["kind", "label", "fold", "bins"])
+
+    cells = rows.where(F.col("kind").isin(*kinds)).select("kind", "label", "fold", "x").mapInArrow(run, schema).groupBy("kind", "label", "fold", "bins").agg(F.count("*").alias("n"))
+    cells = materialise(cells, "cells")
+    parts = -(-cells.count() // EACH)
+
+    def gathered(rows):
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(r.kind, []).append(r)
+        yield {
+            k: Cells(np.frombuffer(b"".join(r.bins for r in v), np.uint8).reshape(len(v), -1), *(np.array([r[c] for r in v], np.int64) for c in ("label", "fold", "n")), np.zeros((len(v), FOLDS + 1)))
+            for k, v in by.items()
+        }
+
+    return cells.repartition(parts, "bins").rdd.mapPartitions(gathered), parts
+
+
+def train(proposed: DataFrame) -> Model:
+    """By kind trees, Platt's slope and offset, and threshold, of all samples; ``proposed`` is what ``propose`` returned, best written and read again."""
+    ship(proposed.sparkSession)
     found, samples = proposed.columns[-2:]
     z = F.explode(F.arrays_zip(F.col(found).alias("span"), F.col(samples).alias("sample"))).alias("z")
     rows = proposed.select(z).select(F.col("z.span.kind").alias("kind"), F.col("z.sample.label").alias("label"), F.col("z.sample.key").alias("key"), F.col("z.sample.x").alias("x"))
-    rows = rows.where("label >= 0").distinct().withColumn("h", F.xxhash64("key"))  # one string, one fold
-    model: Model = {}
-    for kind in range(len(KINDS)):
-        parts = [rows.where((F.col("kind") == kind) & (F.col("label") == y)).select("h", "key", "x").orderBy("h", "key", "x").limit(sample).toArrow() for y in (0, 1)]  # 2 x sample rows at most
-        x = np.concatenate([np.array(p.column("x").to_pylist(), float).reshape(-1, len(FEATURES)) for p in parts])
-        y = np.repeat([0, 1], [p.num_rows for p in parts])
-        fold = np.concatenate([np.asarray(p.column("h"), np.int64) % FOLDS for p in parts])
-        if min(y.sum(), (1 - y).sum()) < LEAST_SAMPLES:
-            continue
-        raw = np.zeros(len(y))  # of trees that haven't seen the sample
-        for k in range(FOLDS):
-            raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
-        a, b = platt(raw, y)
-        model[kind] = boost(x, y), a, b, threshold(1 / (1 + np.exp(-(a * raw + b))), y)
-    return model
+    rows = rows.where("label >= 0").distinct().withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int"))  # one string, one fold
+    rows = materialise(rows, "samples")
+    count = np.zeros((len(KINDS), FOLDS, 2), np.int64)
+    for r in rows.groupBy("kind", "fold", "label").count().collect():
+        count[r.kind, r.fold, r.label] = r["count"]
+    learnt = [k for k in range(len(KINDS)) if count[k].sum(0).min() >= LEAST_SAMPLES]
+    if not learnt:
+        return {}
+    values = rows.where(F.col("kind").isin(learnt)).select("kind", F.posexplode("x").alias("j", "v")).groupBy("kind", "j", F.col("v").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    cuts = {(r.kind, r.j): np.unique(r.cuts) for r in values.groupBy("kind", "j").agg(F.percentile("v", F.array(*map(F.lit, SHARES.tolist())), F.col("n")).alias("cuts")).collect()}
+    kinds = {k: Kind([cuts[k, j] for j in range(len(FEATURES))], count[k], [*range(FOLDS), -1]) for k in learnt}
+    cells, parts = _cells(rows, kinds)
+    spread = ManyParts(cells) if parts > 1 else OnePart(cells.first())  # one part is EACH cells at most: not worth some two hundred jobs, and the same sums
+    trees = grow(spread, kinds)
+    held_out = lambda c: c.raw[np.arange(len(c.fold)), c.fold]  # noqa: E731  by trees that haven't seen the sample
+    fit = sigmoids(lambda fit: spread.total(lambda part: {k: _platt_sums(held_out(c), c.y, c.count, *fit[k]) for k, c in part.items() if k in fit}), {k: tuple(count[k].sum(0)[::-1].tolist()) for k in learnt})
+
+    probability = lambda k, c: 1 / (1 + np.exp(-(fit[k][0] * held_out(c) + fit[k][1])))
+
+    def scored(part):
+        for k, c in part.items():
+            yield from (((k, -q), (n * y, n)) for q, n, y in zip(probability(k, c).tolist(), c.count.tolist(), c.y.tolist(), strict=True))
+
+    if parts > 1:
+        least = thresholds(spread.now.flatMap(scored), parts)
+        spread.close()
+    else:
+        least = {k: threshold(probability(k, c), c.y, count=c.count) for k, c in spread.part.items()}
+    return {k: (trees[k][-1], *fit[k], least[k]) for k in learnt}
 
 
 def select(proposed: DataFrame, model: Model) -> DataFrame:
@@ -393,10 +625,10 @@ def select(proposed: DataFrame, model: Model) -> DataFrame:
     return proposed.mapInArrow(run, schema)
 
 
-def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Learns from ``docs`` and returns ``keep`` columns with base and spans; the texts are read once for both, but where they are kept."""
     proposed = materialise(propose(docs, text, keep), "candidates")
-    return select(proposed, train(proposed, sample))
+    return select(proposed, train(proposed))
 
 
 def listed(spans):
