@@ -126,41 +126,49 @@ NAME = ["company", "place", "title"]
 
 def _entries(rows: DataFrame) -> DataFrame:
     """Of rows (seq, node, company, place, title, places): distinct (node, company, place, title, wide), all combinations where a node's rows differ; a wide row stands for too many."""
-    plain = rows.groupBy("node", *NAME).agg(F.first("places").alias("places"))
-    sets = plain.groupBy("node").agg(F.collect_set("company").alias("cs"), F.array_distinct(F.flatten(F.collect_set(F.array_append("places", F.col("place"))))).alias("ps"), F.collect_set("title").alias("ts"), F.min(F.struct("company", "place")).alias("n"), F.max(F.struct("company", "place")).alias("m")).where("n != m")
+    each = rows.select("node", *NAME, "places").distinct()
+    plain = each.select("node", *NAME).distinct()
+    several = plain.select("node", "company", "place").distinct().groupBy("node").count().where("count > 1").select("node")  # few: lists are made of these only
+    sets = each.join(several, "node", "left_semi").groupBy("node").agg(F.collect_set("company").alias("cs"), F.array_distinct(F.flatten(F.collect_set(F.array_append("places", F.col("place"))))).alias("ps"), F.collect_set("title").alias("ts"))
     few = F.size("cs").cast("long") * F.size("ps") * F.size("ts") <= COMBINATIONS
     grown = sets.where(few).select("node", F.explode("cs").alias("company"), "ps", "ts").select("node", "company", F.explode("ps").alias("place"), "ts").select("node", "company", "place", F.explode("ts").alias("title"))
     wide = sets.where(~few).select("node", *(F.lit("").alias(c) for c in NAME))
-    return plain.drop("places").unionByName(grown).distinct().withColumn("wide", F.lit(False)).unionByName(wide.withColumn("wide", F.lit(True)))
+    return plain.unionByName(grown).distinct().withColumn("wide", F.lit(False)).unionByName(wide.withColumn("wide", F.lit(True)))
 
 
 def _blocks(keyed: DataFrame, links: DataFrame, size: int) -> DataFrame:
     """(seq, block) over shared identifiers and URLs and over similar names; see the module."""
-    parts = parts_for(size)
+    parts = parts_for(size, 50_000)
     places = F.array_except(F.transform(F.array("city", "country", "location"), lambda p: F.regexp_replace(p, "^-$", "")), F.array(F.lit("")))
     fields = keyed.select("seq", _named("company_slug").alias("company"), _place().alias("place"), F.col("title_slug").alias("title"), places.alias("places"))
     tokens = materialise(title_tokens(fields.select("title").distinct()), "offer-tokens", parts)
     linked = components(links.select(F.col("seq").alias("a"), F.col("first").alias("b")), size=size)
     rows = fields.join(linked.withColumnRenamed("node", "seq"), "seq", "left").select("*", F.coalesce("comp", "seq").alias("node")).drop("comp")
-    rows, known = materialise(rows, "offer-blocks", parts), None
+    rows = materialise(rows, "offer-blocks", parts)
+    entries = fresh = materialise(_entries(rows), "offer-entries", parts)
+    first = True
     while True:
-        entries = materialise(_entries(rows), "offer-entries", parts)
-        plain, fresh = entries.where("NOT wide"), entries
-        if known is not None:  # what the last turn has joined is known under its new node
-            fresh = materialise(entries.join(known, ["node", *NAME, "wide"], "left_anti"), "offer-entries", parts)
-            if fresh.isEmpty():
-                return rows.select("seq", F.col("node").alias("block"))
-        named = plain.groupBy(*NAME).agg(F.min("node").alias("node"))
-        new = named if known is None else fresh.where("NOT wide").select(*NAME, "node")
-        edges = new.select(*NAME, F.col("node").alias("a")).join(named.withColumnRenamed("node", "b"), NAME).select("a", "b") if known is not None else plain.join(named.withColumnRenamed("node", "b"), NAME).select(F.col("node").alias("a"), "b")
-        edges = edges.where("a != b").unionByName(similar_pairs(new.where("company != ''"), named, tokens, known is None))
+        plain = entries.where("NOT wide")
+        if first:
+            named = new = plain.groupBy(*NAME).agg(F.min("node").alias("node"))
+        else:  # a later turn reads the companies of its new entries only
+            new = fresh.where("NOT wide").select(*NAME, "node")
+            named = plain.join(new.select("company").distinct(), "company", "left_semi").groupBy(*NAME).agg(F.min("node").alias("node"))
+        edges = (plain if first else new).select(*NAME, F.col("node").alias("a")).join(named.withColumnRenamed("node", "b"), NAME).select("a", "b")
+        edges = edges.where("a != b").unionByName(similar_pairs(new.where("company != ''"), named, tokens, first))
         if not fresh.where("wide").isEmpty():
             far = rows.join(fresh.where("wide").select("node"), "node").select("company", "title").distinct()
             met = rows.join(far, ["company", "title"], "left_semi").unionByName(rows.where("company != ''").join(far.select("company").distinct(), "company", "left_semi"))
             edges = edges.unionByName(_coarse_edges(met.select(F.col("node").alias("seq"), "company", "title").distinct()))
-        comp = components(edges.distinct(), size=size)
-        moved = lambda t: t.join(comp, "node", "left").select(*(c for c in t.columns if c != "node"), F.coalesce("comp", "node").alias("node"))
-        rows, known = materialise(moved(rows), "offer-blocks", parts), moved(entries)
+        comp, first = components(edges.distinct(), size=size), False
+        moved = lambda t, how: t.join(comp, "node", how).select(*(c for c in t.columns if c != "node"), F.coalesce("comp", "node").alias("node"))  # noqa: E731, B023
+        rows = materialise(moved(rows, "left"), "offer-blocks", parts)
+        # only nodes that were joined stand for more than before
+        joined = materialise(_entries(rows.join(comp.select(F.col("comp").alias("node")).distinct(), "node", "left_semi")), "offer-entries", parts)
+        fresh = materialise(joined.join(moved(entries, "inner"), ["node", *NAME, "wide"], "left_anti"), "offer-entries", parts)  # the others are known under another node
+        if fresh.isEmpty():
+            return rows.select("seq", F.col("node").alias("block"))
+        entries = materialise(entries.join(comp.select("node"), "node", "left_anti").unionByName(joined), "offer-entries", parts)
 
 
 def _similar(a: str, b: str) -> bool:

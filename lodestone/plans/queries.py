@@ -309,7 +309,7 @@ def _offers_for_resolution(spark, sf):
     board's id, in the name of the next company.
     """
     o, p = R.offers(spark, sf), R.read(spark, sf, "pages")
-    o = o.join(p.select(F.col("page_id").alias("offer_id"), "url"), "offer_id", "left")
+    o = R.spread(o, "offer_id").join(p.select(F.col("page_id").alias("offer_id"), "url"), "offer_id", "left")
     i, size = F.col("offer_id"), F.col("size")
     when = lambda c, x: F.when(c, x).otherwise(F.lit(None).cast("string"))
     company = lambda k: F.concat_ws(" ", "company", F.floor((i + k) / 400).cast("string"))
