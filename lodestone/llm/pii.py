@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, replace
+from collections.abc import Iterable
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -352,6 +353,15 @@ def _advanced(part: Part, made: list[dict[int, Tree]], depth: int) -> Part:
     return out
 
 
+def _joined(parts: Iterable[Part]) -> Part:
+    """The samples of all parts, in one."""
+    by: dict[int, list[Cells]] = {}
+    for part in parts:
+        for kind, c in part.items():
+            by.setdefault(kind, []).append(c)
+    return {k: Cells(*(np.concatenate([getattr(c, f.name) for c in v]) for f in fields(Cells))) for k, v in by.items()}
+
+
 def _added(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     return {k: a[k] + b[k] if k in a and k in b else a[k] if k in a else b[k] for k in a.keys() | b.keys()}
 
@@ -510,7 +520,7 @@ Model = dict[int, tuple[Trees, float, float, float]]
 
 
 def _cells(rows: DataFrame, kinds: dict[int, Kind]) -> tuple[RDD, int]:
-    """Parts of the samples (kind, label, fold, x) of ``kinds``, equal ones counted, and the number of parts."""
+    """Parts of the samples (kind, label, fold, x) of ``kinds``, equal ones counted, and the number of parts that they need; they may be dealt over more, some empty."""
     edges = {k: v.edges for k, v in kinds.items()}
     schema = "kind int, label int, fold int, bins binary"
 
@@ -557,7 +567,7 @@ def train(proposed: DataFrame) -> Model:
     cuts = {(r.kind, r.j): np.unique(r.cuts) for r in values.groupBy("kind", "j").agg(F.percentile("v", F.array(*map(F.lit, SHARES.tolist())), F.col("n")).alias("cuts")).collect()}
     kinds = {k: Kind([cuts[k, j] for j in range(len(FEATURES))], count[k], [*range(FOLDS), -1]) for k in learnt}
     cells, parts = _cells(rows, kinds)
-    spread = ManyParts(cells) if parts > 1 else OnePart(cells.first())  # one part is EACH cells at most: not worth some two hundred jobs, and the same sums
+    spread = ManyParts(cells) if parts > 1 else OnePart(_joined(cells.collect()))  # EACH cells at most: not worth some two hundred jobs, and the same sums
     trees = grow(spread, kinds)
     held_out = lambda c: c.raw[np.arange(len(c.fold)), c.fold]  # noqa: E731  by trees that haven't seen the sample
     fit = sigmoids(lambda fit: spread.total(lambda part: {k: _platt_sums(held_out(c), c.y, c.count, *fit[k]) for k, c in part.items() if k in fit}), {k: tuple(count[k].sum(0)[::-1].tolist()) for k in learnt})
